@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker holds decoded at one time (one text alone may be longer).
@@ -34,7 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
     """Cuts Arrow batches into slices with about ``SLICE_BYTES`` of text each."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()], dtype=np.int64)
+        sizes = np.array([0 if n is None else n for n in pc.binary_length(column).to_pylist()], dtype=np.int64)
         part = np.cumsum(sizes) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):

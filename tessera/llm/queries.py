@@ -8,6 +8,10 @@ import importlib
 _MODULES = (
     "q_quality",
     "q_secrets",
+    "q_near",
+    "q_leaks",
+    "q_substrings",
+    "q_lines",
 )
 
 _loaded = [importlib.import_module(f"tessera.llm.{m}") for m in _MODULES]
