@@ -9,6 +9,10 @@ _MODULES = (
     "q_quality",
     "q_secrets",
     "q_near",
+    "q_pages",
+    "q_licenses",
+    "q_language",
+    "q_pieces",
     "q_leaks",
     "q_substrings",
     "q_lines",
