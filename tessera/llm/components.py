@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = out.where("u <> v")
+    return out if large else out.distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

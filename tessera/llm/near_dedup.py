@@ -6,7 +6,8 @@
 2. Equal sets collapse to one representative, the smallest doc_id.
 3. ``ROWS`` registers make a band, ``BANDS`` bands a sketch; sets that share a band key are candidates.
 4. Within a bucket, members first meet two leaders drawn by the bucket's key; the Jaccard estimate is corrected for
-   register collisions; each document's best partners are verified on full sets; verified links make components.
+   register collisions; each document's best pair is verified on full sets, then, in rounds, the best untested pair of
+   every two components that meet; verified links make components.
 5. Buckets that still hold more than one component then yield every pair across components that passes the
    corrected estimate, at its first shared band only, and these are verified too.  So every candidate pair that could
    change a component is tested, while pairs inside a component, the bulk in a large group, are never made.
@@ -136,6 +137,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.expr(f"100 * common >= {percent} * (octet_length(sa) div 8 + octet_length(sb) div 8 - common)")).select("a", "b")
 
 
+def _contract(scored: DataFrame, best: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    """Components by verified pairs of ``scored``: first each document's best, then in each further round the best
+    untested pair of every two components that still meet.  What is left over is a matter for the last step."""
+    edges = materialise(_verify(best, sets, percent), "near-edges")
+    found = components(edges)
+    untested = scored.join(best, ["a", "b"], "left_anti")
+    for _ in range(rounds - 1):
+        ends = [found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+        met = untested.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        met = met.where("ca <> cb").select("a", "b", "score", F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q"))
+        pick = materialise(met.groupBy("p", "q").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b"), "near-pick")
+        if pick.isEmpty():
+            break
+        fresh = materialise(_verify(pick, sets, percent), "near-edges")
+        edges = edges.unionByName(fresh)
+        found = components(edges)
+        untested = materialise(met.select("a", "b", "score").join(pick, ["a", "b"], "left_anti"), "near-untested")
+    return found
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n, component) for every row: the size of its set and the smallest doc_id that links reach."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
@@ -160,7 +181,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
 
     wanted = members.select("doc").distinct()
     sets = materialise(rows.where("doc IS NOT NULL").join(wanted, "doc", "left_semi").mapInArrow(_sets(width), "doc bigint, set binary"), "near-sets")
-    first = components(_verify(best, sets, percent))
+    first = _contract(scored, best, sets, percent)
 
     placed = members.select("key", "band", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = materialise(placed, "near-placed")

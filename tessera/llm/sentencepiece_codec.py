@@ -45,31 +45,35 @@ class DoubleArray:
                     value.append(-1)
                 node = children[node][c]
             value[node] = number
-        size = 4 * len(children) + 1024
+        size = 4 * len(children) + 65_536
         base, check, leaf = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         free = np.ones(size, dtype=bool)
         free[0] = False
-        queue, low = [(0, 0)], 1
+        queue, low, cursor = [(0, 0)], 257, 300
         for node, state in queue:  # grows while it is walked: breadth first
             leaf[state] = value[node]
             if not children[node]:
                 continue
             codes = np.fromiter(sorted(children[node]), dtype=np.int64) + 1
-            if len(codes) == 1:
+            if len(codes) == 1:  # fills the holes that wider nodes leave
                 while not free[low]:
                     low += 1
-                at = max(low - int(codes[0]), 0)
+                at = low - int(codes[0])
             else:
-                at = max(low - int(codes[0]), 0)
-            while True:
-                if at + 257 >= size:
-                    grow = size
-                    base, check, leaf = (np.concatenate((x, np.full(grow, fill, np.int32))) for x, fill in ((base, 0), (check, -1), (leaf, -1)))
-                    free = np.concatenate((free, np.ones(grow, dtype=bool)))
-                    size += grow
-                if free[at + codes].all():
-                    break
-                at += 1
+                begin = cursor
+                while True:  # the first place, among the free ones from the cursor on, where all children fit
+                    open_ = begin + np.flatnonzero(free[begin : begin + 2048])
+                    fit = free[(open_ - codes[0])[:, None] + codes].all(axis=1)
+                    if fit.any():
+                        at = int(open_[int(fit.argmax())] - codes[0])
+                        break
+                    begin += 2048
+                if begin > cursor:
+                    cursor = begin
+            if at + 5000 >= size:
+                base, check, leaf = (np.concatenate((x, np.full(size, fill, np.int32))) for x, fill in ((base, 0), (check, -1), (leaf, -1)))
+                free = np.concatenate((free, np.ones(size, dtype=bool)))
+                size *= 2
             base[state] = at
             free[at + codes] = False
             check[at + codes] = state

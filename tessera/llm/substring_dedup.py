@@ -84,12 +84,34 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in (at, name, lo, hi))
 
 
+def short_name(name: np.ndarray, n_buckets: int) -> np.ndarray:
+    """What of a name travels beside its bucket: 40 bits.  Names that meet by chance cost time, not correctness."""
+    return (name // np.uint64(n_buckets)) & np.uint64((1 << 40) - 1)
+
+
+def pack40(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def unpack40(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def content_id(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _pack(buckets: np.ndarray, columns: dict[str, np.ndarray], shared: dict[str, bytes]) -> pa.RecordBatch | None:
-    """One row per bucket with its share of each array, packed."""
+def _inside(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which bytes of a context its strings cover: only they travel."""
+    shift = np.arange(CONTEXT)
+    lo = lo.astype(np.int64)[:, None]
+    return (shift >= lo) & (shift < lo + size[:, None])
+
+
+def _pack(buckets: np.ndarray, columns: dict[str, np.ndarray], shared: dict[str, bytes], ragged: tuple | None = None) -> pa.RecordBatch | None:
+    """One row per bucket with its share of each array, packed; ``ragged`` (name, bytes, sizes) needs sorted buckets."""
     if not len(buckets):
         return None
     order = np.argsort(buckets, kind="stable")
@@ -101,6 +123,10 @@ def _pack(buckets: np.ndarray, columns: dict[str, np.ndarray], shared: dict[str,
         out[key] = pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
     for key, value in shared.items():
         out[key] = pa.array([value] * (len(cuts) - 1), pa.binary())
+    if ragged:
+        key, data, sizes = ragged
+        edge = np.concatenate(([0], np.cumsum(sizes)))
+        out[key] = pa.array([data[edge[a] : edge[b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
     return pa.RecordBatch.from_pydict(out)
 
 
@@ -121,11 +147,11 @@ def _names(n_buckets: int):
             for k, text in enumerate(texts.values()):
                 own = np.unique(anchors(np.frombuffer(text, dtype=np.uint8))[1])
                 names.append(own)
-                owner.append(np.full(len(own), k, dtype=np.uint32))
+                owner.append(np.full(len(own), k, dtype=np.uint16))
             if not names:
                 continue
             name = np.concatenate(names)
-            packed = _pack(name % np.uint64(n_buckets), {"name": name, "owner": np.concatenate(owner)}, {"docs": np.array(list(first.values()), dtype=np.int64).tobytes(), "contents": np.array(list(first), dtype=np.int64).tobytes()})
+            packed = _pack(name % np.uint64(n_buckets), {"name": pack40(short_name(name, n_buckets)), "owner": np.concatenate(owner)}, {"docs": np.array(list(first.values()), dtype=np.int64).tobytes(), "contents": np.array(list(first), dtype=np.int64).tobytes()})
             if packed is not None:
                 yield packed
 
@@ -134,10 +160,10 @@ def _names(n_buckets: int):
 
 def _repeated(key, group: pd.DataFrame) -> pd.DataFrame:
     """The names of one bucket that two contents or more have, by document."""
-    name = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in group["name"]])
+    name = np.concatenate([unpack40(x) for x in group["name"]])
     doc, content = [], []
     for docs, contents, owner in zip(group["docs"], group["contents"], group["owner"]):
-        index = np.frombuffer(owner, dtype=np.uint32)
+        index = np.frombuffer(owner, dtype=np.uint16)
         doc.append(np.frombuffer(docs, dtype=np.int64)[index])
         content.append(np.frombuffer(contents, dtype=np.int64)[index])
     doc, content = np.concatenate(doc), np.concatenate(content)
@@ -150,9 +176,9 @@ def _repeated(key, group: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(doc, kind="stable")
     name, doc = name[order], doc[order]
     if not len(doc):
-        return pd.DataFrame({"doc": pd.Series(dtype="int64"), "names": pd.Series(dtype=object)})
+        return pd.DataFrame({"doc": pd.Series(dtype="int64"), "bucket": pd.Series(dtype="int32"), "names": pd.Series(dtype=object)})
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
-    return pd.DataFrame({"doc": doc[cuts[:-1]], "names": [name[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
+    return pd.DataFrame({"doc": doc[cuts[:-1]], "bucket": np.int32(key[0]), "names": [pack40(name[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
 
 
 def _contexts(n_buckets: int):
@@ -162,16 +188,17 @@ def _contexts(n_buckets: int):
         side = LENGTH - BLOCK
         for batch in slices(batches):
             rows: list[tuple[np.ndarray, ...]] = []
-            for doc, text, names in zip(batch.column(0).to_pylist(), utf8(batch), batch.column(2).to_pylist()):
+            for doc, text, buckets, names in zip(batch.column(0).to_pylist(), utf8(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 data = np.frombuffer(text, dtype=np.uint8)
                 at, name, lo, hi = anchors(data)
-                wanted = np.isin(name, np.frombuffer(b"".join(names), dtype=np.uint64))
+                known = np.concatenate([unpack40(x) * np.uint64(n_buckets) + np.uint64(b) for b, x in zip(buckets, names)])
+                wanted = np.isin(short_name(name, n_buckets) * np.uint64(n_buckets) + name % np.uint64(n_buckets), known)
                 if not wanted.any():
                     continue
                 at, name, lo, hi = at[wanted], name[wanted], lo[wanted], hi[wanted]
                 padded = np.concatenate((np.zeros(side, dtype=np.uint8), data, np.zeros(side, dtype=np.uint8)))
                 context = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at]
-                rows.append((name, np.full(len(at), doc, dtype=np.int64), at.astype(np.int64), (lo - at + side).astype(np.uint8), (hi - at + side).astype(np.uint8), context))
+                rows.append((name, np.full(len(at), doc, dtype=np.int64), at.astype(np.uint32), (lo - at + side).astype(np.uint8), (hi - at + side).astype(np.uint8), context))
                 if sum(len(r[0]) for r in rows) >= 20_000:
                     yield deal(rows)
                     rows = []
@@ -180,7 +207,10 @@ def _contexts(n_buckets: int):
 
     def deal(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         name, doc, at, lo, hi, context = (np.concatenate(x) for x in zip(*rows))
-        return _pack(name % np.uint64(n_buckets), {"doc": doc, "at": at, "lo": lo, "hi": hi, "context": np.ascontiguousarray(context)}, {})
+        order = np.argsort(name % np.uint64(n_buckets), kind="stable")
+        name, doc, at, lo, hi, context = (x[order] for x in (name, doc, at, lo, hi, context))
+        size = hi.astype(np.int64) - lo + LENGTH
+        return _pack(name % np.uint64(n_buckets), {"doc": doc, "at": at, "lo": lo, "hi": hi}, {}, ("context", context[_inside(lo, size)], size))
 
     return run
 
@@ -188,8 +218,12 @@ def _contexts(n_buckets: int):
 def _places(key, group: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket, the runs of string starts (from, to) whose string starts in a smaller document, packed by document."""
     side = LENGTH - BLOCK
-    doc, at, lo, hi = (np.concatenate([np.frombuffer(x, dtype=kind) for x in group[c]]) for c, kind in (("doc", np.int64), ("at", np.int64), ("lo", np.uint8), ("hi", np.uint8)))
-    context = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in group["context"]]).reshape(-1, CONTEXT)
+    doc, at, lo, hi = (np.concatenate([np.frombuffer(x, dtype=kind) for x in group[c]]) for c, kind in (("doc", np.int64), ("at", np.uint32), ("lo", np.uint8), ("hi", np.uint8)))
+    at = at.astype(np.int64)
+    held = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in group["context"]])
+    size = hi.astype(np.int64) - lo + LENGTH
+    context = np.zeros((len(doc), CONTEXT), dtype=np.uint8)
+    context[_inside(lo, size)] = held
     row, offset, value = [], [], []
     for a in range(0, len(doc), 4096):
         hashes = rolling(context[a : a + 4096], LENGTH)
@@ -267,21 +301,23 @@ def _remove(text: pa.Array, runs: pa.Array, copy: pa.Array) -> pa.Array:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_buckets: int | None = None) -> DataFrame:
-    """(doc, kept, n_bytes, n_removed, n_spans) for every row.  ``n_buckets``: shares of names; 4 for each shuffle partition if not given."""
+    """(doc, kept, n_bytes, n_removed, n_spans) for every row.  ``n_buckets``: shares of names; 2 for each shuffle partition if not given."""
     spark = docs.sparkSession
-    n_buckets = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = n_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
     known = rows.where("doc IS NOT NULL")
     dealt = known.mapInArrow(_names(n_buckets), "bucket int, name binary, owner binary, docs binary, contents binary")
-    repeated = dealt.groupBy("bucket").applyInPandas(_repeated, "doc bigint, names binary")
-    wanted = repeated.groupBy("doc").agg(F.collect_list("names").alias("names"))
+    repeated = dealt.groupBy("bucket").applyInPandas(_repeated, "doc bigint, bucket int, names binary")
+    wanted = repeated.groupBy("doc").agg(F.collect_list(F.struct("bucket", "names")).alias("n")).select("doc", F.col("n.bucket").alias("buckets"), F.col("n.names").alias("names"))
 
     address = materialise(known.where("text IS NOT NULL").select("doc", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content")), "substring-contents")
     firsts = address.groupBy("content").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("content", "first")
     copies = materialise(address.join(firsts, "content").where("doc > first").select("doc").distinct().withColumn("copy", F.lit(True)), "substring-copies")
 
     marks = wanted.join(copies, "doc", "left_anti")
-    contexts = known.join(marks, "doc").select("doc", "text", "names").mapInArrow(_contexts(n_buckets), "bucket int, doc binary, at binary, lo binary, hi binary, context binary")
+    contexts = known.join(marks, "doc").select("doc", "text", "buckets", "names").mapInArrow(_contexts(n_buckets), "bucket int, doc binary, at binary, lo binary, hi binary, context binary")
     runs = contexts.groupBy("bucket").applyInPandas(_places, "doc bigint, runs binary").groupBy("doc").agg(F.collect_list("runs").alias("runs"))
-    joined = rows.join(runs, "doc", "left").join(copies, "doc", "left")
+    # Both joins take the texts by doc, from one exchange; rows without doc_id go past it.
+    joined = known.join(runs, "doc", "left").join(copies, "doc", "left")
+    joined = joined.unionByName(rows.where("doc IS NULL").withColumns({"runs": F.lit(None).cast("array<binary>"), "copy": F.lit(None).cast("boolean")}))
     return joined.withColumn("_r", F.arrow_udf(_remove, "struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")("text", "runs", "copy")).select("doc", "_r.kept", "_r.n_bytes", "_r.n_removed", "_r.n_spans")
