@@ -8,6 +8,7 @@ Text is escaped as the library does with an identity normaliser: a leading space
 markers.  A character without a piece is an unknown node, ten below the lowest score, and is written as byte pieces.
 When no piece holds a newline, or a marker after another character (both are tested), the best path of a text is the
 best paths of its chunks, cut at those places; each distinct chunk is solved once, all of one length at a time.
+Scores are multiples of 2**-16, so sums are exact and equal paths tie; of these the one with the longest last piece wins.
 
 Defined results: a null or empty text has no ids; decoding gives back every text but for U+2581 itself, which
 becomes a space; repeated rows encode alike; an empty table gives an empty result; other columns are passed over.
@@ -97,8 +98,8 @@ class Codec:
             order = sorted(plain, key=lambda i: (-scores[i], i))
             scores = np.zeros(n)
             scores[order] = -np.log(np.arange(len(order)) + 2.0)
-        self.scores = scores.astype(np.float32)
-        self.unknown_score = np.float32(self.scores[plain].min() - UNKNOWN_PENALTY)
+        self.scores = np.round(scores * 65536) / 65536
+        self.unknown_score = self.scores[plain].min() - UNKNOWN_PENALTY
         self.byte_ids = np.full(256, model.unk_id(), dtype=np.int32)
         for i in range(n):
             if model.is_byte(i):
@@ -121,7 +122,7 @@ class Codec:
     def _solve(self, data: np.ndarray) -> list[np.ndarray]:
         """The ids of each row of a matrix of escaped UTF-8 bytes."""
         count, length = data.shape
-        best = np.full((length + 1, count), -np.inf, dtype=np.float32)
+        best = np.full((length + 1, count), -np.inf)
         best[0] = 0
         piece = np.full((length + 1, count), -1, dtype=np.int32)
         start = np.zeros((length + 1, count), dtype=np.int32)
