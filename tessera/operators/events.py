@@ -116,7 +116,7 @@ SELECT bead, event_id, n, max(CASE WHEN n >= {failures} THEN 1 ELSE 0 END) OVER
 def failure_streak(d):
     """Runs of failures, ended by a success: alert at three, degraded from five on."""
     return f"""WITH {store(d)}, g AS (SELECT bead, event_id, us, kind, sum(CASE WHEN kind = 'bead_completed' THEN 1 ELSE 0 END) OVER (PARTITION BY bead ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM ev WHERE kind IN ('bead_failed', 'bead_completed')),
-s AS (SELECT bead, event_id, row_number() OVER (PARTITION BY bead, island ORDER BY us, event_id) AS streak FROM g WHERE kind = 'bead_failed')
+s AS (SELECT bead, event_id, cast(row_number() OVER (PARTITION BY bead, island ORDER BY us, event_id) AS bigint) AS streak FROM g WHERE kind = 'bead_failed')
 SELECT bead, event_id, streak, CASE WHEN streak = 3 THEN 'alert' WHEN streak >= 5 THEN 'degraded' ELSE 'ok' END AS state FROM s"""
 
 
@@ -130,17 +130,17 @@ SELECT bead, max(n) AS longest FROM (SELECT bead, island, count(CASE WHEN kind <
 @plan("ord_03_event_query")
 def event_query(d):
     """The last 20 failures of each workstream, newest first."""
-    return f"WITH {store(d)} SELECT ws, event_id, us, k FROM (SELECT ws, event_id, us, row_number() OVER (PARTITION BY ws ORDER BY us DESC, event_id DESC) AS k FROM ev WHERE kind = 'bead_failed') t WHERE k <= 20"
+    return f"WITH {store(d)} SELECT ws, event_id, us, k FROM (SELECT ws, event_id, us, cast(row_number() OVER (PARTITION BY ws ORDER BY us DESC, event_id DESC) AS bigint) AS k FROM ev WHERE kind = 'bead_failed') t WHERE k <= 20"
 
 
 @plan("ord_04_open_findings")
 def open_findings(d):
-    return f"SELECT event_id, value AS salience, rank() OVER (PARTITION BY user_id % 10 ORDER BY value DESC) AS place FROM {d.table('events')} e WHERE event_type = 'click'"
+    return f"SELECT event_id, value AS salience, cast(rank() OVER (PARTITION BY user_id % 10 ORDER BY value DESC) AS bigint) AS place FROM {d.table('events')} e WHERE event_type = 'click'"
 
 
 @plan("ord_05_established_first")
 def established_first(d):
-    return f"SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal >= 5000 THEN 0 ELSE 1 END, s_suppkey) AS place FROM {d.table('supplier')} s"
+    return f"SELECT s_suppkey, cast(row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal >= 5000 THEN 0 ELSE 1 END, s_suppkey) AS bigint) AS place FROM {d.table('supplier')} s"
 
 
 @plan("set_01_pair_sets")
@@ -267,7 +267,7 @@ def category_split(d):
 def asof_state(d):
     """The bead's last completion as of each failure."""
     return f"""WITH {store(d)}, w AS (SELECT bead, event_id, us, kind, max(CASE WHEN kind = 'bead_completed' THEN us END) OVER (PARTITION BY bead ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS done_us FROM ev WHERE kind IN ('bead_failed', 'bead_completed'))
-SELECT bead, event_id, done_us FROM w WHERE kind = 'bead_failed'"""
+SELECT bead, event_id, coalesce(done_us, -1) AS done_us FROM w WHERE kind = 'bead_failed'"""
 
 
 @plan("fn_25_idempotency_key")

@@ -106,7 +106,7 @@ SELECT k, max(CASE WHEN q = 1 THEN name END) AS name, max(CASE WHEN q = 1 THEN b
 
 @plan("ord_01_ranked_pairs")
 def ranked(d):
-    return f"WITH {fused(d)} SELECT a, b, composite, row_number() OVER (PARTITION BY confidence ORDER BY composite DESC, n_strategies DESC, a, b) AS place FROM merged"
+    return f"WITH {fused(d)} SELECT a, b, composite, cast(row_number() OVER (PARTITION BY confidence ORDER BY composite DESC, n_strategies DESC, a, b) AS bigint) AS place FROM merged"
 
 
 @plan("jn_09_metadata_lookup")

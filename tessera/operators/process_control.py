@@ -63,8 +63,8 @@ SELECT kind, t, cast(sum(low) OVER (PARTITION BY kind ORDER BY t ROWS BETWEEN 2
 @plan("win_15_lindy_rates")
 def lindy(d):
     """Running catch rate of each stressor and its jumps of more than 0.2."""
-    return f"""WITH a AS (SELECT l_suppkey AS sid, l_orderkey, l_linenumber, l_partkey, l_extendedprice, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS caught FROM {d.table('lineitem')} l),
-r AS (SELECT sid, caught, row_number() OVER w AS n, sum(caught) OVER w AS c FROM a WINDOW w AS (PARTITION BY sid ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    return f"""WITH a AS (SELECT l_suppkey AS sid, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag, l_shipdate, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS caught FROM {d.table('lineitem')} l),
+r AS (SELECT sid, caught, cast(row_number() OVER w AS bigint) AS n, sum(caught) OVER w AS c FROM a WINDOW w AS (PARTITION BY sid ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT sid, n, round(c / cast(n AS double), 4) AS rate, CASE WHEN n >= 20 AND c * 1.0 / n < 0.1 THEN 'retired' WHEN n >= 10 THEN 'established' ELSE 'probation' END AS status FROM r"""
 
 

@@ -15,7 +15,8 @@ plan = REGISTRY.plan
 
 def tokens(d: SparkDialect, table: str, key: str, text: str = "text") -> str:
     """CTE tok(id, pos, item): a row for each word."""
-    return f"tok AS (SELECT {key} AS id, pos, item FROM {d.rows(key, d.words(text), d.table(table))} t)"
+    source = f"(SELECT {key} AS id, {text} AS body FROM {d.table(table)} s)"
+    return f"tok AS (SELECT id, pos, item FROM {d.rows('id', d.words('body'), source + ' b')} t)"
 
 
 def grams(k: int, source: str = "tok", name: str = "grams") -> str:
@@ -92,7 +93,7 @@ clones AS (SELECT x.id AS a, y.id AS b, min(x.kind) AS clone_type FROM keyed x J
 @plan("sim_03_token_clone")
 def token_clone(d):
     """1.0 for equal token sequences, 0.9 for those equal after renaming; the first kind wins."""
-    return f"WITH {clones(d)} SELECT a, b, clone_type, CASE WHEN clone_type = 1 THEN 1.0D0 ELSE 0.9D0 END AS score FROM clones".replace("1.0D0", "cast(1.0 AS double)").replace("0.9D0", "cast(0.9 AS double)")
+    return f"WITH {clones(d)} SELECT a, b, clone_type, CASE WHEN clone_type = 1 THEN cast(1.0 AS double) ELSE cast(0.9 AS double) END AS score FROM clones"
 
 
 def weighted(features: str, dot: str, threshold: str) -> str:
@@ -146,7 +147,7 @@ nb AS (SELECT DISTINCT id, {d.sha("body || chr(10) || p || chr(10) || head || ch
 
 @plan("fn_10_neighbourhood_hashes")
 def neighbourhood_hashes(d):
-    return f"WITH {neighbourhoods(d).replace('conv_id * 1000 + turn AS id', 'conv_id * 1000 + turn AS id')} SELECT id, count(*) AS n_hashes, min(f) AS least FROM nb GROUP BY id".replace("(SELECT conv_id * 1000 + turn, pos, item FROM (SELECT conv_id * 1000 + turn,", "(SELECT conv_id * 1000 + turn, pos, item FROM (SELECT conv_id * 1000 + turn,")
+    return f"WITH {neighbourhoods(d)} SELECT id, count(*) AS n_hashes, min(f) AS least FROM nb GROUP BY id"
 
 
 @plan("sim_10_neighbourhood")

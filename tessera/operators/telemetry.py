@@ -121,7 +121,7 @@ def convergence_yield(d):
 
 def passes(d: SparkDialect) -> str:
     """CTE pass(grp, id, rn, d0..d3, verdict): review passes of a group; four dimensions of 1 to 5."""
-    return f"pass AS (SELECT l_orderkey AS grp, l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn, 1 + l_linenumber % 5 AS d0, 1 + l_partkey % 5 AS d1, 1 + l_suppkey % 5 AS d2, 1 + cast(l_quantity AS bigint) % 5 AS d3, l_returnflag AS verdict FROM {d.table('lineitem')} l)"
+    return f"pass AS (SELECT l_orderkey AS grp, l_linenumber AS id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS bigint) AS rn, 1 + l_linenumber % 5 AS d0, 1 + l_partkey % 5 AS d1, 1 + l_suppkey % 5 AS d2, 1 + cast(l_quantity AS bigint) % 5 AS d3, l_returnflag AS verdict FROM {d.table('lineitem')} l)"
 
 
 _DIST = "sqrt(cast(pow(x.d0 - y.d0, 2) + pow(x.d1 - y.d1, 2) + pow(x.d2 - y.d2, 2) + pow(x.d3 - y.d3, 2) AS double))"
@@ -149,7 +149,7 @@ SELECT g.grp, round(coalesce(a, 1.0), 3) AS agreement, round(coalesce(1 / (1 + m
 @plan("agg_27_anchoring_drift")
 def anchoring(d):
     """Exposed passes that moved two steps or more from their blind parent toward the anchor, on any dimension."""
-    return f"""WITH {passes(d)} SELECT y.grp, round(avg(CASE WHEN (abs(x.d0 - y.d0) >= 2 AND y.d0 > x.d0) OR (abs(x.d1 - y.d1) >= 2 AND y.d1 > x.d1) THEN 1.0 ELSE 0.0 END), 4) AS drift FROM pass y LEFT JOIN pass x ON x.grp = y.grp AND x.rn = y.rn - 1 WHERE y.rn > 1 GROUP BY y.grp"""
+    return f"""WITH {passes(d)} SELECT y.grp, round(avg(CASE WHEN (abs(x.d0 - y.d0) >= 2 AND y.d0 > x.d0) OR (abs(x.d1 - y.d1) >= 2 AND y.d1 > x.d1) THEN cast(1 AS double) ELSE cast(0 AS double) END), 4) AS drift FROM pass y LEFT JOIN pass x ON x.grp = y.grp AND x.rn = y.rn - 1 WHERE y.rn > 1 GROUP BY y.grp"""
 
 
 @plan("jn_10_parent_child")
@@ -169,7 +169,7 @@ def pairs_within(d):
 
 @plan("agg_28_frequency_coverage")
 def coverage(d):
-    return f"""SELECT l_shipdate_year AS yr, round(count(CASE WHEN l_discount > 0 THEN 1 END) / cast(count(*) AS double), 4) AS coverage, count(CASE WHEN l_tax >= 0.08 AND l_discount = 0 THEN 1 END) AS unbacked, count(DISTINCT l_orderkey) AS n_ids FROM (SELECT *, year(l_shipdate) AS l_shipdate_year FROM {d.table('lineitem')} l) t GROUP BY l_shipdate_year"""
+    return f"""SELECT cast(l_shipdate_year AS bigint) AS yr, round(count(CASE WHEN l_discount > 0 THEN 1 END) / cast(count(*) AS double), 4) AS coverage, count(CASE WHEN l_tax >= 0.08 AND l_discount = 0 THEN 1 END) AS unbacked, count(DISTINCT l_orderkey) AS n_ids FROM (SELECT *, year(l_shipdate) AS l_shipdate_year FROM {d.table('lineitem')} l) t GROUP BY l_shipdate_year"""
 
 
 @plan("agg_29_escalation_advice")

@@ -33,7 +33,7 @@ SELECT o_orderkey, pos, trim({d.replace('trim(item)', '^[-*] ', '')}) AS file FR
 
 @plan("src_09_heading_blocks")
 def heading_blocks(d):
-    return f"WITH b AS (SELECT o_orderkey, {bead(d)} AS md FROM {d.table('orders')} o) SELECT o_orderkey, pos, length(item) AS n FROM {d.rows('o_orderkey', d.words('md', '(?m)^## '), 'b')} x"
+    return f"WITH b AS (SELECT o_orderkey, {bead(d)} AS md FROM {d.table('orders')} o) SELECT o_orderkey, pos, cast(length(item) AS bigint) AS n FROM {d.rows('o_orderkey', d.words('md', '(?m)^## '), 'b')} x"
 
 
 @plan("src_10_table_rows")
@@ -107,7 +107,7 @@ def enum_decimal(d):
 
 @plan("fn_28_source_smells")
 def smells(d):
-    return f"SELECT doc_id, {d.size(d.all_matches('text', 'the [a-z]+'))} AS n_the, {d.matches('text', '\\bas any\\b')} AS as_any FROM {d.table('documents')} x"
+    return f"SELECT doc_id, cast({d.size(d.all_matches('text', 'the [a-z]+'))} AS bigint) AS n_the, {d.matches('text', '\\bas any\\b')} AS as_any FROM {d.table('documents')} x"
 
 
 @plan("flt_04_boundary")
@@ -162,7 +162,7 @@ def block_fields(d):
 
 @plan("flt_12_report_sections")
 def report_sections(d):
-    return f"SELECT doc_id, {d.size(d.lines('text'))} AS n_lines, {d.size(d.lines('text'))} >= 3 AS long_enough, {d.matches('text', '(?m)^(All rights|Licensed|Released|This work)')} AS has_verdict FROM {d.table('documents')} x"
+    return f"SELECT doc_id, cast({d.size(d.lines('text'))} AS bigint) AS n_lines, {d.size(d.lines('text'))} >= 3 AS long_enough, {d.matches('text', '(?m)^(All rights|Licensed|Released|This work)')} AS has_verdict FROM {d.table('documents')} x"
 
 
 @plan("flt_13_suppression_score")

@@ -55,7 +55,7 @@ class SparkDialect:
 
     def rows(self, keep: str, array: str, source: str, where: str = "true") -> str:
         """keep, pos (from 0), item: one row for each element."""
-        return f"(SELECT {keep}, pos, item FROM (SELECT {keep}, posexplode({array}) AS (pos, item) FROM {source} WHERE {where}))"
+        return f"(SELECT {keep}, cast(pos AS bigint) AS pos, item FROM (SELECT {keep}, posexplode({array}) AS (pos, item) FROM {source} WHERE {where}))"
 
     def json(self, x: str, path: str) -> str:
         return f"get_json_object({x}, '{path}')"
