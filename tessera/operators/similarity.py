@@ -137,7 +137,7 @@ w AS (SELECT id, g AS f, cast(count(*) AS double) AS x FROM (SELECT * FROM g2 UN
 def neighbourhoods(d) -> str:
     """CTE nb(id, f): each sentence-like block hashed with the first words of its neighbours."""
     edge = d.matches("item", "[.?!,;:]$")
-    return f"""{tokens(d, 'conversations', 'conv_id * 1000 + turn')},
+    return f"""{tokens(d, 'documents', 'doc_id')},
 cut AS (SELECT id, pos, item, coalesce(sum(CASE WHEN {edge} THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM tok),
 blocks AS (SELECT id, block, {d.joined('item', 'pos')} AS body, min(pos) AS at FROM cut GROUP BY id, block),
 firsts AS (SELECT b.id, b.block, b.body, c.item AS head FROM blocks b JOIN cut c ON b.id = c.id AND b.at = c.pos),
