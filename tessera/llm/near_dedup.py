@@ -8,9 +8,11 @@
 4. Within a bucket, members first meet two leaders drawn by the bucket's key; the Jaccard estimate is corrected for
    register collisions; each document's best pair is verified on full sets, then, in rounds, the best untested pair of
    every two components that meet; verified links make components.
-5. Buckets that still hold more than one component then yield every pair across components that passes the
-   corrected estimate, at its first shared band only, and these are verified too.  So every candidate pair that could
-   change a component is tested, while pairs inside a component, the bulk in a large group, are never made.
+5. Buckets that still hold more than one component are open.  Between components below ``BIG`` documents, every pair
+   that passes the estimate, at its first shared band only, is verified.  A component that meets a big one is compared
+   with all of it on full sets, block against block inside a task, and only the fact of a link comes out.  So every
+   candidate pair that could change a component is tested, while pairs inside a component, the bulk in a large group,
+   are never made, and a large group costs rows in proportion to its blocks.
 
 A pair at similarity 0.8 misses every band with probability (1 - 0.8**5)**40 = 1.2e-7 and falls below the
 estimate's bound (0.66, five standard deviations) with about 3e-7.
@@ -39,6 +41,8 @@ MANTISSA = 10
 BOUND = 0.66
 #: Shingles per block when the permutations are applied.
 _BLOCK = 512
+#: Documents from which on a component is compared in blocks, and documents a block.
+BIG, LEFT_BLOCK, RIGHT_BLOCK = 48, 64, 256
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +94,55 @@ def intersection(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.int64())
 
 
+def _linked(percent: int):
+    """(components, their documents' sets, the sets of a block) -> the components with a link into the block."""
+
+    def run(names: pa.Array, sets: pa.Array, block: pa.Array) -> pa.Array:
+        out = []
+        for own, left, right in zip(names.to_pylist(), sets.to_pylist(), block.to_pylist()):
+            rights = [np.frombuffer(x, dtype=np.uint64) for x in right]
+            sizes = np.array([len(x) for x in rights], dtype=np.int64)
+            owner = np.repeat(np.arange(len(rights)), sizes)
+            flat = np.concatenate(rights)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            found = set()
+            for name, packed in zip(own, left):
+                if name in found:
+                    continue
+                mine = np.frombuffer(packed, dtype=np.uint64)
+                a, b = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                span = b - a
+                at = np.repeat(a - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+                common = np.bincount(owner[at], minlength=len(rights))
+                if (100 * common >= percent * (len(mine) + sizes - common)).any():
+                    found.add(name)
+            out.append(sorted(found))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    run.__annotations__ = {"names": pa.Array, "sets": pa.Array, "block": pa.Array, "return": pa.Array}
+    return run
+
+
+def _big_links(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that link to a big one with which they share an open bucket."""
+    at = placed.select("key", "component", "size").distinct()
+    big = at.where(F.col("size") >= BIG).select("key", F.col("component").alias("big"), F.col("size").alias("big_size"))
+    meets = at.join(big, "key").where((F.col("component") != F.col("big")) & ((F.col("size") < BIG) | (F.col("component") < F.col("big")))).select("component", "big", "big_size").distinct()
+    where = placed.select("doc", "component").distinct().join(sets, "doc")
+    blocks = F.ceil(F.col("big_size") / RIGHT_BLOCK).cast("int")
+    right = where.join(meets.select(F.col("big").alias("component"), "big_size").distinct(), "component").withColumn("block", F.pmod(F.xxhash64("doc"), blocks))
+    right = right.groupBy(F.col("component").alias("big"), "block").agg(F.collect_list("set").alias("right"))
+    left = where.join(meets.join(sizes.select("component", "size"), "component"), "component")
+    queries = meets.join(sizes.select("component", "size"), "component").groupBy("big").agg(F.sum("size").alias("queries"))
+    left = left.join(queries, "big").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.ceil(F.col("queries") / LEFT_BLOCK).cast("int")))
+    left = left.groupBy("big", "big_size", "part").agg(F.collect_list(F.struct("component", "set")).alias("l"))
+    left = left.select("big", F.col("l.component").alias("names"), F.col("l.set").alias("left"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).withColumn("block", F.col("block").cast("bigint"))
+    met = left.join(right.withColumn("block", F.col("block").cast("bigint")), ["big", "block"])
+    linked = met.select("big", F.arrow_udf(_linked(percent), "array<bigint>")("names", "left", "right").alias("linked"))
+    return linked.select(F.explode("linked").alias("a"), F.col("big").alias("b")).distinct()
+
+
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -137,7 +190,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.expr(f"100 * common >= {percent} * (octet_length(sa) div 8 + octet_length(sb) div 8 - common)")).select("a", "b")
 
 
-def _contract(scored: DataFrame, best: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+def _contract(scored: DataFrame, best: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """Components by verified pairs of ``scored``: first each document's best, then in each further round the best
     untested pair of every two components that still meet.  What is left over is a matter for the last step."""
     edges = materialise(_verify(best, sets, percent), "near-edges")
@@ -186,8 +239,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
     placed = members.select("key", "band", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = materialise(placed, "near-placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    sizes = placed.select("doc", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = materialise(placed.join(open_keys, "key", "left_semi").join(sizes, "component"), "near-open")
+    sizes = placed.select("component", "size").distinct()
     regs = sketches.mapInArrow(_unpack, "doc bigint, regs array<smallint>")
-    rest = placed.join(open_keys, "key", "left_semi").join(regs, "doc")
+    rest = placed.where(F.col("size") < BIG).join(regs, "doc")
     left, right = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "doc", "component", "regs")]) for s in "ab")
     across = left.join(right, "key").where(F.expr(f"""component_a < component_b
         AND aggregate(zip_with(regs_a, regs_b, (x, y) -> x = y), 0, (n, e) -> n + int(e)) >= {int(BOUND * BUCKETS)}
@@ -195,6 +251,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
     across = materialise(across.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "component_a", "component_b"), "near-across")
     confirmed = _verify(across.select("a", "b"), sets, percent)
     joined = across.join(confirmed, ["a", "b"], "left_semi").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    joined = materialise(joined.unionByName(_big_links(placed, sizes, sets, percent)), "near-joined")
     second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("root"))
     final = first.join(second, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     lone = second.join(first.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
