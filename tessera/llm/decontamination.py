@@ -3,7 +3,8 @@
 Passages are windows of a document's words, twice ``stride`` long and ``stride`` apart, where ``stride`` is at least
 the longest item, so that some passage holds any item whole.  Postings hold BM25 weights divided by the item's score
 for itself, so one threshold serves all items.  Of every passage all items at or above the threshold are retrieved,
-then verified: the passage must hold enough of the question's word triples and of the answer's words.
+then verified: the passage must hold enough of the question's word triples and of the answer's words, or enough of the
+item's triples as a whole, so that an item without its last sentence is found too.
 
 The search skips what cannot reach the threshold, never what can: words are split into common and essential ones so
 that no item reaches half the threshold on common words alone; a passage whose essential words' greatest weights sum
@@ -33,7 +34,7 @@ from tessera.llm.common import slices
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
-QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.5
+QUESTION_OVERLAP, ANSWER_OVERLAP, ITEM_OVERLAP = 0.5, 0.5, 0.6
 MIN_STRIDE = 32
 BLOCK = 16
 MAX_INDEX_BYTES = 8 << 20
@@ -61,14 +62,15 @@ def triples(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def overlaps(passage: list[str], question: list[str], answer: list[str]) -> tuple[float, float]:
-    """(share of the question's triples, share of the answer's words) that the passage has; an empty part is had."""
+def overlaps(passage: list[str], question: list[str], answer: list[str]) -> tuple[float, float, float]:
+    """Shares of the question's triples, the answer's words and the item's triples that the passage has; an empty part is had."""
     want = triples(question)
     n = min(3, len(question))
     have = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)} if n else set()
     q = len(want & have) / len(want) if want else 1.0
     a = set(answer)
-    return q, (len(a & set(passage)) / len(a) if a else 1.0)
+    both = triples(question + answer)
+    return q, (len(a & set(passage)) / len(a) if a else 1.0), len(both & triples(passage)) / len(both) if len(passage) > 2 and both else 0.0
 
 
 class Index:
@@ -181,8 +183,8 @@ class Index:
             passage = None
             for number, score in self.search(own.tolist()):
                 passage = passage or words[starts[k] : ends[k]]
-                q, a = overlaps(passage, *self.parts[number])
-                if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
+                q, a, both = overlaps(passage, *self.parts[number])
+                if (q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP) or both >= ITEM_OVERLAP:
                     found = (round(score, 6), q, a, -int(starts[k]))
                     if number not in best or found > best[number]:
                         best[number] = found
