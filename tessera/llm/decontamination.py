@@ -8,8 +8,8 @@ item's triples as a whole, so that an item without its last sentence is found to
 
 The search skips what cannot reach the threshold, never what can: words are split into common and essential ones so
 that no item reaches half the threshold on common words alone; a passage whose essential words' greatest weights sum
-below the other half is passed over (a vectorised bound for all passages of a text); the rest go through WAND with
-per-block maxima.
+below the other half, or whose words' block maxima stay below the threshold in every block of items, is passed over
+(bounds for all passages of a batch at once); the rest go through WAND with per-block maxima.
 
 The index is broadcast only below ``MAX_INDEX_BYTES`` of item text; beyond that the items are split by hash into
 shards below it, with corpus-wide document frequencies, and every document is searched against each shard.
@@ -37,6 +37,7 @@ THRESHOLD = 0.5
 QUESTION_OVERLAP, ANSWER_OVERLAP, ITEM_OVERLAP = 0.5, 0.5, 0.6
 MIN_STRIDE = 32
 BLOCK = 16
+ITEM_BLOCK = 2
 MAX_INDEX_BYTES = 8 << 20
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.?!]\s+|\n")
@@ -109,6 +110,7 @@ class Index:
                 gathered[self.items[k]] = after
                 essential[k] = False
         self.essential_most = np.where(essential, self.most, 0.0)
+        self._block_bounds()
 
     def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All (item number, score) with score >= threshold for a set of terms: WAND with block maxima."""
@@ -164,31 +166,75 @@ class Index:
                 c[0] = self.items[c[2]][c[1]] if c[1] < len(self.items[c[2]]) else -1
         cursors[:] = [c for c in cursors if c[0] >= 0]
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
-        """(item_id, score, question overlap, answer overlap, first word of the passage): the best passage per item."""
-        words = words_of(text)
-        if not words or not self.ids:
+    def _block_bounds(self) -> None:
+        """Per term the greatest weight in each block of ``ITEM_BLOCK`` consecutive items, as runs of (block, weight)."""
+        blocks, weights, at = [], [], [0]
+        for own, values in zip(self.items, self.weights):
+            most: dict[int, float] = {}
+            for k, w in zip(own, values):
+                most[k // ITEM_BLOCK] = max(w, most.get(k // ITEM_BLOCK, 0.0))
+            blocks.extend(most)
+            weights.extend(most.values())
+            at.append(len(blocks))
+        self.bound_block, self.bound_weight, self.bound_at = np.array(blocks, dtype=np.int64), np.array(weights), np.array(at, dtype=np.int64)
+        self.n_blocks = len(self.ids) // ITEM_BLOCK + 1
+
+    def open_passages(self, texts: list[list[str]]) -> list[tuple[int, int, np.ndarray]]:
+        """(text number, first word, distinct terms) of the passages that could reach the threshold, of all texts at once.
+
+        A passage stays if its essential words' greatest weights reach half the threshold and, for some block of items,
+        the block maxima of its words reach the threshold.
+        """
+        none, stride = len(self.terms), self.stride
+        known = self.terms
+        lengths = np.array([len(w) for w in texts], dtype=np.int64)
+        flat = np.fromiter((known.get(w, none) for words in texts for w in words), dtype=np.int64, count=int(lengths.sum()))
+        counts = np.maximum(1, -(-(lengths - stride) // stride))
+        base = np.cumsum(counts) - counts
+        place = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // stride
+        held = flat < none
+        flat, place = flat[held], place[held]
+        first, most = np.repeat(base, lengths)[held], np.repeat(counts, lengths)[held]
+        here, before = place < most, place >= 1
+        pair = np.unique(np.concatenate(((first + place)[here] * none + flat[here], (first + place - 1)[before] * none + flat[before])))
+        passage, term = pair // none, pair % none
+        if not len(pair):
             return []
-        none = len(self.terms)
-        terms = np.fromiter((self.terms.get(w, none) for w in words), dtype=np.int64, count=len(words))
-        total = np.concatenate(([0.0], np.cumsum(self.essential_most[terms])))
-        starts = np.arange(0, max(1, len(words) - self.stride), self.stride)
-        ends = np.minimum(starts + 2 * self.stride, len(words))
-        best: dict[int, tuple] = {}
-        for k in np.flatnonzero(total[ends] - total[starts] >= THRESHOLD / 2 - 1e-9):
-            own = np.unique(terms[starts[k] : ends[k]])
-            own = own[own < none]
-            if self.most[own].sum() < THRESHOLD - 1e-9:
-                continue
-            passage = None
-            for number, score in self.search(own.tolist()):
-                passage = passage or words[starts[k] : ends[k]]
-                q, a, both = overlaps(passage, *self.parts[number])
-                if (q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP) or both >= ITEM_OVERLAP:
-                    found = (round(score, 6), q, a, -int(starts[k]))
-                    if number not in best or found > best[number]:
-                        best[number] = found
-        return [(self.ids[k], s, q, a, -at) for k, (s, q, a, at) in sorted(best.items())]
+        bound = np.bincount(passage, weights=self.essential_most[term])
+        stay = bound[passage] >= THRESHOLD / 2 - 1e-9
+        passage, term = passage[stay], term[stay]
+        out = []
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(passage)) + 1, [len(passage)])) if len(passage) else np.zeros(1, dtype=np.int64)
+        for a in range(0, len(edges) - 1, 512):
+            own = edges[a : a + 513]
+            part, number = term[own[0] : own[-1]], np.repeat(np.arange(len(own) - 1), np.diff(own))
+            span = self.bound_at[part + 1] - self.bound_at[part]
+            at = np.repeat(self.bound_at[part] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+            sums = np.bincount(np.repeat(number, span) * self.n_blocks + self.bound_block[at], weights=self.bound_weight[at], minlength=(len(own) - 1) * self.n_blocks)
+            for k in np.flatnonzero((sums.reshape(-1, self.n_blocks) >= THRESHOLD - 1e-9).any(axis=1)):
+                which = int(passage[own[k]])
+                text = int(np.searchsorted(base, which, side="right")) - 1
+                out.append((text, (which - int(base[text])) * stride, term[own[k] : own[k + 1]]))
+        return out
+
+    def matches_of(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float, int]]]:
+        """Per text (item_id, score, question overlap, answer overlap, first word of the passage): the best passage per item."""
+        words = [words_of(t) for t in texts]
+        best: list[dict[int, tuple]] = [{} for _ in texts]
+        if self.ids:
+            for text, start, own in self.open_passages(words):
+                passage = None
+                for number, score in self.search(own.tolist()):
+                    passage = passage or words[text][start : start + 2 * self.stride]
+                    q, a, both = overlaps(passage, *self.parts[number])
+                    if (q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP) or both >= ITEM_OVERLAP:
+                        found = (round(score, 6), q, a, -start)
+                        if number not in best[text] or found > best[text][number]:
+                            best[text][number] = found
+        return [[(self.ids[k], s, q, a, -at) for k, (s, q, a, at) in sorted(found.items())] for found in best]
+
+    def matches(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
+        return self.matches_of([text])[0]
 
 
 _SCHEMA = "doc bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
@@ -198,7 +244,7 @@ def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for batch in slices(batches):
-            rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in found.matches(text)]
+            rows = [(doc, *m) for doc, own in zip(batch.column(0).to_pylist(), found.matches_of(batch.column(1).to_pylist())) for m in own]
             if rows:
                 names = [c.split()[0] for c in _SCHEMA.split(", ")]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
@@ -252,7 +298,8 @@ def filter_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> D
         @F.arrow_udf("boolean")
         def clean(texts: pa.Array) -> pa.Array:
             found = held.value
-            return pa.array([not found.matches(t) for t in texts.to_pylist()], pa.bool_())
+            cut = pa.RecordBatch.from_arrays([texts], names=["text"])
+            return pa.array([not own for part in slices([cut]) for own in found.matches_of(part.column(0).to_pylist())], pa.bool_())
 
         out = out.where(clean(F.col(f"`{text}`")))
     return out
