@@ -51,7 +51,11 @@ aggregate(_q_repeated, named_struct('last', -3, 'n', 0L),
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts and ``rules``, an array of failures in the order of ``RULES``, to each row."""
+    """Adds the counts and ``rules``, an array of failures in the order of ``RULES``, to each row.
+
+    ``_q_row`` keeps the optimizer from pushing a filter that uses it below the counts, where the arrays would be built
+    again for each of their elements.
+    """
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in _OWN]
     body = f"coalesce(`{text}`, '')"
     first = docs.select(*keep, *_measures(body))
@@ -65,6 +69,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr("cast(size(_q_lines) - size(array_distinct(_q_lines)) AS bigint)").alias("n_dup_lines"),
         F.expr("cast(size(_q_lines) AS bigint)").alias("n_text_lines"),
         F.expr(_COVERED).alias("n_repeat_words"),
+        F.monotonically_increasing_id().alias("_q_row"),
     )
     return counted.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")).withColumn(
         "rules",
@@ -118,7 +123,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
         measured = materialise(measured.drop(text), "quality-measures")
     verdicts = host_verdicts(measured, host, max_rate).select(F.col("host").alias("_q_host"), F.col("host_rejected").alias("_q_rejected"))
     out = measured.join(verdicts, F.col(host) == F.col("_q_host"), "left")
-    return out.withColumn("host_rejected", F.coalesce("_q_rejected", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_q_host", "_q_rejected")
+    return out.withColumn("host_rejected", F.coalesce("_q_rejected", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_q_host", "_q_rejected", "_q_row")
 
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -126,6 +131,6 @@ def filter_documents(docs: DataFrame, text: str = "text", host: str = "source",
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(f"`{host}`").alias("_q_source"), F.col(f"`{text}`").alias("_q_text"))
     narrow = measure(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("source"))).select("source", "rules")
     verdicts = host_verdicts(narrow, "source", max_rate).where("host_rejected").select(F.col("host").alias("_q_host"))
-    passed = measure(inner, "_q_text").where(~F.col("base_failed"))
+    passed = measure(inner, "_q_text").where(~F.col("base_failed") & (F.col("_q_row") >= 0))
     passed = passed.join(verdicts, F.col("_q_source") == F.col("_q_host"), "left_anti")
     return passed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
