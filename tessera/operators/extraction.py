@@ -42,7 +42,7 @@ def body_hash(d):
 @plan("jn_01_theta_rewritten")
 def theta(d):
     """A nested-loop join with a score that needs overlap, as an equi-join on the shared elements."""
-    return f"WITH {tokens(d, 'benchmark', 'item_id')}, f AS (SELECT DISTINCT id, item AS f FROM tok), {overlap('f', JACCARD, '10 * c >= 2 * (na + nb - c)')}"
+    return f"WITH {tokens(d, 'benchmark', 'item_id')}, f AS (SELECT DISTINCT id, item AS f FROM tok), {overlap('f', JACCARD, '20 * c >= na + nb - c')}"
 
 
 @plan("jn_04_screen")
