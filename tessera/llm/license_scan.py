@@ -1,9 +1,15 @@
 """Licence scan: sparse TF-IDF cosine to licence statements, then inheritance from the nearest ancestor directory.
 
-Every line of a text, and every run of lines between blank ones (at most ``MAX_BLOCK_LINES`` long; overlapping runs
-cover longer ones), is a candidate statement.  Its vector holds the words that some template has, by idf over the
-templates, and all other words at the greatest idf; only candidates with a telling word are scored.  A file's own
-licence is the template of the greatest cosine of at least ``THRESHOLD``; ties go to the name that sorts first.
+Every line of a text, every run of lines between blank ones (at most ``MAX_BLOCK_LINES`` long; overlapping runs
+cover longer ones), every sentence, and every run of words as long as some template (wherever it begins, over line ends,
+too) is a candidate statement.  Its vector holds the words that some template has, by idf over the templates, and all
+other words at the greatest idf; only candidates with a telling word are scored.  A file's own licence is the template of
+the greatest cosine of at least ``THRESHOLD``; ties go to the name that sorts first.
+
+Sentences and runs stand in prose, where "mit" may be German and "all rights to" no notice.  So a word counts in their
+product no oftener than the template has it, and they must share ``SENTENCE_WORDS`` or ``RUN_WORDS`` different words with
+it (all, if it has fewer).  Runs are first bounded from above, all at once, and scored only where the bound reaches the
+best so far, so none that could win is passed over.
 
 A file named like a licence file and with a licence of its own speaks for its directory.  Directories find their nearest
 ancestor that is spoken for (a join on paths, one row per directory and ancestor), and files without a licence of
@@ -20,8 +26,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +37,7 @@ from tessera.llm.common import materialise, slices
 
 THRESHOLD = 0.55
 MAX_BLOCK_LINES = 30
+SENTENCE_WORDS, RUN_WORDS = 2, 3
 #: How licences are stated in headers and notices, by SPDX identifier or a class of our own.
 TEMPLATES = (
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
@@ -60,6 +68,7 @@ TEMPLATES = (
 #: Words of which a licence statement has one at least.
 TELLING = frozenset("license licence licensed licenced copyright rights permission redistribution redistribute unencumbered mit apache gpl bsd cc0 waived".split())
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
 _LICENSE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|copyright|notice)([.-][^/]*)?$"
 
 
@@ -77,6 +86,17 @@ class Templates:
             norm = math.sqrt(sum((c * self.idf[w]) ** 2 for w, c in bag.items()))
             for w, c in bag.items():
                 self.by_word.setdefault(w, []).append((k, c * self.idf[w] / norm))
+        self.bags = bags
+        self.least = np.array([min(RUN_WORDS, len(b)) for b in bags])
+        self.lengths = sorted({b.total() for b in bags})
+        known = [*self.by_word, *sorted(TELLING - self.by_word.keys())]
+        self.number = {w: k for k, w in enumerate(known)}
+        self.square = np.array([self.idf.get(w, self.unknown) ** 2 for w in [*known, ""]])
+        self.telling = np.array([w in TELLING for w in [*known, ""]])
+        self.part = np.zeros((len(known) + 1, len(bags)))
+        for w, own in self.by_word.items():
+            for k, t in own:
+                self.part[self.number[w], k] = self.idf[w] * t
 
     def best(self, words: list[str]) -> tuple[float, str]:
         """(cosine, name) of the nearest template."""
@@ -93,6 +113,46 @@ class Templates:
         score, name = min((-d, self.names[k]) for k, d in dots.items())
         return -score / math.sqrt(norm), name
 
+    def best_in_prose(self, words: Sequence[str], least: int) -> tuple[float, str]:
+        """As ``best``; repeats beyond the template's own do not add, and ``least`` different words must be shared."""
+        bag = Counter(words)
+        dots: dict[int, float] = {}
+        shared: Counter = Counter()
+        norm = 0.0
+        for w, c in bag.items():
+            idf = self.idf.get(w, self.unknown)
+            norm += (c * idf) ** 2
+            for k, t in self.by_word.get(w, ()):
+                dots[k] = dots.get(k, 0.0) + min(c, self.bags[k][w]) * idf * t
+                shared[k] += 1
+        score, name = min(((-d, self.names[k]) for k, d in dots.items() if shared[k] >= min(least, len(self.bags[k]))), default=(0.0, ""))
+        return (-score / math.sqrt(norm), name) if name else (0.0, "")
+
+    def best_run(self, words: list[str], best: tuple[float, str]) -> tuple[float, str]:
+        """The least of ``best`` and (-cosine, name) of all runs of a template's length with a telling word."""
+        n = len(words)
+        ids = np.fromiter((self.number.get(w, len(self.number)) for w in words), dtype=np.int64, count=n)
+        sums = [np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x[ids], axis=0))) for x in (self.part, self.square, self.telling, self.part > 0)]
+        bounds, starts, ends = [], [], []
+        for length in sorted({min(n, x) for x in self.lengths}):
+            dots, norms, told, held = (x[length:] - x[:-length] for x in sums)
+            # repeats add more to a norm than their squares and count as words held, so this is never below the cosine
+            bound = np.where(held >= self.least, dots, 0.0).max(axis=1) / np.sqrt(norms)
+            at = np.flatnonzero((told > 0) & (bound >= max(-best[0] - 1e-9, 1e-9)))
+            bounds.append(bound[at])
+            starts.append(at)
+            ends.append(at + length)
+        bound, start, end = (np.concatenate(x) for x in (bounds, starts, ends))
+        seen: set[tuple[str, ...]] = set()
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < -best[0] - 1e-9:
+                break
+            run = tuple(words[start[k] : end[k]])
+            if run not in seen:
+                seen.add(run)
+                best = min(best, _flip(self.best_in_prose(run, RUN_WORDS)))
+        return best
+
     def of_text(self, text: str | None, threshold: float = THRESHOLD) -> tuple[str | None, float]:
         """(licence, cosine) of a whole text; (None, greatest cosine) below the threshold."""
         if not text or _TELLING.search(text) is None:
@@ -112,6 +172,12 @@ class Templates:
                         if b - a > 1 and any(told[a:b]):
                             best = min(best, _flip(self.best([w for line in lines[a:b] for w in line])))
                     start = end + 1
+            for sentence in _SENTENCE_END.split(text):
+                if _TELLING.search(sentence) is not None:
+                    words = _WORD.findall(sentence.lower())
+                    if not TELLING.isdisjoint(words):
+                        best = min(best, _flip(self.best_in_prose(words, SENTENCE_WORDS)))
+            best = self.best_run([w for line in lines for w in line], best)
         score = round(-best[0], 6)
         return (best[1], score) if score >= threshold else (None, score)
 

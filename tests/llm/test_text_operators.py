@@ -309,3 +309,52 @@ def test_licenses(spark):
     got = {r["file"]: (r["license"], r["license_from"]) for r in license_scan.scan(files).collect()}
     assert got == {1: ("MIT", "own"), 2: ("GPL-3.0", "dir:a/b"), 3: ("Apache-2.0", "own"), 4: (None, "none"), 5: (None, "none"), 6: ("GPL-3.0", "own"), 7: (None, "none")}
     assert license_scan.scan(files.where("file < 0")).collect() == []
+
+
+def test_license_notices_inside_lines_and_paragraphs():
+    """Against all runs of words of a template's length, each scored by itself."""
+    templates = license_scan.Templates()
+    words_of = license_scan._WORD.findall
+    lengths = {len(words_of(t.lower())) for _, t in license_scan.TEMPLATES}
+
+    def alone(run: list[str]) -> tuple[float, str]:
+        found = [(0.0, "")]
+        norm = sum((run.count(w) * templates.idf.get(w, templates.unknown)) ** 2 for w in set(run)) ** 0.5
+        for name, body in license_scan.TEMPLATES:
+            own = words_of(body.lower())
+            both = set(run) & set(own)
+            if len(both) >= min(3, len(set(own))):
+                size = sum((own.count(w) * templates.idf[w]) ** 2 for w in set(own)) ** 0.5
+                found.append((sum(min(run.count(w), own.count(w)) * own.count(w) * templates.idf[w] ** 2 for w in both) / norm / size, name))
+        return min(found, key=lambda f: (-f[0], f[1]))
+
+    def brute(text: str) -> tuple[float, str]:
+        words = words_of(text.lower())
+        runs = [words[a : a + n] for n in {min(n, len(words)) for n in lengths} for a in range(len(words) - n + 1)]
+        return min(((-s, name) for s, name in (alone(r) for r in runs if not license_scan.TELLING.isdisjoint(r))), default=(0.0, ""))
+
+    rng = random.Random(4)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    header = dict(license_scan.TEMPLATES[::-1])["Apache-2.0"].split()
+    wrapped = "\n".join("# " + " ".join(header[k : k + 8]) for k in range(0, len(header), 8))
+    texts = {
+        "Copyright 2024 Example Software Foundation Inc. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Posted by Jane Doe on Monday. Released under the MIT License. Comments welcome.": "MIT",
+        "Copyright (c) 2021 Jane Doe and the Example contributors. All rights reserved.": "proprietary",
+        f"{noise(30)} released under the MIT license {noise(30)}": "MIT",
+        wrapped + "\n" + "\n".join(noise(6) for _ in range(26)): "Apache-2.0",
+        f"{noise(40)} mit {noise(40)} limit": None,
+        f"{noise(20)} mit mit der {noise(20)}. Mit. {noise(20)}": None,
+        f"{noise(20)} gave up all rights to the house {noise(20)}": None,
+        "license " * 60 + noise(9): None,
+    }
+    for _, t in license_scan.TEMPLATES:
+        body = t.split()
+        body[rng.randrange(len(body))] = "changed"
+        texts[f"{noise(rng.randint(0, 40))} {' '.join(body)} {noise(rng.randint(1, 40))} all rights"] = ""
+    for text, want in texts.items():
+        name, score = templates.of_text(text)
+        least, nearest = brute(text)
+        assert score >= round(-least, 6) and (want == "" or name == want), text
+        if round(-least, 6) == score and score >= license_scan.THRESHOLD:
+            assert name == nearest
