@@ -51,38 +51,57 @@ BAD_WORDS = frozenset(
     newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar toolbar header share sharing social related
     recommended widget pagination pager tags byline skip disclaimer""".split()
 )
+#: Words that say nothing of what a box holds: "comment-list" is a class of comments, "related-work" is not one of boilerplate.
+BOX_WORDS = frozenset("area bar block body box buttons container content inner items link links list outer posts section thread wrap wrapper".split())
 COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion reader".split())
 GOOD_WORDS = frozenset("article content main post entry story body text".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?![\w:-])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>|<({RAW_TAGS})(?![\w:-])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _NAME_PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 _NONE, _GOOD, _BAD, _COMMENT = 0, 1, 2, 3
 
 
-def region(tag: str, attributes: str) -> int:
-    """What an element says about the blocks inside it."""
+def _of_one_kind(values: str, kind: frozenset[str]) -> bool:
+    """Whether one of the names, as a whole, is of a kind: it has a word of it and else only such words and box words."""
+    for value in values.split():
+        parts = set(_NAME_PART.findall(value))
+        if parts & kind and parts <= kind | BOX_WORDS:
+            return True
+    return False
+
+
+def region(tag: str, attributes: str, above: int = _NONE) -> int:
+    """What an element says about the blocks inside it.
+
+    Elsewhere any word of a class or id counts; in an article an id is only an anchor ("side-effects"), and a class counts
+    as a whole; of an article itself classes and ids count as wholes.
+    """
     names: set[str] = set()
-    role = ""
+    role = whole = ""
+    strict = above == _GOOD or tag in ("article", "main")
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 names.update(_NAME_PART.findall(value))
+                if key == "class" or above != _GOOD:
+                    whole += f" {value}"
             elif key == "role":
                 role = value
             elif key == "itemprop" and value == "articlebody":
                 names.add("article")
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                 return _BAD
-    if names & COMMENT_WORDS:
+    named = tag not in ("body", "html")
+    if named and (_of_one_kind(whole, COMMENT_WORDS) if strict else names & COMMENT_WORDS):
         return _COMMENT
     if tag in BAD_TAGS or role in BAD_ROLES:
         return _BAD
     if tag in ("article", "main") or role in ("main", "article"):
         return _GOOD
-    if names & BAD_WORDS and tag not in ("body", "html"):
+    if named and (_of_one_kind(whole, BAD_WORDS) if strict else names & BAD_WORDS):
         return _BAD
     if tag == "header":
         return _BAD
@@ -164,8 +183,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
                 same = ("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag[0] in "ph" else (tag, "p")
                 while len(stack) > 1 and (stack[-1][0] in same or stack[-1][0] not in BLOCK_TAGS):
                     stack.pop()
-            own = region(tag, m[4] or "")
             above = stack[-1][1]
+            own = region(tag, m[4] or "", above)
             if above == _COMMENT:
                 label = _COMMENT
             elif own == _NONE:
@@ -180,8 +199,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
                 stack.append((tag, label))
             block = flush(label, tag)
         elif tag not in VOID_TAGS and not (m[4] or "").endswith("/"):
-            own = region(tag, m[4] or "") if m[4] else _NONE
             above = stack[-1][1]
+            own = region(tag, m[4] or "", above) if m[4] else _NONE
             label = own if own in (_BAD, _COMMENT) and above != _COMMENT else above
             stack.append((tag, label))
             if label != above:

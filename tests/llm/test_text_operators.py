@@ -358,3 +358,21 @@ def test_license_notices_inside_lines_and_paragraphs():
         assert score >= round(-least, 6) and (want == "" or name == want), text
         if round(-least, 6) == score and score >= license_scan.THRESHOLD:
             assert name == nearest
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article style="overflow:hidden"><p>One</p></article>', "One"),
+        ('<article data-hidden="false" title="hidden class=ad gems"><p>One</p></article>', "One"),
+        ("<article><p>One</p><p hidden>Two</p><p HIDDEN=''>Three</p><p aria-hidden=true>Four</p></article>", "One"),
+        ('<article><p>One</p><svg viewBox="0 0 1 1"/><p>Two</p><math /><p>Three</p></article>', "One\nTwo\nThree"),
+        ("<article><p>One</p><svg><path d='M0'/><text>no</text></svg><p>Two</p><svg-icon name='x'></svg-icon><p>Three</p></article>", "One\nTwo\nThree"),
+        ('<article><h2 id="side-effects">One</h2><section id="related-work"><p>Two</p></section><section id="reader-comments-policy"><p>Three</p></section></article>', "One\nTwo\nThree"),
+        ('<article><p>One</p><div class="x related-work">Two</div><div class="cookie-notice">no</div><div class="x related-posts">no</div><ul class="comment-list"><li>no</ul><aside>no</aside><div role="search">no</div></article>', "One\nTwo"),
+        ('<body class="single comments-open"><article class="post comments-open"><p>One</p></article><div id="comments"><article class="comment-body"><p>no</p></article></div>', "One"),
+        ('<main><p>One</p></main><article id="comment-5"><p>no</p></article><div id="site-footer-links">no</div>', "One"),
+    ],
+)
+def test_ordinary_markup_keeps_the_article(page, want):
+    assert html_extraction.extract(page) == want
