@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags.  First pass: a block in a region that is boilerplate by tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, comments) is bad; one in the page's article is good;
-any other is judged by link density, length and stop-word density as good, bad, near-good or short.  Second pass:
+any other is judged by link density, length and stop-word density as good, bad, near-good or short.  Few stop words alone
+make no block bad (code, tables and names have few), and on a page whose text is in no language of ``STOP_WORDS`` they say
+nothing: length decides there, ideographs counting as words.  Second pass:
 short and near-good blocks inherit from the nearest decided neighbours: good if both are good, bad if both are bad;
 between a good and a bad one a near-good block is good and a short one bad; with no decided neighbour a near-good block
 is good.
@@ -28,7 +30,7 @@ from tessera.llm.common import slices
 
 MAX_LINK_DENSITY = 0.33
 SHORT_CHARS, LONG_CHARS = 70, 200
-STOP_LOW, STOP_HIGH = 0.15, 0.3
+STOP_HIGH = 0.3
 #: Frequent function words of the languages served.
 STOP_WORDS = frozenset(
     """a about all also an and are as at be been but by can do for from had has have he her his i if in into is it its just like more no not of on one
@@ -60,6 +62,7 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?![\w:-])(?:[^<>\"']|\"[^
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _NAME_PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
+_IDEOGRAPH = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _NONE, _GOOD, _BAD, _COMMENT = 0, 1, 2, 3
 
 
@@ -211,8 +214,29 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def first_pass(text: str, linked: int, label: int, tag: str) -> str:
-    """good, bad, near or short."""
+def weight(text: str) -> int:
+    """Characters, as many as a text of the same content has in Latin letters: an ideograph stands for about three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_IDEOGRAPH.findall(text))
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words)."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def recognised(blocks: list[tuple[str, int, int, str]]) -> bool:
+    """Whether the unmarked text of a page is in a language of ``STOP_WORDS``."""
+    stop = n = 0
+    for text, linked, label, _ in blocks:
+        if label == _NONE and linked <= MAX_LINK_DENSITY * len(text) and weight(text) >= SHORT_CHARS:
+            own = stop_words(text)
+            stop, n = stop + own[0], n + own[1]
+    return stop >= STOP_HIGH * n
+
+
+def first_pass(text: str, linked: int, label: int, tag: str, known: bool = True) -> str:
+    """good, bad, near or short; ``known``: the page is in a language of ``STOP_WORDS``."""
     if label in (_BAD, _COMMENT):
         return "bad"
     density = linked / len(text)
@@ -220,13 +244,13 @@ def first_pass(text: str, linked: int, label: int, tag: str) -> str:
         return "bad" if tag == "li" and density > 0.8 else "good"
     if density > MAX_LINK_DENSITY or text.startswith("©"):
         return "bad"
-    if len(text) < SHORT_CHARS:
-        return "bad" if linked else "short"
-    words = _WORD.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if stop >= STOP_HIGH:
-        return "good" if len(text) >= LONG_CHARS else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    size = weight(text)
+    if size < SHORT_CHARS:
+        return "short"
+    stop, n = stop_words(text)
+    if size >= LONG_CHARS and (not known or (n and stop / n >= STOP_HIGH)):
+        return "good"
+    return "near"
 
 
 def second_pass(labels: list[str]) -> list[bool]:
@@ -262,7 +286,8 @@ def extract(page: str | None) -> str:
     found = blocks_of(page)
     if any(label == _GOOD for _, _, label, _ in found):  # the page names its article: nothing outside it is main text
         found = [(t, l, label if label == _GOOD else _BAD, tag) for t, l, label, tag in found]
-    keep = second_pass([first_pass(*b) for b in found])
+    known = recognised(found)
+    keep = second_pass([first_pass(*b, known) for b in found])
     return "\n".join(b[0] for b, k in zip(found, keep) if k)
 
 

@@ -376,3 +376,20 @@ def test_license_notices_inside_lines_and_paragraphs():
 )
 def test_ordinary_markup_keeps_the_article(page, want):
     assert html_extraction.extract(page) == want
+
+
+def test_unmarked_pages_of_other_languages_code_and_lists():
+    menu, foot = '<div><a href="/">uno</a> <a href="/2">due</a></div>', '<div><a href="/p">privacy</a></div>'
+    body = lambda *blocks: menu + "".join(f"<div>{b}</div>" for b in blocks) + foot
+    italian = "Quando arrivò al paese, ogni finestra era già chiusa; nessuno sembrava aspettare qualcuno, eppure dietro le persiane molti occhi guardavano quello straniero camminare lentamente verso la piazza deserta, senza bagagli."
+    russian = "Когда он приехал в деревню, все окна уже были закрыты; казалось, никто никого не ждал, но из-за ставней многие глаза следили за тем, как незнакомец медленно идёт к пустой площади без всякого багажа и без спутников."
+    chinese = "他到达村庄的时候，所有的窗户都已经关上了。似乎没有人在等待任何人，然而百叶窗后面有许多眼睛注视着这个陌生人慢慢走向空荡荡的广场，既没有行李，也没有同伴。夜色渐渐降临，远处传来几声狗叫，他停下脚步，抬头看着钟楼。"
+    for text in (italian, russian, chinese):
+        assert html_extraction.extract(body(text, text)) == f"{text}\n{text}"
+    para = "The main text of the page is in this block and it has many of the words that are to be found in it, so that it is long enough to be good at once, and more of it is here."
+    english = f"{para} {para}"
+    code = "def total(values): return functools.reduce(operator.add, map(float, values), 0.0); print(total([1, 2, 3]))"
+    names = "Alvarez, Bennett, Castillo, Dimitrov, Eriksen, Fitzgerald, Gutierrez, Hernandez, Ivanova, Johansson"
+    assert html_extraction.extract(body(english, code, english, names)) == f"{english}\n{code}\n{english}\n{names}"
+    assert html_extraction.extract(body(english, 'Short, see <a href="x">here</a> for what follows', english)) == f"{english}\nShort, see here for what follows\n{english}"
+    assert html_extraction.extract(menu + f"<div>{names}</div>" + foot + f"<div>{english}</div>" + foot) == english
