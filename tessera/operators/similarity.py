@@ -158,13 +158,20 @@ def neighbourhood(d):
 
 @plan("sim_05_metrics")
 def metrics(d):
-    """1 - mean relative difference of size metrics, at least 0.97; blocked by language and by length octave."""
+    """1 - mean relative difference of size metrics, at least 0.9, over all pairs of texts of three lines or more.
+
+    At 0.9 no metric differs by more than 0.3 of the greater, so logs of lengths and of lines are at most 0.357 apart:
+    equal or neighbouring buckets of 0.36 hold all pairs.  DuckDB compares all pairs without buckets.
+    """
     parts = [f"abs(x.m{k} - y.m{k}) / greatest(x.m{k}, y.m{k}, 1)" for k in range(3)]
     score = f"1 - ({' + '.join(parts)}) / 3.0"
-    return f"""WITH m AS (SELECT doc_id AS id, lang, cast({d.size(d.words('text'))} AS double) AS m0, cast({d.size(d.lines('text'))} AS double) AS m1, cast(length(text) AS double) AS m2 FROM {d.table('documents')} d),
-b AS (SELECT *, cast(floor(ln(m2 + 1) * 40) AS bigint) AS octave FROM m WHERE m1 >= 3),
-p AS (SELECT x.id AS a, y.id AS b, {score} AS s FROM b x JOIN b y ON x.lang = y.lang AND x.octave = y.octave AND x.m1 = y.m1 AND x.id < y.id)
-SELECT a, b, round(s, 4) AS score FROM p WHERE round(s, 9) >= 0.97"""
+    near = "(SELECT -1 AS {0} UNION ALL SELECT 0 UNION ALL SELECT 1)"
+    on = "x.id < y.id" if d.name == "duck" else "x.chars = y.chars AND x.rows = y.rows AND x.id < y.id"
+    return f"""WITH m AS (SELECT doc_id AS id, cast({d.size(d.words('text'))} AS double) AS m0, cast({d.size(d.lines('text'))} AS double) AS m1, cast(length(text) AS double) AS m2 FROM {d.table('documents')} d),
+b AS (SELECT *, cast(floor(ln(m2) / 0.36) AS bigint) AS chars, cast(floor(ln(m1) / 0.36) AS bigint) AS rows FROM m WHERE m1 >= 3),
+n AS (SELECT id, m0, m1, m2, chars + i AS chars, rows + j AS rows FROM b CROSS JOIN {near.format('i')} u CROSS JOIN {near.format('j')} v),
+p AS (SELECT x.id AS a, y.id AS b, {score} AS s FROM b x JOIN {'b' if d.name == 'duck' else 'n'} y ON {on})
+SELECT a, b, round(s, 4) AS score FROM p WHERE round(s, 9) >= 0.9"""
 
 
 @plan("flt_02_prefilter")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -51,6 +52,18 @@ def test_no_nested_loops(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_metrics_compare_all_pairs(spark, duck):
+    """At the reference's 0.9, whatever the language, line counts and lengths."""
+    rows = duck.execute("SELECT doc_id, text, lang FROM documents WHERE text IS NOT NULL").fetchall()
+    sizes = {i: (len([w for w in re.split("[ \t\n\r]+", t) if w]), t.count("\n") + 1, len(t)) for i, t, _ in rows if t.count("\n") >= 2}
+    score = lambda p, q: 1 - sum(abs(x - y) / max(x, y, 1) for x, y in zip(p, q)) / 3
+    want = {(a, b): score(sizes[a], sizes[b]) for a in sizes for b in sizes if a < b and round(score(sizes[a], sizes[b]), 9) >= 0.9}
+    got = {(r["a"], r["b"]): r["score"] for r in QUERIES["sim_05_metrics"](spark, FOLDER).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-4 for p in want)
+    lang = {i: g for i, _, g in rows}
+    assert any(lang[a] != lang[b] for a, b in got) and any(sizes[a][1] != sizes[b][1] for a, b in got)
+
+
 def lcs_table(a, b) -> int:
     row = [0] * (len(b) + 1)
     for x in a:
