@@ -9,6 +9,8 @@ import ast
 import hashlib
 import json
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,10 +40,6 @@ def _lcs(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([2.0 * lcs_length(x, y) / (len(x) + len(y)) if x or y else 0.0 for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([2.0 * lcs_length(list(x or ""), list(y or "")) / max(1, len(x or "") + len(y or "")) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
-
-
 @REGISTRY.frame("sim_04_sequence_similarity")
 def sequence_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Items that share a fingerprint score .3 J(3-grams) + .3 J(5-grams) + .4 LCS, where the screen passes 0.4."""
@@ -57,15 +55,84 @@ SELECT a, b, j3, j5, m.w AS wa, n.w AS wb FROM j JOIN seq m ON a = m.id JOIN seq
     return scored.where("score >= 0.6").select("a", "b", "score")
 
 
+#: A group of synonyms a line, of a word in several the last counts; short and long forms of words.
+_SYNONYMS = """
+    fetch get load read retrieve
+    find locate lookup query search seek
+    change modify mutate patch put set update write
+    build construct create generate init make new produce
+    clear delete destroy drop erase purge remove wipe
+    assert check confirm ensure test validate verify
+    display format present print render show stringify
+    decode deserialize extract parse unpack unwrap
+    broadcast dispatch emit notify post publish send
+    call execute handle invoke on perform process run
+    convert encode map serialize transform translate
+    can contains exists has is should
+    arrange order organize prioritize rank sort
+    array collection elements entries items list records
+    activate begin boot initialize launch open start
+    close complete end finalize finish shutdown stop terminate
+    aggregate calculate compute count evaluate measure sum total
+    exclude filter omit prune reject skip
+    compare contrast diff equals match
+    error exception failure fault issue problem
+    audit debug log record trace track
+"""
+_SHORT = """
+    fmt:format str:string num:number val:value msg:message err:error req:request res:response cfg:config ctx:context btn:button el:element
+    evt:event cb:callback fn:function arg:argument param:parameter idx:index len:length tmp:temp prev:previous cur:current src:source
+    dst:destination opt:option auth:authenticate db:database env:environment repo:repository impl:implementation init:initialize
+    conf:configuration conn:connection sess:session proc:process mgr:manager svc:service ctrl:controller gen:generate calc:calculate
+    exec:execute doc:document desc:description info:information ref:reference spec:specification attr:attribute prop:property obj:object
+    arr:array dict:dictionary tbl:table col:column fld:field rec:record usr:user grp:group org:organization app:application lib:library
+    pkg:package mod:module dir:directory cmd:command op:operation tx:transaction async:asynchronous sync:synchronous seq:sequence
+    max:maximum min:minimum avg:average agg:aggregate acc:accumulate iter:iterate delim:delimiter sep:separator buf:buffer alloc:allocate
+    dup:duplicate orig:original def:default pref:preference cmp:compare eq:equals util:utility hlp:helper sched:schedule ns:namespace
+    ver:version ts:timestamp
+"""
+SYNONYMS = {w: k for k, line in enumerate(_SYNONYMS.strip().split("\n")) for w in line.split()}
+LONG_FORMS = dict(pair.split(":") for pair in _SHORT.split())
+
+
+def name_tokens(name: str) -> list[str]:
+    """Camel, snake and kebab names to lower-case tokens."""
+    name = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name))
+    return [t.lower() for t in re.split(r"[^a-zA-Z0-9]+", name) if t]
+
+
+def name_score(a: str, b: str) -> float:
+    """.3 edit ratio + .4 token Jaccard + .2 synonyms (0 to 0.3) + .1 abbreviations (0 to 0.2)."""
+    jaccard = lambda p, q: len(p & q) / len(p | q) if p or q else 0.0
+    x, y = set(name_tokens(a)), set(name_tokens(b))
+    ratio = 2.0 * lcs_length(list(a), list(b)) / (len(a) + len(b)) if a or b else 1.0
+    only = min(len(x - y), len(y - x))
+    met = Counter(SYNONYMS[t] for t in x - y if t in SYNONYMS) & Counter(SYNONYMS[t] for t in y - x if t in SYNONYMS)
+    synonyms = 0.3 * met.total() / only if only else 0.0
+    gain = jaccard({LONG_FORMS.get(t, t) for t in x}, {LONG_FORMS.get(t, t) for t in y}) - jaccard(x, y)
+    return 0.3 * ratio + 0.4 * jaccard(x, y) + 0.2 * synonyms + 0.1 * min(0.2, max(0.0, 0.4 * gain))
+
+
+def _name_scores(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([name_score(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+
+def _name_tokens(names: pa.Array) -> pa.Array:
+    return pa.array([sorted(set(name_tokens(n))) for n in names.to_pylist()], pa.list_(pa.string()))
+
+
 @REGISTRY.frame("sim_01_fuzzy_names")
 def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
-    """.5 edit ratio + .5 token Jaccard of distinct part names that share a token, at least 0.5."""
-    d = SparkDialect(folder)
-    pairs = spark.sql(f"""WITH n AS (SELECT DISTINCT p_name AS name, p_type AS kind FROM {d.table('part')}), t AS (SELECT name, kind, explode(split(name, ' ')) AS w FROM n)
-SELECT DISTINCT x.kind, x.name AS a, y.name AS b FROM t x JOIN t y ON x.kind = y.kind AND x.w = y.w AND x.name < y.name""")
-    words = lambda c: F.split(c, " ")
-    jac = F.size(F.array_intersect(words("a"), words("b"))) / F.size(F.array_union(words("a"), words("b")))
-    return pairs.withColumn("score", F.round(0.5 * F.arrow_udf(_ratio, "double")("a", "b") + 0.5 * jac, 4)).where("score >= 0.5")
+    """Distinct part names (their members are the parts of the name: n_a, n_b) that score 0.5 or more, whatever the type.
+
+    A name of several parts is a pair with itself.  Names that share no token reach 0.38 at most.
+    """
+    names = spark.read.parquet(f"{folder}/part.parquet").where("p_name IS NOT NULL").groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    t = names.withColumn("w", F.explode(F.arrow_udf(_name_tokens, "array<string>")("name")))
+    x, y = t.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "w"), t.select(F.col("name").alias("b"), F.col("n").alias("n_b"), "w")
+    pairs = x.join(y, "w").where("a < b OR (a = b AND n_a > 1)").select("a", "b", "n_a", "n_b").distinct()
+    scored = pairs.withColumn("score", F.arrow_udf(_name_scores, "double")("a", "b")).where("round(score, 9) >= 0.5")
+    return scored.select("a", "b", F.round("score", 4).alias("score"), "n_a", "n_b")
 
 
 @REGISTRY.frame("sim_08_minhash_verified")

@@ -64,6 +64,21 @@ def test_metrics_compare_all_pairs(spark, duck):
     assert any(lang[a] != lang[b] for a, b in got) and any(sizes[a][1] != sizes[b][1] for a, b in got)
 
 
+def test_names_compare_across_types(spark, duck):
+    names = dict(duck.execute("SELECT p_name, count(*) FROM part GROUP BY p_name").fetchall())
+    want = {(a, b): U.name_score(a, b) for a in names for b in names if (a < b or (a == b and names[a] > 1)) and round(U.name_score(a, b), 9) >= 0.5}
+    got = {(r["a"], r["b"]): r for r in QUERIES["sim_01_fuzzy_names"](spark, FOLDER).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p]["score"] - want[p]) < 1e-4 and (got[p]["n_a"], got[p]["n_b"]) == (names[p[0]], names[p[1]]) for p in want)
+    assert U.name_score("getUser", "fetchUser") == pytest.approx(0.3 * 2 * 6 / 16 + 0.4 / 3 + 0.2 * 0.3)
+    assert U.name_score("fmtDate", "formatDate") == pytest.approx(0.3 * 14 / 17 + 0.4 / 3 + 0.1 * 0.2)
+
+
+def test_signatures_compare_across_brands(spark, duck):
+    brand = dict(duck.execute("SELECT p_partkey, p_brand FROM part").fetchall())
+    got = QUERIES["sim_02_signature"](spark, FOLDER).collect()
+    assert any(brand[r["a"]] != brand[r["b"]] for r in got) and min(r["score"] for r in got) < 0.9
+
+
 def lcs_table(a, b) -> int:
     row = [0] * (len(b) + 1)
     for x in a:
