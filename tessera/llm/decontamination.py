@@ -15,7 +15,8 @@ The index is broadcast only below ``MAX_INDEX_BYTES`` of item text; beyond that
 shards below it, with corpus-wide document frequencies, and every document is searched against each shard.
 
 Defined results: null or wordless texts and items match nothing; repeated rows match alike; an empty table gives an
-empty result; a row without doc_id is searched too; other columns are passed over or, in ``filter_documents``, kept.
+empty result; a row without doc_id is searched too; every distinct text of an item_id, null included, is an item of its
+own and reported under that item_id; other columns are passed over or, in ``filter_documents``, kept.
 """
 
 from __future__ import annotations
@@ -77,8 +78,8 @@ def overlaps(passage: list[str], question: list[str], answer: list[str]) -> tupl
 class Index:
     """Inverted index of items: postings by item number in blocks of ``BLOCK``, each with its greatest weight."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int] | None = None, n_items: int | None = None, mean_length: float | None = None, stride: int | None = None):
-        items = sorted((i, t) for i, t in items if words_of(t))
+    def __init__(self, items: list[tuple[int | None, str]], frequency: dict[str, int] | None = None, n_items: int | None = None, mean_length: float | None = None, stride: int | None = None):
+        items = sorted(((i, t) for i, t in items if words_of(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         bags = [Counter(words_of(t)) for _, t in items]
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
@@ -259,15 +260,14 @@ def _tokens(text: pa.Array) -> pa.Array:
 
 def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> list[Index]:
     """One index, or several below ``max_bytes`` of text each, with document frequencies over all items."""
-    rows = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    rows = rows.groupBy("item").agg(F.min("text").alias("text"))
+    rows = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size <= max_bytes:
         return [Index([(r["item"], r["text"]) for r in rows.collect()])]
     parts = 2 * math.ceil(size / max_bytes)
-    bags = rows.withColumn("tokens", F.arrow_udf(_tokens, "array<string>")("text")).where(F.size("tokens") > 0).withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(parts)))
+    bags = rows.withColumn("tokens", F.arrow_udf(_tokens, "array<string>")("text")).where(F.size("tokens") > 0).withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
     n, mean, longest = bags.agg(F.count(F.lit(1)), F.avg(F.size("tokens")), F.max(F.size("tokens"))).first()
-    terms = bags.select("shard", "item", F.explode(F.array_distinct("tokens")).alias("w"))
+    terms = bags.select("shard", F.explode(F.array_distinct("tokens")).alias("w"))
     frequency = terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     out = []
     for k in range(parts):

@@ -393,3 +393,18 @@ def test_unmarked_pages_of_other_languages_code_and_lists():
     assert html_extraction.extract(body(english, code, english, names)) == f"{english}\n{code}\n{english}\n{names}"
     assert html_extraction.extract(body(english, 'Short, see <a href="x">here</a> for what follows', english)) == f"{english}\nShort, see here for what follows\n{english}"
     assert html_extraction.extract(menu + f"<div>{names}</div>" + foot + f"<div>{english}</div>" + foot) == english
+
+
+def test_leaks_of_items_that_share_an_id_or_have_none(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    items = [(k // 2, text(20) + ". " + text(6)) for k in range(20)] + [(None, text(20) + ". " + text(6)) for _ in range(2)]
+    table = spark.createDataFrame([*items, items[3], items[20], (5, None)], "item_id bigint, text string")
+    texts = [text(60) + " " + t + " " + text(60) for _, t in items] + [text(200)]
+    docs = frame(spark, texts).where(F.col("doc_id") != 5)
+    want = sorted(((k, i) for k, (i, _) in enumerate(items) if k != 5), key=str)
+    assert sorted(((r["doc"], r["item_id"]) for r in decontamination.contaminated(docs, table).collect()), key=str) == want
+    assert [r["doc_id"] for r in decontamination.filter_documents(docs, table).collect()] == [len(items)]
+    shards = decontamination.indexes(table, max_bytes=800)
+    assert len(shards) > 1
+    assert sorted(((d, m[0]) for d, t in enumerate(texts) if d != 5 for s in shards for m in s.matches(t)), key=str) == want
