@@ -1,45 +1,55 @@
 """Exact removal of 50-byte strings that also start in a document with a smaller doc_id.
 
-A suffix sort over a difference cover must ship every sampled suffix; for 50-byte matches its cheapest cover that
-leaves a 20-byte sample takes 6 of 31 positions, and each level of recursion ships them again, which is beyond the
-disk set for this operator (README).  The sample here is therefore content-defined, a string synchronising set
-(Kempa and Kociumaka, 2019), which serves the same end with about one position in 18: of the 35 16-byte blocks in a
+A suffix sort over a difference cover must ship every sampled suffix; for 50-byte matches its cheapest cover takes 6 of
+31 positions, and each level of recursion ships them again, which is beyond the disk set for this operator (README; the
+cover can be had as ``sample="cover"``).  The sample here is by default content-defined, a string synchronising set
+(Kempa and Kociumaka, 2019), which serves the same end with about one position in 14: of the 27 blocks of 24 bytes in a
 50-byte string, the one with the least hash.  Equal strings choose the same block at the same offset, so:
 
-1. sample: every distinct block of each batch of texts is named by a hash and dealt out by name;
-2. names that only one content has are dropped: no string under them repeats across contents;
-3. merge: each remaining sampled position brings its 84 bytes of context, which hold every 50-byte string that it
-   stands for; all strings under a name meet, sorted by hash, and neighbours are compared byte by byte;
+1. sample: texts are dealt out to shelves of bounded size; the distinct blocks of each text are named by a hash and
+   sent to buckets of names;
+2. a bucket answers each shelf with a bitmap of the names that two texts or more have: no string under the others
+   repeats, and they go no further;
+3. merge: each remaining sampled position brings its context, which holds every 50-byte string that it stands for.
+   Equal contexts of a shelf travel once, with their smallest document; all strings of a name meet in its bucket,
+   sorted by hash and document, and neighbours are compared byte by byte;
 4. strings whose least doc_id is smaller than their own mark their place; overlapping places are merged.
 
-Texts are addressed by content first: only the smallest doc_id of equal texts takes part; every later copy is
-removed whole.  Work in a batch is settled before anything is dealt out: equal contexts of a batch travel once.
+A name of more than ``HOT`` texts (a passage that very many documents share) is dealt out by whole strings, not by
+name, so its texts do not meet in one bucket: strings inside the passage then travel once a shelf, and all others are
+spread by their own hash.  Shelves and buckets follow the number of bytes; each is one task's work of bounded size (a
+single text may be longer).  All three passes over the texts read one exchange.
 
-Defined results: a null text is empty; a row without doc_id has no smaller document and is no smaller document: it is
-kept whole; rows that share a doc_id are one document's versions; an empty table gives an empty result; other columns
-are passed over.
+Texts are addressed by (doc_id, content): only the smallest doc_id of equal texts takes part; every later copy is
+removed whole.
+
+Defined results: a null text is empty; texts of fewer than 50 bytes are kept whole; a row without doc_id has no smaller
+document and is no smaller document: it is kept whole; rows that share a doc_id are one document's versions, each
+judged by its own text; a long text is one row of one task; an empty table gives an empty result; other columns are
+passed over.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, mix64, slices, utf8
+from tessera.llm.common import materialise, mix64
 
 LENGTH = 50
-BLOCK = 16
-CHOICES = LENGTH - BLOCK + 1
-CONTEXT = 2 * LENGTH - BLOCK
+#: Block of the content-defined sample; block, period and residues of the difference cover.
+BLOCK = 24
+COVER_BLOCK, COVER_PERIOD, COVER = 20, 31, (1, 5, 11, 24, 25, 27)
+#: Text bytes a shelf, name bytes a bucket, texts from which on a name is dealt out by strings.
+SHELF_BYTES, BUCKET_BYTES, HOT = 8 << 20, 16 << 20, 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 _TOP = np.uint64(0xFFFFFFFFFFF00000)
+_STEP = 1 << 18
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -58,23 +68,27 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
         power, have = power * power, have * 2
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, sample: str = "content") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(position, name, first start, last start) of each sampled block of one text; starts are those of its strings."""
     n = len(data) - LENGTH + 1
     none = np.empty(0, dtype=np.int64)
     if n <= 0:
         return none, none.astype(np.uint64), none, none
+    if sample == "cover":
+        hashes = rolling(data, COVER_BLOCK)
+        at = np.flatnonzero(np.isin(np.arange(len(hashes)) % COVER_PERIOD, COVER))
+        return at, hashes[at], np.maximum(at - (COVER_PERIOD - 1), 0), np.minimum(at, n - 1)
+    choices = LENGTH - BLOCK + 1
     at, name, lo, hi = [], [], [], []
-    step = 1 << 18
-    for start in range(0, n, step):
-        stop = min(n, start + step)
+    for start in range(0, n, _STEP):
+        stop = min(n, start + _STEP)
         hashes = rolling(data[start : stop + LENGTH - 1], BLOCK)
         order = (hashes & _TOP) | np.arange(len(hashes), dtype=np.uint64)
         least, span = order, 1
-        while span * 2 <= CHOICES:
+        while span * 2 <= choices:
             least = np.minimum(least[: len(least) - span], least[span:])
             span *= 2
-        least = np.minimum(least[: stop - start], least[CHOICES - span : CHOICES - span + stop - start])
+        least = np.minimum(least[: stop - start], least[choices - span : choices - span + stop - start])
         first = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
         where = (least[first] & ~_TOP).astype(np.int64)
         at.append(where + start)
@@ -84,146 +98,246 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in (at, name, lo, hi))
 
 
-def short_name(name: np.ndarray, n_buckets: int) -> np.ndarray:
-    """What of a name travels beside its bucket: 40 bits.  Names that meet by chance cost time, not correctness."""
-    return (name // np.uint64(n_buckets)) & np.uint64((1 << 40) - 1)
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """The edges of runs of equal neighbours."""
+    return np.concatenate(([0], np.flatnonzero(np.diff(values)) + 1, [len(values)])) if len(values) else np.zeros(1, dtype=np.int64)
 
 
-def pack40(values: np.ndarray) -> np.ndarray:
+def _pack40(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
 
 
-def unpack40(data: bytes) -> np.ndarray:
+def _unpack40(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
     out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
-def content_id(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
-def _inside(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which bytes of a context its strings cover: only they travel."""
-    shift = np.arange(CONTEXT)
-    lo = lo.astype(np.int64)[:, None]
-    return (shift >= lo) & (shift < lo + size[:, None])
-
-
-def _pack(buckets: np.ndarray, columns: dict[str, np.ndarray], shared: dict[str, bytes], ragged: tuple | None = None) -> pa.RecordBatch | None:
-    """One row per bucket with its share of each array, packed; ``ragged`` (name, bytes, sizes) needs sorted buckets."""
-    if not len(buckets):
-        return None
-    order = np.argsort(buckets, kind="stable")
-    buckets = buckets[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]))
-    out = {"bucket": pa.array(buckets[cuts[:-1]].astype(np.int32))}
-    for key, values in columns.items():
-        values = values[order]
-        out[key] = pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
-    for key, value in shared.items():
-        out[key] = pa.array([value] * (len(cuts) - 1), pa.binary())
-    if ragged:
-        key, data, sizes = ragged
-        edge = np.concatenate(([0], np.cumsum(sizes)))
-        out[key] = pa.array([data[edge[a] : edge[b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
-    return pa.RecordBatch.from_pydict(out)
-
-
-def _names(n_buckets: int):
-    """(doc, text) -> per bucket: the names in this batch, each with the index of its document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            first: dict[int, int] = {}
-            texts: dict[int, bytes] = {}
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch)):
-                if text and len(text) >= LENGTH:
-                    key = content_id(text)
-                    if key not in first or doc < first[key]:
-                        first[key] = doc
-                        texts[key] = text
-            names, owner = [], []
-            for k, text in enumerate(texts.values()):
-                own = np.unique(anchors(np.frombuffer(text, dtype=np.uint8))[1])
-                names.append(own)
-                owner.append(np.full(len(own), k, dtype=np.uint16))
-            if not names:
-                continue
-            name = np.concatenate(names)
-            packed = _pack(name % np.uint64(n_buckets), {"name": pack40(short_name(name, n_buckets)), "owner": np.concatenate(owner)}, {"docs": np.array(list(first.values()), dtype=np.int64).tobytes(), "contents": np.array(list(first), dtype=np.int64).tobytes()})
-            if packed is not None:
-                yield packed
+def _column(table: pa.Table, name: str) -> list:
+    return table.column(name).to_pylist()
+
+
+def _texts(left: pa.Table, right: pa.Table) -> tuple[list[tuple[int, bytes]], list[bytes]]:
+    """The distinct (doc, content) of a shelf that take part, in order, and their texts; both passes number them alike."""
+    copies = {(d, c) for d, c in zip(_column(right, "doc"), _column(right, "content")) if c is not None}
+    held = {}
+    for doc, content, text in zip(_column(left, "doc"), _column(left, "content"), left.column("text").cast(pa.binary()).to_pylist()):
+        if doc is not None and text is not None and len(text) >= LENGTH and (doc, content) not in copies:
+            held[doc, content] = text
+    keys = sorted(held)
+    return keys, [held[k] for k in keys]
+
+
+class _Names:
+    """The distinct names of each text of a shelf, by bucket, text and name."""
+
+    def __init__(self, texts: list[bytes], n_buckets: int, sample: str) -> None:
+        self.found = [anchors(np.frombuffer(text, dtype=np.uint8), sample) for text in texts]
+        unique = [np.unique(f[1], return_inverse=True) for f in self.found]
+        self.inverse = [u[1] for u in unique]
+        self.edge = np.concatenate(([0], np.cumsum([len(u[0]) for u in unique], dtype=np.int64))).astype(np.int64)
+        self.name = np.concatenate([u[0] for u in unique]) if unique else np.empty(0, dtype=np.uint64)
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(self.edge))
+        bucket = (self.name % np.uint64(n_buckets)).astype(np.int32)
+        self.order = np.argsort(bucket, kind="stable")
+        self.bucket = bucket[self.order]
+
+
+def _names(n_buckets: int, sample: str):
+    """A shelf -> per bucket: its names (40 bits beside the bucket; chance meetings cost time only) and how many each text has."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, texts = _texts(left, right)
+        own = _Names(texts, n_buckets, sample)
+        bucket, names, counts = [], [], []
+        short = (own.name // np.uint64(n_buckets)) & np.uint64((1 << 40) - 1)
+        edges = _cuts(own.bucket)
+        for a, b in zip(edges[:-1], edges[1:]):
+            part = own.order[a:b]
+            bucket.append(int(own.bucket[a]))
+            names.append(_pack40(short[part]).tobytes())
+            counts.append(np.bincount(own.owner[part], minlength=len(texts)).astype(np.uint32).tobytes())
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "shelf": pa.array([key[0].as_py()] * len(bucket), pa.int32()), "names": pa.array(names, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
 
 
-def _repeated(key, group: pd.DataFrame) -> pd.DataFrame:
-    """The names of one bucket that two contents or more have, by document."""
-    name = np.concatenate([unpack40(x) for x in group["name"]])
-    doc, content = [], []
-    for docs, contents, owner in zip(group["docs"], group["contents"], group["owner"]):
-        index = np.frombuffer(owner, dtype=np.uint16)
-        doc.append(np.frombuffer(docs, dtype=np.int64)[index])
-        content.append(np.frombuffer(contents, dtype=np.int64)[index])
-    doc, content = np.concatenate(doc), np.concatenate(content)
-    order = np.argsort(name, kind="stable")
-    name, doc, content = name[order], doc[order], content[order]
-    start = np.concatenate(([0], np.flatnonzero(np.diff(name)) + 1))
-    several = np.minimum.reduceat(content, start) != np.maximum.reduceat(content, start)
-    keep = np.repeat(several, np.diff(np.append(start, len(name))))
-    name, doc = name[keep], doc[keep]
-    order = np.argsort(doc, kind="stable")
-    name, doc = name[order], doc[order]
-    if not len(doc):
-        return pd.DataFrame({"doc": pd.Series(dtype="int64"), "bucket": pd.Series(dtype="int32"), "names": pd.Series(dtype=object)})
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
-    return pd.DataFrame({"doc": doc[cuts[:-1]], "bucket": np.int32(key[0]), "names": [pack40(name[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
-
-
-def _contexts(n_buckets: int):
-    """(doc, text, names) -> per bucket: the contexts of the sampled positions whose name repeats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = LENGTH - BLOCK
-        for batch in slices(batches):
-            rows: list[tuple[np.ndarray, ...]] = []
-            for doc, text, buckets, names in zip(batch.column(0).to_pylist(), utf8(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                data = np.frombuffer(text, dtype=np.uint8)
-                at, name, lo, hi = anchors(data)
-                known = np.concatenate([unpack40(x) * np.uint64(n_buckets) + np.uint64(b) for b, x in zip(buckets, names)])
-                wanted = np.isin(short_name(name, n_buckets) * np.uint64(n_buckets) + name % np.uint64(n_buckets), known)
-                if not wanted.any():
+_NAMES = "bucket int, shelf int, names binary, counts binary"
+#: What a shelf is told: copies by (doc, content), with bucket -1, or what a bucket has to say.
+_TOLD = "shelf int, bucket int, data binary"
+
+
+def _repeated(hot: int):
+    """A bucket of names -> for each shelf, bitmaps of its names there: those of two texts or more, those of very many."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [_unpack40(x) for x in _column(table, "names")]
+        name = np.concatenate(parts)
+        order = np.argsort(name)
+        edges = _cuts(name[order])
+        size = np.diff(edges)
+        flags = np.zeros(len(name), dtype=np.uint8)
+        flags[order] = np.repeat((size > 1).astype(np.uint8) + (size > hot), size)
+        shelf, data, at = [], [], 0
+        for number, part in zip(_column(table, "shelf"), parts):
+            own = flags[at : at + len(part)]
+            at += len(part)
+            if own.any():
+                shelf.append(number)
+                data.append(np.packbits(own > 0).tobytes() + np.packbits(own > 1).tobytes())
+        return pa.table({"shelf": pa.array(shelf, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(shelf), pa.int32()), "data": pa.array(data, pa.binary())})
+
+    return run
+
+
+def _covered(lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+    """Which bytes of a context its strings cover."""
+    shift = np.arange(width)
+    return (shift >= lo.astype(np.int64)[:, None]) & (shift < hi.astype(np.int64)[:, None] + LENGTH)
+
+
+def _digest(context: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of each context with its range of strings."""
+    wide = np.zeros((len(context), -(-context.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : context.shape[1]] = context
+    out = lo.astype(np.uint64) * np.uint64(256) + hi
+    for column in wide.view(np.uint64).T:
+        out = mix64(out * _BASE + column)
+    return out
+
+
+def _runs(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(text, from, to) of string starts, merged where they touch."""
+    order = np.lexsort((first, owner))
+    owner, first, last = owner[order], first[order], last[order]
+    if not len(owner):
+        return np.empty((0, 3), dtype=np.uint32)
+    line = owner.astype(np.int64) * (1 << 33)  # texts are shorter, so runs of different texts never touch
+    reach = np.maximum.accumulate(line + last)
+    new = np.concatenate(([True], line[1:] + first[1:] > reach[:-1] + 1))
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(owner)) - 1
+    return np.stack((owner[begin], first[begin], reach[end] - line[end]), axis=1).astype(np.uint32)
+
+
+def _contexts(n_buckets: int, sample: str):
+    """A shelf and what its buckets said -> per bucket: the contexts that must meet; runs settled within the shelf ride along."""
+    side = LENGTH - (COVER_BLOCK if sample == "cover" else BLOCK)
+    width = LENGTH + side
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, texts = _texts(left, right)
+        own = _Names(texts, n_buckets, sample)
+        flags = np.zeros(len(own.name), dtype=np.uint8)
+        for bucket, data in zip(_column(right, "bucket"), _column(right, "data")):
+            if data is not None:
+                a, b = np.searchsorted(own.bucket, [bucket, bucket + 1])
+                bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(2, -1), axis=1)[:, : b - a]
+                flags[own.order[a:b]] = bits[0] + bits[1]
+        rows = []
+        for k, (text, (at, name, lo, hi)) in enumerate(zip(texts, own.found)):
+            flag = flags[own.edge[k] + own.inverse[k]]
+            for hot in (False, True):
+                take = flag == 1 + hot
+                if not take.any():
                     continue
-                at, name, lo, hi = at[wanted], name[wanted], lo[wanted], hi[wanted]
-                padded = np.concatenate((np.zeros(side, dtype=np.uint8), data, np.zeros(side, dtype=np.uint8)))
-                context = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at]
-                rows.append((name, np.full(len(at), doc, dtype=np.int64), at.astype(np.uint32), (lo - at + side).astype(np.uint8), (hi - at + side).astype(np.uint8), context))
-                if sum(len(r[0]) for r in rows) >= 20_000:
-                    yield deal(rows)
-                    rows = []
-            if rows:
-                yield deal(rows)
-
-    def deal(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        name, doc, at, lo, hi, context = (np.concatenate(x) for x in zip(*rows))
-        order = np.argsort(name % np.uint64(n_buckets), kind="stable")
-        name, doc, at, lo, hi, context = (x[order] for x in (name, doc, at, lo, hi, context))
-        size = hi.astype(np.int64) - lo + LENGTH
-        return _pack(name % np.uint64(n_buckets), {"doc": doc, "at": at, "lo": lo, "hi": hi}, {}, ("context", context[_inside(lo, size)], size))
+                a, n, x, y = at[take], name[take], lo[take], hi[take]
+                if hot:  # one string a context
+                    times = y - x + 1
+                    a, n = np.repeat(a, times), np.repeat(n, times)
+                    x = y = np.repeat(x - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+                padded = np.concatenate((np.zeros(side, dtype=np.uint8), np.frombuffer(text, dtype=np.uint8), np.zeros(side, dtype=np.uint8)))
+                context = np.lib.stride_tricks.sliding_window_view(padded, width)[a]
+                rows.append((n, np.full(len(a), k, dtype=np.int64), a, (x - a + side).astype(np.uint8), (y - a + side).astype(np.uint8), context, np.full(len(a), hot)))
+        if not rows:
+            return _EMPTY_CONTEXTS
+        name, owner, at, lo, hi, context, hot = (np.concatenate(x) for x in zip(*rows))
+        context[~_covered(lo, hi, width)] = 0
+        doc = np.array([k[0] for k in keys], dtype=np.int64)
+        digest = _digest(context, lo, hi)
+        order = np.lexsort((doc[owner], digest))
+        edges = _cuts(digest[order])
+        lead = np.empty(len(order), dtype=np.int64)
+        lead[order] = np.repeat(order[edges[:-1]], np.diff(edges))
+        settled = (doc[owner] > doc[owner[lead]]) & (lo == lo[lead]) & (hi == hi[lead])
+        which = np.flatnonzero(settled)
+        settled[which] = (context[which] == context[lead[which]]).all(axis=1)
+        start = at - side
+        local = _runs(owner[settled], (start + lo)[settled], (start + hi)[settled])
+        going = np.flatnonzero(~settled)
+        deal = name[going]
+        single = np.flatnonzero(hot[going])
+        if len(single):
+            index = going[single]
+            deal[single] = rolling(context[index[:, None], lo[index].astype(np.int64)[:, None] + np.arange(LENGTH)], LENGTH)[:, 0]
+        bucket = (deal % np.uint64(n_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        going, bucket = going[order], bucket[order]
+        bytes_of = _covered(lo, hi, width)
+        edges = _cuts(bucket)
+        out = {c: [] for c in ("bucket", "who", "doc", "count", "at", "lo", "hi", "context", "runs")}
+        for a, b in zip(edges[:-1], edges[1:]):
+            part = going[a:b]
+            part = part[np.argsort(owner[part], kind="stable")]
+            who, count = np.unique(owner[part], return_counts=True)
+            out["bucket"].append(int(bucket[a]))
+            for c, values in (("who", who.astype(np.uint32)), ("doc", doc[who]), ("count", count.astype(np.uint32)), ("at", at[part].astype(np.uint32)), ("lo", lo[part]), ("hi", hi[part]), ("context", context[part][bytes_of[part]])):
+                out[c].append(values.tobytes())
+            out["runs"].append(None)
+        if len(local):
+            out["bucket"].append(key[0].as_py() % n_buckets)
+            for c in ("who", "doc", "count", "at", "lo", "hi", "context"):
+                out[c].append(b"")
+            out["runs"].append(local.tobytes())
+        return pa.table({"bucket": pa.array(out.pop("bucket"), pa.int32()), "shelf": pa.array([key[0].as_py()] * len(out["who"]), pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+    return run
+
+
+_CONTEXTS = "bucket int, shelf int, who binary, doc binary, count binary, at binary, lo binary, hi binary, context binary, runs binary"
+_EMPTY_CONTEXTS = pa.table({c.split()[0]: pa.array([], pa.int32() if c.endswith(" int") else pa.binary()) for c in _CONTEXTS.split(", ")})
+
+
+def _places(sample: str):
+    """A bucket of contexts -> for each shelf, the runs of string starts whose string starts in a smaller document."""
+    side = LENGTH - (COVER_BLOCK if sample == "cover" else BLOCK)
+    width = LENGTH + side
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        shelves, runs = [], []
+        packed = {c: _column(table, c) for c in table.column_names}
+        for shelf, settled in zip(packed["shelf"], packed["runs"]):
+            if settled:
+                shelves.append(shelf)
+                runs.append(settled)
+        load = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in packed[c]])
+        count = load("count", np.uint32)
+        who, doc = np.repeat(load("who", np.uint32), count).astype(np.int64), np.repeat(load("doc", np.int64), count)
+        home = np.repeat(np.array(packed["shelf"], dtype=np.int64), [len(x) // 4 for x in packed["at"]])
+        at, lo, hi = load("at", np.uint32).astype(np.int64), load("lo", np.uint8), load("hi", np.uint8)
+        context = np.zeros((len(at), width), dtype=np.uint8)
+        context[_covered(lo, hi, width)] = load("context", np.uint8)
+        packed.clear()
+        hit = _later(context, doc, lo, hi)
+        if len(hit[0]):
+            row, offset = hit
+            begin = at[row] - side + offset
+            both = home[row] * (1 << 31) + who[row]
+            found, begin_of = np.unique(both, return_inverse=True)
+            merged = _runs(begin_of, begin, begin)
+            where = found[merged[:, 0].astype(np.int64)]
+            for number in np.unique(where >> 31):
+                mine = merged[where >> 31 == number]
+                mine[:, 0] = (where[where >> 31 == number] & ((1 << 31) - 1)).astype(np.uint32)
+                shelves.append(int(number))
+                runs.append(mine.tobytes())
+        return pa.table({"shelf": pa.array(shelves, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(shelves), pa.int32()), "data": pa.array(runs, pa.binary())})
 
     return run
 
 
-def _places(key, group: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the runs of string starts (from, to) whose string starts in a smaller document, packed by document."""
-    side = LENGTH - BLOCK
-    doc, at, lo, hi = (np.concatenate([np.frombuffer(x, dtype=kind) for x in group[c]]) for c, kind in (("doc", np.int64), ("at", np.uint32), ("lo", np.uint8), ("hi", np.uint8)))
-    at = at.astype(np.int64)
-    held = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in group["context"]])
-    size = hi.astype(np.int64) - lo + LENGTH
-    context = np.zeros((len(doc), CONTEXT), dtype=np.uint8)
-    context[_inside(lo, size)] = held
+def _later(context: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of each string that also stands in a context of a smaller document."""
     row, offset, value = [], [], []
     for a in range(0, len(doc), 4096):
         hashes = rolling(context[a : a + 4096], LENGTH)
@@ -233,11 +347,13 @@ def _places(key, group: pd.DataFrame) -> pd.DataFrame:
         row.append((r + a).astype(np.int32))
         offset.append(s.astype(np.uint8))
         value.append(hashes[held])
+    if not row:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     row, offset, value = np.concatenate(row), np.concatenate(offset), np.concatenate(value)
     order = np.lexsort((doc[row], value))
     row, offset, value = row[order], offset[order], value[order]
-    start = np.concatenate(([0], np.flatnonzero(np.diff(value)) + 1))
-    lead = np.repeat(start, np.diff(np.append(start, len(value))))
+    edges = _cuts(value)
+    lead = np.repeat(edges[:-1], np.diff(edges))
     later = np.flatnonzero(doc[row] > doc[row[lead]])
     views = np.lib.stride_tricks.sliding_window_view(context, LENGTH, axis=1)
     same = np.empty(len(later), dtype=bool)
@@ -249,18 +365,7 @@ def _places(key, group: pd.DataFrame) -> pd.DataFrame:
         own = views[row[index], offset[index]]
         if any(doc[row[o]] < doc[row[index]] and (views[row[o], offset[o]] == own).all() for o in range(lead[index], index)):
             hit = np.append(hit, index)
-    who, begin = doc[row[hit]], at[row[hit]] - side + offset[hit].astype(np.int64)
-    order = np.lexsort((begin, who))
-    who, begin = who[order], begin[order]
-    if not len(who):
-        return pd.DataFrame({"doc": pd.Series(dtype="int64"), "runs": pd.Series(dtype=object)})
-    new = np.concatenate(([True], (np.diff(who) != 0) | (np.diff(begin) > 1)))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(who)) - 1
-    runs = np.stack((begin[first], begin[last]), axis=1)
-    owner = who[first]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]))
-    return pd.DataFrame({"doc": owner[cuts[:-1]], "runs": [runs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
+    return row[hit].astype(np.int64), offset[hit].astype(np.int64)
 
 
 def kept_pieces(text: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
@@ -285,39 +390,50 @@ def kept_pieces(text: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
     return b"".join(out), removed, spans
 
 
-def _remove(text: pa.Array, runs: pa.Array, copy: pa.Array) -> pa.Array:
-    kept, size, removed, spans = [], [], [], []
-    for body, packed, again in zip(text.cast(pa.binary()).to_pylist(), runs.to_pylist(), copy.to_pylist()):
-        body = body or b""
-        if again and len(body) >= LENGTH:
-            done = (b"", len(body), 1)
+def _remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """A shelf and the runs of its texts -> every row after removal."""
+    keys, _ = _texts(left, right)
+    number = {k: i for i, k in enumerate(keys)}
+    copies = {(d, c) for d, c in zip(_column(right, "doc"), _column(right, "content")) if c is not None}
+    runs = np.concatenate([np.empty((0, 3), dtype=np.uint32), *(np.frombuffer(x, dtype=np.uint32).reshape(-1, 3) for x in _column(right, "data") if x is not None)]).astype(np.int64)
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    edge = np.searchsorted(runs[:, 0], np.arange(len(keys) + 1))
+    out = []
+    for doc, content, text in zip(_column(left, "doc"), _column(left, "content"), left.column("text").cast(pa.binary()).to_pylist()):
+        text = text or b""
+        own = number.get((doc, content))
+        if own is not None:
+            done = kept_pieces(text, runs[edge[own] : edge[own + 1], 1:])
         else:
-            done = kept_pieces(body, np.frombuffer(b"".join(packed or ()), dtype=np.int64).reshape(-1, 2))
-        kept.append(done[0])
-        size.append(len(body))
-        removed.append(done[1])
-        spans.append(done[2])
-    return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["kept", "n_bytes", "n_removed", "n_spans"])
+            done = (b"", len(text), 1) if len(text) >= LENGTH and (doc, content) in copies else (text, 0, 0)
+        out.append((doc, done[0], len(text), done[1], done[2]))
+    doc, kept, size, removed, spans = zip(*out) if out else ((),) * 5
+    return pa.table({"doc": pa.array(doc, pa.int64()), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())})
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_buckets: int | None = None) -> DataFrame:
-    """(doc, kept, n_bytes, n_removed, n_spans) for every row.  ``n_buckets``: shares of names; 2 for each shuffle partition if not given."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: str = "content", hot: int = HOT, n_shelves: int | None = None, n_buckets: int | None = None) -> DataFrame:
+    """(doc, kept, n_bytes, n_removed, n_spans) for every row.  ``sample``: "content" or "cover"; ``n_shelves`` and
+    ``n_buckets``: by the number of bytes, but 2 for each shuffle partition at least, if not given."""
     spark = docs.sparkSession
-    n_buckets = n_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    known = rows.where("doc IS NOT NULL")
-    dealt = known.mapInArrow(_names(n_buckets), "bucket int, name binary, owner binary, docs binary, contents binary")
-    repeated = dealt.groupBy("bucket").applyInPandas(_repeated, "doc bigint, bucket int, names binary")
-    wanted = repeated.groupBy("doc").agg(F.collect_list(F.struct("bucket", "names")).alias("n")).select("doc", F.col("n.bucket").alias("buckets"), F.col("n.names").alias("names"))
-
-    address = materialise(known.where("text IS NOT NULL").select("doc", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content")), "substring-contents")
-    firsts = address.groupBy("content").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("content", "first")
-    copies = materialise(address.join(firsts, "content").where("doc > first").select("doc").distinct().withColumn("copy", F.lit(True)), "substring-copies")
-
-    marks = wanted.join(copies, "doc", "left_anti")
-    contexts = known.join(marks, "doc").select("doc", "text", "buckets", "names").mapInArrow(_contexts(n_buckets), "bucket int, doc binary, at binary, lo binary, hi binary, context binary")
-    runs = contexts.groupBy("bucket").applyInPandas(_places, "doc bigint, runs binary").groupBy("doc").agg(F.collect_list("runs").alias("runs"))
-    # Both joins take the texts by doc, from one exchange; rows without doc_id go past it.
-    joined = known.join(runs, "doc", "left").join(copies, "doc", "left")
-    joined = joined.unionByName(rows.where("doc IS NULL").withColumns({"runs": F.lit(None).cast("array<binary>"), "copy": F.lit(None).cast("boolean")}))
-    return joined.withColumn("_r", F.arrow_udf(_remove, "struct<kept: binary, n_bytes: bigint, n_removed: bigint, n_spans: bigint>")("text", "runs", "copy")).select("doc", "_r.kept", "_r.n_bytes", "_r.n_removed", "_r.n_spans")
+    address = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("content", address)
+    sizes = materialise(rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "content", F.octet_length("text").alias("size")), "substring-contents")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shelves = n_shelves or max(least, math.ceil(total / SHELF_BYTES))
+    names_a_byte = len(COVER) / COVER_PERIOD if sample == "cover" else 2 / (LENGTH - BLOCK + 2)
+    n_buckets = n_buckets or max(least, math.ceil(total * names_a_byte * 6 / BUCKET_BYTES))
+
+    shelf = F.pmod(F.xxhash64("doc", "content"), F.lit(n_shelves)).cast("int").alias("shelf")
+    firsts = sizes.groupBy("content").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("content", "first")
+    copies = materialise(sizes.join(firsts, "content").where("doc > first").select(shelf, "doc", "content").distinct(), "substring-copies")
+    copies = copies.select("shelf", F.lit(-1).alias("bucket"), "doc", "content", F.lit(None).cast("binary").alias("data"))
+    say = lambda told: copies.unionByName(told.withColumns({"doc": F.lit(None).cast("bigint"), "content": F.lit(None).cast("binary")}))
+    texts = rows.select("doc", "text", "content", shelf)
+    meet = lambda told, run, kind: texts.groupBy("shelf").cogroup(told.groupBy("shelf")).applyInArrow(run, kind)
+
+    named = meet(copies, _names(n_buckets, sample), _NAMES)
+    repeated = named.groupBy("bucket").applyInArrow(_repeated(hot), _TOLD)
+    contexts = meet(say(repeated), _contexts(n_buckets, sample), _CONTEXTS)
+    places = contexts.groupBy("bucket").applyInArrow(_places(sample), _TOLD)
+    return meet(say(places), _remove, "doc bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
