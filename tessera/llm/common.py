@@ -31,6 +31,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` lacks, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in (f"{name}_{k}" for k in range(len(taken) + 1)) if c.lower() not in taken)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices with about ``SLICE_BYTES`` of text each."""
     for batch in batches:

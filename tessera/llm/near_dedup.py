@@ -5,14 +5,15 @@
    its leading zeros and 10 mantissa bits: 16 bits a register.
 2. Equal sets collapse to one representative, the smallest doc_id.
 3. ``ROWS`` registers make a band, ``BANDS`` bands a sketch; sets that share a band key are candidates.
-4. Within a bucket, members first meet two leaders drawn by the bucket's key; the Jaccard estimate is corrected for
-   register collisions; each document's best pair is verified on full sets, then, in rounds, the best untested pair of
-   every two components that meet; verified links make components.
-5. Buckets that still hold more than one component are open.  Between components below ``BIG`` documents, every pair
-   that passes the estimate, at its first shared band only, is verified.  A component that meets a big one is compared
-   with all of it on full sets, block against block inside a task, and only the fact of a link comes out.  So every
-   candidate pair that could change a component is tested, while pairs inside a component, the bulk in a large group,
-   are never made, and a large group costs rows in proportion to its blocks.
+4. Within a bucket, members first meet its leader, drawn by one order for all bands, so that a large group's members
+   mostly name the same one; the Jaccard estimate is corrected for register collisions; each document's best pair is
+   verified on full sets, then the best untested pair of every two components that meet; verified links make components.
+5. Buckets that still hold more than one component are open.  Their members are compared in blocks of bounded bytes,
+   block against block inside a task: sketches first, then, of the members that have a candidate in another component,
+   the full sets.  Every pair across components that passes the estimate is verified, at its first shared band only,
+   unless links found there join the two already; only the fact of a link comes out.  So every candidate pair that could
+   change a component is tested, pairs inside a component, the bulk in a large group, are never made, and a large group
+   costs rows in proportion to its blocks.
 
 A pair at similarity 0.8 misses every band with probability (1 - 0.8**5)**40 = 1.2e-7 and falls below the
 estimate's bound (0.66, five standard deviations) with about 3e-7.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, materialise, mix64, shingles, slices, utf8
+from tessera.llm.common import WordHashes, materialise, mix64, shingles, slices, unused, utf8
 from tessera.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -41,8 +42,10 @@ MANTISSA = 10
 BOUND = 0.66
 #: Shingles per block when the permutations are applied.
 _BLOCK = 512
-#: Documents from which on a component is compared in blocks, and documents a block.
-BIG, LEFT_BLOCK, RIGHT_BLOCK = 48, 64, 256
+#: Bytes of sketches and sets a block, when the members of a bucket are compared.
+BLOCK_BYTES = 1 << 20
+#: Fixed bits that draw a bucket's leader: one order for all bands, so that a group's buckets mostly name the same one.
+DRAW = 0x5DEECE66D1234567
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -94,53 +97,117 @@ def intersection(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.int64())
 
 
+class _Block:
+    """Members of one bucket: documents, their components, set sizes and registers."""
+
+    def __init__(self, members: list[dict]) -> None:
+        self.members = members
+        self.doc, self.component, self.n = (np.array([m[c] for m in members], dtype=np.int64) for c in ("doc", "component", "n"))
+        self.registers = np.frombuffer(b"".join(m["sketch"] for m in members), dtype=np.uint16).reshape(-1, BUCKETS)
+
+    def partners(self, k: int, other: _Block, band: int) -> np.ndarray:
+        """Members of another component whose estimate passes and whose first shared band is this one."""
+        agree = (other.registers == self.registers[k]).sum(axis=1)
+        at = np.flatnonzero((agree >= BOUND * BUCKETS) & (other.component != self.component[k]))
+        if len(at):
+            chance = collision_rate(np.full(len(at), self.n[k]), other.n[at])
+            at = at[(agree[at] / BUCKETS - chance) / (1 - chance) >= BOUND]
+        if len(at):
+            shared = (other.registers[at].reshape(-1, BANDS, ROWS) == self.registers[k].reshape(BANDS, ROWS)).all(axis=2)
+            at = at[shared.argmax(axis=1) == band]
+        return at
+
+
+def _blocks(left: pa.Array, right: pa.Array) -> Iterator[tuple[_Block, _Block, bool]]:
+    """The two blocks of each row; a null right one stands for the left one itself, whose pairs count once."""
+    for x, y in zip(left, right):
+        x = _Block(x.as_py())
+        yield x, _Block(y.as_py()) if y.is_valid else x, not y.is_valid
+
+
+def _active(band: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+    """The documents of two blocks that have a candidate partner in the other."""
+    out = []
+    for number, (x, y, one) in zip(band.to_pylist(), _blocks(left, right)):
+        found: set[int] = set()
+        for k in range(len(x.doc)):
+            at = x.partners(k, y, number)
+            if one:
+                at = at[at > k]
+            if len(at):
+                found.add(int(x.doc[k]))
+                found.update(y.doc[at].tolist())
+        out.append(sorted(found))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def _linked(percent: int):
-    """(components, their documents' sets, the sets of a block) -> the components with a link into the block."""
+    """The pairs of components of two blocks that a verified link joins, without those that links here already join."""
 
-    def run(names: pa.Array, sets: pa.Array, block: pa.Array) -> pa.Array:
+    def run(band: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for own, left, right in zip(names.to_pylist(), sets.to_pylist(), block.to_pylist()):
-            rights = [np.frombuffer(x, dtype=np.uint64) for x in right]
-            sizes = np.array([len(x) for x in rights], dtype=np.int64)
-            owner = np.repeat(np.arange(len(rights)), sizes)
-            flat = np.concatenate(rights)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            found = set()
-            for name, packed in zip(own, left):
-                if name in found:
-                    continue
-                mine = np.frombuffer(packed, dtype=np.uint64)
-                a, b = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-                span = b - a
-                at = np.repeat(a - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
-                common = np.bincount(owner[at], minlength=len(rights))
-                if (100 * common >= percent * (len(mine) + sizes - common)).any():
-                    found.add(name)
-            out.append(sorted(found))
-        return pa.array(out, pa.list_(pa.int64()))
-
-    run.__annotations__ = {"names": pa.Array, "sets": pa.Array, "block": pa.Array, "return": pa.Array}
+        for number, (x, y, one) in zip(band.to_pylist(), _blocks(left, right)):
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.setdefault(c, c) != c:
+                    c = root[c]
+                return c
+
+            found = []
+            sets = [np.frombuffer(m["set"], dtype=np.uint64) for m in y.members]
+            for k in range(len(x.doc)):
+                mine = np.frombuffer(x.members[k]["set"], dtype=np.uint64)
+                for j in x.partners(k, y, number):
+                    if one and j < k:
+                        continue
+                    a, b = find(int(x.component[k])), find(int(y.component[j]))
+                    if a == b:
+                        continue
+                    at = np.searchsorted(sets[j], mine)
+                    at[at == len(sets[j])] = 0
+                    common = int((sets[j][at] == mine).sum())
+                    if 100 * common >= percent * (len(mine) + len(sets[j]) - common):
+                        root[b] = a
+                        found.append({"a": int(x.component[k]), "b": int(y.component[j])})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    run.__annotations__ = {"band": pa.Array, "left": pa.Array, "right": pa.Array, "return": pa.Array}
     return run
 
 
-def _big_links(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components that link to a big one with which they share an open bucket."""
-    at = placed.select("key", "component", "size").distinct()
-    big = at.where(F.col("size") >= BIG).select("key", F.col("component").alias("big"), F.col("size").alias("big_size"))
-    meets = at.join(big, "key").where((F.col("component") != F.col("big")) & ((F.col("size") < BIG) | (F.col("component") < F.col("big")))).select("component", "big", "big_size").distinct()
-    where = placed.select("doc", "component").distinct().join(sets, "doc")
-    blocks = F.ceil(F.col("big_size") / RIGHT_BLOCK).cast("int")
-    right = where.join(meets.select(F.col("big").alias("component"), "big_size").distinct(), "component").withColumn("block", F.pmod(F.xxhash64("doc"), blocks))
-    right = right.groupBy(F.col("component").alias("big"), "block").agg(F.collect_list("set").alias("right"))
-    left = where.join(meets.join(sizes.select("component", "size"), "component"), "component")
-    queries = meets.join(sizes.select("component", "size"), "component").groupBy("big").agg(F.sum("size").alias("queries"))
-    left = left.join(queries, "big").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.ceil(F.col("queries") / LEFT_BLOCK).cast("int")))
-    left = left.groupBy("big", "big_size", "part").agg(F.collect_list(F.struct("component", "set")).alias("l"))
-    left = left.select("big", F.col("l.component").alias("names"), F.col("l.set").alias("left"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).withColumn("block", F.col("block").cast("bigint"))
-    met = left.join(right.withColumn("block", F.col("block").cast("bigint")), ["big", "block"])
-    linked = met.select("big", F.arrow_udf(_linked(percent), "array<bigint>")("names", "left", "right").alias("linked"))
-    return linked.select(F.explode("linked").alias("a"), F.col("big").alias("b")).distinct()
+def _compared(members: DataFrame, weight: str, compare, kind: str) -> DataFrame:
+    """(found) from every two blocks of each bucket of ``members`` (key, band, doc, component, n, sketch, ...).
+
+    A block holds about ``BLOCK_BYTES`` of ``weight``; a bucket of several blocks is compared block by block, each pair
+    of blocks a row of its own.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.sum(F.expr(weight)) / BLOCK_BYTES).cast("int").alias("blocks"))
+    held = [F.col(c) for c in members.columns if c not in ("key", "band")]
+    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    blocks = placed.groupBy("key", "block").agg(F.first("band").alias("band"), F.first("blocks").alias("blocks"), F.collect_list(F.struct(*held)).alias("left"))
+    alone = blocks.select("band", "left", F.expr("CASE WHEN false THEN left END").alias("right"))
+    met = blocks.where("block + 1 < blocks").withColumn("other", F.explode(F.expr("sequence(block + 1, blocks - 1)")))
+    right = blocks.where("blocks > 1").select("key", F.col("block").alias("other"), F.col("left").alias("right"))
+    both = alone.unionByName(met.join(right, ["key", "other"]).select("band", "left", "right"))
+    return both.select(F.explode(F.arrow_udf(compare, f"array<{kind}>")("band", "left", "right")).alias("found"))
+
+
+def _across(members: DataFrame, first: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links between components of ``first``.
+
+    Only buckets of several components are open.  Sketches go first: they leave the members that have a candidate in
+    another component; only these bring their full sets.
+    """
+    placed = members.select("key", "band", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    placed = materialise(placed, "near-placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    opened = materialise(placed.join(open_keys, "key", "left_semi").join(sketches, "doc"), "near-open")
+    active = materialise(_compared(opened, "octet_length(sketch) + 24", _active, "bigint").select(F.col("found").alias("doc")).distinct(), "near-active")
+    wanted = opened.join(active, "doc", "left_semi").join(sets, "doc")
+    links = _compared(wanted, "octet_length(sketch) + octet_length(set) + 24", _linked(percent), "struct<a: bigint, b: bigint>")
+    return materialise(links.select("found.a", "found.b").distinct(), "near-across")
 
 
 def _features(width: int):
@@ -193,38 +260,36 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _contract(scored: DataFrame, best: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """Components by verified pairs of ``scored``: first each document's best, then in each further round the best
     untested pair of every two components that still meet.  What is left over is a matter for the last step."""
+    tested = best
     edges = materialise(_verify(best, sets, percent), "near-edges")
     found = components(edges)
-    untested = scored.join(best, ["a", "b"], "left_anti")
     for _ in range(rounds - 1):
         ends = [found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
-        met = untested.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        met = met.where("ca <> cb").select("a", "b", "score", F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q"))
+        met = scored.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        met = met.where("ca <> cb").join(tested, ["a", "b"], "left_anti").select("a", "b", "score", F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q"))
         pick = materialise(met.groupBy("p", "q").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b"), "near-pick")
         if pick.isEmpty():
             break
-        fresh = materialise(_verify(pick, sets, percent), "near-edges")
-        edges = edges.unionByName(fresh)
+        edges = edges.unionByName(materialise(_verify(pick, sets, percent), "near-edges"))
         found = components(edges)
-        untested = materialise(met.select("a", "b", "score").join(pick, ["a", "b"], "left_anti"), "near-untested")
+        tested = tested.unionByName(pick)
     return found
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n, component) for every row: the size of its set and the smallest doc_id that links reach."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
     features = materialise(rows.mapInArrow(_features(width), "doc bigint, n bigint, key binary, sketch binary"), "near-features")
     linked = features.where("n > 0 AND doc IS NOT NULL")
     classes = materialise(linked.groupBy("key").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "near-classes")
 
     sketches = classes.select(F.col("rep").alias("doc"), "sketch", "n")
     bands = sketches.select("doc", "sketch").mapInArrow(_bands, "key bigint, band int, doc bigint")
-    shared = bands.groupBy("key").agg(F.min(F.expr("doc ^ key")).alias("x"), F.max(F.expr("doc ^ key")).alias("y")).where("x <> y")
-    shared = shared.select("key", F.expr("x ^ key").alias("x"), F.expr("y ^ key").alias("y"))
+    drawn = F.expr(f"doc ^ {DRAW}")
+    shared = bands.groupBy("key").agg(F.min(drawn).alias("x"), F.max(drawn).alias("y")).where("x <> y").select("key", F.expr(f"x ^ {DRAW}").alias("leader"))
     members = materialise(bands.join(shared, "key"), "near-members")
 
-    met = members.select("doc", F.explode(F.array("x", "y")).alias("other")).where("doc <> other")
-    pairs = met.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+    pairs = members.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
     sa = sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("ka"), F.col("n").alias("na"))
     sb = sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("kb"), F.col("n").alias("nb"))
     scored = pairs.join(sa, "a").join(sb, "b").select("a", "b", F.arrow_udf(estimate, "double")("ka", "kb", "na", "nb").alias("score")).where(F.col("score") >= BOUND)
@@ -233,25 +298,10 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
     best = ends.groupBy("doc").agg(F.max(F.struct("score", "other")).alias("best")).select(F.least("doc", "best.other").alias("a"), F.greatest("doc", "best.other").alias("b")).distinct()
 
     wanted = members.select("doc").distinct()
-    sets = materialise(rows.where("doc IS NOT NULL").join(wanted, "doc", "left_semi").mapInArrow(_sets(width), "doc bigint, set binary"), "near-sets")
+    sets = materialise(rows.where("doc IS NOT NULL").join(wanted, "doc", "left_semi").mapInArrow(_sets(width), "doc bigint, set binary").where("octet_length(set) > 0"), "near-sets")
     first = _contract(scored, best, sets, percent)
 
-    placed = members.select("key", "band", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    placed = materialise(placed, "near-placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    sizes = placed.select("doc", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = materialise(placed.join(open_keys, "key", "left_semi").join(sizes, "component"), "near-open")
-    sizes = placed.select("component", "size").distinct()
-    regs = sketches.mapInArrow(_unpack, "doc bigint, regs array<smallint>")
-    rest = placed.where(F.col("size") < BIG).join(regs, "doc")
-    left, right = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "doc", "component", "regs")]) for s in "ab")
-    across = left.join(right, "key").where(F.expr(f"""component_a < component_b
-        AND aggregate(zip_with(regs_a, regs_b, (x, y) -> x = y), 0, (n, e) -> n + int(e)) >= {int(BOUND * BUCKETS)}
-        AND NOT exists(CASE WHEN band_a = 0 THEN cast(array() AS array<int>) ELSE sequence(0, band_a - 1) END, k -> slice(regs_a, {ROWS} * k + 1, {ROWS}) = slice(regs_b, {ROWS} * k + 1, {ROWS}))"""))
-    across = materialise(across.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "component_a", "component_b"), "near-across")
-    confirmed = _verify(across.select("a", "b"), sets, percent)
-    joined = across.join(confirmed, ["a", "b"], "left_semi").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
-    joined = materialise(joined.unionByName(_big_links(placed, sizes, sets, percent)), "near-joined")
+    joined = _across(members, first, sketches, sets, percent)
     second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("root"))
     final = first.join(second, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     lone = second.join(first.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
@@ -262,14 +312,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
     return out.select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int16)
-        offsets = pa.array(np.arange(0, len(regs) + 1, BUCKETS, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(regs))], names=["doc", "regs"])
-
-
 def filter_documents(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the members of each group but its smallest doc_id; rows without doc_id stay."""
-    gone = groups(docs, width, percent, doc_id, text).where("doc <> component").select(F.col("doc").alias("_n_doc"))
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("bigint") == F.col("_n_doc"), "left_anti")
+    own = unused(docs, "doc")
+    gone = groups(docs, width, percent, doc_id, text).where("doc <> component").select(F.col("doc").alias(own))
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("bigint") == F.col(own), "left_anti")

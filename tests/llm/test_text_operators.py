@@ -117,12 +117,10 @@ def brute_groups(texts, width: int, percent: int) -> dict[int, int]:
     return {k: find(k) for k in range(len(texts))}
 
 
-@pytest.mark.parametrize(("width", "big"), [(4, 48), (5, 48), (4, 3)])
-def test_near_groups_equal_brute_force(spark, monkeypatch, width, big):
-    """With small blocks, too, so that the comparison of big components takes part."""
-    if big < 48:
-        for name, value in (("BIG", big), ("LEFT_BLOCK", 2), ("RIGHT_BLOCK", 4)):
-            monkeypatch.setattr(near_dedup, name, value)
+@pytest.mark.parametrize(("width", "block"), [(4, 1 << 20), (5, 1 << 20), (4, 3000)])
+def test_near_groups_equal_brute_force(spark, monkeypatch, width, block):
+    """With small blocks, too, so that buckets of several blocks take part."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
     rng = random.Random(7)
     texts = corpus()
     base = [f"w{rng.randrange(50)}" for _ in range(120)]
