@@ -425,8 +425,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_buckets = n_buckets or max(least, math.ceil(total * names_a_byte * 6 / BUCKET_BYTES))
 
     shelf = F.pmod(F.xxhash64("doc", "content"), F.lit(n_shelves)).cast("int").alias("shelf")
-    firsts = sizes.groupBy("content").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("content", "first")
-    copies = materialise(sizes.join(firsts, "content").where("doc > first").select(shelf, "doc", "content").distinct(), "substring-copies")
+    # Written down, so that the join has an exchange on either side and a content of very many copies can be split.
+    firsts = materialise(sizes.groupBy("content").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("content", "first"), "substring-firsts")
+    copies = materialise(sizes.join(firsts, "content").where("doc > first").select(shelf, "doc", "content"), "substring-copies")
     copies = copies.select("shelf", F.lit(-1).alias("bucket"), "doc", "content", F.lit(None).cast("binary").alias("data"))
     say = lambda told: copies.unionByName(told.withColumns({"doc": F.lit(None).cast("bigint"), "content": F.lit(None).cast("binary")}))
     texts = rows.select("doc", "text", "content", shelf)
