@@ -1,13 +1,13 @@
 """Main text of web pages: two-pass block rules, with the page's own structure as evidence.
 
-A page is cut into blocks at block-level tags.  First pass: a block in a region that is boilerplate by tag, role or
-class (menus, headers, footers, sidebars, notices, adverts, forms, comments) is bad; one in the page's article is good;
-any other is judged by link density, length and stop-word density as good, bad, near-good or short.  Few stop words alone
-make no block bad (code, tables and names have few), and on a page whose text is in no language of ``STOP_WORDS`` they say
-nothing: length decides there, ideographs counting as words.  Second pass:
-short and near-good blocks inherit from the nearest decided neighbours: good if both are good, bad if both are bad;
-between a good and a bad one a near-good block is good and a short one bad; with no decided neighbour a near-good block
-is good.
+A page is cut into blocks at block-level tags.  First pass: every block is judged by link density, length and stop-word
+density as good, bad, near-good, short or a short heading.  The page's structure is a prior: blocks in regions that are
+boilerplate by tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments) are bad; where
+the page names its article, blocks outside it are no candidates, and inside it neither links nor shortness count against
+a block: it is ambiguous at worst.  Few stop words alone make no block bad (code, tables and names have few), and on a
+page whose text is in no language of ``STOP_WORDS`` they say nothing: length decides there, ideographs counting as
+words.  Second pass: ambiguous blocks inherit from their nearest decided neighbours: a short one from the nearest, a
+heading from the one below it, a near-good one is good if either is.
 
 Character references are decoded, white space in a block becomes one space, and good blocks are joined in page order
 by one newline.
@@ -31,6 +31,9 @@ from tessera.llm.common import slices
 MAX_LINK_DENSITY = 0.33
 SHORT_CHARS, LONG_CHARS = 70, 200
 STOP_HIGH = 0.3
+#: Blocks between a heading and the text below it.
+HEADING_REACH = 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Frequent function words of the languages served.
 STOP_WORDS = frozenset(
     """a about all also an and are as at be been but by can do for from had has have he her his i if in into is it its just like more no not of on one
@@ -229,24 +232,29 @@ def recognised(blocks: list[tuple[str, int, int, str]]) -> bool:
     """Whether the unmarked text of a page is in a language of ``STOP_WORDS``."""
     stop = n = 0
     for text, linked, label, _ in blocks:
-        if label == _NONE and linked <= MAX_LINK_DENSITY * len(text) and weight(text) >= SHORT_CHARS:
+        if label in (_NONE, _GOOD) and linked <= MAX_LINK_DENSITY * len(text) and weight(text) >= SHORT_CHARS:
             own = stop_words(text)
             stop, n = stop + own[0], n + own[1]
     return stop >= STOP_HIGH * n
 
 
 def first_pass(text: str, linked: int, label: int, tag: str, known: bool = True) -> str:
-    """good, bad, near or short; ``known``: the page is in a language of ``STOP_WORDS``."""
+    """good, bad, near or short, by link density, length and stop words; ``known``: the page is in a language of
+    ``STOP_WORDS``.
+
+    The region is a prior: boilerplate regions are bad; in an article links alone make no block bad, but ambiguous.
+    """
     if label in (_BAD, _COMMENT):
         return "bad"
-    density = linked / len(text)
-    if label == _GOOD:
-        return "bad" if tag == "li" and density > 0.8 else "good"
-    if density > MAX_LINK_DENSITY or text.startswith("©"):
+    within = label == _GOOD
+    linking = linked > MAX_LINK_DENSITY * len(text)
+    if not within and (linking or text.startswith("©")):
         return "bad"
     size = weight(text)
-    if size < SHORT_CHARS:
-        return "short"
+    if size < SHORT_CHARS and not within:
+        return "heading" if tag in HEADINGS else "short"
+    if linking or size < SHORT_CHARS:
+        return "near"
     stop, n = stop_words(text)
     if size >= LONG_CHARS and (not known or (n and stop / n >= STOP_HIGH)):
         return "good"
@@ -254,28 +262,33 @@ def first_pass(text: str, linked: int, label: int, tag: str, known: bool = True)
 
 
 def second_pass(labels: list[str]) -> list[bool]:
-    """Whether each block is main text, after ambiguous ones have looked to their neighbours."""
-    decided = ("good", "bad")
+    """Whether each block is main text, after ambiguous ones have looked to their nearest decided neighbours.
+
+    Equal distances: near-good blocks and headings are good, short ones bad.  A heading looks down the page first.
+    Without any decided block near-good ones are good.
+    """
     n = len(labels)
-    before, after = [""] * n, [""] * n
-    last = ""
-    for k in range(n):
-        before[k] = last
-        last = labels[k] if labels[k] in decided else last
-    last = ""
-    for k in range(n - 1, -1, -1):
-        after[k] = last
-        last = labels[k] if labels[k] in decided else last
+    none = n + 1
+    sides = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        at, label, held = -none, "", [("", none)] * n
+        for k in order:
+            held[k] = (label, abs(k - at) if label else none)
+            if labels[k] in ("good", "bad"):
+                at, label = k, labels[k]
+        sides.append(held)
     out = []
-    for label, a, b in zip(labels, before, after):
-        if label in decided:
+    for label, (above, up), (below, down) in zip(labels, *sides):
+        if label in ("good", "bad"):
             out.append(label == "good")
-            continue
-        sides = {x for x in (a, b) if x}
-        if sides == {"good"} or (not sides and label == "near"):
-            out.append(True)
+        elif label == "near":
+            out.append("good" in (above, below) or not (above or below))
+        elif label == "heading" and below:
+            out.append(below == "good" and (up >= down or above == "good" or down <= HEADING_REACH))
+        elif up == down:
+            out.append(above == below == "good")
         else:
-            out.append(label == "near" and "good" in sides)
+            out.append((above if up < down else below) == "good")
     return out
 
 
@@ -284,8 +297,8 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = blocks_of(page)
-    if any(label == _GOOD for _, _, label, _ in found):  # the page names its article: nothing outside it is main text
-        found = [(t, l, label if label == _GOOD else _BAD, tag) for t, l, label, tag in found]
+    if any(label == _GOOD for _, _, label, _ in found):  # the page names its article: what is outside it is no candidate
+        found = [b for b in found if b[2] == _GOOD]
     known = recognised(found)
     keep = second_pass([first_pass(*b, known) for b in found])
     return "\n".join(b[0] for b, k in zip(found, keep) if k)
