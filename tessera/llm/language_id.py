@@ -15,7 +15,8 @@ with the corpus; prediction covers every row.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows with null lang are never learned
 from; without any labelled row all texts are ``und``; equal entropies go to the language that sorts first; repeated
-rows predict alike; other columns are passed over.
+rows predict alike; superscripts, fractions and letter-like numerals are no letters; a long text is scored in one task, by
+its distinct words; an empty table gives an empty result; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -41,7 +42,10 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    words = _LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]  # superscripts, fractions, numerals
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
