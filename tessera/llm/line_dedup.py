@@ -7,7 +7,8 @@ the shuffle, and once to mark the documents that come later, in a join that Spar
 
 Defined results: a null text stays null; texts of fewer than three lines and windows without a word have no
 occurrence; rows without doc_id stay as they are; rows that share a doc_id are one document's versions, which do not
-count as earlier for each other; an empty table gives an empty result; other columns are kept as they are.
+count as earlier for each other; a long text is one row of one task, read line by line; an empty table gives an empty
+result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, slices, utf8
+from tessera.llm.common import materialise, slices, unused, utf8
 
 WINDOW = 3
 
@@ -58,11 +59,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.binary())], names=["doc", "window"])
 
 
-def _cut(text: pa.Array, later: pa.Array) -> pa.Array:
+def _cut(text: pa.Array, later: pa.Array, known: pa.Array) -> pa.Array:
     texts, lines, removed = [], [], []
-    for body, keys in zip(text.cast(pa.binary()).to_pylist(), later.to_pylist()):
+    for body, keys, named in zip(text.cast(pa.binary()).to_pylist(), later.to_pylist(), known.to_pylist()):
         if body is None:
             done = (None, 0, 0)
+        elif not named:
+            done = (body, body.count(b"\n") + 1, 0)
         else:
             done = cut(body, set(keys or ()))
         texts.append(done[0])
@@ -79,15 +82,19 @@ def later_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return occurrences.join(shared, "window").where("doc > first").groupBy("doc").agg(F.collect_set("window").alias("later"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``docs``, then ``_l``: the struct (text, n_lines, n_removed) after removal."""
-    later = later_windows(docs, doc_id, text).select(F.col("doc").alias("_l_doc"), F.col("later").alias("_l_later"))
-    joined = docs.join(later, F.col(f"`{doc_id}`").cast("bigint") == F.col("_l_doc"), "left")
-    return joined.withColumn("_l", F.arrow_udf(_cut, "struct<text: string, n_lines: bigint, n_removed: bigint>")(F.col(f"`{text}`"), F.col("_l_later"))).drop("_l_doc", "_l_later")
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str | None = None) -> DataFrame:
+    """The columns of ``docs``, then the struct (text, n_lines, n_removed) after removal, as ``out`` (``_l`` if not given)."""
+    own, windows, out = unused(docs, "doc"), unused(docs, "later"), out or "_l"
+    later = later_windows(docs, doc_id, text).select(F.col("doc").alias(own), F.col("later").alias(windows))
+    joined = docs.join(later, F.col(f"`{doc_id}`").cast("bigint") == F.col(own), "left")
+    known = F.col(f"`{doc_id}`").cast("bigint").isNotNull()
+    done = F.arrow_udf(_cut, "struct<text: string, n_lines: bigint, n_removed: bigint>")(F.col(f"`{text}`"), F.col(windows), known)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], done.alias(out))
 
 
 def edit_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with the text after removal, and n_chars where there is such a column."""
-    out = dedup(docs, doc_id, text)
-    fresh = {text: F.col("_l.text")} | ({n_chars: F.length("_l.text").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
+    name = unused(docs, "l")
+    out = dedup(docs, doc_id, text, name)
+    fresh = {text: F.col(f"{name}.text")} | ({n_chars: F.length(f"{name}.text").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
     return out.select(*[fresh.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
