@@ -178,34 +178,36 @@ def _linked(percent: int):
 
 
 def _compared(members: DataFrame, weight: str, compare, kind: str) -> DataFrame:
-    """(found) from every two blocks of each bucket of ``members`` (key, band, doc, component, n, sketch, ...).
+    """(key, found) from every two blocks of each bucket of ``members`` (key, band, doc, component, n, sketch, ...).
 
     A block holds about ``BLOCK_BYTES`` of ``weight``; a bucket of several blocks is compared block by block, each pair
-    of blocks a row of its own.
+    of blocks a row of its own.  Blocks are dealt out by a hash of their own, so a large bucket's spread over all tasks.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.sum(F.expr(weight)) / BLOCK_BYTES).cast("int").alias("blocks"))
+    sizes = materialise(members.groupBy("key").agg(F.ceil(F.sum(F.expr(weight)) / BLOCK_BYTES).cast("int").alias("blocks")), "near-sizes")
     held = [F.col(c) for c in members.columns if c not in ("key", "band")]
     placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    blocks = placed.groupBy("key", "block").agg(F.first("band").alias("band"), F.first("blocks").alias("blocks"), F.collect_list(F.struct(*held)).alias("left"))
-    alone = blocks.select("band", "left", F.expr("CASE WHEN false THEN left END").alias("right"))
+    firsts = [F.first(c).alias(c) for c in ("key", "band", "block", "blocks")]
+    blocks = placed.groupBy(F.struct("key", "block").alias("home")).agg(*firsts, F.collect_list(F.struct(*held)).alias("left"))
+    alone = blocks.select("key", "band", "left", F.expr("CASE WHEN false THEN left END").alias("right"))
     met = blocks.where("block + 1 < blocks").withColumn("other", F.explode(F.expr("sequence(block + 1, blocks - 1)")))
     right = blocks.where("blocks > 1").select("key", F.col("block").alias("other"), F.col("left").alias("right"))
-    both = alone.unionByName(met.join(right, ["key", "other"]).select("band", "left", "right"))
-    return both.select(F.explode(F.arrow_udf(compare, f"array<{kind}>")("band", "left", "right")).alias("found"))
+    both = alone.unionByName(met.join(right, ["key", "other"]).select("key", "band", "left", "right"))
+    return both.select("key", F.explode(F.arrow_udf(compare, f"array<{kind}>")("band", "left", "right")).alias("found"))
 
 
 def _across(members: DataFrame, first: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the links between components of ``first``.
 
     Only buckets of several components are open.  Sketches go first: they leave the members that have a candidate in
-    another component; only these bring their full sets.
+    another component at that bucket; only these bring their full sets there.
     """
     placed = members.select("key", "band", "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = materialise(placed, "near-placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    opened = materialise(placed.join(open_keys, "key", "left_semi").join(sketches, "doc"), "near-open")
-    active = materialise(_compared(opened, "octet_length(sketch) + 24", _active, "bigint").select(F.col("found").alias("doc")).distinct(), "near-active")
-    wanted = opened.join(active, "doc", "left_semi").join(sets, "doc")
+    opened = materialise(placed.join(open_keys, "key", "left_semi"), "near-open")
+    active = _compared(opened.join(sketches, "doc"), "octet_length(sketch) + 24", _active, "bigint")
+    active = materialise(active.select("key", F.col("found").alias("doc")).distinct(), "near-active")
+    wanted = opened.join(active, ["key", "doc"], "left_semi").join(sketches, "doc").join(sets, "doc")
     links = _compared(wanted, "octet_length(sketch) + octet_length(set) + 24", _linked(percent), "struct<a: bigint, b: bigint>")
     return materialise(links.select("found.a", "found.b").distinct(), "near-across")
 
