@@ -11,12 +11,14 @@ that no item reaches half the threshold on common words alone; a passage whose e
 below the other half, or whose words' block maxima stay below the threshold in every block of items, is passed over
 (bounds for all passages of a batch at once); the rest go through WAND with per-block maxima.
 
-The index is broadcast only below ``MAX_INDEX_BYTES`` of item text; beyond that the items are split by hash into
-shards below it, with corpus-wide document frequencies, and every document is searched against each shard.
+Items are dealt by hash into shards of about ``MAX_INDEX_BYTES`` of text (one shard for a small benchmark), with lengths
+and document frequencies over all items, so that a score does not depend on the shards.  One shard's index at a time is
+built and broadcast, and every document is searched against each.
 
 Defined results: null or wordless texts and items match nothing; repeated rows match alike; an empty table gives an
 empty result; a row without doc_id is searched too; every distinct text of an item_id, null included, is an item of its
-own and reported under that item_id; other columns are passed over or, in ``filter_documents``, kept.
+own and reported under that item_id; of equal scores for one item the first passage is reported; a long text is searched
+in one task, passage by passage; other columns are passed over or, in ``filter_documents``, kept.
 """
 
 from __future__ import annotations
@@ -258,23 +260,19 @@ def _tokens(text: pa.Array) -> pa.Array:
     return pa.array([words_of(t) for t in text.to_pylist()], pa.list_(pa.string()))
 
 
-def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> list[Index]:
-    """One index, or several below ``max_bytes`` of text each, with document frequencies over all items."""
-    rows = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= max_bytes:
-        return [Index([(r["item"], r["text"]) for r in rows.collect()])]
-    parts = 2 * math.ceil(size / max_bytes)
-    bags = rows.withColumn("tokens", F.arrow_udf(_tokens, "array<string>")("text")).where(F.size("tokens") > 0).withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    n, mean, longest = bags.agg(F.count(F.lit(1)), F.avg(F.size("tokens")), F.max(F.size("tokens"))).first()
+def indexes(items: DataFrame, item_id: str = "item_id", text: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> Iterator[Index]:
+    """The shards' indexes, one at a time: each of about ``max_bytes`` of text, with counts over all items."""
+    rows = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").distinct()
+    rows = rows.withColumn("tokens", F.arrow_udf(_tokens, "array<string>")("text")).where(F.size("tokens") > 0)
+    size, n, mean, longest = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1)), F.avg(F.size("tokens")), F.max(F.size("tokens"))).first()
+    shards = max(1, math.ceil((size or 0) / max_bytes))
+    bags = rows.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
     terms = bags.select("shard", F.explode(F.array_distinct("tokens")).alias("w"))
     frequency = terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    out = []
-    for k in range(parts):
+    for k in range(shards):
         own = terms.where(F.col("shard") == k).select("w").distinct().join(frequency, "w").collect()
         texts = bags.where(F.col("shard") == k).select("item", "text").collect()
-        out.append(Index([(r["item"], r["text"]) for r in texts], {r["w"]: r["df"] for r in own}, n, mean, max(MIN_STRIDE, longest)))
-    return out
+        yield Index([(r["item"], r["text"]) for r in texts], {r["w"]: r["df"] for r in own}, n, mean, max(MIN_STRIDE, longest or 0))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
