@@ -1,15 +1,17 @@
 """Licence scan: sparse TF-IDF cosine to licence statements, then inheritance from the nearest ancestor directory.
 
-Every line of a text, every run of lines between blank ones (at most ``MAX_BLOCK_LINES`` long; overlapping runs
-cover longer ones), every sentence, and every run of words as long as some template (wherever it begins, over line ends,
-too) is a candidate statement.  Its vector holds the words that some template has, by idf over the templates, and all
-other words at the greatest idf; only candidates with a telling word are scored.  A file's own licence is the template of
+Every line of a text, every block of lines between blank ones, every sentence, and every run of words as long as some
+template (wherever it begins, over line ends, too) is a candidate statement.  Its vector holds the words that some
+template has, by idf over the templates, and all other words at the greatest idf.  A file's own licence is the template of
 the greatest cosine of at least ``THRESHOLD``; ties go to the name that sorts first.
 
-Sentences and runs stand in prose, where "mit" may be German and "all rights to" no notice.  So a word counts in their
-product no oftener than the template has it, and they must share ``SENTENCE_WORDS`` or ``RUN_WORDS`` different words with
-it (all, if it has fewer).  Runs are first bounded from above, all at once, and scored only where the bound reaches the
-best so far, so none that could win is passed over.
+Statements stand in prose, where "mit" may be German and "all rights to" no notice.  So a word counts in the product no
+oftener than the template has it, and a candidate must share ``SENTENCE_WORDS`` or ``RUN_WORDS`` different words with it
+(all, if it has fewer).
+
+Nothing that could reach the threshold is passed over.  A cosine is at most the norm of the template's weights of the
+words shared, so a text whose words as a whole have too little of every template is not read further.  Runs are bounded
+from above, all at once, and scored only where the bound reaches the threshold and the best so far.
 
 A file named like a licence file and with a licence of its own speaks for its directory.  Directories find their nearest
 ancestor that is spoken for (a join on paths, one row per directory and ancestor), and files without a licence of
@@ -17,8 +19,8 @@ their own join their directory's answer, so a directory with very many files is
 Spark can split on the other.
 
 Defined results: null or empty texts have no licence of their own and may inherit; a null path is in no directory;
-equal scores in one directory go to the licence that sorts first; repeated rows are answered alike; an empty table
-gives an empty result; other columns are passed over.
+equal scores in one directory go to the licence that sorts first; repeated rows are answered alike; a long text is read in
+one task; an empty table gives an empty result; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise, slices
 
 THRESHOLD = 0.55
-MAX_BLOCK_LINES = 30
 SENTENCE_WORDS, RUN_WORDS = 2, 3
+#: Words whose runs are bounded at one time.
+RUN_STEP = 20_000
 #: How licences are stated in headers and notices, by SPDX identifier or a class of our own.
 TEMPLATES = (
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
@@ -57,6 +60,17 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."),
+    ("MIT", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("MIT", "The MIT License (MIT)"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 3."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -65,8 +79,6 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 )
-#: Words of which a licence statement has one at least.
-TELLING = frozenset("license licence licensed licenced copyright rights permission redistribution redistribute unencumbered mit apache gpl bsd cc0 waived".split())
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
 _LICENSE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|copyright|notice)([.-][^/]*)?$"
@@ -75,7 +87,8 @@ _LICENSE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|copyright|notice)([.-][^/]*)
 class Templates:
     """TF-IDF vectors of the templates, by word."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
+        self.threshold = threshold
         bags = [Counter(_WORD.findall(t.lower())) for _, t in templates]
         df = Counter(w for b in bags for w in b)
         self.names = [n for n, _ in templates]
@@ -89,32 +102,25 @@ class Templates:
         self.bags = bags
         self.least = np.array([min(RUN_WORDS, len(b)) for b in bags])
         self.lengths = sorted({b.total() for b in bags})
-        known = [*self.by_word, *sorted(TELLING - self.by_word.keys())]
+        known = list(self.by_word)
         self.number = {w: k for k, w in enumerate(known)}
         self.square = np.array([self.idf.get(w, self.unknown) ** 2 for w in [*known, ""]])
-        self.telling = np.array([w in TELLING for w in [*known, ""]])
+        self.share = np.zeros((len(known), len(bags)))
+        for w, own in self.by_word.items():
+            for k, t in own:
+                self.share[self.number[w], k] = t * t
         self.part = np.zeros((len(known) + 1, len(bags)))
         for w, own in self.by_word.items():
             for k, t in own:
                 self.part[self.number[w], k] = self.idf[w] * t
 
-    def best(self, words: list[str]) -> tuple[float, str]:
-        """(cosine, name) of the nearest template."""
-        bag = Counter(words)
-        dots: dict[int, float] = {}
-        norm = 0.0
-        for w, c in bag.items():
-            weight = c * self.idf.get(w, self.unknown)
-            norm += weight * weight
-            for k, t in self.by_word.get(w, ()):
-                dots[k] = dots.get(k, 0.0) + weight * t
-        if not dots:
-            return 0.0, ""
-        score, name = min((-d, self.names[k]) for k, d in dots.items())
-        return -score / math.sqrt(norm), name
+    def hopeful(self, words: set[str]) -> bool:
+        """Whether some template has enough of its weight in these words."""
+        own = [self.number[w] for w in words if w in self.number]
+        return bool(own) and self.share[own].sum(axis=0).max() >= self.threshold**2 - 1e-9
 
     def best_in_prose(self, words: Sequence[str], least: int) -> tuple[float, str]:
-        """As ``best``; repeats beyond the template's own do not add, and ``least`` different words must be shared."""
+        """(cosine, name) of the nearest template that shares ``least`` different words; repeats beyond its own do not add."""
         bag = Counter(words)
         dots: dict[int, float] = {}
         shared: Counter = Counter()
@@ -129,16 +135,16 @@ class Templates:
         return (-score / math.sqrt(norm), name) if name else (0.0, "")
 
     def best_run(self, words: list[str], best: tuple[float, str]) -> tuple[float, str]:
-        """The least of ``best`` and (-cosine, name) of all runs of a template's length with a telling word."""
+        """The least of ``best`` and (-cosine, name) of all runs of a template's length that reach the threshold."""
         n = len(words)
         ids = np.fromiter((self.number.get(w, len(self.number)) for w in words), dtype=np.int64, count=n)
-        sums = [np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x[ids], axis=0))) for x in (self.part, self.square, self.telling, self.part > 0)]
+        sums = [np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x[ids], axis=0))) for x in (self.part, self.square, self.part > 0)]
         bounds, starts, ends = [], [], []
         for length in sorted({min(n, x) for x in self.lengths}):
-            dots, norms, told, held = (x[length:] - x[:-length] for x in sums)
+            dots, norms, held = (x[length:] - x[:-length] for x in sums)
             # repeats add more to a norm than their squares and count as words held, so this is never below the cosine
             bound = np.where(held >= self.least, dots, 0.0).max(axis=1) / np.sqrt(norms)
-            at = np.flatnonzero((told > 0) & (bound >= max(-best[0] - 1e-9, 1e-9)))
+            at = np.flatnonzero(bound >= max(-best[0], self.threshold) - 1e-6)
             bounds.append(bound[at])
             starts.append(at)
             ends.append(at + length)
@@ -153,36 +159,27 @@ class Templates:
                 best = min(best, _flip(self.best_in_prose(run, RUN_WORDS)))
         return best
 
-    def of_text(self, text: str | None, threshold: float = THRESHOLD) -> tuple[str | None, float]:
-        """(licence, cosine) of a whole text; (None, greatest cosine) below the threshold."""
-        if not text or _TELLING.search(text) is None:
+    def of_text(self, text: str | None) -> tuple[str | None, float]:
+        """(licence, cosine) of a whole text; (None, 0) below the threshold."""
+        low = text.lower() if text else ""
+        lines = [_WORD.findall(line) for line in low.split("\n")]
+        words = [w for line in lines for w in line]
+        if not self.hopeful(set(words)):
             return None, 0.0
-        lines = [_WORD.findall(line.lower()) for line in text.split("\n")]
-        told = [not TELLING.isdisjoint(w) for w in lines]
-        best = (0.0, "")
-        for k, line in enumerate(lines):
-            if told[k]:
-                best = min(best, _flip(self.best(line)))
-        if any(told):
-            start = 0
-            for end in range(len(lines) + 1):
-                if end == len(lines) or not lines[end]:
-                    for a in range(start, max(start + 1, end - MAX_BLOCK_LINES // 2), MAX_BLOCK_LINES // 2):
-                        b = min(end, a + MAX_BLOCK_LINES)
-                        if b - a > 1 and any(told[a:b]):
-                            best = min(best, _flip(self.best([w for line in lines[a:b] for w in line])))
-                    start = end + 1
-            for sentence in _SENTENCE_END.split(text):
-                if _TELLING.search(sentence) is not None:
-                    words = _WORD.findall(sentence.lower())
-                    if not TELLING.isdisjoint(words):
-                        best = min(best, _flip(self.best_in_prose(words, SENTENCE_WORDS)))
-            best = self.best_run([w for line in lines for w in line], best)
+        candidates = list(lines)
+        start = 0
+        for end in range(len(lines) + 1):
+            if end == len(lines) or not lines[end]:
+                if end - start > 1:
+                    candidates.append([w for line in lines[start:end] for w in line])
+                start = end + 1
+        candidates += [_WORD.findall(s) for s in _SENTENCE_END.split(low)]
+        best = min((_flip(self.best_in_prose(own, SENTENCE_WORDS)) for own in candidates if self.hopeful(set(own))), default=(0.0, ""))
+        longest = self.lengths[-1]
+        for a in range(0, max(1, len(words) - longest + 1), RUN_STEP):
+            best = self.best_run(words[a : a + RUN_STEP + longest - 1], best)
         score = round(-best[0], 6)
-        return (best[1], score) if score >= threshold else (None, score)
-
-
-_TELLING = re.compile("|".join(sorted(TELLING)), re.I)
+        return (best[1], score) if score >= self.threshold else (None, 0.0)
 
 
 def _flip(found: tuple[float, str]) -> tuple[float, str]:
