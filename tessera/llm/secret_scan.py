@@ -4,13 +4,14 @@ Every version of every path is addressed by the SHA-256 of its text.  The ledger
 rule version that has been scanned; a scan reads only blobs for which that pair is unseen, each once however many
 paths or versions hold it, and findings are joined back to all paths.
 
-Defined results: a null text is the empty blob; repeated rows are repeated paths and each gets its findings;
-an empty table gives an empty result; other columns are passed over.
+Defined results: a null text is the empty blob; repeated rows are repeated paths and each gets its findings; spans of equal
+start come in the order of ``RULES``; a long text is matched in one task; an empty table gives an empty result; other
+columns are passed over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
@@ -26,42 +27,47 @@ RULES = (
     ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
 )
 BASE_KINDS = ("assign", "access", "hex")
+_NONE = "cast(array() AS array<struct<start:int,kind:int,end:int>>)"
 
 
 def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(kind: int, text: str) -> str:
-    """Structs (start, kind, end) of one rule: matches and the parts between them add up to positions."""
-    _, pattern, group, least = RULES[kind]
+def _hits(kind: int, text: str) -> str:
+    """Structs (gap, len, tested) of one rule: each match with the text before it; the last one is the rest of the text."""
+    _, pattern, group, _ = RULES[kind]
     p = _literal(pattern)
-    tested = f"regexp_extract_all({text}, {p}, {group})"
     return f"""
-    CASE WHEN NOT ({text} rlike {p}) THEN cast(array() AS array<struct<start:int,kind:int,end:int>>) ELSE
-    transform(filter(aggregate(
-      zip_with(split({text}, {p}, -1), zip_with(regexp_extract_all({text}, {p}, 0), {tested}, (m, t) -> named_struct('len', length(m), 'tested', length(t))),
-        (g, m) -> named_struct('gap', length(g), 'len', m.len, 'tested', m.tested)),
-      named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int,tested:int>>)),
-      (a, x) -> named_struct('at', a.at + x.gap + coalesce(x.len, 0),
-        'out', CASE WHEN x.len IS NULL THEN a.out ELSE array_append(a.out, named_struct('start', a.at + x.gap, 'end', a.at + x.gap + x.len, 'tested', x.tested)) END),
-      a -> a.out), s -> s.tested >= {least}), s -> named_struct('start', s.start, 'kind', {kind}, 'end', s.end)) END"""
+    CASE WHEN NOT ({text} rlike {p}) THEN cast(array() AS array<struct<gap:int,len:int,tested:int>>) ELSE
+    zip_with(split({text}, {p}, -1), zip_with(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}), (m, t) -> named_struct('len', length(m), 'tested', length(t))),
+      (g, m) -> named_struct('gap', length(g), 'len', m.len, 'tested', m.tested)) END"""
 
 
 def scan_text(blobs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``found``: the spans of all rules by start, then by rule; code points, end exclusive."""
-    parts = ", ".join(_spans(k, f"`{text}`") for k in range(len(RULES)))
-    return blobs.withColumn("found", F.expr(f"array_sort(concat({parts}))"))
+    """(blob, found): the spans of all rules by start, then by rule; code points, end exclusive.
+
+    Matches and the parts between them are rows, and sums over them are positions, so a text with very many matches
+    costs a sort of them; only blobs with a match are shuffled, without their text.
+    """
+    hits = materialise(blobs.select("blob", F.array(*[F.expr(_hits(k, f"`{text}`")) for k in range(len(RULES))]).alias("hits")), "secret-hits")
+    rows = hits.select("blob", F.posexplode("hits").alias("kind", "own")).select("blob", "kind", F.posexplode("own").alias("k", "h")).repartition("blob")
+    before = Window.partitionBy("blob", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum(F.col("h.gap") + F.coalesce("h.len", F.lit(0))).over(before), F.lit(0)) + F.col("h.gap")).cast("int")
+    least = F.array(*[F.lit(r[3]) for r in RULES])[F.col("kind")]
+    spans = rows.select("blob", "kind", "h", start.alias("start")).where(F.col("h.tested") >= least).select("blob", F.struct("start", "kind", (F.col("start") + F.col("h.len")).alias("end")).alias("span"))
+    found = spans.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("found"))
+    return hits.select("blob").join(found, "blob", "left").select("blob", F.coalesce("found", F.expr(_NONE)).alias("found"))
 
 
 def address(versions: DataFrame, text: str = "text") -> DataFrame:
     """``versions`` with ``blob``, the SHA-256 of the text."""
-    return versions.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("blob", F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
+    return versions.withColumn(text, F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn("blob", F.unhex(F.sha2(F.col(f"`{text}`").cast("binary"), 256)))
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows (blob, rule_version, found) for the blobs of ``versions`` whose pair is not in ``ledger``."""
-    blobs = address(versions, text).groupBy("blob").agg(F.first(text).alias(text))
+    blobs = address(versions, text).groupBy("blob").agg(F.first(F.col(f"`{text}`")).alias(text))
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
         blobs = blobs.join(seen, "blob", "left_anti")
@@ -71,7 +77,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str
 def findings_by_path(paths: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """``paths`` (with ``blob``) and ``found``; only blobs with findings travel, and the join is one that Spark can split."""
     hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob", "found")
-    return paths.join(hits, "blob", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() AS array<struct<start:int,kind:int,end:int>>)")))
+    return paths.join(hits, "blob", "left").withColumn("found", F.coalesce("found", F.expr(_NONE)))
 
 
 def digest(found: str = "found") -> list:
