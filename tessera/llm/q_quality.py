@@ -11,7 +11,8 @@ NAME = "op9_quality_rules"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return Q.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    return Q.judge(docs, keep=["doc_id"]).select("doc_id", *[f"quality.{c}" for c in names])
 
 
 _RULES = f"""[n_words < {Q.MIN_WORDS}, 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words, 5 * n_symbols > n_words AND n_words > 0,

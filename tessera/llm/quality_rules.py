@@ -4,9 +4,13 @@ Each text is measured once.  Every rule's failures are counted by host (``source
 shrunk toward the corpus rate with an empirical beta prior (method of moments over hosts), and a host whose
 shrunk rate of any rule exceeds ``max_rate`` is rejected; its verdict is joined back to its documents.
 
+The prior's strength is held between ``PRIOR_MIN`` and ``PRIOR_MAX`` documents: with hosts that hardly vary the estimate
+grows without bound (every host gets the corpus rate, however many documents speak against it), with hosts of rates 0 and
+1 only it vanishes.
+
 Defined results: a null text has no words and fails the base rule; a null source belongs to no host, so only the
-document's own base rule counts; repeated rows count as often as they occur; an empty table gives an empty result;
-columns other than doc_id, text and source are passed over, or, in ``filter_documents``, kept as they are.
+document's own base rule counts; repeated rows count as often as they occur; a long text is one row's arrays (about forty
+bytes a word); an empty table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,11 +41,11 @@ def _measures(text: str) -> list[Column]:
 #: Windows of three words as (hash, position), sorted; a window that equals a neighbour there occurs twice or more.
 _SORTED = """
 CASE WHEN size(_q_words) < 3 THEN array() ELSE
- array_sort(transform(sequence(0, size(_q_words) - 3), i -> struct(
+ sort_array(transform(sequence(0, size(_q_words) - 3), i -> struct(
    xxhash64(get(_q_words, i), get(_q_words, i + 1), get(_q_words, i + 2)) AS h, i AS i))) END
 """
 _REPEATED = """
-array_sort(transform(filter(_q_sorted, (x, j) -> (j > 0 AND get(_q_sorted, j - 1).h = x.h)
+sort_array(transform(filter(_q_sorted, (x, j) -> (j > 0 AND get(_q_sorted, j - 1).h = x.h)
    OR coalesce(get(_q_sorted, j + 1).h = x.h, false)), x -> x.i))
 """
 _COVERED = """
@@ -51,14 +55,15 @@ aggregate(_q_repeated, named_struct('last', -3, 'n', 0L),
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts and ``rules``, an array of failures in the order of ``RULES``, to each row.
+    """The columns of ``docs`` as c0, c1, ..., the counts and ``rules``, an array of failures in the order of ``RULES``.
 
     ``_q_row`` keeps the optimizer from pushing a filter that uses it below the counts, where the arrays would be built
     again for each of their elements.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in _OWN]
-    body = f"coalesce(`{text}`, '')"
-    first = docs.select(*keep, *_measures(body))
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    keep = [F.col(c) for c in inner.columns]
+    body = f"coalesce(c{docs.columns.index(text)}, '')"
+    first = inner.select(*keep, *_measures(body))
     second = first.select("*", F.expr(_SORTED.replace("array()", "cast(array() AS array<struct<h:bigint,i:int>>)")).alias("_q_sorted"))
     third = second.select("*", F.expr(_REPEATED).alias("_q_repeated"))
     counted = third.select(
@@ -78,7 +83,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-_OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "base_failed", "rules", "kept", "host_rejected")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_text_lines", "n_repeat_words", "base_failed", "rules")
 
 
 def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -112,25 +117,30 @@ def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = M
     return rated.select("host", "n", "rates", F.exists("rates", lambda r: r > max_rate).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, keep_measures: bool = True) -> DataFrame:
-    """``docs`` with measures, ``host_rejected`` and ``kept``.
+def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, keep: list[str] | None = None, out: str = "quality") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all if not given), then the struct ``out`` of the measures, host_rejected and kept.
 
-    ``keep_measures`` writes the measures down between the two passes (right where the rows are narrow);
-    without it, wide rows are read and measured twice instead of being written.
+    Rows are measured once; what is kept of them is written down between the two passes.
     """
-    measured = measure(docs, text)
-    if keep_measures:
-        measured = materialise(measured.drop(text), "quality-measures")
-    verdicts = host_verdicts(measured, host, max_rate).select(F.col("host").alias("_q_host"), F.col("host_rejected").alias("_q_rejected"))
-    out = measured.join(verdicts, F.col(host) == F.col("_q_host"), "left")
-    return out.withColumn("host_rejected", F.coalesce("_q_rejected", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_q_host", "_q_rejected", "_q_row")
+    keep = docs.columns if keep is None else keep
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    needed = dict.fromkeys([at[host], *[at[c] for c in keep]])
+    measured = materialise(measure(docs, text).select(*needed, *MEASURES), "quality-measures")
+    verdicts = host_verdicts(measured, at[host], max_rate).select(F.col("host").alias("_q_host"), F.col("host_rejected").alias("_q_rejected"))
+    joined = measured.join(verdicts, F.col(at[host]) == F.col("_q_host"), "left").withColumn("host_rejected", F.coalesce("_q_rejected", F.lit(False)))
+    joined = joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    return joined.select(*[F.col(at[c]).alias(c) for c in keep], F.struct(*MEASURES, "host_rejected", "kept").alias(out))
 
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns of ``docs``: the base rule's test, then the host's verdict."""
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(f"`{host}`").alias("_q_source"), F.col(f"`{text}`").alias("_q_text"))
-    narrow = measure(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("source"))).select("source", "rules")
-    verdicts = host_verdicts(narrow, "source", max_rate).where("host_rejected").select(F.col("host").alias("_q_host"))
-    passed = measure(inner, "_q_text").where(~F.col("base_failed") & (F.col("_q_row") >= 0))
-    passed = passed.join(verdicts, F.col("_q_source") == F.col("_q_host"), "left_anti")
-    return passed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    """The rows of ``docs`` that pass, with the columns of ``docs``: the base rule's test, then the host's verdict.
+
+    Rows are measured once; those that pass the base rule are written down whole, of the others only what hosts need.
+    """
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    passed = ~F.col("base_failed") & (F.col("_q_row") >= 0)
+    whole = [F.when(passed, F.col(c)).alias(c) for c in at.values()]
+    measured = materialise(measure(docs, text).select(*whole, F.col(at[host]).alias("_q_source"), "rules", "base_failed"), "quality-measures")
+    verdicts = host_verdicts(measured, "_q_source", max_rate).where("host_rejected").select(F.col("host").alias("_q_host"))
+    passed = measured.where(~F.col("base_failed")).join(verdicts, F.col("_q_source") == F.col("_q_host"), "left_anti")
+    return passed.select(*[F.col(k).alias(c) for c, k in at.items()])
