@@ -164,7 +164,7 @@ def test_components(spark):
 def test_quality(spark):
     texts = [*corpus(), "w " * 60, " ".join(f"w{k}" for k in range(60))]
     docs = frame(spark, texts)
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    got = {r["doc_id"]: r["quality"] for r in quality_rules.judge(docs).collect()}
     for doc, text in enumerate(texts):
         words = [w for w in (text or "").replace("\n", " ").split(" ") if w]
         grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -180,7 +180,7 @@ def test_quality(spark):
 def test_hosts_are_shrunk(spark):
     rows = [(k, "bad " * 3, "junk") for k in range(40)] + [(100 + k, " ".join(f"w{k}x{j}" for j in range(60)), "good" if k < 40 else "junk") for k in range(42)]
     docs = spark.createDataFrame([*rows, (900, "short", "tiny")], "doc_id bigint, text string, source string")
-    verdict = {r["host"]: r["host_rejected"] for r in quality_rules.host_verdicts(quality_rules.measure(docs)).collect()}
+    verdict = {r["host"]: r["host_rejected"] for r in quality_rules.host_verdicts(quality_rules.measure(docs), "c2").collect()}
     assert verdict == {"junk": True, "good": False, "tiny": False}
 
 
@@ -219,9 +219,12 @@ def test_leaks(spark):
     assert clean.columns == docs.columns
     assert {r["doc_id"] for r in clean.collect()} == {0, 4, 5, 6, None}
     assert decontamination.contaminated(docs, table.where("item_id < 0")).collect() == []
-    shards = decontamination.indexes(table, max_bytes=800)
+    shards = list(decontamination.indexes(table, max_bytes=800))
     assert len(shards) > 1
-    assert {(d, m[0]) for d, t in enumerate(texts) for s in shards for m in s.matches(t)} == got
+    (one,) = decontamination.indexes(table)
+    plain = lambda held: sorted((d, *m) for d, t in enumerate(texts) for s in held for m in s.matches(t))
+    assert plain(shards) == plain([one])
+    assert {(m[0], m[1]) for m in plain(shards)} == got
 
 
 def test_wand_equals_scoring_everything():
@@ -329,7 +332,7 @@ def test_license_notices_inside_lines_and_paragraphs():
     def brute(text: str) -> tuple[float, str]:
         words = words_of(text.lower())
         runs = [words[a : a + n] for n in {min(n, len(words)) for n in lengths} for a in range(len(words) - n + 1)]
-        return min(((-s, name) for s, name in (alone(r) for r in runs if not license_scan.TELLING.isdisjoint(r))), default=(0.0, ""))
+        return min(((-s, name) for s, name in (alone(r) for r in runs)), default=(0.0, ""))
 
     rng = random.Random(4)
     noise = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
@@ -353,7 +356,7 @@ def test_license_notices_inside_lines_and_paragraphs():
     for text, want in texts.items():
         name, score = templates.of_text(text)
         least, nearest = brute(text)
-        assert score >= round(-least, 6) and (want == "" or name == want), text
+        assert score >= (round(-least, 6) if round(-least, 6) >= license_scan.THRESHOLD else 0) and (want == "" or name == want), text
         if round(-least, 6) == score and score >= license_scan.THRESHOLD:
             assert name == nearest
 
@@ -403,6 +406,6 @@ def test_leaks_of_items_that_share_an_id_or_have_none(spark):
     want = sorted(((k, i) for k, (i, _) in enumerate(items) if k != 5), key=str)
     assert sorted(((r["doc"], r["item_id"]) for r in decontamination.contaminated(docs, table).collect()), key=str) == want
     assert [r["doc_id"] for r in decontamination.filter_documents(docs, table).collect()] == [len(items)]
-    shards = decontamination.indexes(table, max_bytes=800)
+    shards = list(decontamination.indexes(table, max_bytes=800))
     assert len(shards) > 1
     assert sorted(((d, m[0]) for d, t in enumerate(texts) if d != 5 for s in shards for m in s.matches(t)), key=str) == want
