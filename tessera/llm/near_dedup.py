@@ -6,8 +6,8 @@
 2. Equal sets collapse to one representative, the smallest doc_id.
 3. ``ROWS`` registers make a band, ``BANDS`` bands a sketch; sets that share a band key are candidates.
 4. Within a bucket, members first meet its leader, drawn by one order for all bands, so that a large group's members
-   mostly name the same one; the Jaccard estimate is corrected for register collisions; each document's best pair is
-   verified on full sets, then the best untested pair of every two components that meet; verified links make components.
+   mostly name the same one; the Jaccard estimate is corrected for register collisions; pairs that pass are verified on
+   full sets, and verified links make components.
 5. Buckets that still hold more than one component are open.  Their members are compared in blocks of bounded bytes,
    block against block inside a task: sketches first, then, of the members that have a candidate in another component,
    the full sets.  Every pair across components that passes the estimate is verified, at its first shared band only,
@@ -259,25 +259,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.expr(f"100 * common >= {percent} * (octet_length(sa) div 8 + octet_length(sb) div 8 - common)")).select("a", "b")
 
 
-def _contract(scored: DataFrame, best: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """Components by verified pairs of ``scored``: first each document's best, then in each further round the best
-    untested pair of every two components that still meet.  What is left over is a matter for the last step."""
-    tested = best
-    edges = materialise(_verify(best, sets, percent), "near-edges")
-    found = components(edges)
-    for _ in range(rounds - 1):
-        ends = [found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
-        met = scored.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "score", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        met = met.where("ca <> cb").join(tested, ["a", "b"], "left_anti").select("a", "b", "score", F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q"))
-        pick = materialise(met.groupBy("p", "q").agg(F.max(F.struct("score", "a", "b")).alias("m")).select("m.a", "m.b"), "near-pick")
-        if pick.isEmpty():
-            break
-        edges = edges.unionByName(materialise(_verify(pick, sets, percent), "near-edges"))
-        found = components(edges)
-        tested = tested.unionByName(pick)
-    return found
-
-
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n, component) for every row: the size of its set and the smallest doc_id that links reach."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -296,13 +277,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
     sb = sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("kb"), F.col("n").alias("nb"))
     scored = pairs.join(sa, "a").join(sb, "b").select("a", "b", F.arrow_udf(estimate, "double")("ka", "kb", "na", "nb").alias("score")).where(F.col("score") >= BOUND)
     scored = materialise(scored, "near-scored")
-    ends = scored.select(F.col("a").alias("doc"), F.col("b").alias("other"), "score").unionByName(scored.select(F.col("b").alias("doc"), F.col("a").alias("other"), "score"))
-    best = ends.groupBy("doc").agg(F.max(F.struct("score", "other")).alias("best")).select(F.least("doc", "best.other").alias("a"), F.greatest("doc", "best.other").alias("b")).distinct()
-
     wanted = members.select("doc").distinct()
     sets = materialise(rows.where("doc IS NOT NULL").join(wanted, "doc", "left_semi").mapInArrow(_sets(width), "doc bigint, set binary").where("octet_length(set) > 0"), "near-sets")
-    first = _contract(scored, best, sets, percent)
-
+    first = components(_verify(scored, sets, percent))
     joined = _across(members, first, sketches, sets, percent)
     second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("root"))
     final = first.join(second, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
