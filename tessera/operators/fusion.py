@@ -1,100 +1,11 @@
-"""Fusion of similarity signals into one explainable confidence, and its evaluation.
-
-Signals are rows (a, b, strategy, score).  Documents' words give three cheap strategies that are fused here: equal
-texts (token_clone), equal sorted vocabularies (bag_of_tokens) and equal sizes (metric_similarity).
-"""
+"""Catalogs of several sources, and pairs within blocks."""
 
 from __future__ import annotations
 
-from tessera.operators.similarity import grams, tokens
-from tessera.plans.dialect import REGISTRY, SparkDialect
+from tessera.plans.dialect import REGISTRY
 
 plan = REGISTRY.plan
 
-#: Weight of each strategy; one that is unknown weighs 0.5.
-WEIGHTS = {
-    "token_clone": 0.95, "llm_semantic": 0.9, "ast_similarity": 0.85, "pdg_semantic": 0.8, "tfidf_index": 0.75, "code_embedding": 0.72,
-    "lsh_ast": 0.7, "bag_of_ast": 0.7, "winnowing": 0.65, "signature_match": 0.6, "fuzzy_name": 0.5, "metric_similarity": 0.45,
-}
-HIGH, MEDIUM, LOW = 0.80, 0.55, 0.35
-_SEQUENCE = "('bag_of_ast', 'code_embedding', 'pdg_semantic', 'lsh_ast', 'ast_similarity', 'winnowing')"
-_STRUCTURAL = "('token_clone', 'ast_similarity', 'tfidf_index', 'winnowing', 'lsh_ast', 'bag_of_ast', 'pdg_semantic', 'code_embedding', 'llm_semantic')"
-
-
-def signals(d: SparkDialect) -> str:
-    """CTE sig(a, b, strategy, score)."""
-    return f"""{tokens(d, 'documents', 'doc_id')}, {grams(6, name='g6')},
-h AS (SELECT id, pos, {d.sha('g')} AS h FROM g6),
-m AS (SELECT id, min(h) AS lo, max(h) AS hi, count(*) AS n FROM h GROUP BY id),
-doc AS (SELECT doc_id AS id, {d.sha('text')} AS whole, lang, source FROM {d.table('documents')} x),
-f AS (SELECT m.id, lo, hi, n, whole, lang, source FROM m JOIN doc ON m.id = doc.id),
-sig AS (SELECT x.id AS a, y.id AS b, 'token_clone' AS strategy, cast(1.0 AS double) AS score FROM f x JOIN f y ON x.whole = y.whole AND x.id < y.id
-UNION ALL SELECT x.id, y.id, 'lsh_ast', cast(CASE WHEN x.hi = y.hi THEN 0.9 ELSE 0.6 END AS double) FROM f x JOIN f y ON x.lo = y.lo AND x.id < y.id
-UNION ALL SELECT x.id, y.id, 'winnowing', cast(CASE WHEN x.n = y.n THEN 0.95 ELSE 0.7 END AS double) FROM f x JOIN f y ON x.hi = y.hi AND x.id < y.id
-UNION ALL SELECT x.id, y.id, 'fuzzy_name', cast(CASE WHEN x.lang = y.lang THEN 0.7 ELSE 0.5 END AS double) FROM f x JOIN f y ON x.lo = y.lo AND x.source = y.source AND x.id < y.id
-UNION ALL SELECT x.id, y.id, 'signature_match', cast(1.0 * least(x.n, y.n) / greatest(x.n, y.n) AS double) FROM f x JOIN f y ON x.lo = y.lo AND x.id < y.id)"""
-
-
-def fused(d: SparkDialect) -> str:
-    """CTE merged(a, b, composite, n_strategies, effective, confidence, clone_type, action): best per strategy, weighted
-    mean, penalties for an isolated signature and for surface signals alone, correlated strategies discounted, ladder."""
-    weight = "CASE strategy " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 0.5 END"
-    return f"""{signals(d)}, best AS (SELECT a, b, strategy, max(score) AS score, {weight} AS w FROM sig GROUP BY a, b, strategy),
-sums AS (SELECT a, b, sum(w * score) / sum(w) AS mean, count(*) AS n, count(CASE WHEN strategy IN {_SEQUENCE} THEN 1 END) AS seq, count(CASE WHEN strategy IN {_STRUCTURAL} THEN 1 END) AS deep,
-  max(CASE WHEN strategy = 'token_clone' THEN score END) AS clone, max(CASE WHEN strategy = 'signature_match' THEN 1 ELSE 0 END) AS signed FROM best GROUP BY a, b),
-scored AS (SELECT *, least(1.0, mean) * CASE WHEN n = 1 AND signed = 1 THEN 0.7 WHEN n >= 2 AND deep = 0 THEN 0.6 ELSE 1.0 END AS composite, n - greatest(0, seq - 2) AS effective FROM sums),
-laddered AS (SELECT *, CASE WHEN effective >= 3 AND composite >= 0.5 THEN 'HIGH'
-  WHEN n = 1 AND NOT coalesce(clone >= 0.99, false) THEN CASE WHEN composite >= {MEDIUM} THEN 'MEDIUM' WHEN composite >= {LOW} THEN 'LOW' END
-  WHEN composite >= {HIGH} THEN 'HIGH' WHEN composite >= {MEDIUM} THEN 'MEDIUM' WHEN composite >= {LOW} THEN 'LOW' END AS confidence FROM scored),
-merged AS (SELECT a, b, cast(round(composite, 3) AS double) AS composite, n AS n_strategies, effective, confidence,
-  CASE WHEN clone >= 0.99 THEN 'type_1' WHEN clone IS NOT NULL THEN 'type_2' WHEN deep >= 2 THEN 'type_3' ELSE 'type_4' END AS clone_type,
-  CASE confidence WHEN 'HIGH' THEN 'consolidate' WHEN 'MEDIUM' THEN 'review' ELSE 'note' END AS action FROM laddered WHERE confidence IS NOT NULL)"""
-
-
-@plan("sim_14_fusion")
-def fusion(d):
-    return f"WITH {fused(d)} SELECT a, b, composite, n_strategies, effective, confidence FROM merged"
-
-
-@plan("sim_15_clone_type")
-def clone_type(d):
-    return f"WITH {fused(d)} SELECT a, b, clone_type FROM merged"
-
-
-@plan("sim_16_recommendation")
-def recommendation(d):
-    return f"WITH {fused(d)} SELECT a, b, action, CASE confidence WHEN 'HIGH' THEN 'now' WHEN 'MEDIUM' THEN 'soon' ELSE 'later' END AS urgency FROM merged"
-
-
-@plan("sim_17_summary")
-def summary(d):
-    return f"WITH {fused(d)} SELECT confidence, clone_type, action, count(*) AS n, count(CASE WHEN n_strategies >= 2 THEN 1 END) AS multi_signal, count(CASE WHEN n_strategies >= 3 THEN 1 END) AS defense_depth FROM merged GROUP BY confidence, clone_type, action"
-
-
-@plan("flt_03_suppression")
-def suppression(d):
-    """Drop pairs of different languages, of one source below medium, and of isolated weak signals."""
-    return f"""WITH {fused(d)} SELECT m.a, m.b, confidence FROM merged m JOIN doc p ON m.a = p.id JOIN doc q ON m.b = q.id
-WHERE NOT (p.lang <> q.lang OR (p.source = q.source AND confidence = 'LOW') OR (n_strategies = 1 AND composite < 0.5))"""
-
-
-@plan("sim_18_evaluate")
-def evaluate(d):
-    """Precision, recall and F1 of detected pairs against the truth (equal texts), by confidence floor."""
-    return f"""WITH {fused(d)}, truth AS (SELECT x.id AS a, y.id AS b FROM doc x JOIN doc y ON x.whole = y.whole AND x.id < y.id),
-floors AS (SELECT 'HIGH' AS floor UNION ALL SELECT 'MEDIUM' UNION ALL SELECT 'LOW'),
-det AS (SELECT floor, a, b FROM merged JOIN floors ON (floor = 'LOW') OR (floor = 'MEDIUM' AND confidence IN ('HIGH', 'MEDIUM')) OR (floor = 'HIGH' AND confidence = 'HIGH')),
-c AS (SELECT det.floor, count(*) AS n, count(t.a) AS tp FROM det LEFT JOIN truth t ON det.a = t.a AND det.b = t.b GROUP BY det.floor), k AS (SELECT count(*) AS n FROM truth)
-SELECT floor, tp, c.n - tp AS fp, (SELECT n FROM k) - tp AS fn, round(tp / cast(nullif(c.n, 0) AS double), 4) AS p, round(tp / cast(nullif((SELECT n FROM k), 0) AS double), 4) AS r,
-round(2.0 * tp / cast(nullif(c.n + (SELECT n FROM k), 0) AS double), 4) AS f1 FROM c"""
-
-
-@plan("sim_12_group_pairs")
-def group_pairs(d):
-    """Groups with a stated confidence become scored pairs of neighbours in the group's order."""
-    return f"""SELECT label, vec_id AS a, nxt AS b, cast(CASE WHEN vec_id % 4 = 0 THEN 0.95 WHEN vec_id % 4 = 1 THEN 0.7 WHEN vec_id % 4 = 2 THEN 0.4 ELSE 0.5 END AS double) AS score
-FROM (SELECT label, vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM {d.table('embeddings')} e) t WHERE nxt IS NOT NULL"""
-
 
 @plan("sim_13_catalog_union")
 def catalog_union(d):
@@ -104,16 +15,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, o) AS q FROM u)
 SELECT k, max(CASE WHEN q = 1 THEN name END) AS name, max(CASE WHEN q = 1 THEN bal END) AS bal, count(*) AS n_rows FROM r GROUP BY k"""
 
 
-@plan("ord_01_ranked_pairs")
-def ranked(d):
-    return f"WITH {fused(d)} SELECT a, b, composite, cast(row_number() OVER (PARTITION BY confidence ORDER BY composite DESC, n_strategies DESC, a, b) AS bigint) AS place FROM merged"
-
-
-@plan("jn_09_metadata_lookup")
-def metadata(d):
-    return f"WITH {fused(d)} SELECT m.a, m.b, p.n_chars AS na, q.n_chars AS nb FROM merged m LEFT JOIN {d.table('documents')} p ON m.a = p.doc_id LEFT JOIN {d.table('documents')} q ON m.b = q.doc_id"
-
-
 @plan("jn_08_blocked_pairs")
 def blocked(d):
     return f"SELECT x.p_brand, x.p_partkey AS a, y.p_partkey AS b FROM {d.table('part')} x JOIN {d.table('part')} y ON x.p_brand = y.p_brand AND x.p_name = y.p_name AND x.p_partkey < y.p_partkey"

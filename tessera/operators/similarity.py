@@ -1,9 +1,6 @@
-"""Similarity strategies over a catalog of items, as joins on shared features.
+"""Functions of the similarity strategies over words: runs, fingerprints, set measures, name and type normalisation.
 
-An item is (id, text); its tokens are its words.  Every strategy gives (a, b, score) with a < b.  Overlap is counted
-by joining on features, never by comparing all pairs, and a feature of a single item is dropped before the join.
-Documents serve as the catalog for strategies on rare features, benchmark items for those on vocabularies, parts for
-names and signatures.
+Words of documents, benchmark items and parts play tokens; the strategies themselves are in ``strategies``.
 """
 
 from __future__ import annotations
@@ -25,20 +22,6 @@ def grams(k: int, source: str = "tok", name: str = "grams") -> str:
     return f"{name} AS (SELECT id, pos, g FROM (SELECT id, pos, {parts} AS g FROM {source}) t WHERE g IS NOT NULL)"
 
 
-def overlap(features: str, score: str, threshold: str) -> str:
-    """CTEs over features(id, f), distinct: (a, b, score) where ``threshold`` holds; c, na, nb are the counts."""
-    return f"""sizes AS (SELECT id, count(*) AS n FROM {features} GROUP BY id),
-shared AS (SELECT f FROM {features} GROUP BY f HAVING count(*) > 1),
-kept AS (SELECT x.id, x.f FROM {features} x JOIN shared s ON x.f = s.f),
-pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM kept x JOIN kept y ON x.f = y.f AND x.id < y.id GROUP BY x.id, y.id),
-scored AS (SELECT a, b, c, p.n AS na, q.n AS nb FROM pairs JOIN sizes p ON a = p.id JOIN sizes q ON b = q.id)
-SELECT a, b, round({score}, 4) AS score FROM scored WHERE {threshold}"""
-
-
-JACCARD = "cast(c AS double) / (na + nb - c)"
-CONTAINED = "greatest(cast(c AS double) / (na + nb - c), cast(c AS double) / least(na, nb))"
-
-
 @plan("fn_04_kgram_counts")
 def kgram_counts(d):
     return f"WITH {tokens(d, 'documents', 'doc_id')}, {grams(5)} SELECT id, count(*) AS n_grams, count(DISTINCT g) AS n_distinct FROM grams GROUP BY id"
@@ -65,12 +48,6 @@ def winnow(d):
     return f"WITH {tokens(d, 'benchmark', 'item_id')}, {fingerprints(d)} SELECT id, f FROM fp"
 
 
-@plan("sim_07_winnowing")
-def winnowing(d):
-    """max(Jaccard, overlap) of winnow fingerprints, at least 0.4."""
-    return f"WITH {tokens(d, 'documents', 'doc_id')}, {fingerprints(d)}, {overlap('fp', CONTAINED, '10 * c >= 4 * least(na, nb) OR 10 * c >= 4 * (na + nb - c)')}"
-
-
 @plan("jn_17_benchmark_containment")
 def containment(d):
     """Benchmark items of whose word triples a document holds at least 60 %: asymmetric overlap."""
@@ -82,37 +59,6 @@ c AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS c FROM bs JOIN ds ON
 SELECT doc_id, item_id, round(cast(c AS double) / n, 4) AS containment FROM c JOIN n ON c.item_id = n.id WHERE 10 * c >= 6 * n"""
 
 
-def clones(d) -> str:
-    """CTE clones(a, b, clone_type): sequences of ten tokens or more, equal raw (1) or after renaming (2)."""
-    norm = f"CASE WHEN {d.matches('item', '^[0-9]+(\\.[0-9]+)?$')} THEN '_NUM' WHEN {d.matches('item', '^[A-Z][a-z]*$')} THEN '_ID' ELSE item END"
-    return f"""{tokens(d, 'documents', 'doc_id')}, seqs AS (SELECT id, {d.joined('item', 'pos').replace("','", "chr(10)")} AS raw, {d.joined(norm, 'pos').replace("','", "chr(10)")} AS norm FROM tok GROUP BY id HAVING count(*) >= 10),
-keyed AS (SELECT id, {d.sha('raw')} AS h, 1 AS kind FROM seqs UNION ALL SELECT id, {d.sha('norm')} AS h, 2 AS kind FROM seqs),
-clones AS (SELECT x.id AS a, y.id AS b, min(x.kind) AS clone_type FROM keyed x JOIN keyed y ON x.kind = y.kind AND x.h = y.h AND x.id < y.id GROUP BY x.id, y.id)"""
-
-
-@plan("sim_03_token_clone")
-def token_clone(d):
-    """1.0 for equal token sequences, 0.9 for those equal after renaming; the first kind wins."""
-    return f"WITH {clones(d)} SELECT a, b, clone_type, CASE WHEN clone_type = 1 THEN cast(1.0 AS double) ELSE cast(0.9 AS double) END AS score FROM clones"
-
-
-def weighted(features: str, dot: str, threshold: str) -> str:
-    """CTEs over features(id, f, x): cosine of weights x."""
-    return f"""norms AS (SELECT id, sqrt(sum(x * x)) AS n FROM {features} GROUP BY id),
-pairs AS (SELECT p.id AS a, q.id AS b, sum(p.x * q.x) AS dot, {dot} AS extra FROM {features} p JOIN {features} q ON p.f = q.f AND p.id < q.id GROUP BY p.id, q.id),
-scored AS (SELECT a, b, extra, dot / nullif(m.n * o.n, 0) AS s FROM pairs JOIN norms m ON a = m.id JOIN norms o ON b = o.id)
-SELECT a, b, round(s, 4) AS score FROM scored WHERE round(s, 9) >= {threshold}"""
-
-
-@plan("sim_06_tfidf_index")
-def tfidf(d):
-    """Cosine of tf * ln(N / df); only words that are not everywhere, and pairs sharing idf of 0.5 or more."""
-    return f"""WITH {tokens(d, 'benchmark', 'item_id')}, tf AS (SELECT id, item AS f, count(*) AS c FROM tok GROUP BY id, item),
-n AS (SELECT count(DISTINCT id) AS n FROM tok), df AS (SELECT f, count(*) AS df FROM tf GROUP BY f),
-w AS (SELECT tf.id, tf.f, c * ln(cast((SELECT n FROM n) AS double) / df) AS x, ln(cast((SELECT n FROM n) AS double) / df) AS idf FROM tf JOIN df ON tf.f = df.f WHERE df < (SELECT n FROM n)),
-{weighted('w', 'sum(p.idf)', '0.1 AND extra >= 0.5')}"""
-
-
 @plan("jn_02_idf_candidates")
 def idf_candidates(d):
     """Candidate pairs by shared idf: an inverted index joined with itself."""
@@ -122,18 +68,6 @@ w AS (SELECT tf.id, tf.f, idf FROM tf JOIN df ON tf.f = df.f)
 SELECT p.id AS a, q.id AS b, round(sum(p.idf), 4) AS shared_idf FROM w p JOIN w q ON p.f = q.f AND p.id < q.id GROUP BY p.id, q.id HAVING sum(p.idf) >= 0.5"""
 
 
-@plan("sim_09_bag_of_tokens")
-def bag(d):
-    return f"WITH {tokens(d, 'benchmark', 'item_id')}, w AS (SELECT id, item AS f, cast(count(*) AS double) AS x FROM tok GROUP BY id, item), {weighted('w', '1', '0.3')}"
-
-
-@plan("sim_11_path_cosine")
-def paths(d):
-    """Cosine over counts of all runs of two to four tokens."""
-    return f"""WITH {tokens(d, 'benchmark', 'item_id')}, {grams(2, name='g2')}, {grams(3, name='g3')}, {grams(4, name='g4')},
-w AS (SELECT id, g AS f, cast(count(*) AS double) AS x FROM (SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4) u GROUP BY id, g), {weighted('w', '1', '0.05')}"""
-
-
 def neighbourhoods(d) -> str:
     """CTE nb(id, f): each sentence-like block hashed with the first words of its neighbours."""
     edge = d.matches("item", "[.?!,;:]$")
@@ -150,66 +84,6 @@ def neighbourhood_hashes(d):
     return f"WITH {neighbourhoods(d)} SELECT id, count(*) AS n_hashes, min(f) AS least FROM nb GROUP BY id"
 
 
-@plan("sim_10_neighbourhood")
-def neighbourhood(d):
-    """Jaccard of neighbourhood hashes, at least 0.4."""
-    return f"WITH {neighbourhoods(d)}, {overlap('nb', JACCARD, '10 * c >= 4 * (na + nb - c)')}"
-
-
-@plan("sim_05_metrics")
-def metrics(d):
-    """1 - mean relative difference of size metrics, at least 0.9, over all pairs of texts of three lines or more.
-
-    At 0.9 no metric differs by more than 0.3 of the greater, so logs of lengths and of lines are at most 0.357 apart:
-    equal or neighbouring buckets of 0.36 hold all pairs.  DuckDB compares all pairs without buckets.
-    """
-    parts = [f"abs(x.m{k} - y.m{k}) / greatest(x.m{k}, y.m{k}, 1)" for k in range(3)]
-    score = f"1 - ({' + '.join(parts)}) / 3.0"
-    near = "(SELECT -1 AS {0} UNION ALL SELECT 0 UNION ALL SELECT 1)"
-    on = "x.id < y.id" if d.name == "duck" else "x.chars = y.chars AND x.rows = y.rows AND x.id < y.id"
-    return f"""WITH m AS (SELECT doc_id AS id, cast({d.size(d.words('text'))} AS double) AS m0, cast({d.size(d.lines('text'))} AS double) AS m1, cast(length(text) AS double) AS m2 FROM {d.table('documents')} d),
-b AS (SELECT *, cast(floor(ln(m2) / 0.36) AS bigint) AS chars, cast(floor(ln(m1) / 0.36) AS bigint) AS rows FROM m WHERE m1 >= 3),
-n AS (SELECT id, m0, m1, m2, chars + i AS chars, rows + j AS rows FROM b CROSS JOIN {near.format('i')} u CROSS JOIN {near.format('j')} v),
-p AS (SELECT x.id AS a, y.id AS b, {score} AS s FROM b x JOIN {'b' if d.name == 'duck' else 'n'} y ON {on})
-SELECT a, b, round(s, 4) AS score FROM p WHERE round(s, 9) >= 0.9"""
-
-
-@plan("flt_02_prefilter")
-def prefilter(d):
-    """Pairs within a block that pass the cheap tests: size ratio at most 3, differences bounded; a null skips its test."""
-    return f"""WITH m AS (SELECT p_partkey AS id, p_brand, p_name, p_size AS n_lines, length(p_type) AS arity FROM {d.table('part')} p)
-SELECT p_brand, count(*) AS n_pairs FROM m x JOIN m y USING (p_brand) WHERE x.id < y.id AND NOT (x.n_lines < 3 AND y.n_lines < 3)
-AND NOT (x.n_lines >= 3 AND y.n_lines >= 3 AND greatest(x.n_lines, y.n_lines) > 3 * least(x.n_lines, y.n_lines)) AND coalesce(abs(x.arity - y.arity) <= 2, true) GROUP BY p_brand"""
-
-
-@plan("flt_01_should_compare")
-def should_compare(d):
-    return f"""SELECT x.p_brand, count(*) AS n FROM {d.table('part')} x JOIN {d.table('part')} y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.p_partkey < y.p_partkey
-WHERE x.p_name IS DISTINCT FROM y.p_name GROUP BY x.p_brand"""
-
-
-_SIGNATURE = "CASE WHEN x.p_type = y.p_type THEN 1.0 ELSE 0.0 END"
-
-
-@plan("sim_02_signature")
-def signature(d):
-    """.3 arity + .3 types + .2 result + .2 names, halved where nothing but vacuous parts agree; all pairs of 0.7 or more.
-
-    Without equal types 0.7 takes equal names and sizes, so two joins on equality find all.  DuckDB compares all pairs.
-    """
-    s = f"s AS (SELECT p_partkey AS id, p_name, {d.size(d.words('p_name'))} AS arity, p_type, p_size FROM {d.table('part')} p)"
-    columns = f"""x.id AS a, y.id AS b, 1.0 - abs(x.arity - y.arity) / cast(greatest(x.arity, y.arity, 1) AS double) AS arity, {_SIGNATURE} AS type,
-  CASE WHEN x.p_size = y.p_size THEN 1.0 ELSE 0.5 END AS ret, CASE WHEN x.p_name = y.p_name THEN 1.0 ELSE 0.0 END AS names"""
-    if d.name == "duck":
-        pairs = f"SELECT {columns} FROM s x JOIN s y ON x.id < y.id"
-    else:
-        pairs = f"""SELECT {columns} FROM s x JOIN s y ON x.p_type = y.p_type AND x.id < y.id
-  UNION ALL SELECT {columns} FROM s x JOIN s y ON x.p_name = y.p_name AND x.p_size = y.p_size AND x.id < y.id WHERE (x.p_type = y.p_type) IS NOT TRUE"""
-    return f"""WITH {s}, t AS ({pairs}),
-u AS (SELECT a, b, (0.3 * arity + 0.3 * type + 0.2 * ret + 0.2 * names) * CASE WHEN type <= 0.5 AND ret <= 0.5 THEN 0.5 ELSE 1.0 END AS s FROM t)
-SELECT a, b, cast(round(s, 4) AS double) AS score FROM u WHERE round(s, 9) >= 0.7"""
-
-
 @plan("fn_14_normalize_type")
 def normalize_type(d):
     """Generic parts and spaces go, case is folded, synonyms meet."""
