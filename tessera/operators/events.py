@@ -25,24 +25,9 @@ def stuck_task(d, least: int = 3):
 
 @plan("agg_02_oscillating")
 def oscillating(d, least: int = 3):
+    """Beads that came to an end, well or badly, three times or more in all."""
     return f"""WITH {store(d)} SELECT bead, count(CASE WHEN kind = 'bead_completed' THEN 1 END) AS completed, count(CASE WHEN kind = 'bead_failed' THEN 1 END) AS failed FROM ev
-GROUP BY bead HAVING count(CASE WHEN kind = 'bead_completed' THEN 1 END) >= {least} AND count(CASE WHEN kind = 'bead_failed' THEN 1 END) >= {least}"""
-
-
-@plan("agg_03_rising_escalation")
-def rising_escalation(d, above: float = 0.2):
-    return f"""WITH {store(d)}, f AS (SELECT ws, kind FROM ev WHERE kind NOT IN ('bead_noted')) SELECT ws, count(*) AS total, count(CASE WHEN kind = 'bead_escalated' THEN 1 END) AS escalated,
-round(count(CASE WHEN kind = 'bead_escalated' THEN 1 END) / cast(count(*) AS double), 4) AS ratio FROM f GROUP BY ws HAVING count(CASE WHEN kind = 'bead_escalated' THEN 1 END) > {above} * count(*)"""
-
-
-@plan("agg_04_queue_starvation")
-def starvation(d, minutes: int = 30):
-    return f"WITH {store(d)} SELECT bead, max(us) AS last_us FROM ev GROUP BY bead HAVING (SELECT us FROM now) - max(us) >= {minutes} * cast(60000000 AS bigint)"
-
-
-@plan("agg_05_low_confidence_flood")
-def flood(d, below: float = 20.0, above: int = 10):
-    return f"WITH {store(d)} SELECT ws, count(*) AS n FROM ev WHERE kind = 'bead_noted' AND value < {below} GROUP BY ws HAVING count(*) > {above}"
+WHERE kind IN ('bead_completed', 'bead_failed') GROUP BY bead HAVING count(*) >= {least}"""
 
 
 @plan("agg_06_review_disagreement")
@@ -55,8 +40,8 @@ def backpressure(d):
     """The signals of all detectors in one stream."""
     return f"""WITH {store(d)}, signals AS (
 SELECT 'stuck_task' AS signal, bead AS subject, count(*) AS n FROM ev WHERE kind = 'bead_retried' GROUP BY bead HAVING count(*) >= 3
-UNION ALL SELECT 'oscillating_state', bead, count(*) FROM ev WHERE kind IN ('bead_completed', 'bead_failed') GROUP BY bead HAVING count(CASE WHEN kind = 'bead_failed' THEN 1 END) >= 3 AND count(CASE WHEN kind = 'bead_completed' THEN 1 END) >= 3
-UNION ALL SELECT 'rising_escalation', ws, count(*) FROM ev GROUP BY ws HAVING count(CASE WHEN kind = 'bead_escalated' THEN 1 END) > 0.2 * count(*)
+UNION ALL SELECT 'oscillating_state', bead, count(*) FROM ev WHERE kind IN ('bead_completed', 'bead_failed') GROUP BY bead HAVING count(*) >= 3
+UNION ALL SELECT 'rising_escalation', ws, count(*) FROM ev GROUP BY ws HAVING count(CASE WHEN kind = 'bead_escalated' THEN 1 END) > 0.5 * count(*)
 UNION ALL SELECT 'queue_starvation', bead, count(*) FROM ev GROUP BY bead HAVING (SELECT us FROM now) - max(us) >= 1800000000
 UNION ALL SELECT 'low_confidence_flood', ws, count(*) FROM ev WHERE kind = 'bead_noted' AND value < 20 GROUP BY ws HAVING count(*) > 10
 UNION ALL SELECT 'review_disagreement', bead, count(*) FROM ev WHERE kind = 'bead_failed' AND k <> 0 GROUP BY bead HAVING count(*) >= 3)

@@ -43,28 +43,6 @@ def budget(d):
 SELECT p.task, total, completed, wip, stuck, n_clear, n_complicated, n_complex, n_chaotic, s0, s1, s2, turbulence, id AS worst_bead, {trunc2('quiet / cast(nullif(completed, 0) AS double)')} AS quiet_rate FROM per p JOIN worst w ON p.task = w.task AND k = 1"""
 
 
-@plan("agg_14_complexity_weight")
-def complexity(d):
-    return f"WITH {beads(d)} SELECT task, {weight()} AS weight FROM per"
-
-
-@plan("agg_15_threshold_lookup")
-def threshold(d):
-    return f"WITH {beads(d)} SELECT task, cast({ladder(weight())} AS double) AS threshold FROM per"
-
-
-@plan("agg_16_budget_state")
-def budget_state(d):
-    """Depleted is tested first; no hard stop is applied."""
-    return f"""WITH {beads(d)}, r AS (SELECT task, {trunc2('quiet / cast(nullif(completed, 0) AS double)')} AS rate, {ladder(weight())} AS t FROM per)
-SELECT task, CASE WHEN rate IS NULL THEN 'unknown' WHEN rate < t - 0.2 THEN 'depleted' WHEN rate >= t THEN 'healthy' ELSE 'warning' END AS state FROM r"""
-
-
-@plan("agg_17_hard_stops")
-def hard_stops(d):
-    return f"WITH {beads(d)} SELECT task, s2 > 20 OR stuck > 8 OR n_chaotic > 6 AS hard_stop FROM per"
-
-
 @plan("src_06_turbulence_map")
 def turbulence_map(d):
     """A positional map field and its reading back."""
@@ -72,15 +50,6 @@ def turbulence_map(d):
     return f"""SELECT l_orderkey, l_linenumber, sum(cast({d.extract(body, 'L0: *([0-9]+)')} AS bigint) * 1) AS l0, cast(max({d.extract(body, 'L1: *([0-9]+)')}) AS bigint) AS l1 FROM {d.table('lineitem')} l GROUP BY l_orderkey, l_linenumber""".replace("sum(cast(", "max(cast(").replace(" AS bigint) * 1) AS l0", " AS bigint)) AS l0")
 
 
-@plan("agg_18_mode_vote")
-def mode_vote(d):
-    """Four thresholds vote: four alike are high, three medium, otherwise rule based."""
-    cls = [f"CASE WHEN {x} < {lo} THEN 0 WHEN {x} < {hi} THEN 1 ELSE 2 END" for x, lo, hi in (("l_quantity", 17, 34), ("l_discount", 0.04, 0.07), ("l_tax", 0.03, 0.06), ("l_extendedprice", 30000, 60000))]
-    return f"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f'{x} AS v{k}' for k, x in enumerate(cls))} FROM {d.table('lineitem')} l),
-n AS (SELECT *, {', '.join('(' + ' + '.join(f'CASE WHEN v{k} = {m} THEN 1 ELSE 0 END' for k in range(4)) + f') AS n{m}' for m in range(3))} FROM c)
-SELECT mode, confidence, count(*) AS n FROM (SELECT CASE WHEN n0 >= 3 THEN 'skill' WHEN n1 >= 3 THEN 'rule' WHEN n2 >= 3 THEN 'knowledge' ELSE 'rule' END AS mode, CASE greatest(n0, n1, n2) WHEN 4 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END AS confidence FROM n) t GROUP BY mode, confidence"""
-
-
 def cycles(d: SparkDialect) -> str:
     """CTE cyc(conv_id, turn, n_new, n_repeat, sev): new and repeated words of each turn."""
     return f"""t AS (SELECT conv_id, turn, item FROM {d.rows('conv_id, turn', d.words('text'), d.table('conversations'))} x),
@@ -88,37 +57,10 @@ f AS (SELECT conv_id, item, min(turn) AS first_turn FROM t GROUP BY conv_id, ite
 cyc AS (SELECT t.conv_id, t.turn, count(CASE WHEN first_turn = t.turn THEN 1 END) AS n_new, count(CASE WHEN first_turn < t.turn THEN 1 END) AS n_repeat, max(length(t.item)) AS sev FROM t JOIN f ON t.conv_id = f.conv_id AND t.item = f.item GROUP BY t.conv_id, t.turn)"""
 
 
-@plan("agg_19_severity_trend")
-def severity_trend(d):
-    return f"WITH {cycles(d)} SELECT conv_id, turn, CASE WHEN prev IS NULL THEN 'first' WHEN sev > prev THEN 'rising' WHEN sev < prev THEN 'falling' ELSE 'flat' END AS trend FROM (SELECT conv_id, turn, sev, lag(sev) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM cyc) x"
-
-
-@plan("agg_20_entropy")
-def entropy(d):
-    return f"""WITH n AS (SELECT user_id, event_type, count(*) AS c FROM {d.table('events')} e GROUP BY user_id, event_type), s AS (SELECT user_id, c / cast(sum(c) OVER (PARTITION BY user_id) AS double) AS p FROM n)
-SELECT user_id, round(-sum(p * ln(p) / ln(cast(2 AS double))), 3) AS entropy FROM s GROUP BY user_id"""
-
-
 def states(d: SparkDialect) -> str:
     return f"""{cycles(d)}, st AS (SELECT conv_id, turn, n_new, n_repeat, sev, CASE WHEN n_repeat > 2 * n_new THEN 'converging' WHEN n_new > 2 * n_repeat AND turn > 0 THEN 'diverging' WHEN n_new < 3 THEN 'stuck' WHEN sev < 12 THEN 'stable' ELSE 'stuck' END AS state FROM cyc)"""
 
 
-@plan("agg_21_convergence_state")
-def convergence(d):
-    return f"WITH {states(d)} SELECT conv_id, turn, state, CASE state WHEN 'converging' THEN 'early_stop' WHEN 'diverging' THEN 'escalate' WHEN 'stable' THEN 'continue' ELSE 'change_approach' END AS recommendation FROM st"
-
-
-@plan("agg_22_convergence_summary")
-def convergence_summary(d):
-    return f"""WITH {states(d)}, n AS (SELECT conv_id, state, count(*) AS c, min(turn) AS first_turn FROM st GROUP BY conv_id, state), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY c DESC, first_turn) AS k FROM n)
-SELECT conv_id, cast(sum(c) AS bigint) AS n_cycles, max(CASE WHEN k = 1 THEN state END) AS dominant FROM r GROUP BY conv_id"""
-
-
-@plan("agg_23_convergence_yield")
-def convergence_yield(d):
-    return f"WITH {states(d)} SELECT round(coalesce(count(CASE WHEN state = 'converging' THEN 1 END) / cast(nullif(count(*), 0) AS double), 0), 3) AS yield FROM st"
-
-
 def passes(d: SparkDialect) -> str:
     """CTE pass(grp, id, rn, d0..d3, verdict): review passes of a group; four dimensions of 1 to 5."""
     return f"pass AS (SELECT l_orderkey AS grp, l_linenumber AS id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS bigint) AS rn, 1 + l_linenumber % 5 AS d0, 1 + l_partkey % 5 AS d1, 1 + l_suppkey % 5 AS d2, 1 + cast(l_quantity AS bigint) % 5 AS d3, l_returnflag AS verdict FROM {d.table('lineitem')} l)"
@@ -127,31 +69,6 @@ def passes(d: SparkDialect) -> str:
 _DIST = "sqrt(cast(pow(x.d0 - y.d0, 2) + pow(x.d1 - y.d1, 2) + pow(x.d2 - y.d2, 2) + pow(x.d3 - y.d3, 2) AS double))"
 
 
-@plan("agg_24_map_distance")
-def map_distance(d):
-    return f"WITH {passes(d)} SELECT x.grp, round({_DIST}, 4) AS distance FROM pass x JOIN pass y ON x.grp = y.grp AND x.rn = 1 AND y.rn = 2"
-
-
-@plan("agg_25_noise_index")
-def noise_index(d):
-    """Mean distance of the first two blind passes of each group; null when exactly zero."""
-    return f"WITH {passes(d)} SELECT nullif(round(avg({_DIST}), 3), 0) AS noise_index, count(*) AS n_groups FROM pass x JOIN pass y ON x.grp = y.grp AND x.rn = 1 AND y.rn = 2"
-
-
-@plan("agg_26_agreement")
-def agreement(d):
-    """Of all pairs within a group: share of equal verdicts, and convergence 1 / (1 + mean distance)."""
-    return f"""WITH {passes(d)}, p AS (SELECT x.grp, {_DIST} AS dist, CASE WHEN x.verdict = y.verdict THEN 1 ELSE 0 END AS same FROM pass x JOIN pass y ON x.grp = y.grp AND x.rn < y.rn),
-g AS (SELECT grp, count(*) AS n FROM pass GROUP BY grp), s AS (SELECT grp, avg(dist) AS m, avg(cast(same AS double)) AS a FROM p GROUP BY grp)
-SELECT g.grp, round(coalesce(a, 1.0), 3) AS agreement, round(coalesce(1 / (1 + m), 1.0), 3) AS convergence FROM g LEFT JOIN s ON g.grp = s.grp"""
-
-
-@plan("agg_27_anchoring_drift")
-def anchoring(d):
-    """Exposed passes that moved two steps or more from their blind parent toward the anchor, on any dimension."""
-    return f"""WITH {passes(d)} SELECT y.grp, round(avg(CASE WHEN (abs(x.d0 - y.d0) >= 2 AND y.d0 > x.d0) OR (abs(x.d1 - y.d1) >= 2 AND y.d1 > x.d1) THEN cast(1 AS double) ELSE cast(0 AS double) END), 4) AS drift FROM pass y LEFT JOIN pass x ON x.grp = y.grp AND x.rn = y.rn - 1 WHERE y.rn > 1 GROUP BY y.grp"""
-
-
 @plan("jn_10_parent_child")
 def parent_child(d):
     return f"WITH {passes(d)} SELECT y.grp, y.rn, y.verdict, x.verdict AS parent_verdict FROM pass y LEFT JOIN pass x ON x.grp = y.grp AND x.rn = y.rn - 1"
@@ -167,21 +84,6 @@ def pairs_within(d):
     return f"WITH {passes(d)} SELECT x.grp, count(*) AS n_pairs FROM pass x JOIN pass y ON x.grp = y.grp AND x.rn < y.rn GROUP BY x.grp"
 
 
-@plan("agg_28_frequency_coverage")
-def coverage(d):
-    return f"""SELECT cast(l_shipdate_year AS bigint) AS yr, round(count(CASE WHEN l_discount > 0 THEN 1 END) / cast(count(*) AS double), 4) AS coverage, count(CASE WHEN l_tax >= 0.08 AND l_discount = 0 THEN 1 END) AS unbacked, count(DISTINCT l_orderkey) AS n_ids FROM (SELECT *, year(l_shipdate) AS l_shipdate_year FROM {d.table('lineitem')} l) t GROUP BY l_shipdate_year"""
-
-
-@plan("agg_29_escalation_advice")
-def escalation(d):
-    return f"WITH {passes(d)}, f AS (SELECT x.grp, count(CASE WHEN x.verdict <> y.verdict THEN 1 END) AS flips FROM pass x JOIN pass y ON x.grp = y.grp AND x.rn = y.rn - 1 GROUP BY x.grp) SELECT grp, flips, CASE WHEN flips >= 3 THEN 'arbiter' WHEN flips >= 1 THEN 'second_opinion' ELSE 'none' END AS advice FROM f"
-
-
-@plan("agg_30_hazard_summary")
-def hazards(d):
-    return f"""SELECT p_brand, count(*) AS n, count(CASE WHEN p_size < 10 THEN 1 END) AS n_open, count(DISTINCT p_type) AS n_layers, CASE WHEN count(CASE WHEN p_size < 10 THEN 1 END) = 0 THEN 'covered' WHEN count(CASE WHEN p_size < 10 THEN 1 END) * 2 < count(*) THEN 'partial' ELSE 'exposed' END AS state FROM {d.table('part')} p GROUP BY p_brand"""
-
-
 @plan("agg_31_ledger_seed")
 def ledger_seed(d):
     """Records numbered by nested ordinals."""
@@ -206,25 +108,11 @@ def first_pass(d):
 SELECT level, round(rate, 4) AS rate, round(exp((SELECT sum(ln(rate)) FROM r)), 4) AS end_to_end, rate <= (SELECT min(rate) FROM r) + 0.05 AS bottleneck FROM r"""
 
 
-@plan("agg_37_simplicity")
-def simplicity(d):
-    return f"SELECT doc_id, round(s, 4) AS coefficient, CASE WHEN s < 0.3 THEN 'simple' WHEN s < 0.6 THEN 'fair' ELSE 'complex' END AS verdict FROM (SELECT doc_id, length(replace(text, ' ', '')) / cast(nullif(length(text), 0) AS double) - 0.3 AS s FROM {d.table('documents')} x) t"
-
-
 @plan("agg_38_noise_bands")
 def noise_bands(d):
     return f"WITH {passes(d)}, o AS (SELECT x.grp, 100.0 * avg(CASE WHEN x.verdict = y.verdict THEN 1.0 ELSE 0.0 END) AS overlap FROM pass x JOIN pass y ON x.grp = y.grp AND x.rn < y.rn GROUP BY x.grp) SELECT grp, CASE WHEN overlap > 80 THEN 'low' WHEN overlap >= 50 THEN 'moderate' ELSE 'high' END AS noise FROM o"
 
 
-@plan("agg_39_harvest")
-def harvest(d):
-    """New names, case folded, not in the library, numbered on from its greatest number."""
-    s = "string" if d.name == "spark" else "varchar"
-    return f"""WITH lib AS (SELECT DISTINCT lower(p_name) AS n FROM {d.table('part')} p WHERE p_size > 45), cand AS (SELECT DISTINCT lower(p_name) AS n FROM {d.table('part')} q WHERE p_size <= 45),
-fresh AS (SELECT cand.n FROM cand LEFT JOIN lib ON cand.n = lib.n WHERE lib.n IS NULL), m AS (SELECT count(*) AS k FROM lib)
-SELECT n AS name, concat('STR-', lpad(cast((SELECT k FROM m) + row_number() OVER (ORDER BY n) AS {s}), 3, '0')) AS id FROM fresh"""
-
-
 @plan("agg_40_dominant_domain")
 def dominant(d):
     return f"WITH {beads(d)}, n AS (SELECT task, domain, count(*) AS c FROM bead GROUP BY task, domain), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY c DESC, CASE domain WHEN 'clear' THEN 0 WHEN 'complicated' THEN 1 WHEN 'complex' THEN 2 ELSE 3 END) AS k FROM n) SELECT task, domain FROM r WHERE k = 1"
@@ -249,8 +137,3 @@ def sampling_seed(d):
 @plan("fn_27_nines")
 def nines(d):
     return f"SELECT source, CASE WHEN rate < 1 THEN round(-log10(1 - rate), 4) END AS nines FROM (SELECT source, avg(CASE WHEN n_chars > 200 THEN 1.0 ELSE 0.0 END) AS rate FROM {d.table('documents')} x GROUP BY source) t"
-
-
-@plan("flt_23_open_hazards")
-def open_hazards(d):
-    return f"SELECT p_partkey FROM {d.table('part')} p WHERE {d.size(d.words('p_name'))} < 2 OR p_type = 'PROMO'"

@@ -208,26 +208,3 @@ def lcs(spark: SparkSession, folder: str) -> DataFrame:
     turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", F.split("text", "[ \\t\\n\\r]+").alias("w"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
     return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(F.arrow_udf(_lcs, "double")("w", "v"), 4).alias("lcs"))
-
-
-def lifecycle(applications: DataFrame) -> DataFrame:
-    """Stressor status by an ordered fold: probation, established after ten, retired by five misses in a row, once established."""
-    schema = T.StructType([T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("status", T.StringType()), T.StructField("rate", T.DoubleType())])
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        n = caught = misses = 0
-        status = "probation"
-        for hit in frame.sort_values(["at", "tie"])["caught"]:
-            n, caught = n + 1, caught + int(hit)
-            misses = 0 if hit else misses + 1
-            if status != "retired":
-                status = "retired" if status == "established" and misses >= 5 else "established" if n >= 10 else status
-        return pd.DataFrame({"sid": [int(frame["sid"].iloc[0])], "n": [n], "status": [status], "rate": [math.floor(100 * caught / n) / 100]})
-
-    return applications.groupBy("sid").applyInPandas(fold, schema)
-
-
-@REGISTRY.frame("win_15_lindy_lifecycle")
-def lindy_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
-    return lifecycle(lines.select(F.col("l_suppkey").alias("sid"), F.col("l_orderkey").alias("at"), F.struct("l_linenumber", "l_partkey").cast("string").alias("tie"), (F.col("l_returnflag") == "R").alias("caught")))

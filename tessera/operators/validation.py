@@ -110,39 +110,6 @@ def smells(d):
     return f"SELECT doc_id, cast({d.size(d.all_matches('text', 'the [a-z]+'))} AS bigint) AS n_the, {d.matches('text', '\\bas any\\b')} AS as_any FROM {d.table('documents')} x"
 
 
-@plan("flt_04_boundary")
-def boundary(d):
-    """Novel, in scope, adjacent or crossing: by prefix and top directory of the path."""
-    path = d.replace("url", "^https?://[^/]*/", "")
-    return f"SELECT page_id, CASE WHEN path = '' THEN 'novel' WHEN path LIKE 'en/1%' THEN 'in_scope' WHEN {d.extract('path', '^([^/]+)')} = 'en' THEN 'adjacent' ELSE 'boundary_crossing' END AS class FROM (SELECT page_id, {path} AS path FROM {d.table('pages')} p) t"
-
-
-@plan("flt_05_auto_promotion")
-def promotion(d):
-    """Two keywords or more of any pattern, long words only."""
-    pats = ["the", "that", "with", "from"]
-    hits = " + ".join(f"CASE WHEN {d.contains('lower(text)', d.text(p))} THEN 1 ELSE 0 END" for p in pats)
-    return f"SELECT doc_id, {hits} AS hits FROM {d.table('documents')} x WHERE {hits} >= 2"
-
-
-@plan("flt_06_routing")
-def routing(d):
-    routes = {"long": "length(text) > 5000", "code": d.matches("text", "[{};]"), "table": d.contains("text", "'|'"), "secret": d.matches("text", "password|token"), "list": d.matches("text", "(?m)^- ")}
-    parts = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS validator FROM {d.table('documents')} x WHERE {v}" for k, v in routes.items())
-    return f"SELECT doc_id, validator FROM ({parts}) t"
-
-
-@plan("flt_07_transitions")
-def transitions(d):
-    return f"""WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM {d.table('conversations')} c)
-SELECT conv_id, turn, CASE WHEN prev IS NULL OR (prev = 'user' AND role = 'assistant') OR (prev = 'assistant' AND role = 'user') OR (prev = 'system' AND role = 'user') THEN 'legal' ELSE 'illegal' END AS verdict FROM t"""
-
-
-@plan("flt_08_empty_catch")
-def empty_catch(d):
-    return f"SELECT page_id FROM {d.table('pages')} p WHERE {d.matches('html', 'var t=|catch *\\([^)]*\\) *\\{[ \\n]*\\}')}"
-
-
 @plan("flt_09_vocabulary")
 def vocabulary(d):
     return f"WITH {lines(d, 'documents', 'doc_id')}, v AS (SELECT 'licensed' AS term UNION ALL SELECT 'rights' UNION ALL SELECT 'released') SELECT id, pos, term FROM ln JOIN v ON {d.contains('lower(item)', 'term')}"
@@ -165,13 +132,6 @@ def report_sections(d):
     return f"SELECT doc_id, cast({d.size(d.lines('text'))} AS bigint) AS n_lines, {d.size(d.lines('text'))} >= 3 AS long_enough, {d.matches('text', '(?m)^(All rights|Licensed|Released|This work)')} AS has_verdict FROM {d.table('documents')} x"
 
 
-@plan("flt_13_suppression_score")
-def suppression_score(d):
-    """Licence lines score by the words before them: two for a long line, one for any, none without."""
-    return f"""WITH {lines(d, 'documents', 'doc_id')}, c AS (SELECT id, pos, item, lag(item) OVER (PARTITION BY id ORDER BY pos) AS prev FROM ln)
-SELECT id, pos, CASE WHEN prev IS NULL THEN 0 WHEN length(prev) > 80 THEN 2 ELSE 1 END AS score FROM c WHERE {d.matches('item', '[Ll]icense|rights reserved')}"""
-
-
 @plan("flt_14_section_markers")
 def section_markers(d):
     return f"SELECT page_id, {d.extract('html', '<h1>([^<]*)</h1>')} AS title, {d.matches('html', '<h1>[^<]{20,}')} AS long_title FROM {d.table('pages')} p"
