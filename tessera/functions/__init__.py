@@ -1,0 +1 @@
+"""Functions of names, types and sequences that expressions cannot say."""

@@ -183,41 +183,12 @@ def rehydrate(d):
 SELECT conv_id, max(turn) AS last_turn, {d.joined('role', 'turn')} AS last_roles FROM j WHERE k <= 3 GROUP BY conv_id"""
 
 
-@plan("str_06_finding_lifecycle")
-def lifecycle(d):
-    """The last transition of a finding decides its state and its salience."""
-    return f"""WITH {store(d)}, r AS (SELECT bead, kind, row_number() OVER (PARTITION BY bead ORDER BY us DESC, event_id DESC) AS k FROM ev)
-SELECT bead, CASE kind WHEN 'bead_completed' THEN 'promoted' WHEN 'bead_failed' THEN 'suppressed' WHEN 'bead_retried' THEN 'deferred' ELSE 'open' END AS state,
-cast(CASE kind WHEN 'bead_retried' THEN 0.1 WHEN 'bead_failed' THEN 0.0 ELSE 1.0 END AS double) AS salience FROM r WHERE k = 1"""
-
-
-@plan("str_07_archive")
-def archive(d, days: int = 5, salience: float = 2.0):
-    return f"WITH {store(d)} SELECT event_id, CASE WHEN us < (SELECT us FROM now) - {days} * cast(86400000000 AS bigint) THEN 'expired' ELSE 'faded' END AS why FROM ev WHERE value < {salience} OR us < (SELECT us FROM now) - {days} * cast(86400000000 AS bigint)"
-
-
-@plan("str_08_stale_claims")
-def stale_claims(d):
-    """Claims whose owner has been silent beyond its domain's threshold: retried, or sent to review when spent."""
-    return f"""WITH {store(d)}, a AS (SELECT bead, max(us) AS beat, count(CASE WHEN kind = 'bead_retried' THEN 1 END) AS retries FROM ev GROUP BY bead),
-t AS (SELECT bead, retries, (SELECT us FROM now) - beat AS silent, CASE bead % 5 WHEN 0 THEN 300 WHEN 1 THEN 900 WHEN 2 THEN 1800 WHEN 3 THEN 300 ELSE 900 END * cast(60000000 AS bigint) AS patience FROM a)
-SELECT bead, CASE WHEN retries < 15 THEN 'pending' ELSE 'needs_review' END AS next_status, CASE WHEN retries < 15 THEN retries + 1 ELSE retries END AS next_retries FROM t WHERE silent > patience"""
-
-
 @plan("jn_06_stale_join")
 def stale_join(d):
     return f"""WITH {store(d)}, agents AS (SELECT bead, max(us) AS beat FROM ev WHERE kind = 'bead_noted' GROUP BY bead), tasks AS (SELECT event_id, bead, us FROM ev WHERE kind = 'bead_escalated')
 SELECT event_id, t.bead FROM tasks t JOIN agents a ON t.bead = a.bead WHERE a.beat < t.us"""
 
 
-@plan("str_09_work_detection")
-def work_detection(d):
-    """What is to be done next for each workstream, blacklisted beads aside."""
-    return f"""WITH {store(d)}, black AS (SELECT bead FROM ev WHERE kind = 'bead_failed' GROUP BY bead HAVING count(*) >= 20),
-f AS (SELECT e.* FROM ev e LEFT JOIN black b ON e.bead = b.bead WHERE b.bead IS NULL)
-SELECT ws, count(CASE WHEN kind = 'bead_retried' THEN 1 END) AS pending, round(sum(value), 2) AS cost, CASE WHEN sum(value) > 20000 THEN 'stop' WHEN count(CASE WHEN kind = 'bead_retried' THEN 1 END) > 150 THEN 'dispatch' ELSE 'synthesize' END AS work FROM f GROUP BY ws"""
-
-
 @plan("str_10_prune_candidates")
 def prune(d):
     return f"SELECT o_custkey, count(*) AS n FROM {d.table('orders')} o GROUP BY o_custkey HAVING count(CASE WHEN o_orderstatus = 'P' THEN 1 END) = 0 AND (count(CASE WHEN o_orderstatus = 'F' THEN 1 END) > 0 OR count(*) > 10)"

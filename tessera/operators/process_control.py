@@ -32,14 +32,6 @@ def moving_range(d):
     return f"WITH {daily(d)}, r AS (SELECT kind, v, abs(v - lag(v) OVER (PARTITION BY kind ORDER BY t)) AS mr FROM day) SELECT kind, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(avg(mr) / 1.128, 4) END AS sigma FROM r GROUP BY kind"
 
 
-@plan("win_10_rolling_budget")
-def rolling(d):
-    """Last ten points within thirty days; escapes over the last three; two or more turbulent ones."""
-    w = lambda n: f"OVER (PARTITION BY kind ORDER BY t ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
-    return f"""WITH {daily(d)} SELECT kind, t, round(avg(v) {w(9)}, 4) AS mean10, cast(sum(CASE WHEN v > 75 THEN 1 ELSE 0 END) {w(2)} AS bigint) AS escapes3, cast(sum(CASE WHEN v > 70 THEN 1 ELSE 0 END) {w(9)} AS bigint) >= 2 AS turbulent,
-count(*) OVER (PARTITION BY kind ORDER BY t RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS n30 FROM day"""
-
-
 @plan("win_12_trend_bands")
 def trend(d):
     return f"WITH {daily(d)}, r AS (SELECT kind, t, v / nullif(lag(v) OVER (PARTITION BY kind ORDER BY t), 0) - 1 AS delta FROM day) SELECT kind, t, CASE WHEN delta IS NULL THEN 'none' WHEN delta <= -0.2 THEN 'alarm' WHEN delta < -0.1 THEN 'declining' WHEN delta > 0.1 THEN 'improving' ELSE 'stable' END AS trend FROM r"

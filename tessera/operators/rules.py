@@ -251,6 +251,24 @@ def lifecycle(applied: DataFrame) -> DataFrame:
     return out.selectExpr("stressor", "n", "caught", "rate", f"{status} AS status", "changes")
 
 
+def applicable(beads: DataFrame, library: DataFrame) -> DataFrame:
+    """(bead, stressor): stressors for a bead's domain and tags; an empty list asks for nothing, retired ones never apply.
+
+    The library is a table of rules: it rides along as one value.
+    """
+    rules = library.where("status <> 'retired'").agg(F.collect_list(F.struct("stressor", "domains", "tags")).alias("r")).scalar()
+    fits = "filter(rules, r -> (size(r.domains) = 0 OR array_contains(r.domains, domain)) AND (size(r.tags) = 0 OR arrays_overlap(r.tags, tags)))"
+    return beads.withColumn("rules", rules).select("bead", F.explode(F.expr(fits)).alias("r")).select("bead", "r.stressor")
+
+
+_STRESSORS = [("s1", [], [], "established"), ("s2", ["complex"], [], "provisional"), ("s3", [], ["io", "net"], "established"), ("s4", ["clear"], ["io"], "established"), ("s5", [], [], "retired")]
+cases(
+    "jn_13_stressor_applicability", "bead string, domain string, tags array<string>", [("a", "complex", ["io"]), ("b", "clear", ["ui"]), ("c", "clear", ["io"]), ("d", "chaotic", [])],
+    lambda b: applicable(b, b.sparkSession.createDataFrame(_STRESSORS, "stressor string, domains array<string>, tags array<string>, status string")), "bead, stressor",
+    [("a", "s1"), ("a", "s2"), ("a", "s3"), ("b", "s1"), ("c", "s1"), ("c", "s3"), ("c", "s4"), ("d", "s1")],
+)
+
+
 def simplicity(beads: DataFrame) -> DataFrame:
     """(bead, coefficient, verdict): the problem's size over the solution's."""
     problem = "2 * files + CASE domain WHEN 'ESSENTIAL' THEN 3 ELSE 1 END + CASE cynefin WHEN 'clear' THEN 1 WHEN 'complicated' THEN 2 ELSE 3 END + criteria"
@@ -283,6 +301,26 @@ cases(
 )
 
 
+def rolling_budget(tasks: DataFrame) -> DataFrame:
+    """(task, rate, escapes, high, state) over the last ten tasks that are no older than thirty days; escapes of the last three.
+
+    A frame of ten rows is a bounded list; what is too old in it is left out.
+    """
+    order = Window.partitionBy("system").orderBy("day", "task")
+    held = F.collect_list(F.struct("day", "quiet", "escapes", "high")).over(order.rowsBetween(-9, 0))
+    rows = tasks.withColumn("held", held).withColumn("held", F.expr("filter(held, h -> h.day > day - 30)"))
+    out = rows.selectExpr("task", "aggregate(held, 0D, (s, h) -> s + int(h.quiet)) / size(held) AS rate", "aggregate(slice(held, greatest(1, size(held) - 2), 3), 0, (s, h) -> s + h.escapes) AS escapes", "size(filter(held, h -> h.high)) AS high")
+    return out.selectExpr("task", "round(rate, 4) AS rate", "escapes", "high", "CASE WHEN rate < 0.5 OR escapes > 1 OR high >= 2 THEN 'depleted' WHEN rate >= 0.7 AND escapes = 0 THEN 'healthy' ELSE 'warning' END AS state")
+
+
+cases(
+    "win_10_rolling_budget", "system string, task int, day int, quiet boolean, escapes int, high boolean",
+    [("s", 1, 0, True, 0, False), ("s", 2, 10, False, 1, False), ("s", 3, 20, True, 0, False), ("s", 4, 30, True, 0, True), ("s", 5, 31, True, 0, True), ("s", 6, 70, True, 2, False), ("t", 7, 0, False, 0, False)],
+    rolling_budget, "task, rate, escapes, high, state",
+    [(1, 1.0, 0, 0, "healthy"), (2, 0.5, 1, 0, "warning"), (3, 0.6667, 1, 0, "warning"), (4, 0.6667, 1, 1, "warning"), (5, 0.75, 0, 2, "depleted"), (6, 1.0, 2, 0, "depleted"), (7, 0.0, 0, 0, "depleted")], "rate",
+)
+
+
 # -- events and findings ------------------------------------------------------------------------------------------
 def rising_escalation(findings: DataFrame, share: float = 0.5) -> DataFrame:
     """(workstream, escalated, n) where more than ``share`` of what is neither archived nor suppressed is escalated."""

@@ -34,20 +34,6 @@ def stable_hash(d):
     return f"SELECT item_id, {d.translate_hex(h)} AS h FROM {d.table('benchmark')} b WHERE text IS NOT NULL"
 
 
-def fingerprints(d, k: int = 5, w: int = 4) -> str:
-    """CTE fp(id, f): the set of window minima of gram hashes; all hashes of an item with fewer than w."""
-    h = d.sha("g")
-    return f"""{grams(k)}, hashed AS (SELECT id, pos, {d.translate_hex(h)} AS h FROM grams),
-minima AS (SELECT id, min(h) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS f,
-  count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY pos) AS k, h FROM hashed),
-fp AS (SELECT DISTINCT id, CASE WHEN n < {w} THEN h ELSE f END AS f FROM minima WHERE n < {w} OR k <= n - {w - 1})"""
-
-
-@plan("fn_08_winnow")
-def winnow(d):
-    return f"WITH {tokens(d, 'benchmark', 'item_id')}, {fingerprints(d)} SELECT id, f FROM fp"
-
-
 @plan("jn_17_benchmark_containment")
 def containment(d):
     """Benchmark items of whose word triples a document holds at least 60 %: asymmetric overlap."""
@@ -84,13 +70,6 @@ def neighbourhood_hashes(d):
     return f"WITH {neighbourhoods(d)} SELECT id, count(*) AS n_hashes, min(f) AS least FROM nb GROUP BY id"
 
 
-@plan("fn_14_normalize_type")
-def normalize_type(d):
-    """Generic parts and spaces go, case is folded, synonyms meet."""
-    plain = d.replace("lower(trim(p_type))", "<[^>]*>|\\[[^\\]]*\\]", "")
-    return f"""SELECT p_partkey, CASE WHEN p_type IS NULL OR p_type = '' THEN 'any' WHEN {plain} IN ('economy', 'small') THEN 'number' WHEN {plain} IN ('standard', 'medium') THEN 'string' ELSE {plain} END AS norm FROM {d.table('part')} p"""
-
-
 @plan("fn_01_tokenize")
 def tokenize(d):
     """Camel, snake and kebab names to lower-case tokens."""
@@ -115,15 +94,3 @@ def nesting(d):
 i AS (SELECT doc_id, max(cast(floor((length(item) - length(ltrim(item))) / 4.0) AS bigint)) AS indent FROM l GROUP BY doc_id),
 t AS (SELECT doc_id, item FROM {d.rows('doc_id', d.words('text'), d.table('documents'))} x), b AS (SELECT doc_id, count(*) AS n FROM t WHERE item IN ('for', 'with', 'if', 'while', 'try') GROUP BY doc_id)
 SELECT i.doc_id, coalesce(n, 0) AS nesting, indent FROM i LEFT JOIN b ON i.doc_id = b.doc_id"""
-
-
-@plan("fn_13_embedding_cosine")
-def embedding_cosine(d):
-    """Dense cosine with the best partner of the same label."""
-    if d.name == "spark":
-        dot, norm = "aggregate(zip_with({0}, {1}, (p, q) -> cast(p AS double) * q), cast(0 AS double), (s, v) -> s + v)", "sqrt(aggregate({0}, cast(0 AS double), (s, v) -> s + cast(v AS double) * v))"
-    else:
-        dot, norm = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])", "sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[]))"
-    return f"""WITH e AS (SELECT vec_id, label, embedding, {norm.format('embedding')} AS n FROM {d.table('embeddings')} x),
-p AS (SELECT x.vec_id AS a, y.vec_id AS b, {dot.format('x.embedding', 'y.embedding')} / (x.n * y.n) AS s FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id)
-SELECT a, b, round(s, 4) AS score FROM p WHERE round(s, 9) >= 0.5"""

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.names import name_score, name_tokens, normal_type
 from tessera.operators import strategies_sql as oracle
-from tessera.operators.strategy_values import FACTORIES, HIGH, KEYWORDS, LOW, MEDIUM, OPENERS, SEQUENCE, SPELLINGS, STATEMENTS, SURFACE, WEIGHTS
-from tessera.operators.udf_operators import LONG_FORMS, name_score, name_tokens
+from tessera.operators.strategy_values import FACTORIES, HIGH, KEYWORDS, LOW, MEDIUM, OPENERS, SEQUENCE, STATEMENTS, SURFACE, WEIGHTS
 from tessera.operators.udf_operators import _lcs as lcs_similarity
 from tessera.plans.dialect import REGISTRY
 from tessera.sources import samples
@@ -150,19 +150,6 @@ def fuzzy_name(catalog: DataFrame) -> DataFrame:
     return guarded(_expand(scored, catalog, "name"), catalog)
 
 
-def normal_type(raw: str | None) -> str:
-    """Lower case, no generic part, of a union the first that is a type, and one name of several spellings."""
-    import re
-
-    t = re.sub(r"[<\[].*?[>\]]", "", (raw or "").strip().lower())
-    if not raw:
-        return "any"
-    if "|" in t:
-        t = next((p for p in (p.strip() for p in t.split("|")) if p not in ("null", "none", "undefined", "void", "")), "void")
-    t = re.sub(r"[^a-z]", "", t)
-    return SPELLINGS.get(t, t) if t else "any"
-
-
 def signature_score(a: dict, b: dict) -> float:
     """.3 arity + .3 types + .2 result + .2 parameter names, halved where types and result say nothing."""
     p, q = a["params"] or [], b["params"] or []
@@ -472,6 +459,15 @@ def _metadata(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "end_a", "end_b")
 
 
+@REGISTRY.frame("fn_13_sparse_cosine", oracle.COSINES)
+def _cosines(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of the word counts of all benchmark items that share a word of at most three items."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("id"), F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "").alias("words"))
+    rows = features(items, "words")
+    rare = rows.where("df <= 3")
+    return counted(_met(rare, rare), rows).selectExpr("a", "b", "round(dot / sqrt(p * q), 4) AS score")
+
+
 @REGISTRY.frame("jn_01_theta_rewritten", oracle.strategy("theta"))
 def _theta(spark: SparkSession, folder: str) -> DataFrame:
     """A score that needs overlap, as a join on the shared elements that could decide."""
@@ -502,8 +498,3 @@ def _different(spark: SparkSession, folder: str) -> DataFrame:
 def _unlike(spark: SparkSession, folder: str) -> DataFrame:
     known = samples.catalog(spark).selectExpr(*_COLUMNS)
     return known.alias("x").join(known.alias("y"), F.expr(f"x.arity <=> y.arity AND x.id < y.id AND NOT ({UNLIKE})")).selectExpr("x.id AS a", "y.id AS b")
-
-
-def expanded(tokens: list[str]) -> list[str]:
-    """Tokens with their long forms."""
-    return [LONG_FORMS.get(t, t) for t in tokens]

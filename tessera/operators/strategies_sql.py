@@ -5,8 +5,8 @@ Nothing here joins on features or cuts candidates: each CTE compares all guarded
 
 from __future__ import annotations
 
-from tessera.operators.strategy_values import FACTORIES, KEYWORDS, OPENERS, SEQUENCE, SPELLINGS, STATEMENTS, SURFACE, WEIGHTS
-from tessera.operators.udf_operators import LONG_FORMS, SYNONYMS
+from tessera.functions.names import LONG_FORMS, SPELLINGS, SYNONYMS
+from tessera.operators.strategy_values import FACTORIES, KEYWORDS, OPENERS, SEQUENCE, STATEMENTS, SURFACE, WEIGHTS
 from tessera.sources import samples
 
 
@@ -159,3 +159,13 @@ AND NOT coalesce(regexp_matches(x.name, '^(create|get|update|delete)') AND regex
 WORD_SETS = """WITH w AS (SELECT DISTINCT doc_id AS id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS w FROM documents) WHERE w <> ''),
 n AS (SELECT id, count(*) AS n FROM w GROUP BY id HAVING count(*) >= 5), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.w = y.w AND x.id < y.id GROUP BY ALL)
 SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 4) AS score FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 4 * c >= 3 * (p.n + q.n - c)"""
+
+#: Cosine of word counts of items that share a word of at most three items, by lists of counts.
+COSINES = """WITH w AS (SELECT item_id AS id, w, count(*) AS x FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY ALL),
+rare AS (SELECT w FROM w GROUP BY w HAVING count(*) IN (2, 3)), met AS (SELECT DISTINCT x.id AS a, y.id AS b FROM w x JOIN w y ON x.w = y.w AND x.id < y.id WHERE x.w IN (FROM rare))
+SELECT a, b, round((SELECT sum(x.x * y.x) FROM w x JOIN w y ON x.w = y.w WHERE x.id = a AND y.id = b) / sqrt((SELECT sum(x * x) FROM w WHERE id = a) * (SELECT sum(x * x) FROM w WHERE id = b)::DOUBLE), 4) AS score FROM met"""
+
+#: Longest common subsequence of consecutive turns' words.
+TURNS = f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, regexp_split_to_array(text, '[ \\t\\n\\r]+') AS w FROM conversations),
+met AS (SELECT x.conv_id AS a, x.turn AS b, x.w AS p, y.w AS q FROM turns x JOIN turns y ON x.conv_id = y.conv_id AND x.turn + 1 = y.turn), {_lcs('l', 'met')}
+SELECT a AS conv_id, b AS turn, round(2.0 * l / (len(p) + len(q)), 4) AS lcs FROM l JOIN met USING (a, b)"""

@@ -8,13 +8,6 @@ False print self cls""".split()
 #: Tokens that begin a statement block, and tokens that open one.
 STATEMENTS = "FunctionDef AsyncFunctionDef If For While Try With Return Assign AugAssign Expr Raise Assert Delete Import ClassDef".split()
 OPENERS = "If For AsyncFor While Try TryStar With AsyncWith IfStatement ForStatement ForInStatement ForOfStatement WhileStatement DoStatement TryStatement WithStatement".split()
-#: One type of several spellings, by spelling.
-_SPELLINGS = """
-    list:array tuple:array set:array frozenset:array sequence:array iterable:array iterator:array dict:object mapping:object record:object map:object
-    str:string int:number float:number double:number integer:number bool:boolean none:void null:void undefined:void callable:function
-    coroutine:promise awaitable:promise generator:iterator optional: union: readonly: partial:
-"""
-SPELLINGS = dict(pair.split(":") for pair in _SPELLINGS.split())
 #: Weight of each strategy; one that is unknown weighs 0.5.
 WEIGHTS = {
     "token_clone": 0.95, "llm_semantic": 0.9, "ast_similarity": 0.85, "pdg_semantic": 0.8, "tfidf_index": 0.75, "code_embedding": 0.72,

@@ -10,10 +10,6 @@ from tessera.plans.dialect import REGISTRY, SparkDialect
 
 plan = REGISTRY.plan
 
-#: Complexity weight up to which a threshold holds; 0.50 beyond the last.
-THRESHOLDS = ((0.5, 0.9), (0.8, 0.8), (1.1, 0.7), (1.5, 0.6))
-
-
 def trunc2(x: str) -> str:
     return f"floor(({x}) * 100 + 0.0000001) / 100"
 
@@ -29,14 +25,6 @@ per AS (SELECT task, count(*) AS total, count(CASE WHEN status = 'completed' THE
   cast(sum(l0) AS bigint) AS s0, cast(sum(l1) AS bigint) AS s1, cast(sum(l2) AS bigint) AS s2, cast(sum(turbulence) AS bigint) AS turbulence, count(CASE WHEN status = 'completed' AND has_field = 1 AND turbulence = 0 THEN 1 END) AS quiet FROM bead GROUP BY task)"""
 
 
-def weight() -> str:
-    return trunc2("(0.5 * n_complicated + 1.0 * n_complex + 1.5 * n_chaotic) / cast(total AS double)")
-
-
-def ladder(w: str) -> str:
-    return "CASE " + " ".join(f"WHEN {w} <= {m} THEN {t}" for m, t in THRESHOLDS) + " ELSE 0.50 END"
-
-
 @plan("agg_13_quality_budget")
 def budget(d):
     return f"""WITH {beads(d)}, worst AS (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY turbulence DESC, id) AS k FROM bead)
@@ -50,25 +38,11 @@ def turbulence_map(d):
     return f"""SELECT l_orderkey, l_linenumber, sum(cast({d.extract(body, 'L0: *([0-9]+)')} AS bigint) * 1) AS l0, cast(max({d.extract(body, 'L1: *([0-9]+)')}) AS bigint) AS l1 FROM {d.table('lineitem')} l GROUP BY l_orderkey, l_linenumber""".replace("sum(cast(", "max(cast(").replace(" AS bigint) * 1) AS l0", " AS bigint)) AS l0")
 
 
-def cycles(d: SparkDialect) -> str:
-    """CTE cyc(conv_id, turn, n_new, n_repeat, sev): new and repeated words of each turn."""
-    return f"""t AS (SELECT conv_id, turn, item FROM {d.rows('conv_id, turn', d.words('text'), d.table('conversations'))} x),
-f AS (SELECT conv_id, item, min(turn) AS first_turn FROM t GROUP BY conv_id, item),
-cyc AS (SELECT t.conv_id, t.turn, count(CASE WHEN first_turn = t.turn THEN 1 END) AS n_new, count(CASE WHEN first_turn < t.turn THEN 1 END) AS n_repeat, max(length(t.item)) AS sev FROM t JOIN f ON t.conv_id = f.conv_id AND t.item = f.item GROUP BY t.conv_id, t.turn)"""
-
-
-def states(d: SparkDialect) -> str:
-    return f"""{cycles(d)}, st AS (SELECT conv_id, turn, n_new, n_repeat, sev, CASE WHEN n_repeat > 2 * n_new THEN 'converging' WHEN n_new > 2 * n_repeat AND turn > 0 THEN 'diverging' WHEN n_new < 3 THEN 'stuck' WHEN sev < 12 THEN 'stable' ELSE 'stuck' END AS state FROM cyc)"""
-
-
 def passes(d: SparkDialect) -> str:
     """CTE pass(grp, id, rn, d0..d3, verdict): review passes of a group; four dimensions of 1 to 5."""
     return f"pass AS (SELECT l_orderkey AS grp, l_linenumber AS id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS bigint) AS rn, 1 + l_linenumber % 5 AS d0, 1 + l_partkey % 5 AS d1, 1 + l_suppkey % 5 AS d2, 1 + cast(l_quantity AS bigint) % 5 AS d3, l_returnflag AS verdict FROM {d.table('lineitem')} l)"
 
 
-_DIST = "sqrt(cast(pow(x.d0 - y.d0, 2) + pow(x.d1 - y.d1, 2) + pow(x.d2 - y.d2, 2) + pow(x.d3 - y.d3, 2) AS double))"
-
-
 @plan("jn_10_parent_child")
 def parent_child(d):
     return f"WITH {passes(d)} SELECT y.grp, y.rn, y.verdict, x.verdict AS parent_verdict FROM pass y LEFT JOIN pass x ON x.grp = y.grp AND x.rn = y.rn - 1"
@@ -118,14 +92,6 @@ def dominant(d):
     return f"WITH {beads(d)}, n AS (SELECT task, domain, count(*) AS c FROM bead GROUP BY task, domain), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY c DESC, CASE domain WHEN 'clear' THEN 0 WHEN 'complicated' THEN 1 WHEN 'complex' THEN 2 ELSE 3 END) AS k FROM n) SELECT task, domain FROM r WHERE k = 1"
 
 
-@plan("jn_13_stressor_applicability")
-def applicability(d):
-    """Stressors that apply to a bead: an empty list is a wildcard, otherwise tags must meet; retired ones never."""
-    return f"""WITH s AS (SELECT n_nationkey AS sid, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_regionkey END AS tag, n_nationkey % 7 = 0 AS retired FROM {d.table('nation')} n),
-b AS (SELECT s_suppkey AS bid, s_nationkey % 5 AS tag FROM {d.table('supplier')} x)
-SELECT bid, sid FROM b JOIN s ON b.tag = s.tag WHERE NOT retired UNION ALL SELECT bid, sid FROM b JOIN s ON s.tag IS NULL AND NOT retired"""
-
-
 @plan("fn_26_sampling_seed")
 def sampling_seed(d):
     s = "string" if d.name == "spark" else "varchar"

@@ -8,95 +8,22 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessera.functions.names import lcs_length
+from tessera.operators import strategies_sql as oracle
 from tessera.plans.dialect import REGISTRY
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Longest common subsequence, a whole row of the table at a time as the bits of one integer (Hyyro, 2004)."""
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    whole = (1 << len(a)) - 1
-    row = whole
-    for y in b:
-        met = row & places.get(y, 0)
-        row = ((row + met) | (row - met)) & whole
-    return len(a) - row.bit_count()
-
-
 def _lcs(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([2.0 * lcs_length(x, y) / (len(x) + len(y)) if x or y else 0.0 for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-#: A group of synonyms a line, of a word in several the last counts; short and long forms of words.
-_SYNONYMS = """
-    fetch get load read retrieve
-    find locate lookup query search seek
-    change modify mutate patch put set update write
-    build construct create generate init make new produce
-    clear delete destroy drop erase purge remove wipe
-    assert check confirm ensure test validate verify
-    display format present print render show stringify
-    decode deserialize extract parse unpack unwrap
-    broadcast dispatch emit notify post publish send
-    call execute handle invoke on perform process run
-    convert encode map serialize transform translate
-    can contains exists has is should
-    arrange order organize prioritize rank sort
-    array collection elements entries items list records
-    activate begin boot initialize launch open start
-    close complete end finalize finish shutdown stop terminate
-    aggregate calculate compute count evaluate measure sum total
-    exclude filter omit prune reject skip
-    compare contrast diff equals match
-    error exception failure fault issue problem
-    audit debug log record trace track
-"""
-_SHORT = """
-    fmt:format str:string num:number val:value msg:message err:error req:request res:response cfg:config ctx:context btn:button el:element
-    evt:event cb:callback fn:function arg:argument param:parameter idx:index len:length tmp:temp prev:previous cur:current src:source
-    dst:destination opt:option auth:authenticate db:database env:environment repo:repository impl:implementation init:initialize
-    conf:configuration conn:connection sess:session proc:process mgr:manager svc:service ctrl:controller gen:generate calc:calculate
-    exec:execute doc:document desc:description info:information ref:reference spec:specification attr:attribute prop:property obj:object
-    arr:array dict:dictionary tbl:table col:column fld:field rec:record usr:user grp:group org:organization app:application lib:library
-    pkg:package mod:module dir:directory cmd:command op:operation tx:transaction async:asynchronous sync:synchronous seq:sequence
-    max:maximum min:minimum avg:average agg:aggregate acc:accumulate iter:iterate delim:delimiter sep:separator buf:buffer alloc:allocate
-    dup:duplicate orig:original def:default pref:preference cmp:compare eq:equals util:utility hlp:helper sched:schedule ns:namespace
-    ver:version ts:timestamp
-"""
-SYNONYMS = {w: k for k, line in enumerate(_SYNONYMS.strip().split("\n")) for w in line.split()}
-LONG_FORMS = dict(pair.split(":") for pair in _SHORT.split())
-
-
-def name_tokens(name: str) -> list[str]:
-    """Camel, snake and kebab names to lower-case tokens."""
-    name = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name))
-    return [t.lower() for t in re.split(r"[^a-zA-Z0-9]+", name) if t]
-
-
-def name_score(a: str, b: str) -> float:
-    """.3 edit ratio + .4 token Jaccard + .2 synonyms (0 to 0.3) + .1 abbreviations (0 to 0.2)."""
-    jaccard = lambda p, q: len(p & q) / len(p | q) if p or q else 0.0
-    x, y = set(name_tokens(a)), set(name_tokens(b))
-    ratio = 2.0 * lcs_length(list(a), list(b)) / (len(a) + len(b)) if a or b else 1.0
-    only = min(len(x - y), len(y - x))
-    met = Counter(SYNONYMS[t] for t in x - y if t in SYNONYMS) & Counter(SYNONYMS[t] for t in y - x if t in SYNONYMS)
-    synonyms = 0.3 * met.total() / only if only else 0.0
-    gain = jaccard({LONG_FORMS.get(t, t) for t in x}, {LONG_FORMS.get(t, t) for t in y}) - jaccard(x, y)
-    return 0.3 * ratio + 0.4 * jaccard(x, y) + 0.2 * synonyms + 0.1 * min(0.2, max(0.0, 0.4 * gain))
-
-
 _FUNCTIONS = "file string, name string, line int, end_line int, n_params int, complexity int, docstring string, export_type string, fingerprint string"
 
 
@@ -137,12 +64,16 @@ def extract_functions(files: DataFrame, path: str = "path", content: str = "cont
     return files.select(F.col(path).alias("path"), F.col(content).cast("string").alias("content")).mapInPandas(run, _FUNCTIONS)
 
 
-@REGISTRY.frame("fn_17_function_extraction")
+_SOURCES = [
+    ("a.py", "def f(a, b=1):\n    'doc'\n    return a and b\n\nclass C:\n    def _g(self):\n        for x in self: pass\n"), ("b.py", "def h(x, y=1):\n    'other'\n    return x and y\n"), ("bad.py", "def ("), ("none.py", None), ("empty.py", ""),
+    ("c.py", "async def k(*, n):\n    try:\n        return [i for i in n if i]\n    except ValueError:\n        return None\n"),
+]
+
+
+@REGISTRY.frame("fn_17_function_extraction", "SELECT * FROM (VALUES ('a.py', 'f', 1, 3, 2, 2, 'doc', 'public'), ('a.py', '_g', 6, 7, 1, 2, NULL, 'private'), ('b.py', 'h', 1, 3, 2, 2, 'other', 'public'), ('c.py', 'k', 1, 5, 1, 3, NULL, 'public')) t(file, name, line, end_line, n_params, complexity, docstring, export_type)")
 def function_extraction(spark: SparkSession, folder: str) -> DataFrame:
-    """Functions generated from part rows, one source per part."""
-    source = F.format_string("def %s_%d(a, b):\n    'doc'\n    for x in a:\n        if x and b:\n            return %d\n", F.regexp_replace("p_name", "[^a-z]", "_"), "p_partkey", "p_size")
-    files = spark.read.parquet(f"{folder}/part.parquet").select(F.format_string("p%d.py", "p_partkey").alias("path"), source.alias("content"))
-    return extract_functions(files)
+    """The functions of a few sources, some of which do not parse."""
+    return extract_functions(spark.createDataFrame(_SOURCES, "path string, content string")).drop("fingerprint")
 
 
 def strict_json(text: str | None, depth: int = 8, length: int = 100_000) -> tuple[bool, str | None, str | None]:
@@ -187,22 +118,28 @@ def _strict(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["valid", "reason", "canonical"])
 
 
-@REGISTRY.frame("fn_29_strict_json", "SELECT event_id, true AS valid, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events")
+_STRICT = [(1, '{"b": 1, "a": [2]}'), (2, '{"a": 1, "a": 2}'), (3, "[[[[[[[[[1]]]]]]]]]"), (4, "[[[[[[[[1]]]]]]]]"), (5, "NaN"), (6, None), (7, "{"), (8, "{\"a\": {\"c\": 1, \"b\": \"x\"}}"), (9, '"' + "x" * 100_000 + '"')]
+
+
+@REGISTRY.frame("fn_29_strict_json", """SELECT * FROM (VALUES (1, true, NULL, '{"a":[2],"b":1}'), (2, false, 'duplicate', NULL), (3, false, 'depth', NULL), (4, true, NULL, '[[[[[[[[1]]]]]]]]'), (5, false, 'number', NULL),
+  (6, false, 'length', NULL), (7, false, 'syntax', NULL), (8, true, NULL, '{"a":{"b":"x","c":1}}'), (9, false, 'length', NULL)) t(id, valid, reason, canonical)""")
 def strict(spark: SparkSession, folder: str) -> DataFrame:
-    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "props")
-    checked = events.withColumn("r", F.arrow_udf(_strict, "struct<valid: boolean, reason: string, canonical: string>")("props"))
-    return checked.select("event_id", "r.valid", "r.canonical")
+    checked = spark.createDataFrame(_STRICT, "id int, text string").withColumn("r", F.arrow_udf(_strict, "struct<valid: boolean, reason: string, canonical: string>")("text"))
+    return checked.select("id", "r.valid", "r.reason", "r.canonical")
+
+
+_SUBSETS = [(1, '{"a": {"b": 1}}', '{"a": {"b": 1, "c": 2}, "d": 3}'), (2, '{"a": [1]}', '{"a": [1, 2]}'), (3, '{"a": 1}', '{"a": true}'), (4, "{}", "{}"), (5, '{"a": null}', "{}"), (6, "[1]", "[1]"), (7, '{"a": 1}', "[1]")]
 
 
-@REGISTRY.frame("fn_30_json_subset", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) = 7 AS held FROM events")
+@REGISTRY.frame("fn_30_json_subset", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, true), (7, false)) t(id, held)")
 def json_subset(spark: SparkSession, folder: str) -> DataFrame:
-    def held(texts: pa.Array) -> pa.Array:
-        return pa.array([is_subset({"k": 7}, json.loads(t)) for t in texts.to_pylist()])
+    def held(want: pa.Array, have: pa.Array) -> pa.Array:
+        return pa.array([is_subset(json.loads(x), json.loads(y)) for x, y in zip(want.to_pylist(), have.to_pylist())])
 
-    return spark.read.parquet(f"{folder}/events.parquet").select("event_id", F.arrow_udf(held, "boolean")("props").alias("held"))
+    return spark.createDataFrame(_SUBSETS, "id int, want string, have string").select("id", F.arrow_udf(held, "boolean")("want", "have").alias("held"))
 
 
-@REGISTRY.frame("fn_12_lcs")
+@REGISTRY.frame("fn_12_lcs", oracle.TURNS)
 def lcs(spark: SparkSession, folder: str) -> DataFrame:
     """LCS similarity of consecutive turns' words."""
     turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", F.split("text", "[ \\t\\n\\r]+").alias("w"))

@@ -53,31 +53,6 @@ def jsonl(d):
     return f"SELECT event_id, cast({d.json('props', '$.k')} AS bigint) AS k FROM {d.table('events')} e WHERE {d.json('props', '$.k')} IS NOT NULL"
 
 
-@plan("fn_02_code_tokens")
-def code_tokens(d):
-    """One alternation, in order: comments, strings, numbers, identifiers, operators; comments are dropped."""
-    pattern = "/\\*[^*]*\\*/|#[^\\n]*|\"[^\"\\n]*\"|[0-9]+(?:\\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*|[-+*/=<>!&|%]+|[(){}\\[\\];:,.]"
-    kind = f"CASE WHEN {d.matches('item', '^(#|/\\*)')} THEN 'comment' WHEN {d.matches('item', '^\"')} THEN 'string' WHEN {d.matches('item', '^[0-9]')} THEN 'number' WHEN item IN ('if', 'for', 'while', 'return', 'in', 'is', 'as', 'and', 'or', 'not', 'with', 'from') THEN 'keyword' WHEN {d.matches('item', '^[A-Za-z_]')} THEN 'identifier' WHEN {d.matches('item', '^[-+*/=<>!&|%]')} THEN 'operator' ELSE 'punctuation' END"
-    return f"SELECT item_id, kind, count(*) AS n FROM (SELECT item_id, {kind} AS kind FROM {d.rows('item_id', d.all_matches('text', pattern), d.table('benchmark'))} x) t WHERE kind <> 'comment' GROUP BY item_id, kind"
-
-
-@plan("fn_03_normalised_tokens")
-def normalised_tokens(d):
-    return f"SELECT doc_id, count(CASE WHEN {d.matches('item', '^[0-9]+$')} THEN 1 END) AS n_num, count(CASE WHEN {d.matches('item', '^[A-Z]')} THEN 1 END) AS n_id, count(*) AS n FROM {d.rows('doc_id', d.words('text'), d.table('documents'))} x GROUP BY doc_id"
-
-
-@plan("fn_09_blocks")
-def statement_blocks(d):
-    edge = d.matches("item", "[.?!]$")
-    return f"""WITH t AS (SELECT doc_id AS id, pos, item FROM {d.rows('doc_id', d.words('text'), d.table('documents'))} x), b AS (SELECT id, coalesce(sum(CASE WHEN {edge} THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM t)
-SELECT id, count(DISTINCT block) AS n_blocks, count(*) AS n_words FROM b GROUP BY id"""
-
-
-@plan("fn_15_abbreviations")
-def abbreviations(d):
-    return f"SELECT p_partkey, pos, CASE item WHEN 'sm' THEN 'small' WHEN 'lg' THEN 'large' WHEN 'gear' THEN 'gearwheel' ELSE item END AS word FROM {d.rows('p_partkey', d.words('p_name'), d.table('part'))} x"
-
-
 @plan("fn_20_export_type")
 def export_type(d):
     return f"SELECT doc_id, CASE WHEN {d.matches('text', '^_')} THEN 'private' WHEN {d.matches('text', '^[A-Z]')} THEN 'class' WHEN {d.matches('text', '^[a-z]')} THEN 'function' ELSE 'other' END AS export_type FROM {d.table('documents')} x"
@@ -89,12 +64,6 @@ def stem_convention(d):
     return f"SELECT page_id, stem, CASE WHEN {d.matches('stem', '^[a-z0-9]+(-[a-z0-9]+)+$')} THEN 'kebab' WHEN {d.matches('stem', '^[a-z0-9]+(_[a-z0-9]+)+$')} THEN 'snake' WHEN {d.matches('stem', '^[A-Z]')} THEN 'pascal' WHEN {d.matches('stem', '^[a-z]+[A-Z]')} THEN 'camel' ELSE 'plain' END AS convention FROM (SELECT page_id, {stem} AS stem FROM {d.table('pages')} p) t"
 
 
-@plan("fn_22_longest_directory")
-def longest_directory(d):
-    return f"""WITH c AS (SELECT 'example' AS dir, 'kebab' AS conv UNION ALL SELECT 'example.com', 'snake' UNION ALL SELECT '.org/en', 'camel'), m AS (SELECT page_id, conv, row_number() OVER (PARTITION BY page_id ORDER BY length(dir) DESC) AS k FROM {d.table('pages')} p JOIN c ON {d.contains('url', 'dir')})
-SELECT page_id, conv FROM m WHERE k = 1"""
-
-
 @plan("fn_23_vendor_filter")
 def vendor(d):
     return f"SELECT page_id FROM {d.table('pages')} p WHERE NOT {d.matches('url', '(^|/)(vendor|node_modules|dist|www[.])')}"
@@ -105,33 +74,11 @@ def enum_decimal(d):
     return f"SELECT o_orderkey, o_orderstatus IN ('F', 'O') AS known, {d.matches('o_orderpriority', '^[0-9]+-')} AS numbered FROM {d.table('orders')} o"
 
 
-@plan("fn_28_source_smells")
-def smells(d):
-    return f"SELECT doc_id, cast({d.size(d.all_matches('text', 'the [a-z]+'))} AS bigint) AS n_the, {d.matches('text', '\\bas any\\b')} AS as_any FROM {d.table('documents')} x"
-
-
-@plan("flt_09_vocabulary")
-def vocabulary(d):
-    return f"WITH {lines(d, 'documents', 'doc_id')}, v AS (SELECT 'licensed' AS term UNION ALL SELECT 'rights' UNION ALL SELECT 'released') SELECT id, pos, term FROM ln JOIN v ON {d.contains('lower(item)', 'term')}"
-
-
-@plan("flt_10_required_sections")
-def required_sections(d):
-    kinds = {"title": "<title>", "nav": "<nav>", "article": "</article>", "footer": "</footer>", "html": "</html>"}
-    parts = " UNION ALL ".join(f"SELECT page_id, '{k}' AS missing FROM {d.table('pages')} p WHERE NOT {d.contains('html', d.text(v))}" for k, v in kinds.items())
-    return f"SELECT page_id, missing FROM ({parts}) t"
-
-
 @plan("flt_11_block_fields")
 def block_fields(d):
     return f"SELECT conv_id, turn, role = 'assistant' AND length(text) < 20 AS too_short, role = 'user' AND NOT {d.matches('text', '[.?!]$')} AS no_end FROM {d.table('conversations')} c"
 
 
-@plan("flt_12_report_sections")
-def report_sections(d):
-    return f"SELECT doc_id, cast({d.size(d.lines('text'))} AS bigint) AS n_lines, {d.size(d.lines('text'))} >= 3 AS long_enough, {d.matches('text', '(?m)^(All rights|Licensed|Released|This work)')} AS has_verdict FROM {d.table('documents')} x"
-
-
 @plan("flt_14_section_markers")
 def section_markers(d):
     return f"SELECT page_id, {d.extract('html', '<h1>([^<]*)</h1>')} AS title, {d.matches('html', '<h1>[^<]{20,}')} AS long_title FROM {d.table('pages')} p"
@@ -165,12 +112,6 @@ def inventory(d):
     return f"SELECT source, count(*) AS counted, count(DISTINCT doc_id) AS unique_ids, count(*) = count(DISTINCT doc_id) AS consistent FROM {d.table('documents')} x GROUP BY source"
 
 
-@plan("flt_20_artifact_ladder")
-def artifact(d):
-    size = "octet_length(html)" if d.name == "spark" else "strlen(html)"
-    return f"SELECT page_id, CASE WHEN html IS NULL THEN 'MISSING' WHEN {d.matches('url', '\\.\\./')} THEN 'PATH_VIOLATION' WHEN {size} > 102400 THEN 'OVERSIZED' WHEN html = '' THEN 'EMPTY' WHEN NOT {d.contains('html', d.text('</html>'))} THEN 'MALFORMED' WHEN {d.matches('url', '[?]page=')} THEN 'STALE' ELSE 'VALID' END AS state FROM {d.table('pages')} p"
-
-
 @plan("flt_21_observations")
 def observations(d):
     return f"SELECT doc_id, text = '' AS empty, {d.contains('text', d.text('the '))} AS has, {d.matches('text', '[0-9]{3}')} AS matched, {d.size(d.all_matches('text', 'rights reserved'))} = 1 AS exactly_one FROM {d.table('documents')} x"
@@ -183,14 +124,6 @@ def review_claims(d):
 SELECT l.doc_id, quality, CASE WHEN n.doc_id IS NULL THEN 'no_file' WHEN 1 + l.doc_id % 9 > n_lines THEN 'no_line' WHEN quality = 1 AND toxic = 1 THEN 'forbidden_pass' ELSE 'ok' END AS state FROM {d.table('labels')} l LEFT JOIN n ON l.doc_id = n.doc_id"""
 
 
-@plan("jn_07_line_proximity")
-def proximity(d):
-    """Lines with a secret within ten lines of a licence line: a band join on buckets of ten."""
-    return f"""WITH {lines(d, 'documents', 'doc_id')}, s AS (SELECT id, pos, cast(floor(pos / 10.0) AS bigint) AS b FROM ln WHERE {d.matches('item', 'password|token|AKIA|secret')}), g AS (SELECT id, pos, cast(floor(pos / 10.0) AS bigint) AS b FROM ln WHERE {d.matches('item', '[Ll]icense|rights reserved')}),
-near AS (SELECT id, pos, b + k AS b FROM g, (SELECT -1 AS k UNION ALL SELECT 0 UNION ALL SELECT 1) o)
-SELECT s.id, s.pos AS secret_line, n.pos AS license_line FROM s JOIN near n ON s.id = n.id AND s.b = n.b WHERE abs(s.pos - n.pos) <= 10"""
-
-
 @plan("jn_14_anti")
 def anti(d):
     return f"SELECT doc_id FROM {d.table('documents')} x WHERE NOT EXISTS (SELECT 1 FROM {d.table('labels')} l WHERE l.doc_id = x.doc_id)"

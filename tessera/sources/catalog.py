@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,14 @@ CATALOG = """file string, name string, qualified_name string, line bigint, end_l
 return_type string, docstring string, decorators array<string>, params array<struct<name:string,type:string,default:string,optional:boolean>>,
 body_lines bigint, cyclomatic_complexity bigint, ast_fingerprint string, token_sequence array<struct<type:string,value:string>>, context string"""
 
+#: The event store's tables.
+STORE = {
+    "events": "event_id string, event_type string, workstream_id string, bead_id string, agent_id string, timestamp string, payload string, processing_level string, idempotency_key string",
+    "state_ledger": "workstream_id string, repo string, branch string, mission_id string, scope_region string, bead_lineage string, active_beads string, latest_commit string, diff_summary string, changed_files string, hotspots string, linked_artifacts string, linked_findings string, decision_anchors string, unresolved string, vector_refs string, provenance string, last_enriched_at string, schema_version int, created_at string, updated_at string",
+    "findings": "finding_id string, workstream_id string, source_bead_id string, source_agent_id string, finding_type string, evidence string, confidence double, affected_scope string, suspected_domain string, related_findings string, suggested_actions string, promotion_state string, suppression_reason string, salience double, created_at string, updated_at string, resolved_at string, schema_version int",
+    "conductor_journal": "entry_id string, workstream_id string, session_type string, timestamp string, structured string, narrative string, schema_version int",
+    "remediation_patterns": "pattern_id string, pattern_type string, description string, confidence double, usage_count int, created_at string, updated_at string",
+}
 #: Language by file extension.
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "sh": "shell"}
 _TESTS = r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|[._-](test|spec)\.[a-z]+$"
@@ -38,15 +46,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return good, rows.where(F.col("r").isNull() | F.col("r._bad").isNotNull()).select("value")
 
 
-def read_tree(spark: SparkSession, path: str, with_tests: bool = False) -> DataFrame:
-    """(path, language, content) of a source tree: files of a known extension, test files aside."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def classified(files: DataFrame, with_tests: bool = False) -> DataFrame:
+    """(path, language, content) of files (path, content): those of a known extension, test files aside."""
     extension = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
     language = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[extension]
     out = files.select("path", language.alias("language"), F.decode("content", "UTF-8").alias("content")).where("language IS NOT NULL")
     return out if with_tests else out.where(~F.col("path").rlike(_TESTS))
 
 
+def read_tree(spark: SparkSession, path: str, with_tests: bool = False) -> DataFrame:
+    """The files of a source tree, ``classified``."""
+    return classified(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), with_tests)
+
+
 def read_documents(spark: SparkSession, text: str) -> DataFrame:
     """One small control document (JSON, or YAML where its library is there) as a one-row frame (key, value as JSON)."""
     try:
@@ -58,8 +70,18 @@ def read_documents(spark: SparkSession, text: str) -> DataFrame:
 
 
 def write_json_array(frame: DataFrame, path: str) -> None:
-    """JSON records, one a line: what every engine reads in parallel."""
-    frame.write.mode("overwrite").json(path)
+    """One JSON array, a record a line: a report's sink, in one file.  For data that engines read in parallel write JSON lines."""
+    records = frame.select(F.to_json(F.struct(*frame.columns)).alias("j")).withColumn("k", F.monotonically_increasing_id()).repartition(1).sortWithinPartitions("k")
+    last = F.lead("k").over(Window.partitionBy(F.lit(1)).orderBy("k")).isNull()
+    lines = records.select("k", F.concat(F.lit("  "), "j", F.when(last, "").otherwise(",")).alias("value"))
+    edges = frame.sparkSession.createDataFrame([(-1, "["), (2**63 - 1, "]")], "k bigint, value string")
+    edges.unionByName(lines).repartition(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+
+
+def create_store(spark: SparkSession, path: str) -> None:
+    """The event store's tables as Parquet folders, each made empty unless it holds something."""
+    for name, columns in STORE.items():
+        spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{path}/{name}")
 
 
 def append_once(frame: DataFrame, path: str, key: str, status: str | None = None) -> None:
