@@ -18,9 +18,13 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local one only in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
