@@ -105,7 +105,7 @@ class Templates:
         known = list(self.by_word)
         self.number = {w: k for k, w in enumerate(known)}
         self.square = np.array([self.idf.get(w, self.unknown) ** 2 for w in [*known, ""]])
-        self.share = np.zeros((len(known), len(bags)))
+        self.share = np.zeros((len(known) + 1, len(bags)))
         for w, own in self.by_word.items():
             for k, t in own:
                 self.share[self.number[w], k] = t * t
@@ -114,10 +114,10 @@ class Templates:
             for k, t in own:
                 self.part[self.number[w], k] = self.idf[w] * t
 
-    def hopeful(self, words: set[str]) -> bool:
-        """Whether some template has enough of its weight in these words."""
+    def hopeful(self, words: set[str]) -> np.ndarray:
+        """The templates that have enough of their weight in these words."""
         own = [self.number[w] for w in words if w in self.number]
-        return bool(own) and self.share[own].sum(axis=0).max() >= self.threshold**2 - 1e-9
+        return np.flatnonzero(self.share[own].sum(axis=0) >= self.threshold**2 - 1e-9) if own else np.empty(0, dtype=np.int64)
 
     def best_in_prose(self, words: Sequence[str], least: int) -> tuple[float, str]:
         """(cosine, name) of the nearest template that shares ``least`` different words; repeats beyond its own do not add."""
@@ -134,16 +134,21 @@ class Templates:
         score, name = min(((-d, self.names[k]) for k, d in dots.items() if shared[k] >= min(least, len(self.bags[k]))), default=(0.0, ""))
         return (-score / math.sqrt(norm), name) if name else (0.0, "")
 
-    def best_run(self, words: list[str], best: tuple[float, str]) -> tuple[float, str]:
-        """The least of ``best`` and (-cosine, name) of all runs of a template's length that reach the threshold."""
+    def best_run(self, words: list[str], own: np.ndarray, best: tuple[float, str]) -> tuple[float, str]:
+        """The least of ``best`` and (-cosine, name) of all runs of a template's length that reach the threshold; ``own``: the hopeful templates."""
         n = len(words)
-        ids = np.fromiter((self.number.get(w, len(self.number)) for w in words), dtype=np.int64, count=n)
-        sums = [np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x[ids], axis=0))) for x in (self.part, self.square, self.part > 0)]
+        ids = self.ids(words)
+        longest = min(n, self.lengths[-1])
+        share = _sums(self.share[ids][:, own])
+        # A run lies in a window of the greatest length, and what it has of a template the window has too.
+        if not ((share[longest:] - share[:-longest]).max(axis=1) >= self.threshold**2 - 1e-9).any():
+            return best
+        dot, square, held = (_sums(x) for x in (self.part[ids][:, own], self.square[ids][:, None], self.part[ids][:, own] > 0))
+        square = square[:, 0]
         bounds, starts, ends = [], [], []
         for length in sorted({min(n, x) for x in self.lengths}):
-            dots, norms, held = (x[length:] - x[:-length] for x in sums)
             # repeats add more to a norm than their squares and count as words held, so this is never below the cosine
-            bound = np.where(held >= self.least, dots, 0.0).max(axis=1) / np.sqrt(norms)
+            bound = np.where(held[length:] - held[:-length] >= self.least[own], dot[length:] - dot[:-length], 0.0).max(axis=1) / np.sqrt(square[length:] - square[:-length])
             at = np.flatnonzero(bound >= max(-best[0], self.threshold) - 1e-6)
             bounds.append(bound[at])
             starts.append(at)
@@ -159,29 +164,61 @@ class Templates:
                 best = min(best, _flip(self.best_in_prose(run, RUN_WORDS)))
         return best
 
+    def ids(self, words: Sequence[str]) -> np.ndarray:
+        """Numbers of words; one number for all that no template has."""
+        none = len(self.number)
+        return np.fromiter((self.number.get(w, none) for w in words), dtype=np.int64, count=len(words))
+
+    def bounds(self, ids: np.ndarray, ranges: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Of each range of words a bound of its cosine with any of the templates ``own``: repeats only raise it."""
+        edges, at = np.unique(ranges, return_inverse=True)
+        sums = np.zeros((len(edges), len(own) + 1))
+        carry = np.zeros(len(own) + 1)
+        for a in range(0, len(ids), RUN_STEP):
+            part = ids[a : a + RUN_STEP]
+            here = _sums(np.column_stack((self.part[part][:, own], self.square[part])))
+            inside = np.flatnonzero((edges >= a) & (edges <= a + len(part)))
+            sums[inside] = carry + here[edges[inside] - a]
+            carry = carry + here[-1]
+        gain = sums[at.reshape(ranges.shape)[:, 1]] - sums[at.reshape(ranges.shape)[:, 0]]
+        return gain[:, :-1].max(axis=1) / np.sqrt(gain[:, -1])
+
     def of_text(self, text: str | None) -> tuple[str | None, float]:
         """(licence, cosine) of a whole text; (None, 0) below the threshold."""
         low = text.lower() if text else ""
         lines = [_WORD.findall(line) for line in low.split("\n")]
         words = [w for line in lines for w in line]
-        if not self.hopeful(set(words)):
+        own = self.hopeful(set(words))
+        if not len(own):
             return None, 0.0
-        candidates = list(lines)
+        edge = np.cumsum([0, *map(len, lines)]).tolist()
+        ranges = set(zip(edge[:-1], edge[1:]))
         start = 0
         for end in range(len(lines) + 1):
             if end == len(lines) or not lines[end]:
                 if end - start > 1:
-                    candidates.append([w for line in lines[start:end] for w in line])
+                    ranges.add((edge[start], edge[end]))
                 start = end + 1
-        candidates += [_WORD.findall(s) for s in _SENTENCE_END.split(low)]
-        best = min((_flip(self.best_in_prose(own, SENTENCE_WORDS)) for own in candidates if self.hopeful(set(own))), default=(0.0, ""))
+        edge = np.cumsum([0, *(len(_WORD.findall(s)) for s in _SENTENCE_END.split(low))]).tolist()
+        ranges = np.array(sorted({r for r in ranges.union(zip(edge[:-1], edge[1:])) if r[0] < r[1]}), dtype=np.int64)
+        bound = self.bounds(self.ids(words), ranges, own)
+        best = (0.0, "")
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < max(-best[0], self.threshold) - 1e-6:
+                break
+            best = min(best, _flip(self.best_in_prose(words[ranges[k, 0] : ranges[k, 1]], SENTENCE_WORDS)))
         longest = self.lengths[-1]
         for a in range(0, max(1, len(words) - longest + 1), RUN_STEP):
-            best = self.best_run(words[a : a + RUN_STEP + longest - 1], best)
+            best = self.best_run(words[a : a + RUN_STEP + longest - 1], own, best)
         score = round(-best[0], 6)
         return (best[1], score) if score >= self.threshold else (None, 0.0)
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... rows."""
+    return np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)))
+
+
 def _flip(found: tuple[float, str]) -> tuple[float, str]:
     return -found[0], found[1]
 
