@@ -169,31 +169,12 @@ def value_tier(d):
     return f"""WITH {store(d)} SELECT CASE WHEN kind IN ('bead_failed', 'bead_escalated') THEN 'enriched' WHEN kind IN ('bead_completed', 'bead_retried') THEN 'condensed' ELSE 'logged' END AS level, count(*) AS n FROM ev GROUP BY 1"""
 
 
-@plan("str_04_ledger_update")
-def ledger_update(d):
-    """Partial update: a column that the change leaves null keeps its value."""
-    return f"""WITH n AS (SELECT o_custkey, max(o_orderstatus) AS status, max(o_totalprice) AS price FROM {d.table('orders')} o WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
-SELECT coalesce(c_custkey, o_custkey) AS id, coalesce(status, c_mktsegment) AS status, coalesce(price, c_acctbal) AS amount FROM {d.table('customer')} c FULL OUTER JOIN n ON c.c_custkey = n.o_custkey"""
-
-
-@plan("str_05_rehydrate")
-def rehydrate(d):
-    """A conversation's ledger row with its last three entries."""
-    return f"""WITH j AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM {d.table('conversations')} c)
-SELECT conv_id, max(turn) AS last_turn, {d.joined('role', 'turn')} AS last_roles FROM j WHERE k <= 3 GROUP BY conv_id"""
-
-
 @plan("jn_06_stale_join")
 def stale_join(d):
     return f"""WITH {store(d)}, agents AS (SELECT bead, max(us) AS beat FROM ev WHERE kind = 'bead_noted' GROUP BY bead), tasks AS (SELECT event_id, bead, us FROM ev WHERE kind = 'bead_escalated')
 SELECT event_id, t.bead FROM tasks t JOIN agents a ON t.bead = a.bead WHERE a.beat < t.us"""
 
 
-@plan("str_10_prune_candidates")
-def prune(d):
-    return f"SELECT o_custkey, count(*) AS n FROM {d.table('orders')} o GROUP BY o_custkey HAVING count(CASE WHEN o_orderstatus = 'P' THEN 1 END) = 0 AND (count(CASE WHEN o_orderstatus = 'F' THEN 1 END) > 0 OR count(*) > 10)"
-
-
 @plan("str_12_late_corrections")
 def late_corrections(d):
     """Escapes confirmed later are summed beside an immutable ledger."""
@@ -201,19 +182,6 @@ def late_corrections(d):
 SELECT b.bead, b.n AS n_done, coalesce(l.n, 0) AS n_escapes FROM base b LEFT JOIN late l ON b.bead = l.bead"""
 
 
-@plan("str_13_compare_and_swap")
-def compare_and_swap(d):
-    """Advance a status only from the one expected; skip when already at or beyond the target."""
-    rank = "CASE {0} WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
-    return f"""SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('P', 'O', 'F') THEN 'error' WHEN {rank.format('o_orderstatus')} >= 1 THEN 'skipped' WHEN o_orderpriority = '5-LOW' THEN 'conflict' ELSE 'advanced' END AS action FROM {d.table('orders')} o"""
-
-
-@plan("snk_02_append_once")
-def append_once(d):
-    """Final rows whose key the ledger does not have yet."""
-    return f"""SELECT o_orderkey FROM {d.table('orders')} o WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM {d.table('lineitem')} l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')"""
-
-
 @plan("snk_07_category_split")
 def category_split(d):
     return f"SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, count(*) OVER (PARTITION BY lang, source) AS n FROM {d.table('documents')} x) t WHERE n >= 3"

@@ -20,13 +20,6 @@ def path_multiset(d):
 p AS (SELECT id, g FROM g3 UNION ALL SELECT id, g FROM g4 UNION ALL SELECT id, g FROM g5) SELECT id, count(*) AS n_paths, count(DISTINCT g) AS n_distinct FROM p GROUP BY id"""
 
 
-@plan("fn_18_definitions")
-def definitions(d):
-    """Lines that open a definition; each reaches to the line before the next one of its text."""
-    return f"""WITH {lines(d, 'documents', 'doc_id')}, n AS (SELECT id, count(*) AS total FROM ln GROUP BY id), m AS (SELECT id, pos, {d.extract('item', '^([A-Z][^ ]*)')} AS name FROM ln WHERE {d.matches('item', '^[A-Z][a-z]+ ')})
-SELECT m.id, pos AS line, name, lead(pos, 1, total) OVER (PARTITION BY m.id ORDER BY pos) AS end_line, greatest(1, lead(pos, 1, total) OVER (PARTITION BY m.id ORDER BY pos) - pos) AS body_lines FROM m JOIN n ON m.id = n.id"""
-
-
 @plan("win_06_body_end")
 def body_end(d):
     return f"""WITH {lines(d, 'documents', 'doc_id')} SELECT id, pos, lead(pos, 1, -1) OVER (PARTITION BY id ORDER BY pos) AS next_pos FROM ln WHERE {d.matches('item', '[.]$')}"""

@@ -37,21 +37,6 @@ def trend(d):
     return f"WITH {daily(d)}, r AS (SELECT kind, t, v / nullif(lag(v) OVER (PARTITION BY kind ORDER BY t), 0) - 1 AS delta FROM day) SELECT kind, t, CASE WHEN delta IS NULL THEN 'none' WHEN delta <= -0.2 THEN 'alarm' WHEN delta < -0.1 THEN 'declining' WHEN delta > 0.1 THEN 'improving' ELSE 'stable' END AS trend FROM r"
 
 
-@plan("win_13_deviance")
-def deviance(d):
-    """Indicators of the last ten against the ten before; three or more falling together are red."""
-    f = lambda x, a, b: f"avg({x}) OVER (PARTITION BY kind ORDER BY t ROWS BETWEEN {a} PRECEDING AND {b})"
-    marks = [f"CASE WHEN {f(x, 9, 'CURRENT ROW')} < {f(x, 19, '10 PRECEDING')} THEN 1 ELSE 0 END" for x in ("v", "v * v", "v - t", "sqrt(v)")]
-    return f"WITH {daily(d)} SELECT kind, t, {' + '.join(marks)} AS n_falling, {' + '.join(marks)} >= 3 AS red FROM day"
-
-
-@plan("win_14_protection_ratio")
-def protection(d):
-    """Rolling share below the floor for three consecutive days."""
-    return f"""WITH {daily(d)}, p AS (SELECT kind, t, v / sum(v) OVER (PARTITION BY t) AS ratio FROM day), low AS (SELECT kind, t, CASE WHEN ratio < 0.2 THEN 1 ELSE 0 END AS low FROM p)
-SELECT kind, t, cast(sum(low) OVER (PARTITION BY kind ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS bigint) = 3 AS alarm FROM low"""
-
-
 @plan("win_15_lindy_rates")
 def lindy(d):
     """Running catch rate of each stressor and its jumps of more than 0.2."""

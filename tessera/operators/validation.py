@@ -53,11 +53,6 @@ def jsonl(d):
     return f"SELECT event_id, cast({d.json('props', '$.k')} AS bigint) AS k FROM {d.table('events')} e WHERE {d.json('props', '$.k')} IS NOT NULL"
 
 
-@plan("fn_20_export_type")
-def export_type(d):
-    return f"SELECT doc_id, CASE WHEN {d.matches('text', '^_')} THEN 'private' WHEN {d.matches('text', '^[A-Z]')} THEN 'class' WHEN {d.matches('text', '^[a-z]')} THEN 'function' ELSE 'other' END AS export_type FROM {d.table('documents')} x"
-
-
 @plan("fn_21_stem_convention")
 def stem_convention(d):
     stem = d.replace(d.extract("url", "([^/?#]+)(?:[?#].*)?$"), "\\.[A-Za-z0-9]+$", "")
