@@ -171,3 +171,70 @@ _DEFINED = [
 _FILES = "path string, language string, content string"
 cases("fn_18_definitions", _FILES, _SOURCES, lambda f: definitions(f).select("path", "name", "line", "end_line", "body_lines"), "path, name, line, end_line, body_lines", [d[:5] for d in _DEFINED])
 cases("fn_20_export_type", _FILES, _SOURCES, lambda f: definitions(f).select("path", "name", "export_type"), "path, name, export_type", [(d[0], d[1], d[5]) for d in _DEFINED])
+
+
+# -- gates, reviews, reports --------------------------------------------------------------------------------------
+#: Rank of an artifact's status; findings that a passing review may not leave open.
+RANKS = {"partial": 1, "ready": 2, "active": 2, "final": 3}
+GRAVE = ("CRITICAL", "MATERIAL")
+
+
+def gates(artifacts: DataFrame) -> DataFrame:
+    """(gate, passed): an artifact's status must be known and of the least rank, a field filled, nothing open, and its task in the ledger, as far as the gate asks."""
+    rank = lambda c: "coalesce(map(" + ", ".join(f"'{k}', {v}" for k, v in RANKS.items()) + f")[{c}], 0)"
+    return artifacts.selectExpr("gate", f"coalesce({rank('status')} > 0 AND {rank('status')} >= {rank('least')}, false) AND coalesce(field <> '', false) AND open = 0 AND (NOT asks_ledger OR in_ledger) AS passed")
+
+
+def review_problems(reviews: DataFrame, claims: DataFrame, files: DataFrame, findings: DataFrame) -> DataFrame:
+    """(review, problem): claims on files that are not there, beyond their end or with another hash, unknown verdicts, and passes with a grave finding unresolved."""
+    sized = files.selectExpr("path", "sha2(content, 256) AS hash", "size(split(rtrim('\\n', content), '\\n', -1)) AS n")
+    cited = claims.join(sized, "path", "left").selectExpr("review", "CASE WHEN line < 1 THEN 'line' WHEN hash IS NULL THEN 'untracked' WHEN line > n THEN 'outside' WHEN claimed <> hash THEN 'hash' END AS problem").where("problem IS NOT NULL")
+    verdicts = reviews.where("verdict NOT IN ('PASS', 'FAIL', 'INCONCLUSIVE')").selectExpr("review", "'verdict' AS problem")
+    grave = findings.where(F.col("severity").isin(*GRAVE) & (F.col("disposition") == "UNRESOLVED"))
+    passed = reviews.where("verdict = 'PASS'").join(grave.select("review"), "review", "left_semi").selectExpr("review", "'unresolved' AS problem")
+    return cited.unionByName(verdicts).unionByName(passed).distinct()
+
+
+def noise_band(runs: DataFrame) -> DataFrame:
+    """(bead, overlap, noise): shared findings of a first run and a second one, of all that either has."""
+    share = "100D * size(array_intersect(one, two)) / nullif(size(array_union(one, two)), 0)"
+    return runs.selectExpr("bead", f"round(coalesce({share}, 100D), 2) AS overlap").selectExpr("bead", "overlap", "CASE WHEN overlap > 80 THEN 'LOW' WHEN overlap >= 50 THEN 'MODERATE' ELSE 'HIGH' END AS noise")
+
+
+def report(merged: DataFrame) -> DataFrame:
+    """(place, line): a Markdown report of fused pairs: counts, clone types by number, then the pairs of each confidence.
+
+    Lines are numbered by section and rank, so they are made where their pairs are; only writing them in one file puts
+    them in one task.
+    """
+    head = [(0, 0, "# Duplicate functions"), (1, 0, "| Metric | Value |"), (3, 0, "| Clone type | Count |"), *[(10 * k, 0, f"## {c}") for k, c in enumerate(("HIGH", "MEDIUM", "LOW"), 1)]]
+    fixed = merged.sparkSession.createDataFrame(head, "section int, rank int, line string")
+    total = merged.agg(F.count(F.lit(1)).alias("n"), F.expr("count_if(n >= 2) AS m"), F.expr("count_if(n >= 3) AS d"))
+    sums = total.select(F.posexplode(F.expr("array(concat('| Pairs | ', n, ' |'), concat('| Several signals | ', m, ' |'), concat('| Three signals or more | ', d, ' |'))")).alias("rank", "line")).selectExpr("2 AS section", "rank", "line")
+    kinds = merged.groupBy("clone_type").agg(F.count(F.lit(1)).alias("c")).selectExpr("4 AS section", "cast(row_number() OVER (ORDER BY c DESC, clone_type) AS int) AS rank", "concat('| ', clone_type, ' | ', c, ' |') AS line")
+    pairs = merged.selectExpr("10 * array_position(array('HIGH', 'MEDIUM', 'LOW'), confidence) + 1 AS section", "cast(row_number() OVER (PARTITION BY confidence ORDER BY composite DESC, n DESC, a, b) AS int) AS rank", "concat('- ', a, ' and ', b, ': ', composite, ' by ', n, ', ', lower(action)) AS line")
+    return fixed.unionByName(sums).unionByName(kinds).unionByName(pairs.selectExpr("cast(section AS int) AS section", "rank", "line"))
+
+
+cases(
+    "flt_17_phase_gates", "gate int, status string, least string, field string, open int, asks_ledger boolean, in_ledger boolean",
+    [(1, "final", "ready", "x", 0, False, False), (2, "active", "ready", "x", 0, False, False), (3, "partial", "ready", "x", 0, False, False), (4, "odd", "partial", "x", 0, False, False), (5, None, "partial", "x", 0, False, False), (6, "final", "final", "", 0, False, False), (7, "final", "final", "x", 1, False, False), (8, "final", "final", "x", 0, True, False), (9, "final", "final", "x", 0, True, True)],
+    gates, "gate, passed", [(k, k in (1, 2, 9)) for k in range(1, 10)],
+)
+_HASH = "87428fc522803d31065e7bce3cf03fe475096631e5e07bbd7a0fde60c4cf25c7"  # of "a\n"
+cases(
+    "flt_22_review_results", "review int, verdict string", [(1, "PASS"), (2, "PASS"), (3, "MAYBE"), (4, "FAIL"), (5, "PASS")],
+    lambda r: review_problems(
+        r, r.sparkSession.createDataFrame([(1, "a", 1, _HASH), (2, "a", 2, _HASH), (3, "b", 1, _HASH), (4, "a", 0, _HASH), (4, "a", 1, "00")], "review int, path string, line int, claimed string"), r.sparkSession.createDataFrame([("a", "a\n")], "path string, content string"),
+        r.sparkSession.createDataFrame([(5, "CRITICAL", "UNRESOLVED"), (1, "MATERIAL", "RESOLVED"), (1, "MINOR", "UNRESOLVED"), (4, "CRITICAL", "UNRESOLVED")], "review int, severity string, disposition string"),
+    ),
+    "review, problem", [(2, "outside"), (3, "untracked"), (3, "verdict"), (4, "line"), (4, "hash"), (5, "unresolved")],
+)
+cases("agg_38_noise_bands", "bead int, one array<string>, two array<string>", [(1, list("abcde"), list("abcde")), (2, list("abcde"), list("abcd")), (3, list("ab"), list("a")), (4, list("abc"), list("ad")), (5, [], [])], noise_band, "bead, overlap, noise", [(1, 100.0, "LOW"), (2, 80.0, "MODERATE"), (3, 50.0, "MODERATE"), (4, 25.0, "HIGH"), (5, 100.0, "LOW")], "overlap")
+cases(
+    "snk_04_report", "a int, b int, composite double, n int, confidence string, clone_type string, action string",
+    [(1, 2, 0.9, 3, "HIGH", "Type 1 (exact clone)", "CONSOLIDATE"), (3, 4, 0.95, 2, "HIGH", "Type 2 (renamed clone)", "CONSOLIDATE"), (5, 6, 0.4, 1, "LOW", "Type 2 (renamed clone)", "REVIEW")],
+    report, "section, rank, line",
+    [(0, 0, "# Duplicate functions"), (1, 0, "| Metric | Value |"), (2, 0, "| Pairs | 3 |"), (2, 1, "| Several signals | 2 |"), (2, 2, "| Three signals or more | 1 |"), (3, 0, "| Clone type | Count |"), (4, 1, "| Type 2 (renamed clone) | 2 |"), (4, 2, "| Type 1 (exact clone) | 1 |"),
+     (10, 0, "## HIGH"), (11, 1, "- 3 and 4: 0.95 by 2, consolidate"), (11, 2, "- 1 and 2: 0.9 by 3, consolidate"), (20, 0, "## MEDIUM"), (30, 0, "## LOW"), (31, 1, "- 5 and 6: 0.4 by 1, review")],
+)

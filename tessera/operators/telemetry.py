@@ -82,11 +82,6 @@ def first_pass(d):
 SELECT level, round(rate, 4) AS rate, round(exp((SELECT sum(ln(rate)) FROM r)), 4) AS end_to_end, rate <= (SELECT min(rate) FROM r) + 0.05 AS bottleneck FROM r"""
 
 
-@plan("agg_38_noise_bands")
-def noise_bands(d):
-    return f"WITH {passes(d)}, o AS (SELECT x.grp, 100.0 * avg(CASE WHEN x.verdict = y.verdict THEN 1.0 ELSE 0.0 END) AS overlap FROM pass x JOIN pass y ON x.grp = y.grp AND x.rn < y.rn GROUP BY x.grp) SELECT grp, CASE WHEN overlap > 80 THEN 'low' WHEN overlap >= 50 THEN 'moderate' ELSE 'high' END AS noise FROM o"
-
-
 @plan("agg_40_dominant_domain")
 def dominant(d):
     return f"WITH {beads(d)}, n AS (SELECT task, domain, count(*) AS c FROM bead GROUP BY task, domain), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY c DESC, CASE domain WHEN 'clear' THEN 0 WHEN 'complicated' THEN 1 WHEN 'complex' THEN 2 ELSE 3 END) AS k FROM n) SELECT task, domain FROM r WHERE k = 1"

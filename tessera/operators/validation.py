@@ -90,12 +90,6 @@ def rule_tree(d):
     return f"SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'act' WHEN o_totalprice > 300000 THEN 'probe' WHEN o_orderstatus = 'P' THEN 'sense' WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 'categorise' ELSE 'analyse' END AS label FROM {d.table('orders')} o"
 
 
-@plan("flt_17_phase_gates")
-def gates(d):
-    rank = "CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
-    return f"SELECT c_custkey, coalesce(min({rank}), -1) AS least_rank, coalesce(min({rank}), -1) >= 1 AND count(o_orderkey) > 0 AS open FROM {d.table('customer')} c LEFT JOIN {d.table('orders')} o ON c_custkey = o_custkey GROUP BY c_custkey"
-
-
 @plan("flt_18_receipts")
 def receipts(d):
     return f"""WITH e AS (SELECT DISTINCT o_orderkey FROM {d.table('orders')} o), r AS (SELECT l_orderkey, count(*) AS n FROM {d.table('lineitem')} l GROUP BY l_orderkey)
@@ -112,13 +106,6 @@ def observations(d):
     return f"SELECT doc_id, text = '' AS empty, {d.contains('text', d.text('the '))} AS has, {d.matches('text', '[0-9]{3}')} AS matched, {d.size(d.all_matches('text', 'rights reserved'))} = 1 AS exactly_one FROM {d.table('documents')} x"
 
 
-@plan("flt_22_review_claims")
-def review_claims(d):
-    """Claims must cite a line that the file has."""
-    return f"""WITH n AS (SELECT doc_id, {d.size(d.lines('text'))} AS n_lines FROM {d.table('documents')} x)
-SELECT l.doc_id, quality, CASE WHEN n.doc_id IS NULL THEN 'no_file' WHEN 1 + l.doc_id % 9 > n_lines THEN 'no_line' WHEN quality = 1 AND toxic = 1 THEN 'forbidden_pass' ELSE 'ok' END AS state FROM {d.table('labels')} l LEFT JOIN n ON l.doc_id = n.doc_id"""
-
-
 @plan("jn_14_anti")
 def anti(d):
     return f"SELECT doc_id FROM {d.table('documents')} x WHERE NOT EXISTS (SELECT 1 FROM {d.table('labels')} l WHERE l.doc_id = x.doc_id)"
@@ -156,12 +143,6 @@ def requirement_status(d):
 SELECT rid, CASE WHEN n = 0 THEN 'UNCOVERED' WHEN worst < 0 THEN 'VIOLATED' WHEN worst < 1000 THEN 'UNPROVEN' ELSE 'SATISFIED' END AS status FROM r"""
 
 
-@plan("snk_04_report")
-def report(d):
-    """The summary rows of a report: totals and distribution by language and source."""
-    return f"SELECT lang, source, count(*) AS n, cast(sum(n_chars) AS bigint) AS chars, cast(round(100.0 * count(*) / (SELECT count(*) FROM {d.table('documents')} z), 2) AS double) AS share FROM {d.table('documents')} x GROUP BY lang, source"
-
-
 @plan("snk_05_dead_letters")
 def dead_letters(d):
     """Rows that break a constraint of the store go to the reject side, with the reason."""

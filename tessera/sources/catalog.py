@@ -84,17 +84,21 @@ def create_store(spark: SparkSession, path: str) -> None:
         spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{path}/{name}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, in whatever store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def append_once(frame: DataFrame, path: str, key: str, status: str | None = None) -> None:
-    """Appends the rows whose key the ledger at ``path`` does not hold, final ones only where ``status`` is named."""
+    """Appends the rows whose key the ledger at ``path`` does not hold, final ones only where ``status`` is named.
+
+    One writer at a time: two that append at once do not see each other's rows.
+    """
     spark = frame.sparkSession
     rows = frame.where(F.col(key).isNotNull()).dropDuplicates([key])
     if status:
         rows = rows.where(F.col(status) == "final")
-    try:
-        known = spark.read.schema(frame.schema).parquet(path).select(key)
-        fresh = rows.join(known, key, "left_anti").select(*frame.columns)
-    except Exception as error:  # no ledger yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh = rows
-    fresh.write.mode("append").parquet(path)
+    if exists(spark, path):
+        rows = rows.join(spark.read.schema(frame.schema).parquet(path).select(key), key, "left_anti").select(*frame.columns)
+    rows.write.mode("append").parquet(path)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tessera.sources.catalog import exists
+
 
 def read_events(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     """Events from a folder of Parquet files, as they arrive."""
@@ -32,27 +34,36 @@ def failure_windows(events: DataFrame, failures: int = 3, length: str = "1 hour"
     return counted.where(F.col("n") >= failures).select("ws", F.col("window.start").alias("start"), "n")
 
 
+SHELVES = 64
+
+
 def ingest(events: DataFrame, store: str, rejects: str, checkpoint: str):
-    """Micro-batch ingest into a Parquet store: rows that break a constraint go to the reject side, known ids are skipped."""
+    """Micro-batch ingest into a Parquet store: rows that break a constraint go to the reject side, known ids are skipped.
+
+    The store is dealt out by a hash of the id, so a batch reads only the folders that its ids could be in.  One query
+    may write to a store at a time: two would not see each other's rows.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        batch = batch.withColumn("shelf", F.pmod(F.xxhash64("event_id"), F.lit(SHELVES)).cast("int"))
         good = F.col("event_id").isNotNull() & F.col("event_type").isin("error", "view", "signup", "purchase", "click")
         fresh = batch.where(good).dropDuplicates(["event_id"])
-        try:
-            known = spark.read.schema(batch.schema).parquet(store).select("event_id")
+        if exists(spark, store):
+            touched = [r[0] for r in fresh.select("shelf").distinct().collect()]  # SHELVES numbers at most
+            known = spark.read.schema(batch.schema).parquet(store).where(F.col("shelf").isin(touched)).select("event_id")
             fresh = fresh.join(known, "event_id", "left_anti").select(*batch.columns)
-        except Exception as error:  # the store is not there before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh.write.mode("append").parquet(store)
-        batch.where(~F.coalesce(good, F.lit(False))).write.mode("append").parquet(rejects)
+        fresh.write.mode("append").partitionBy("shelf").parquet(store)
+        batch.where(~F.coalesce(good, F.lit(False))).drop("shelf").write.mode("append").parquet(rejects)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def failure_streaks(events: DataFrame) -> DataFrame:
-    """Per user, the running streak of failures since the last purchase, kept in state across batches."""
+    """Per user, the running streak of failures since the last purchase, kept in state across batches.
+
+    The state is one number a user and stays for as long as the query: a timeout would end a streak that only pauses.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak = state.get[0] if state.exists else 0
