@@ -413,16 +413,17 @@ def _remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: str = "content", hot: int = HOT, n_shelves: int | None = None, n_buckets: int | None = None) -> DataFrame:
     """(doc, kept, n_bytes, n_removed, n_spans) for every row.  ``sample``: "content" or "cover"; ``n_shelves`` and
-    ``n_buckets``: by the number of bytes, but 2 for each shuffle partition at least, if not given."""
+    ``n_buckets``: by the number of bytes, but 4 and 8 for each shuffle partition at least, if not given, so that what
+    falls to one partition is even."""
     spark = docs.sparkSession
     address = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("content", address)
     sizes = materialise(rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "content", F.octet_length("text").alias("size")), "substring-contents")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_shelves = n_shelves or max(least, math.ceil(total / SHELF_BYTES))
+    n_shelves = n_shelves or max(2 * least, math.ceil(total / SHELF_BYTES))
     names_a_byte = len(COVER) / COVER_PERIOD if sample == "cover" else 2 / (LENGTH - BLOCK + 2)
-    n_buckets = n_buckets or max(least, math.ceil(total * names_a_byte * 6 / BUCKET_BYTES))
+    n_buckets = n_buckets or max(4 * least, math.ceil(total * names_a_byte * 6 / BUCKET_BYTES))
 
     shelf = F.pmod(F.xxhash64("doc", "content"), F.lit(n_shelves)).cast("int").alias("shelf")
     # Written down, so that the join has an exchange on either side and a content of very many copies can be split.
