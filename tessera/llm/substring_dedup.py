@@ -46,6 +46,8 @@ BLOCK = 24
 COVER_BLOCK, COVER_PERIOD, COVER = 20, 31, (1, 5, 11, 24, 25, 27)
 #: Text bytes a shelf, name bytes a bucket, texts from which on a name is dealt out by strings.
 SHELF_BYTES, BUCKET_BYTES, HOT = 8 << 20, 16 << 20, 1000
+#: Least bytes of a shelf and of a bucket, where there are more tasks than work: their product is the number of messages.
+LEAST_SHELF, LEAST_BUCKET = 512 << 10, 128 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 _TOP = np.uint64(0xFFFFFFFFFFF00000)
@@ -137,32 +139,29 @@ class _Names:
         self.inverse = [u[1] for u in unique]
         self.edge = np.concatenate(([0], np.cumsum([len(u[0]) for u in unique], dtype=np.int64))).astype(np.int64)
         self.name = np.concatenate([u[0] for u in unique]) if unique else np.empty(0, dtype=np.uint64)
-        self.owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(self.edge))
         bucket = (self.name % np.uint64(n_buckets)).astype(np.int32)
         self.order = np.argsort(bucket, kind="stable")
         self.bucket = bucket[self.order]
 
 
 def _names(n_buckets: int, sample: str):
-    """A shelf -> per bucket: its names (40 bits beside the bucket; chance meetings cost time only) and how many each text has."""
+    """A shelf -> per bucket: the names of its texts, each once a text (40 bits beside the bucket; chance meetings cost time only)."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         keys, texts = _texts(left, right)
         own = _Names(texts, n_buckets, sample)
-        bucket, names, counts = [], [], []
+        bucket, names = [], []
         short = (own.name // np.uint64(n_buckets)) & np.uint64((1 << 40) - 1)
         edges = _cuts(own.bucket)
         for a, b in zip(edges[:-1], edges[1:]):
-            part = own.order[a:b]
             bucket.append(int(own.bucket[a]))
-            names.append(_pack40(short[part]).tobytes())
-            counts.append(np.bincount(own.owner[part], minlength=len(texts)).astype(np.uint32).tobytes())
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "shelf": pa.array([key[0].as_py()] * len(bucket), pa.int32()), "names": pa.array(names, pa.binary()), "counts": pa.array(counts, pa.binary())})
+            names.append(_pack40(short[own.order[a:b]]).tobytes())
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "shelf": pa.array([key[0].as_py()] * len(bucket), pa.int32()), "names": pa.array(names, pa.binary())})
 
     return run
 
 
-_NAMES = "bucket int, shelf int, names binary, counts binary"
+_NAMES = "bucket int, shelf int, names binary"
 #: What a shelf is told: copies by (doc, content), with bucket -1, or what a bucket has to say.
 _TOLD = "shelf int, bucket int, data binary"
 
@@ -413,17 +412,17 @@ def _remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: str = "content", hot: int = HOT, n_shelves: int | None = None, n_buckets: int | None = None) -> DataFrame:
     """(doc, kept, n_bytes, n_removed, n_spans) for every row.  ``sample``: "content" or "cover"; ``n_shelves`` and
-    ``n_buckets``: by the number of bytes, but 4 and 8 for each shuffle partition at least, if not given, so that what
-    falls to one partition is even."""
+    ``n_buckets``: by the number of bytes, if not given; 4 and 8 for each shuffle partition, so that what falls to one is
+    even, if there is work for so many."""
     spark = docs.sparkSession
     address = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("content", address)
     sizes = materialise(rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "content", F.octet_length("text").alias("size")), "substring-contents")
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_shelves = n_shelves or max(2 * least, math.ceil(total / SHELF_BYTES))
-    names_a_byte = len(COVER) / COVER_PERIOD if sample == "cover" else 2 / (LENGTH - BLOCK + 2)
-    n_buckets = n_buckets or max(4 * least, math.ceil(total * names_a_byte * 6 / BUCKET_BYTES))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shelves = n_shelves or max(1, math.ceil(total / SHELF_BYTES), min(4 * tasks, total // LEAST_SHELF))
+    name_bytes = total * (len(COVER) / COVER_PERIOD if sample == "cover" else 2 / (LENGTH - BLOCK + 2)) * 6
+    n_buckets = n_buckets or max(1, math.ceil(name_bytes / BUCKET_BYTES), min(8 * tasks, int(name_bytes) // LEAST_BUCKET))
 
     shelf = F.pmod(F.xxhash64("doc", "content"), F.lit(n_shelves)).cast("int").alias("shelf")
     # Written down, so that the join has an exchange on either side and a content of very many copies can be split.
