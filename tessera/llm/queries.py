@@ -16,6 +16,7 @@ _MODULES = (
     "q_leaks",
     "q_substrings",
     "q_lines",
+    "q_tokens",
 )
 
 _loaded = [importlib.import_module(f"tessera.llm.{m}") for m in _MODULES]
