@@ -17,6 +17,7 @@ _MODULES = (
     "q_substrings",
     "q_lines",
     "q_tokens",
+    "q_conversations",
 )
 
 _loaded = [importlib.import_module(f"tessera.llm.{m}") for m in _MODULES]
