@@ -18,6 +18,7 @@ _MODULES = (
     "q_lines",
     "q_tokens",
     "q_conversations",
+    "q_negatives",
 )
 
 _loaded = [importlib.import_module(f"tessera.llm.{m}") for m in _MODULES]
