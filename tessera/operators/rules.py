@@ -1,18 +1,13 @@
 """Rules of telemetry, events, findings and files, as functions of DataFrames, with their own thresholds.
 
-Each is registered over a few literal rows that cover its branches and ties; the DuckDB side holds the expected rows, worked
-out by hand, so a check compares the rule with its statement and not with itself.
+``over_tables`` registers them over the given tables, with oracles written apart; the tests hold them against rows worked out by hand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.dialect import REGISTRY
-from tessera.sources.samples import _sql
 
 #: Greatest complexity weight, floor of a healthy and of a depleted budget.
 FLOORS = ((0.2, 0.90, 0.60), (0.5, 0.75, 0.50), (0.8, 0.60, 0.35), (999, 0.50, 0.25))
@@ -33,17 +28,6 @@ TRANSITIONS = {
 }
 
 
-def cases(name: str, columns: str, rows: list[tuple], rule: Callable[[DataFrame], DataFrame], expected: str, want: list[tuple], doubles: str = "") -> None:
-    """Registers a rule over literal rows and the rows that it must give; ``doubles``: expected columns of that type."""
-    made = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in doubles.split())
-    oracle = f"SELECT *{f' REPLACE ({made})' if made else ''} FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in want)}) t({expected})"
-
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        return rule(spark.createDataFrame(rows, columns))
-
-    REGISTRY.frame(name, oracle)(query)
-
-
 def truncated(x: str) -> str:
     """Two decimals, the rest cut off; the guard keeps what binary fractions put just below a step."""
     return f"floor(({x}) * 100 + 1e-9) / 100"
@@ -71,20 +55,6 @@ def hard_stop(tasks: DataFrame) -> DataFrame:
     return tasks.selectExpr("task", f"coalesce(NOT lint, false) OR coalesce(NOT types, false) OR critical > 0 OR stuck > 0 OR (blocked > 0 AND age > {BLOCKED_AGE}) AS stopped")
 
 
-cases("agg_14_complexity_weight", "task int, clear int, complicated int, complex int, chaotic int", [(1, 0, 0, 0, 0), (2, 2, 1, 0, 0), (3, 0, 0, 0, 3), (4, 1, 1, 1, 0), (5, 0, 7, 0, 0)], complexity_weight, "task, weight", [(1, 0.0), (2, 0.16), (3, 1.5), (4, 0.5), (5, 0.5)], "weight")
-cases("agg_15_threshold_lookup", "task int, weight double", [(1, 0.0), (2, 0.2), (3, 0.21), (4, 0.5), (5, 0.8), (6, 0.81), (7, 1000.0)], floors, "task, healthy, depleted", [(1, 0.9, 0.6), (2, 0.9, 0.6), (3, 0.75, 0.5), (4, 0.75, 0.5), (5, 0.6, 0.35), (6, 0.5, 0.25), (7, 0.5, 0.5)], "healthy depleted")
-cases(
-    "agg_16_budget_state", "task int, rate double, escapes int, turbulence int, completed int, healthy double, depleted double",
-    [(1, 0.9, 0, 0, 3, 0.9, 0.6), (2, 0.9, 1, 0, 3, 0.9, 0.6), (3, 0.95, 2, 0, 3, 0.9, 0.6), (4, 0.59, 0, 0, 3, 0.9, 0.6), (5, 0.6, 0, 0, 3, 0.9, 0.6), (6, 1.0, 0, 19, 3, 0.9, 0.6), (7, 1.0, 0, 18, 3, 0.9, 0.6), (8, 1.0, 0, 99, 0, 0.9, 0.6)],
-    budget_state, "task, state", [(1, "healthy"), (2, "warning"), (3, "depleted"), (4, "depleted"), (5, "warning"), (6, "depleted"), (7, "healthy"), (8, "healthy")],
-)
-cases(
-    "agg_17_hard_stops", "task int, lint boolean, types boolean, critical int, stuck int, blocked int, age int",
-    [(1, True, True, 0, 0, 0, 9999), (2, False, True, 0, 0, 0, 0), (3, True, False, 0, 0, 0, 0), (4, True, True, 1, 0, 0, 0), (5, True, True, 0, 1, 0, 0), (6, True, True, 0, 0, 1, 3600), (7, True, True, 0, 0, 1, 3601), (8, None, None, 0, 0, 0, 0)],
-    hard_stop, "task, stopped", [(1, False), (2, True), (3, True), (4, True), (5, True), (6, False), (7, True), (8, False)],
-)
-
-
 # -- modes and convergence ----------------------------------------------------------------------------------------
 def execution_mode(tasks: DataFrame) -> DataFrame:
     """(task, mode, confidence): four signals vote; four alike are sure, three fairly, and otherwise it is by rule."""
@@ -127,27 +97,6 @@ def convergence_yield(tasks: DataFrame) -> DataFrame:
     return tasks.selectExpr("task", f"CASE WHEN {loops} > 0 THEN round(stops / cast({loops} AS double), 3) ELSE 0D END AS yield")
 
 
-cases(
-    "agg_18_mode_vote", "task int, turbulence double, zero_rate double, latency double, escalations int",
-    [(1, 0.5, 0.9, 30.0, 0), (2, 1.0, 0.9, 30.0, 0), (3, 1.0, 0.8, 30.0, 0), (4, 4.0, 0.4, 301.0, 3), (5, 3.0, 0.5, 300.0, 2), (6, 4.0, 0.4, 301.0, 2), (7, 0.5, 0.4, 100.0, 0)],
-    execution_mode, "task, mode, confidence", [(1, "skill_based", "high"), (2, "skill_based", "medium"), (3, "rule_based", "low"), (4, "knowledge_based", "high"), (5, "rule_based", "high"), (6, "knowledge_based", "medium"), (7, "rule_based", "low")],
-)
-cases(
-    "agg_19_severity_trend", "cycle int, before array<string>, now array<string>",
-    [(1, [], ["P1"]), (2, ["P2", "P3"], ["P1", "P3"]), (3, ["P1"], ["P4"]), (4, ["P2"], ["P2", "P4"]), (5, ["P3"], []), (6, ["odd"], ["P4"]), (7, None, ["P1"])],
-    severity_trend, "cycle, trend", [(1, "stable"), (2, "escalating"), (3, "declining"), (4, "stable"), (5, "declining"), (6, "escalating"), (7, "stable")],
-)
-cases("agg_20_entropy", "cycle int, categories array<string>", [(1, ["s", "s", "f"]), (2, []), (3, ["a"]), (4, ["a", "b"]), (5, ["a", "b", "c", "d"])], entropy, "cycle, entropy", [(1, 0.918), (2, 0.0), (3, 0.0), (4, 1.0), (5, 2.0)], "entropy")
-cases(
-    "agg_21_convergence_state", "id int, fresh int, repeated int, trend string, entropy double, budget int, cycle int",
-    [(1, 5, 5, "stable", 2.0, 3, 1), (2, 5, 5, "escalating", 2.0, 3, 1), (3, 1, 9, "stable", 0.5, 3, 5), (4, 1, 9, "stable", 0.5, 3, 6), (5, 1, 9, "stable", 1.0, 3, 1), (6, 1, 9, "declining", 1.5, 3, 1), (7, 2, 8, "stable", 0.1, 3, 1), (8, 0, 0, "stable", 1.0, 3, 1)],
-    convergence, "id, rate, state, recommendation",
-    [(1, 0.5, "converging", "continue"), (2, 0.5, "diverging", "change_approach"), (3, 0.1, "stuck", "extend_budget"), (4, 0.1, "stuck", "change_approach"), (5, 0.1, "stable", "stop_early"), (6, 0.1, "stuck", "extend_budget"), (7, 0.2, "stuck", "extend_budget"), (8, 0.0, "stable", "stop_early")], "rate",
-)
-cases("agg_22_convergence_summary", "task int, at bigint, reason string", [(1, 1, "coupling"), (1, 2, "ambiguity"), (1, 3, "ambiguity"), (2, 1, "b"), (2, 2, "a"), (3, 1, None), (3, 2, None)], convergence_summary, "task, n, dominant", [(1, 3, "ambiguity"), (2, 2, "b"), (3, 2, None)])
-cases("agg_23_convergence_yield", "task int, cycles int, stops int, extensions int, changes int", [(1, 3, 1, 0, 0), (2, 0, 1, 1, 1), (3, 0, 0, 0, 0), (4, 7, 2, 9, 9)], convergence_yield, "task, yield", [(1, 0.333), (2, 0.333), (3, 0.0), (4, 0.286)], "yield")
-
-
 # -- review passes ------------------------------------------------------------------------------------------------
 DIMENSIONS = ("evidence", "impact", "familiarity", "confidence")
 
@@ -178,18 +127,6 @@ def anchoring(passes: DataFrame, shift: int = 2) -> DataFrame:
     return met.agg(F.count(F.lit(1)).alias("n"), F.expr("count_if(drifted) AS drifted"), F.expr("round(count_if(drifted) / nullif(count(1), 0), 3) AS rate"))
 
 
-_PASS = "id int, bead string, grp string, mode string, parent int, evidence int, impact int, familiarity int, confidence int, bucket int, decision string, anchor_evidence int, anchor_impact int, anchor_familiarity int"
-_PASSES = [
-    (1, "b1", "g1", "blind_first", None, 4, 3, 3, 3, None, "pass", None, None, None), (2, "b1", "g1", "blind_first", None, 1, 3, 3, 3, 3, "fail", None, None, None), (3, "b1", "g1", "blind_first", None, 5, 5, 5, 5, 5, "pass", None, None, None),
-    (4, "b2", "g2", "blind_first", None, 2, 2, None, 3, 2, "pass", None, None, None), (5, "b2", "g2", "exposed", 4, 4, 2, 3, 3, 2, "pass", 5, None, None), (6, "b2", "g2", "blind_first", None, 2, 2, 3, 3, 2, "pass", None, None, None),
-    (7, "b3", None, "exposed", 1, 4, 1, 3, 3, 3, "fail", 1, 3, None), (8, "b3", None, "exposed", 99, 1, 1, 1, 1, 1, "fail", 1, 1, 1), (9, "b4", None, "blind_first", None, 3, 3, 3, 3, 3, None, None, None, None),
-]
-cases("agg_24_map_distance", _PASS, _PASSES, lambda p: p.alias("x").join(p.alias("y"), F.expr("x.bead = y.bead AND x.id < y.id")).selectExpr("x.id AS a", "y.id AS b", f"round({distance()}, 3) AS d"), "a, b, d", [(1, 2, 3.0), (1, 3, 4.123), (2, 3, 5.657), (4, 5, 2.0), (4, 6, 0.0), (5, 6, 2.0), (7, 8, 4.583)], "d")
-cases("agg_25_noise_index", _PASS, _PASSES, lambda p: noise(p).select("noise_index", "n"), "noise_index, n", [(1.5, 2)], "noise_index")
-cases("agg_26_agreement", _PASS, _PASSES, lambda p: map_convergence(p).crossJoin(noise(p).select("agreement")), "bead, convergence, agreement", [("b1", 0.19, 0.5), ("b2", 0.429, 0.5), ("b3", 0.179, 0.5), ("b4", 1.0, 0.5)], "convergence agreement")
-cases("agg_27_anchoring_drift", _PASS, _PASSES, anchoring, "n, drifted, rate", [(3, 1, 0.333)], "rate")
-
-
 def advice(counts: DataFrame) -> DataFrame:
     """(task, advice) of (task, flips, divergence, drift, unbacked)."""
     return counts.selectExpr("task", "CASE WHEN flips > 0 OR (divergence > 0 AND drift > 0) THEN 're-review recommended' WHEN divergence > 0 OR drift > 0 OR unbacked > 0 THEN 'second arbiter pass recommended' ELSE 'no action' END AS advice")
@@ -200,10 +137,6 @@ def frequency_coverage(judgments: DataFrame) -> DataFrame:
     return judgments.agg(F.expr("round(count(hits) / nullif(count(1), 0), 3) AS coverage"), F.expr("count_if(severity = 'high' AND hits IS NULL AND coalesce(class_state = 'available', false)) AS unbacked"))
 
 
-cases("agg_29_escalation_advice", "task int, flips int, divergence int, drift int, unbacked int", [(1, 1, 0, 0, 0), (2, 0, 1, 1, 0), (3, 0, 1, 0, 0), (4, 0, 0, 1, 0), (5, 0, 0, 0, 1), (6, 0, 0, 0, 0)], advice, "task, advice", [(1, "re-review recommended"), (2, "re-review recommended"), (3, "second arbiter pass recommended"), (4, "second arbiter pass recommended"), (5, "second arbiter pass recommended"), (6, "no action")])
-cases("agg_28_frequency_coverage", "severity string, hits int, class_state string", [("high", 3, "available"), ("high", None, "available"), ("high", None, None), ("low", None, "available"), ("low", 0, None), ("high", None, "unknown")], frequency_coverage, "coverage, unbacked", [(0.333, 1)], "coverage")
-
-
 # -- hazards, stressors -------------------------------------------------------------------------------------------
 def hazards(records: DataFrame) -> DataFrame:
     """(task, beads, n, without, risky, escaped, open, state) of ledger records."""
@@ -261,14 +194,6 @@ def applicable(beads: DataFrame, library: DataFrame) -> DataFrame:
     return beads.withColumn("rules", rules).select("bead", F.explode(F.expr(fits)).alias("r")).select("bead", "r.stressor")
 
 
-_STRESSORS = [("s1", [], [], "established"), ("s2", ["complex"], [], "provisional"), ("s3", [], ["io", "net"], "established"), ("s4", ["clear"], ["io"], "established"), ("s5", [], [], "retired")]
-cases(
-    "jn_13_stressor_applicability", "bead string, domain string, tags array<string>", [("a", "complex", ["io"]), ("b", "clear", ["ui"]), ("c", "clear", ["io"]), ("d", "chaotic", [])],
-    lambda b: applicable(b, b.sparkSession.createDataFrame(_STRESSORS, "stressor string, domains array<string>, tags array<string>, status string")), "bead, stressor",
-    [("a", "s1"), ("a", "s2"), ("a", "s3"), ("b", "s1"), ("c", "s1"), ("c", "s3"), ("c", "s4"), ("d", "s1")],
-)
-
-
 def simplicity(beads: DataFrame) -> DataFrame:
     """(bead, coefficient, verdict): the problem's size over the solution's."""
     problem = "2 * files + CASE domain WHEN 'ESSENTIAL' THEN 3 ELSE 1 END + CASE cynefin WHEN 'clear' THEN 1 WHEN 'complicated' THEN 2 ELSE 3 END + criteria"
@@ -276,31 +201,6 @@ def simplicity(beads: DataFrame) -> DataFrame:
     return out.selectExpr("bead", "round(c, 4) AS coefficient", "CASE WHEN c IS NULL OR c >= 0.5 THEN 'PASS' WHEN c >= 0.3 THEN 'WARNING' ELSE 'BLOCKING' END AS verdict")
 
 
-cases(
-    "agg_30_hazard_summary", "task int, bead string, defenses array<string>, risk string, status string",
-    [(1, "a", ["x"], "low", "open"), (1, "a", ["y"], "high", "closed"), (2, "a", [], "high", "closed"), (3, "a", None, "low", "closed"), (3, "b", ["z"], "low", "escaped"), (4, "a", ["z"], "high", "closed")],
-    hazards, "task, beads, n, without, risky, escaped, open, state", [(1, 1, 2, 0, 1, 0, 1, "warning"), (2, 1, 1, 1, 1, 0, 0, "depleted"), (3, 2, 2, 1, 0, 1, 0, "warning"), (4, 1, 1, 0, 1, 0, 0, "healthy")],
-)
-cases("flt_23_open_hazards", "id int, controls array<string>, layer string", [(1, [], "L1"), (2, None, "L2"), (3, ["c"], "escaped"), (4, ["c"], "L1"), (5, ["c"], None)], open_hazards, "id", [(1,), (2,), (3,)])
-_LIBRARY = [("STR-007", "Slow disk"), ("STR-012", "No network"), ("custom", "Odd one")]
-cases(
-    "agg_39_harvest", "at bigint, stressor string, result string, target string",
-    [(1, "STR-NEW-1", "caught", "Full queue"), (2, "STR-NEW-2", "caught", " full QUEUE "), (3, "STR-012", "caught", "Known id"), (4, "STR-NEW-3", "missed", "Missed"), (5, "STR-NEW-4", "caught", "slow DISK"), (1500, "other", "caught", "Clock skew")],
-    lambda applied: harvest(applied, applied.sparkSession.createDataFrame(_LIBRARY, "id string, name string")), "name, id", [("Full queue", "STR-013"), ("Clock skew", "STR-014")],
-)
-_USED = {"s1": "caught missed caught missed", "s2": "missed missed missed missed missed caught", "s3": "missed missed", "s4": "missed missed missed caught", "s5": "caught not_applicable caught"}
-cases(
-    "win_15_lindy_lifecycle", "stressor string, at int, result string", [(s, k, r) for s, results in _USED.items() for k, r in enumerate(results.split())],
-    lifecycle, "stressor, n, caught, rate, status, changes",
-    [("s1", 4, 2, 0.5, "established", 1), ("s2", 6, 1, 0.1667, "retired", 0), ("s3", 2, 0, 0.0, "provisional", 0), ("s4", 4, 1, 0.25, "established", 1), ("s5", 2, 2, 1.0, "provisional", 0)], "rate",
-)
-cases(
-    "agg_37_simplicity", "bead int, files int, domain string, cynefin string, criteria int, lines int, abstractions int, dependencies int, nesting int, branches int",
-    [(1, 1, "ESSENTIAL", "complex", 2, 10, 1, 1, 1, 3), (2, 2, "ACCIDENTAL", "clear", 1, 14, 0, 0, 0, 0), (3, 1, "ESSENTIAL", "clear", 0, 20, 0, 0, 0, 0), (4, 1, "ACCIDENTAL", "complicated", 0, 100, 2, 1, 2, 9), (5, 1, "ACCIDENTAL", "clear", 0, 0, 0, 0, 0, 0)],
-    simplicity, "bead, coefficient, verdict", [(1, 0.5, "PASS"), (2, 0.5, "PASS"), (3, 0.3, "WARNING"), (4, 0.0413, "BLOCKING"), (5, None, "PASS")], "coefficient",
-)
-
-
 def rolling_budget(tasks: DataFrame) -> DataFrame:
     """(task, rate, escapes, high, state) over the last ten tasks that are no older than thirty days; escapes of the last three.
 
@@ -313,14 +213,6 @@ def rolling_budget(tasks: DataFrame) -> DataFrame:
     return out.selectExpr("task", "round(rate, 4) AS rate", "escapes", "high", "CASE WHEN rate < 0.5 OR escapes > 1 OR high >= 2 THEN 'depleted' WHEN rate >= 0.7 AND escapes = 0 THEN 'healthy' ELSE 'warning' END AS state")
 
 
-cases(
-    "win_10_rolling_budget", "system string, task int, day int, quiet boolean, escapes int, high boolean",
-    [("s", 1, 0, True, 0, False), ("s", 2, 10, False, 1, False), ("s", 3, 20, True, 0, False), ("s", 4, 30, True, 0, True), ("s", 5, 31, True, 0, True), ("s", 6, 70, True, 2, False), ("t", 7, 0, False, 0, False)],
-    rolling_budget, "task, rate, escapes, high, state",
-    [(1, 1.0, 0, 0, "healthy"), (2, 0.5, 1, 0, "warning"), (3, 0.6667, 1, 0, "warning"), (4, 0.6667, 1, 1, "warning"), (5, 0.75, 0, 2, "depleted"), (6, 1.0, 2, 0, "depleted"), (7, 0.0, 0, 0, "depleted")], "rate",
-)
-
-
 # -- events and findings ------------------------------------------------------------------------------------------
 def rising_escalation(findings: DataFrame, share: float = 0.5) -> DataFrame:
     """(workstream, escalated, n) where more than ``share`` of what is neither archived nor suppressed is escalated."""
@@ -359,18 +251,6 @@ def promotion(findings: DataFrame, patterns: DataFrame, workstreams: int, confid
     return findings.withColumn("words", words).withColumn("why", F.expr(why)).selectExpr("id", "why IS NULL AS promoted", "why")
 
 
-cases("agg_03_rising_escalation", "workstream string, state string", [("a", "escalated"), ("a", "open"), ("b", "escalated"), ("b", "escalated"), ("b", "open"), ("b", "archived"), ("b", "suppressed"), ("c", "archived")], rising_escalation, "workstream, escalated, n", [("b", 2, 3)])
-cases(
-    "agg_04_queue_starvation", "workstream string, minute bigint", [("a", 60), ("a", 70), ("b", 69), ("c", 71), ("d", 1)],
-    lambda e: queue_starvation(e, e.sparkSession.createDataFrame([("a", {"x": "completed", "y": "failed"}), ("b", {"x": "running"}), ("c", {})], "workstream string, beads map<string,string>"), 100), "workstream, idle", [("a", 30), ("d", 99)],
-)
-cases("agg_05_low_confidence_flood", "workstream string, state string, confidence double", [("a", "open", 0.4)] * 11 + [("b", "open", 0.4)] * 10 + [("b", "open", 0.5), ("c", "closed", 0.1)] + [("d", "open", 0.49)] * 12, low_confidence_flood, "workstream, n", [("a", 11), ("d", 12)])
-cases(
-    "flt_04_boundary", "id int, scope string, mission string", [(1, None, "src/run"), (2, "", "src/run"), (3, "src/run/a.ts", "src/run"), (4, "src/run", "src/run"), (5, "src/runner/a.ts", "src/run"), (6, "lib/a.ts", "src/run"), (7, "src/x", "src/run/"), (8, "/src/x", "src/run")],
-    boundary, "id, kind", [(1, "novel"), (2, "novel"), (3, "in_scope"), (4, "in_scope"), (5, "adjacent"), (6, "boundary_crossing"), (7, "adjacent"), (8, "adjacent")],
-)
-
-
 # -- files --------------------------------------------------------------------------------------------------------
 def _ends(*names: str) -> str:
     return "(" + " OR ".join(f"endswith(base, '{n}')" for n in names) + ")"
@@ -424,32 +304,3 @@ def justified(files: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     return out.select("path", "line", "score")
 
 
-_FILES = [
-    ("src/a.ts", ""), ("docs/sdlc/active/t1/beads/b1.md", ""), ("docs/sdlc/active/t1/beads/b1-decision-trace.md", ""), ("docs/sdlc/active/t1/adversarial/r.md", ""), ("app/node_modules/x/a.js", ""),
-    ("x/feature-matrix.md", ""), ("notes.md", "## Convention Enforcement Report"), ("t/quality-budget.yaml", ""), ("state.md", ""), ("run.py", None), (None, "x"), ("Makefile", ""),
-]
-cases(
-    "flt_06_routing", "path string, content string", _FILES, routed, "path, place, \"check\"",
-    [("src/a.ts", 7, "safety-constraints"), ("src/a.ts", 8, "ast-checks"), ("src/a.ts", 9, "eslint-disable"), ("docs/sdlc/active/t1/beads/b1.md", 2, "bead-status"), ("docs/sdlc/active/t1/beads/b1.md", 3, "domain-vocabulary"), ("docs/sdlc/active/t1/beads/b1.md", 6, "decision-trace"),
-     ("docs/sdlc/active/t1/beads/b1-decision-trace.md", 2, "bead-status"), ("docs/sdlc/active/t1/beads/b1-decision-trace.md", 3, "domain-vocabulary"), ("docs/sdlc/active/t1/adversarial/r.md", 1, "aqs-artifact"), ("docs/sdlc/active/t1/adversarial/r.md", 3, "domain-vocabulary"),
-     ("x/feature-matrix.md", 4, "consistency"), ("notes.md", 4, "consistency"), ("t/quality-budget.yaml", 10, "quality-budget"), ("state.md", 15, "phase-transition"), ("run.py", 7, "safety-constraints"), ("Makefile", 7, "safety-constraints")],
-)
-cases(
-    "flt_07_transitions", "bead int, before string, status string, type string",
-    [(1, "pending", "running", None), (2, "pending", "submitted", None), (3, "verified", "merged", "evolve"), (4, "verified", "merged", "fix"), (5, "proven", "merged", None), (6, None, "merged", None), (7, "stuck", "stuck", None), (8, "blocked", "verified", None), (9, "escalated", "pending", None), (10, "merged", "pending", None), (11, "hardened", "reliability-proven", None), (12, "verified", "hardened", None)],
-    transitions, "bead, move", [(k, "illegal" if k in (2, 4, 8, 10, 12) else "legal") for k in range(1, 13)],
-)
-cases(
-    "flt_08_empty_catch", "path string, content string",
-    [("a", "try {} catch (e) { }"), ("b", "catch { // later\n }"), ("c", "catch (e) { /* no */ }"), ("d", "try:\n  f()\nexcept ValueError:\n    pass\n"), ("e", "except:\n    raise"), ("f", "catch (e) { log(e) }"), ("g", None)],
-    swallowed, "path, rule", [("a", "empty"), ("b", "comment"), ("c", "comment"), ("d", "pass")],
-)
-_COMMENTS = "// eslint-disable-next-line a -- because it must be so; tracked in DEBT-1\n/* eslint-disable b -- long enough reason */\n// eslint-disable-line c\n// eslint-enable c\n// eslint-disable d -- short; expires 2030"
-cases("flt_13_suppressions", "path string, content string", [("a.ts", _COMMENTS), ("b.ts", "// eslint-disable-line x"), ("c.ts", "")], justified, "path, line, score", [("a.ts", 1, 2), ("a.ts", 2, 1), ("a.ts", 3, 0), ("a.ts", 5, 1), ("b.ts", 1, 0)])
-_PATTERNS = [("p1", "null pointer guard missing", 0.6), ("p2", "race condition lock", 0.4)]
-cases(
-    "flt_05_promotion", "id int, state string, kind string, confidence double, refs array<string>, scope string, mission string, evidence string",
-    [(1, "open", "in_scope", 0.9, ["a:1"], "src/a", "src", "A NULL pointer here"), (2, "open", "in_scope", 0.9, ["a:1"], None, "src", "only a pointer"), (3, "closed", "in_scope", 0.9, ["a:1"], None, "src", ""), (4, "open", "adjacent", 0.9, ["a:1"], None, "src", ""), (5, "open", "in_scope", 0.69, ["a:1"], None, "src", ""), (6, "open", "in_scope", 0.8, [], None, "src", ""), (7, "open", "in_scope", 0.8, ["a:1"], "lib/a", "src", ""), (8, "open", "in_scope", 0.8, ["a:1"], None, "src", "race condition lock")],
-    lambda f: promotion(f, f.sparkSession.createDataFrame(_PATTERNS, "pattern string, description string, confidence double"), 11), "id, promoted, why",
-    [(1, True, None), (2, False, "pattern"), (3, False, "state"), (4, False, "kind"), (5, False, "confidence"), (6, False, "anchor"), (7, False, "scope"), (8, False, "pattern")],
-)

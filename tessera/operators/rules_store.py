@@ -1,6 +1,6 @@
 """Rules of the store and its ledgers, of drift over windows of tasks, and definitions in six languages.
 
-As in ``rules``: functions of DataFrames, registered over literal rows whose results were worked out by hand.
+As in ``rules``: functions of DataFrames, registered over the given tables in ``over_tables``.
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.rules import cases
 
 #: What a finished level moves a bead from and to; statuses in their order.
 LEVELS = {"L0": ("running", "submitted"), "L1": ("submitted", "verified"), "L2": ("verified", "proven"), "L2.5": ("proven", "hardened"), "L2.75": ("hardened", "reliability-proven")}
@@ -62,33 +61,6 @@ def packet(ledger: DataFrame, journal: DataFrame, findings: DataFrame) -> DataFr
     return ledger.join(latest, "workstream", "left").join(ranked, "workstream", "left").selectExpr("workstream", "branch", "array_join(coalesce(e.entry, array()), ' ') AS entries", "array_join(coalesce(f.finding, array()), ' ') AS open")
 
 
-cases(
-    "str_13_status_swap", "bead int, level string, status string, expected string",
-    [(1, "L0", "running", None), (2, "L1", "running", None), (3, "L1", "verified", None), (4, "L1", "proven", "submitted"), (5, "L1", "submitted", "submitted"), (6, "L9", "running", None), (7, "L2", "odd", None), (8, "L2", "odd", "odd"), (9, "L2", "running", "running"), (10, "L2.75", "hardened", None)],
-    swap, "bead, action, status",
-    [(1, "advanced", "submitted"), (2, "mismatch", "running"), (3, "skipped", "verified"), (4, "mismatch", "proven"), (5, "advanced", "verified"), (6, "unknown level", "running"), (7, "unknown status", "odd"), (8, "unknown status", "odd"), (9, "advanced", "proven"), (10, "advanced", "reliability-proven")],
-)
-cases(
-    "str_10_clone_pruning", "clone string, level string, status string, synced boolean",
-    [("a", "L0", "completed", True), ("b", "L0", "completed", False), ("c", "L0", "completed", False), ("d", "L0", "running", True), ("d", "L0", "completed", True), ("e", None, "completed", True), ("f", "L0", "cancelled", True), (None, "L0", "completed", True)],
-    lambda t: prunable(t, t.sparkSession.createDataFrame([("a", 1), ("b", 24), ("c", 25), ("d", 99), ("e", 99), ("g", 99)], "clone string, hours int")), "clone", [("a",), ("c",)],
-)
-cases(
-    "snk_02_append_once", "task string, status string, value int, at int", [("t1", "final", 9, 1), ("t2", "ready", 2, 1), ("t3", "final", 4, 2), ("t3", "final", 3, 1), (None, "final", 5, 1), ("t4", "final", 6, 1)],
-    lambda rows: appended(rows.sparkSession.createDataFrame([("t1", 1), ("t0", 0)], "task string, value int"), rows), "task, value", [("t0", 0), ("t1", 1), ("t3", 3), ("t4", 6)],
-)
-cases(
-    "str_04_ledger_update", "workstream string, column string, value string, at string", [("a", "branch", "dev", "3"), ("a", "branch", "old", "2"), ("a", "repo", "evil", "9"), ("b", "mission_id", None, "4"), ("z", "branch", "x", "1")],
-    lambda u: merged_ledger(u.sparkSession.createDataFrame([("a", "main", "m1", None, "{}", "c1", "1"), ("b", "main", "m2", "s", "{}", "c2", "1"), ("c", "main", "m3", "s", "{}", "c3", "1")], "workstream string, branch string, mission_id string, scope_region string, active_beads string, latest_commit string, updated string"), u),
-    "workstream, branch, mission_id, scope_region, active_beads, latest_commit, updated", [("a", "dev", "m1", None, "{}", "c1", "3"), ("b", "main", None, "s", "{}", "c2", "4"), ("c", "main", "m3", "s", "{}", "c3", "1")],
-)
-cases(
-    "str_05_rehydrate", "workstream string, entry string, at int", [("a", "e1", 1), ("a", "e2", 2), ("a", "e3", 3), ("a", "e4", 4), ("b", "e5", 1), ("x", "e6", 1)],
-    lambda j: packet(j.sparkSession.createDataFrame([("a", "main"), ("b", "dev"), ("c", "new")], "workstream string, branch string"), j, j.sparkSession.createDataFrame([("a", "f1", "open", 0.2), ("a", "f2", "open", 0.9), ("a", "f3", "closed", 1.0), ("c", "f4", "open", 0.5)], "workstream string, finding string, state string, salience double")),
-    "workstream, branch, entries, open", [("a", "main", "e4 e3 e2", "f2 f1"), ("b", "dev", "e5", ""), ("c", "new", "", "f4")],
-)
-
-
 # -- drift --------------------------------------------------------------------------------------------------------
 #: Indicators of a task and the direction that is a sign of drift.
 INDICATORS = {"clear_rate": 1, "fast_rate": 1, "depth": -1, "skip_rate": 1, "healthy_for": 1}
@@ -112,18 +84,6 @@ def protection(tasks: DataFrame) -> DataFrame:
     return rows.selectExpr("task", "round(ratio, 4) AS ratio", "CASE WHEN run = 3 THEN 'ALERT' WHEN low = 1 THEN 'WARNING' ELSE 'HEALTHY' END AS status")
 
 
-cases(
-    "win_13_deviance", "system string, task int, clear_rate double, fast_rate double, depth double, skip_rate double, healthy_for double",
-    [("s", k, 0.1 * (k > 10), 0.5, 3.0 - (k > 10), 0.0 if k < 20 else 1.0, 1.0) for k in range(1, 21)] + [("t", k, 1.0 * k, 1.0, 1.0, 1.0, 1.0) for k in range(1, 13)],
-    lambda t: deviance(t).where("task >= 11"), "task, signs, alert",
-    [(11, 0, "NONE"), (12, 0, "NONE"), *[(k, 0, "NONE") for k in range(11, 20)], (20, 3, "RED")],
-)
-cases(
-    "win_14_protection_ratio", "system string, task int, protecting int, beads int", [("s", 1, 1, 4), ("s", 2, 0, 1), ("s", 3, 0, 1), ("s", 4, 0, 1), ("s", 5, 0, 1), ("s", 6, 5, 5)],
-    protection, "task, ratio, status", [(1, 0.25, "HEALTHY"), (2, 0.2, "HEALTHY"), (3, 0.1667, "WARNING"), (4, 0.1429, "WARNING"), (5, 0.125, "ALERT"), (6, 0.4615, "HEALTHY")], "ratio",
-)
-
-
 # -- definitions --------------------------------------------------------------------------------------------------
 #: How a line opens a definition, by language; the name is the last group that matched.
 DEFINITIONS = {
@@ -131,12 +91,14 @@ DEFINITIONS = {
     "python": r"^\s*(?:async\s+)?def\s+(\w+)\s*\(", "go": r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]", "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)",
     "java": r"^\s*(?:(?:public|private|protected|static|final|synchronized)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\(", "ruby": r"^\s*def\s+(?:self\.)?(\w+[?!]?)",
 }
-#: What a definition's line says of its reach, by language, in order; the last entry holds otherwise.
-EXPORTS = {
-    "typescript": ((r"^\s*export\s+default\b", "default"), (r"^\s*export\b", "named"), (r"^\s*(public|private|protected)\b", "method"), ("", "internal")),
-    "python": ((r"^\s{4,}(async\s+)?def\b", "method"), (r"^(async\s+)?def\s+_[^_]", "internal"), ("", "module_level")),
-    "go": ((r"^func\s+\(", "method"), (r"func\s+[A-Z]", "named"), ("", "internal")), "rust": ((r"^[ \t]", "method"), (r"^pub\b", "named"), ("", "internal")),
-    "java": ((r"\bpublic\b", "named"), (r"\b(private|protected)\b", "internal"), ("", "method")), "ruby": (("", "internal"),),
+#: What a definition's reach is, by language, from its indentation, the words before its name, and the name; the first that holds.
+REACH = {
+    "typescript": "CASE WHEN array_contains(before, 'default') AND get(before, 0) = 'export' THEN 'default' WHEN get(before, 0) = 'export' THEN 'named' WHEN get(before, 0) IN ('public', 'private', 'protected') THEN 'method' ELSE 'internal' END",
+    "python": "CASE WHEN indent >= 4 THEN 'method' WHEN indent = 0 AND startswith(name, '_') AND NOT startswith(name, '__') AND length(name) > 1 THEN 'internal' ELSE 'module_level' END",
+    "go": "CASE WHEN startswith(ltrim(substr(text, 5)), '(') THEN 'method' WHEN left(name, 1) = upper(left(name, 1)) AND left(name, 1) <> lower(left(name, 1)) THEN 'named' ELSE 'internal' END",
+    "rust": "CASE WHEN indent > 0 THEN 'method' WHEN get(before, 0) = 'pub' THEN 'named' ELSE 'internal' END",
+    "java": "CASE WHEN array_contains(before, 'public') THEN 'named' WHEN arrays_overlap(before, array('private', 'protected')) THEN 'internal' ELSE 'method' END",
+    "ruby": "'internal'",
 }
 _NO_NAMES = "('if', 'for', 'while', 'switch', 'catch', 'return', 'new', 'else')"
 
@@ -151,28 +113,14 @@ def definitions(files: DataFrame, around: int = 1) -> DataFrame:
     found = "CASE language " + " ".join(f"WHEN '{k}' THEN regexp_extract_all(text, {_q(p)}, 0)" for k, p in DEFINITIONS.items()) + " END"
     groups = {k: p.count("(") - p.count("(?:") - p.count(r"\(") for k, p in DEFINITIONS.items()}
     names = "CASE language " + " ".join(f"WHEN '{k}' THEN coalesce({', '.join(f'nullif(regexp_extract(text, {_q(p)}, {g}), {chr(39) * 2})' for g in range(1, groups[k] + 1))})" for k, p in DEFINITIONS.items()) + " END"
-    kinds = "CASE language " + " ".join(f"WHEN '{k}' THEN CASE " + " ".join(f"WHEN text rlike {_q(p)} THEN '{v}'" for p, v in rules) + " END" for k, rules in EXPORTS.items()) + " END"
+    kinds = "CASE language " + " ".join(f"WHEN '{k}' THEN {rule}" for k, rule in REACH.items()) + " END"
     lines = files.select("path", "language", F.split("content", "\n").alias("all")).select("path", "language", "all", F.size("all").alias("total"), F.posexplode("all").alias("k", "text"))
     opened = lines.where(F.size(F.expr(found)) > 0).withColumn("end_line", F.lead("k", 1).over(Window.partitionBy("path").orderBy("k")))
     out = opened.withColumn("name", F.expr(names)).where(f"name IS NOT NULL AND name NOT IN {_NO_NAMES}").withColumn("end_line", F.coalesce("end_line", "total"))
+    out = out.withColumn("indent", F.expr("length(text) - length(ltrim(replace(text, '\\t', ' ')))")).withColumn("before", F.expr("filter(split(substring_index(text, name, 1), '[^A-Za-z]+'), w -> w <> '')"))
     return out.selectExpr("path", "name", "k + 1 AS line", "end_line", "greatest(1, end_line - k) AS body_lines", f"{kinds} AS export_type", f"array_join(slice(all, greatest(1, k + 1 - {around}), k + 1 + {around} - greatest(1, k + 1 - {around}) + 1), '\\n') AS context")
 
 
-_SOURCES = [
-    ("a.ts", "typescript", "import x\nexport default function main() {\n  run()\n}\nexport const go = async (a) => a\nclass A {\n  private async step(n) {\n  }\n}"),
-    ("b.py", "python", "def f(a):\n    return a\n\nasync def _g():\n    pass\nclass C:\n    def m(self):\n        pass"), ("c.go", "go", "func (s *S) Run() {}\nfunc Open() {}\nfunc shut() {}"),
-    ("d.rs", "rust", "pub async fn open() {}\nfn shut() {}\n    fn inner() {}"), ("E.java", "java", "class E {\n  public static int sum(int a) { }\n  private void hide() { }\n}"), ("f.rb", "ruby", "def ok?\nend\ndef self.make\nend"), ("g.txt", None, "def f(a):"), ("h.py", "python", None),
-]
-_DEFINED = [
-    ("a.ts", "main", 2, 4, 3, "default"), ("a.ts", "go", 5, 6, 2, "named"), ("a.ts", "step", 7, 9, 3, "method"), ("b.py", "f", 1, 3, 3, "module_level"), ("b.py", "_g", 4, 6, 3, "internal"), ("b.py", "m", 7, 8, 2, "method"),
-    ("c.go", "Run", 1, 1, 1, "method"), ("c.go", "Open", 2, 2, 1, "named"), ("c.go", "shut", 3, 3, 1, "internal"), ("d.rs", "open", 1, 1, 1, "named"), ("d.rs", "shut", 2, 2, 1, "internal"), ("d.rs", "inner", 3, 3, 1, "method"),
-    ("E.java", "sum", 2, 2, 1, "named"), ("E.java", "hide", 3, 4, 2, "internal"), ("f.rb", "ok?", 1, 2, 2, "internal"), ("f.rb", "make", 3, 4, 2, "internal"),
-]
-_FILES = "path string, language string, content string"
-cases("fn_18_definitions", _FILES, _SOURCES, lambda f: definitions(f).select("path", "name", "line", "end_line", "body_lines"), "path, name, line, end_line, body_lines", [d[:5] for d in _DEFINED])
-cases("fn_20_export_type", _FILES, _SOURCES, lambda f: definitions(f).select("path", "name", "export_type"), "path, name, export_type", [(d[0], d[1], d[5]) for d in _DEFINED])
-
-
 # -- gates, reviews, reports --------------------------------------------------------------------------------------
 #: Rank of an artifact's status; findings that a passing review may not leave open.
 RANKS = {"partial": 1, "ready": 2, "active": 2, "final": 3}
@@ -216,25 +164,3 @@ def report(merged: DataFrame) -> DataFrame:
     return fixed.unionByName(sums).unionByName(kinds).unionByName(pairs.selectExpr("cast(section AS int) AS section", "rank", "line"))
 
 
-cases(
-    "flt_17_phase_gates", "gate int, status string, least string, field string, open int, asks_ledger boolean, in_ledger boolean",
-    [(1, "final", "ready", "x", 0, False, False), (2, "active", "ready", "x", 0, False, False), (3, "partial", "ready", "x", 0, False, False), (4, "odd", "partial", "x", 0, False, False), (5, None, "partial", "x", 0, False, False), (6, "final", "final", "", 0, False, False), (7, "final", "final", "x", 1, False, False), (8, "final", "final", "x", 0, True, False), (9, "final", "final", "x", 0, True, True)],
-    gates, "gate, passed", [(k, k in (1, 2, 9)) for k in range(1, 10)],
-)
-_HASH = "87428fc522803d31065e7bce3cf03fe475096631e5e07bbd7a0fde60c4cf25c7"  # of "a\n"
-cases(
-    "flt_22_review_results", "review int, verdict string", [(1, "PASS"), (2, "PASS"), (3, "MAYBE"), (4, "FAIL"), (5, "PASS")],
-    lambda r: review_problems(
-        r, r.sparkSession.createDataFrame([(1, "a", 1, _HASH), (2, "a", 2, _HASH), (3, "b", 1, _HASH), (4, "a", 0, _HASH), (4, "a", 1, "00")], "review int, path string, line int, claimed string"), r.sparkSession.createDataFrame([("a", "a\n")], "path string, content string"),
-        r.sparkSession.createDataFrame([(5, "CRITICAL", "UNRESOLVED"), (1, "MATERIAL", "RESOLVED"), (1, "MINOR", "UNRESOLVED"), (4, "CRITICAL", "UNRESOLVED")], "review int, severity string, disposition string"),
-    ),
-    "review, problem", [(2, "outside"), (3, "untracked"), (3, "verdict"), (4, "line"), (4, "hash"), (5, "unresolved")],
-)
-cases("agg_38_noise_bands", "bead int, one array<string>, two array<string>", [(1, list("abcde"), list("abcde")), (2, list("abcde"), list("abcd")), (3, list("ab"), list("a")), (4, list("abc"), list("ad")), (5, [], [])], noise_band, "bead, overlap, noise", [(1, 100.0, "LOW"), (2, 80.0, "MODERATE"), (3, 50.0, "MODERATE"), (4, 25.0, "HIGH"), (5, 100.0, "LOW")], "overlap")
-cases(
-    "snk_04_report", "a int, b int, composite double, n int, confidence string, clone_type string, action string",
-    [(1, 2, 0.9, 3, "HIGH", "Type 1 (exact clone)", "CONSOLIDATE"), (3, 4, 0.95, 2, "HIGH", "Type 2 (renamed clone)", "CONSOLIDATE"), (5, 6, 0.4, 1, "LOW", "Type 2 (renamed clone)", "REVIEW")],
-    report, "section, rank, line",
-    [(0, 0, "# Duplicate functions"), (1, 0, "| Metric | Value |"), (2, 0, "| Pairs | 3 |"), (2, 1, "| Several signals | 2 |"), (2, 2, "| Three signals or more | 1 |"), (3, 0, "| Clone type | Count |"), (4, 1, "| Type 2 (renamed clone) | 2 |"), (4, 2, "| Type 1 (exact clone) | 1 |"),
-     (10, 0, "## HIGH"), (11, 1, "- 3 and 4: 0.95 by 2, consolidate"), (11, 2, "- 1 and 2: 0.9 by 3, consolidate"), (20, 0, "## MEDIUM"), (30, 0, "## LOW"), (31, 1, "- 5 and 6: 0.4 by 1, review")],
-)

@@ -11,16 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.names import name_score, name_tokens, normal_type
-from tessera.operators import strategies_sql as oracle
+from tessera.functions.names import name_score, name_tokens, normal_type, type_of, words_of_name
 from tessera.operators.strategy_values import FACTORIES, HIGH, KEYWORDS, LOW, MEDIUM, OPENERS, SEQUENCE, STATEMENTS, SURFACE, WEIGHTS
 from tessera.operators.udf_operators import _lcs as lcs_similarity
-from tessera.plans.dialect import REGISTRY
-from tessera.sources import samples
+from tessera.sources.scratch import written
 
 _COLUMNS = ("id", "file", "name", "coalesce(qualified_name, name) AS qualified_name", "line", "end_line", "body_lines", "size(params) AS arity", "cyclomatic_complexity AS cc")
 
@@ -40,7 +39,9 @@ UNLIKE = f"coalesce(x.body_lines < 3 AND y.body_lines < 3, false) OR {_far('body
 
 
 def guarded(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) that may be compared."""
+    """The pairs (a, b, ...) that may be compared; a catalog marked as ``unguarded`` leaves that to its caller."""
+    if "unguarded" in catalog.columns:
+        return pairs
     known = catalog.selectExpr(*_COLUMNS)
     x, y = known.alias("x"), known.alias("y")
     kept = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(f"{DIFFERENT} AND NOT ({UNLIKE})")
@@ -48,16 +49,21 @@ def guarded(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def features(catalog: DataFrame, array: str) -> DataFrame:
-    """(id, f, x, n, df, rank): each function's distinct features with their counts, ranked from the rarest."""
-    rows = catalog.select("id", F.explode(F.expr(array)).alias("f")).groupBy("id", "f").agg(F.count(F.lit(1)).cast("double").alias("x"))
-    frequency = rows.groupBy("f").agg(F.count(F.lit(1)).alias("df"))
+    """(id, f, x, n, df, rank): each function's distinct features with their counts, ranked from the rarest.
+
+    ``df`` is the number of functions with the feature; a row that stands for several (column ``copies``) counts as often.
+    Features go by their MD5.  The table is written, for every strategy reads it several times.
+    """
+    copies = "copies" if "copies" in catalog.columns else "1"
+    rows = catalog.select("id", F.expr(f"cast({copies} AS bigint) AS copies"), F.explode(F.expr(array)).alias("f")).withColumn("f", F.unhex(F.md5("f"))).groupBy("id", "f").agg(F.count(F.lit(1)).cast("double").alias("x"), F.first("copies").alias("copies"))
+    frequency = rows.groupBy("f").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("held"))
     ranked = rows.join(frequency, "f")
-    return ranked.selectExpr("id", "f", "x", "df", "count(1) OVER (PARTITION BY id) AS n", "row_number() OVER (PARTITION BY id ORDER BY df, f) AS rank")
+    return written(ranked.selectExpr("id", "f", "x", "df", "held", "count(1) OVER (PARTITION BY id) AS n", "row_number() OVER (PARTITION BY id ORDER BY df, f) AS rank"), "features")
 
 
 def _met(left: DataFrame, right: DataFrame, where: str = "true") -> DataFrame:
     """(a, b) of the functions that share a feature."""
-    x, y = left.where("df > 1").alias("x"), right.where("df > 1").alias("y")
+    x, y = left.where("held > 1").alias("x"), right.where("held > 1").alias("y")
     return x.join(y, F.expr(f"x.f = y.f AND x.id <> y.id AND {where}")).selectExpr("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b").distinct()
 
 
@@ -78,19 +84,51 @@ def counted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 JACCARD = "cast(c AS double) / (na + nb - c)"
 
 
+def overlapping(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all pairs whose Jaccard could reach the threshold, and few others.
+
+    Two functions that reach it meet at one of the rarest features of both.  While they meet their sizes must allow it, and what they have in common
+    there is counted: with it, and all that follows the earlier end of both prefixes, enough features must be shared.
+    """
+    cut = rows.withColumn("own", F.expr(_prefix(threshold)))
+    ends = cut.where("own").groupBy("id").agg(F.max(F.struct("df", "f")).alias("end"), F.count(F.lit(1)).alias("p"))
+    index = cut.where("own AND held > 1").select("id", "f", "n").join(ends, "id")
+    near = F.expr(f"p.f = q.f AND p.id < q.id AND least(p.n, q.n) >= {threshold} * greatest(p.n, q.n) - 1e-9")
+    met = index.alias("p").join(index.alias("q"), near).groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    counts = met.agg(F.count(F.lit(1)).alias("c"), F.expr("first(CASE WHEN p.end < q.end THEN p.n - p.p ELSE q.n - q.p END) AS more"), F.expr("first(p.n + q.n) AS both"))
+    return counts.where(f"c + more >= {threshold} / (1 + {threshold}) * both - 1e-9").select("a", "b")
+
+
 def by_jaccard(catalog: DataFrame, array: str, threshold: float, least: int = 1) -> DataFrame:
     rows = features(catalog, array).where(f"n >= {least}")
-    own = rows.where(_prefix(threshold))
-    scored = counted(_met(own, own), rows).selectExpr("a", "b", f"{JACCARD} AS score").where(f"score >= {threshold}")
+    scored = counted(overlapping(rows, threshold), rows).selectExpr("a", "b", f"{JACCARD} AS score").where(f"score >= {threshold}")
     return guarded(scored, catalog)
 
 
+def cosines(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score): all pairs of (id, f, x, held, rank) whose cosine reaches the threshold.
+
+    A function indexes its features from the rarest on, as long as the rest of its vector, of norm ``rest``, could reach the threshold by
+    itself.  Two functions that reach it meet at an indexed feature of both: the rarest one they share.  Their products over indexed
+    features are summed while they meet, and a pair goes on only if that sum and the norm left out can still
+    reach the threshold; only then what was left out is fetched and added.
+    """
+    unit = rows.selectExpr("id", "f", "held", "rank", "x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x")
+    cut = unit.selectExpr("*", "sqrt(sum(x * x) OVER (PARTITION BY id ORDER BY rank DESC)) AS rest").withColumn("indexed", F.expr(f"rest >= {threshold} - 1e-9"))
+    cut = written(cut, "vectors")
+    left_out = cut.groupBy("id").agg(F.coalesce(F.max(F.when(~F.col("indexed"), F.col("rest"))), F.lit(0.0)).alias("out"))
+    index = cut.where("indexed AND held > 1").join(left_out, "id")
+    met = index.alias("p").join(index.alias("q"), F.expr("p.f = q.f AND p.id < q.id")).groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    begun = met.agg(F.expr("sum(p.x * q.x) AS dot"), F.expr("max(p.rest * q.rest) AS reach"), F.expr("max(greatest(p.out, q.out)) AS out")).where(f"reach >= {threshold} - 1e-9 AND dot + out >= {threshold} - 1e-9").select("a", "b", "dot")
+    held = cut.where("held > 1")
+    p, q = (held.select(F.col("id").alias(k), "f", F.col("x").alias(f"x{k}"), F.col("indexed").alias(f"i{k}")) for k in "ab")
+    more = begun.join(p, "a").join(q, ["b", "f"]).where("NOT (ia AND ib)").groupBy("a", "b").agg(F.expr("sum(xa * xb) AS more"))
+    return begun.join(more, ["a", "b"], "left").selectExpr("a", "b", "dot + coalesce(more, 0D) AS score").where(f"round(score, 12) >= {threshold}")
+
+
 def by_cosine(catalog: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Cosine of the counts x; a feature is in the prefix if it and all commoner ones could still reach the threshold."""
-    rest = "sum(x * x) OVER (PARTITION BY id ORDER BY rank DESC)"
-    own = rows.selectExpr("*", f"{rest} AS rest", "sum(x * x) OVER (PARTITION BY id) AS whole").where(f"rest >= {threshold * threshold} * whole - 1e-9")
-    scored = counted(_met(own, own), rows).selectExpr("a", "b", "dot / sqrt(p * q) AS score").where(f"round(score, 12) >= {threshold}")
-    return guarded(scored, catalog)
+    """Cosine of the counts x, between functions that may be compared."""
+    return guarded(cosines(rows, threshold), catalog)
 
 
 def grams(k: int) -> str:
@@ -105,8 +143,9 @@ def winnowed(k: int = 5, w: int = 4) -> str:
     return f"array_distinct(transform(array({hashes}), h -> CASE WHEN size(h) < {w} THEN h ELSE transform(sequence(0, size(h) - {w}), i -> array_min(slice(h, i + 1, {w}))) END)[0])"
 
 
-#: Each statement block with the first tokens of the blocks around it.
-BLOCKS = f"""filter(transform(array(filter(transform(token_sequence, (t, i) -> i), i -> i = 0 OR array_contains({_list(STATEMENTS)}, token_sequence[i]))),
+def statement_blocks(opens: str = f"array_contains({_list(STATEMENTS)}, token_sequence[i])") -> str:
+    """Each block with the first tokens of the blocks around it; ``opens`` says whether the token at i begins one, as the first always does."""
+    return f"""filter(transform(array(filter(transform(token_sequence, (t, i) -> i), i -> i = 0 OR {opens})),
  at -> transform(at, (s, k) -> concat_ws('\\0', slice(token_sequence, s + 1, coalesce(get(at, k + 1), size(token_sequence)) - s), array(
  coalesce(get(token_sequence, get(at, k - 1)), '_START'), coalesce(get(token_sequence, get(at, k + 1)), '_END')))))[0], b -> true)"""
 
@@ -137,17 +176,22 @@ def _expand(pairs: DataFrame, catalog: DataFrame, column: str) -> DataFrame:
     return met.selectExpr("least(i, j) AS a", "greatest(i, j) AS b", "score").distinct()
 
 
-def fuzzy_name(catalog: DataFrame) -> DataFrame:
-    """.3 edit ratio + .4 token Jaccard + .2 synonyms + .1 abbreviations, 0.5 or more.  What is not Jaccard adds 0.38 at most, so
-    the token sets have a Jaccard of 0.3."""
-    names = catalog.where("name IS NOT NULL").select("name").distinct().withColumn("id", F.xxhash64("name"))
-    tokens = names.withColumn("t", _arrow(lambda n: sorted(set(name_tokens(n))), pa.list_(pa.string()), "array<string>")("name"))
-    rows = features(tokens, "t")
+def name_pairs(names: DataFrame) -> DataFrame:
+    """(p, q, score) of distinct names: .3 edit ratio + .4 token Jaccard + .2 synonyms + .1 abbreviations, 0.5 or more, p = q included.
+
+    What is not Jaccard adds 0.38 at most, so the token sets have a Jaccard of 0.3.
+    """
+    names = names.where("name IS NOT NULL").select("name").distinct().withColumn("id", F.xxhash64("name"))
+    rows = features(names.withColumn("t", F.array_distinct(words_of_name(F.col("name")))), "t")
     own = rows.where(_prefix(0.3))
     named = names.select(F.col("id").alias("a"), F.col("name").alias("p")), names.select(F.col("id").alias("b"), F.col("name").alias("q"))
     pairs = _met(own, own).join(named[0], "a").join(named[1], "b").select("p", "q").unionByName(names.select(F.col("name").alias("p"), F.col("name").alias("q")))
-    scored = pairs.withColumn("score", _arrow(name_score, pa.float64(), "double")("p", "q")).where("round(score, 12) >= 0.5")
-    return guarded(_expand(scored, catalog, "name"), catalog)
+    return pairs.withColumn("score", _arrow(name_score, pa.float64(), "double")("p", "q")).where("round(score, 12) >= 0.5")
+
+
+def fuzzy_name(catalog: DataFrame) -> DataFrame:
+    """Functions whose names score 0.5 or more; names are compared once each."""
+    return guarded(_expand(name_pairs(catalog), catalog, "name"), catalog)
 
 
 def signature_score(a: dict, b: dict) -> float:
@@ -182,14 +226,37 @@ def signature_score(a: dict, b: dict) -> float:
     return raw * 0.5 if types <= 0.5 and result <= 0.5 else raw
 
 
+def signature_pairs(signs: DataFrame) -> DataFrame:
+    """(p, q, s, t, ns, nt, score) of distinct signatures (params, return_type, n), 0.7 or more.
+
+    An arity that differs by two leaves less than 0.7, so signatures meet those of their arity or one more.  Without a parameter name's
+    word in common the types give two thirds of theirs at least, and without a like type in one place (or an open one in either, or
+    none known in both) they give 0.3 at most: so a pair shares a word of a name, the type of a place, or has an open type.
+    """
+    keyed = signs.withColumn("p", F.expr("to_json(struct(params, return_type))")).withColumn("k", F.expr("coalesce(size(params), 0)"))
+    words = F.flatten(F.transform("params", lambda v: F.transform(words_of_name(F.coalesce(v["name"], F.lit(""))), lambda w: F.concat(F.lit("w:"), w))))
+    types = F.transform(F.transform("params", lambda v: type_of(v["type"])), lambda t, i: F.concat(F.lit("t:"), i.cast("string"), F.lit(":"), t))
+    empty = F.array().cast("array<string>")
+    open_ = F.coalesce(F.size("params"), F.lit(0)) == 0
+    keys = F.when(open_, F.array(F.lit("none"))).otherwise(F.array_distinct(F.concat(F.coalesce(words, empty), F.coalesce(types, empty))))
+    wild = F.coalesce(F.exists("params", lambda v: type_of(v["type"]).isin("any", "") | v["type"].isNull()), F.lit(False))
+    met = keyed.withColumn("f", F.explode(keys)).withColumn("wild", wild)
+    x = met.select(F.col("p"), "f", F.explode(F.expr("array(k, k + 1)")).alias("k"), F.col("k").alias("own"))
+    y = met.select(F.col("p").alias("q"), "f", "k")
+    close = x.join(y, ["f", "k"]).where("p <= q OR own < k").select("p", "q")
+    # open types go with every type: the few signatures that have one meet all of their arity
+    wilds = met.where("wild").select("p", F.explode(F.expr("array(k - 1, k, k + 1)")).alias("k")).distinct()
+    loose = wilds.join(met.select(F.col("p").alias("q"), "k").distinct(), "k").select("p", "q")
+    alone = keyed.where("k <= 1").select("p", F.explode(F.expr("array(0, 1)")).alias("k"), F.col("k").alias("own")).join(keyed.where("k <= 1").select(F.col("p").alias("q"), "k"), "k").where("own <> k").select("p", "q")
+    pairs = close.unionByName(loose).unionByName(alone).selectExpr("least(p, q) AS p", "greatest(p, q) AS q").distinct()
+    s, t = (keyed.select(F.col("p").alias(k), F.struct("params", "return_type").alias(v), F.col("n").alias(f"n{v}")) for k, v in (("p", "s"), ("q", "t")))
+    return pairs.join(s, "p").join(t, "q").withColumn("score", _arrow(signature_score, pa.float64(), "double")("s", "t")).where("round(score, 12) >= 0.7")
+
+
 def signature_match(catalog: DataFrame) -> DataFrame:
-    """0.7 or more.  An arity that differs by two leaves less, so distinct signatures meet those of their arity or one more."""
-    key = "to_json(struct(params, return_type))"
-    signs = catalog.select(F.expr(key).alias("p"), F.struct("params", "return_type").alias("s"), F.expr("coalesce(size(params), 0)").alias("n")).dropDuplicates(["p"])
-    x = signs.select("p", "s", F.explode(F.expr("array(n, n + 1)")).alias("n"))
-    met = x.join(signs.select(F.col("p").alias("q"), F.col("s").alias("t"), "n"), "n").where("p <= q OR size(s.params) < size(t.params)")
-    scored = met.withColumn("score", _arrow(signature_score, pa.float64(), "double")("s", "t")).where("round(score, 12) >= 0.7").select("p", "q", "score").distinct()
-    return guarded(_expand(scored, catalog, key), catalog)
+    """Functions whose signatures score 0.7 or more; signatures are compared once each."""
+    signs = catalog.groupBy("params", "return_type").agg(F.count(F.lit(1)).alias("n"))
+    return guarded(_expand(signature_pairs(signs).select("p", "q", "score"), catalog, "to_json(struct(params, return_type))"), catalog)
 
 
 METRICS = ("body_lines", "cyclomatic_complexity", "n_params", "n_tokens", "nesting", "vocabulary")
@@ -203,30 +270,82 @@ def metric_rows(catalog: DataFrame) -> DataFrame:
     )
 
 
+#: Width of a grid's cells in logarithms of a metric, rows of a cell that meet another's at a time, and the mean gap that 0.9 leaves.
+CELL, SPLIT, GAP = 0.1, 256, 0.10005
+#: What each grid is over, and the metrics that both of a pair must know for it; a pair is made by the first grid that fits it.
+GRIDS = (("body_lines", "n_tokens", "vocabulary"), ("n_tokens", "vocabulary"), ("body_lines",), ("cyclomatic_complexity", "n_params"))
+
+
+def metric_pairs(vectors: DataFrame) -> DataFrame:
+    """(a, b, score) of rows (id and ``METRICS``) whose mean relative difference over at least three metrics leaves 0.9 or more.
+
+    Rows lie in the cells of a grid of logarithms.  Two cells meet only if the least relative differences that their distance allows
+    still fit the mean; cells are few, however many rows there are.  Cells with many rows are split by a hash and meet a part at a time.
+    """
+    cell = lambda c: f"cast(floor(ln(greatest({c}, 1D)) / {CELL}) AS int)"
+    known = ["body_lines IS NOT NULL", "n_tokens IS NOT NULL", "cyclomatic_complexity IS NOT NULL", "n_params IS NOT NULL"]
+    grids = ", ".join(f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in dims)} THEN named_struct('grid', {k}, 'd', array({', '.join(map(cell, dims))})) END" for k, dims in enumerate(GRIDS))
+    placed = vectors.selectExpr("id", *METRICS, f"array({', '.join(known)}) AS known", f"explode(filter(array({grids}), g -> g IS NOT NULL)) AS g").selectExpr("*", "g.grid AS grid", "g.d AS d")
+    cells = placed.groupBy("grid", "known", "d").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.expr("concat_ws(',', grid, transform(known, k -> string(int(k))), transform(d, i -> string(i)))"))
+    lines, tokens = "(x.known[0] AND y.known[0])", "(x.known[1] AND y.known[1])"
+    first = f"CASE WHEN {lines} AND {tokens} THEN 0 WHEN {tokens} THEN 1 WHEN {lines} THEN 2 ELSE 3 END"
+    shared = f"(1 + int{lines} + 2 * int{tokens} + int(x.known[2] AND y.known[2]) + int(x.known[3] AND y.known[3]))"
+    gaps = f"aggregate(zip_with(x.d, y.d, (i, j) -> 1 - exp(-{CELL} * greatest(abs(i - j) - 1, 0))), 0D, (s, g) -> s + g)"
+    reach = int(np.log(1 / (1 - 6 * GAP)) / CELL) + 2
+    wide = cells.selectExpr("*", f"explode(transform(array(-1, 0, 1), k -> k + floor(d[0] / {reach}))) AS zone").alias("x")
+    near = cells.selectExpr("*", f"floor(d[0] / {reach}) AS zone").alias("y")
+    met = wide.join(near, F.expr(f"x.grid = y.grid AND x.zone = y.zone AND x.cell <= y.cell AND x.grid = {first} AND {shared} >= 3 AND {gaps} <= {GAP} * {shared} + 1e-9"))
+    parts = lambda c: f"sequence(0, cast(({c}.n - 1) div {SPLIT} AS int))"
+    meetings = met.selectExpr("x.cell AS cell", "y.cell AS other", f"explode({parts('x')}) AS part", f"{parts('y')} AS parts").selectExpr("cell", "other", "part", "explode(parts) AS other_part").where("cell <> other OR part <= other_part")
+    named = placed.join(cells.select("grid", "known", "d", "cell", "n"), ["grid", "known", "d"]).withColumn("part", F.expr(f"cast(pmod(xxhash64(id), (n - 1) div {SPLIT} + 1) AS int)")).select("cell", "part", "id", *METRICS)
+    x = named.join(meetings, ["cell", "part"]).alias("x")
+    y = named.withColumnsRenamed({"cell": "other", "part": "other_part"}).alias("y")
+    gap = lambda c: f"abs(x.{c} - y.{c}) / greatest(x.{c}, y.{c}, 1D)"
+    all_gaps = f"filter(array({', '.join(gap(c) for c in METRICS)}), g -> g IS NOT NULL)"
+    pairs = x.join(y, F.expr("x.other = y.other AND x.other_part = y.other_part AND x.id <> y.id AND (x.cell <> x.other OR x.part <> x.other_part OR x.id < y.id)"))
+    scored = pairs.selectExpr("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b", f"{all_gaps} AS gaps").where("size(gaps) >= 3")
+    return scored.selectExpr("a", "b", "round(1 - aggregate(gaps, 0D, (s, g) -> s + g) / size(gaps), 4) AS score").where("score >= 0.9")
+
+
+def vectors_of(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors, members): the distinct metric vectors, each with its least function as id and its size ``n``; and (id, v) of all."""
+    m = metric_rows(catalog).where("body_lines IS NULL OR body_lines >= 3")
+    keyed = m.withColumn("key", F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in METRICS]))
+    vectors = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in METRICS])
+    return vectors.drop("key"), keyed.select("id", "key").join(vectors.select("key", F.col("id").alias("v")), "key").select("id", "v")
+
+
 def metric_similarity(catalog: DataFrame) -> DataFrame:
     """1 - mean relative difference of at least three metrics, 0.9 or more; functions below three lines are left out.
 
-    No single difference is above 0.6, so lines (or, where they are unknown, tokens) are within a factor of 2.5: equal
-    or neighbouring buckets of that width.
+    Distinct vectors are compared once; equal ones give all their pairs, as a list of pairs must.
     """
-    m = metric_rows(catalog).where("body_lines IS NULL OR body_lines >= 3")
-    bucket = "struct({0} AS kind, cast(floor(ln(greatest({1}, 1)) / ln(2.5)) AS int) + d AS b)"
-    keyed = m.selectExpr("*", "explode(array(-1, 0, 1)) AS d").selectExpr("*", f"{bucket.format(0, 'body_lines')} AS by_lines", f"{bucket.format(1, 'n_tokens')} AS by_tokens")
-    home = keyed.where("d = 0")
-    on = [F.expr("x.by_lines = y.by_lines AND x.body_lines IS NOT NULL AND y.body_lines IS NOT NULL AND x.id < y.id"), F.expr("x.by_tokens = y.by_tokens AND x.n_tokens IS NOT NULL AND (x.body_lines IS NULL OR y.body_lines IS NULL) AND x.id < y.id")]
-    gap = lambda c: f"abs(x.{c} - y.{c}) / greatest(x.{c}, y.{c}, 1D)"
-    gaps = f"filter(array({', '.join(gap(c) for c in METRICS)}), g -> g IS NOT NULL)"
-    score = f"round(1 - aggregate({gaps}, 0D, (s, g) -> s + g) / size({gaps}), 4)"
-    met = [home.alias("x").join(keyed.alias("y"), how).selectExpr("x.id AS a", "y.id AS b", f"{score} AS score", f"size({gaps}) AS n") for how in on]
-    return guarded(met[0].unionByName(met[1]).where("n >= 3 AND score >= 0.9").select("a", "b", "score").distinct(), catalog)
+    vectors, members = vectors_of(catalog)
+    known = " + ".join(f"int({c} IS NOT NULL)" for c in METRICS)
+    pairs = metric_pairs(vectors).unionByName(vectors.where(f"n > 1 AND {known} >= 3").selectExpr("id AS a", "id AS b", "1.0D AS score"))
+    x, y = members.select(F.col("id").alias("i"), F.col("v").alias("a")), members.select(F.col("id").alias("j"), F.col("v").alias("b"))
+    met = pairs.join(x, "a").join(y, "b").where("a <> b OR i < j").selectExpr("least(i, j) AS a", "greatest(i, j) AS b", "score")
+    return guarded(met, catalog)
 
 
 # -- token sequences ----------------------------------------------------------------------------------------------
-def clone_pairs(catalog: DataFrame) -> DataFrame:
-    """(a, b, clone_type, score) of equal sequences of ten tokens or more, raw (1) or renamed (2); the first kind wins."""
+def clone_keys(catalog: DataFrame) -> DataFrame:
+    """(id, kind, h) of sequences of ten tokens or more: equal as they are (1) or with their names alike (2)."""
     renamed = f"transform(token_sequence, t -> CASE WHEN array_contains({_list(KEYWORDS)}, t) THEN t ELSE '_ID' END)"
     kinds = "array(struct(1 AS kind, sha2(array_join(token_sequence, '\\0'), 256) AS h), struct(2 AS kind, sha2(array_join({0}, '\\0'), 256) AS h))"
-    keyed = catalog.where("size(token_sequence) >= 10").select("id", F.explode(F.expr(kinds.format(renamed))).alias("k")).select("id", "k.kind", "k.h")
+    return catalog.where("size(token_sequence) >= 10").select("id", F.explode(F.expr(kinds.format(renamed))).alias("k")).select("id", "k.kind", "k.h")
+
+
+def clone_pairs(catalog: DataFrame, star: bool = False) -> DataFrame:
+    """(a, b, clone_type, score) of equal sequences, raw (1) or renamed (2); the first kind wins.
+
+    ``star``: each member is paired with its class's least one only, so that a class of n gives n - 1 pairs.
+    """
+    keyed = clone_keys(catalog)
+    if star:
+        heads = keyed.groupBy("kind", "h").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        pairs = keyed.join(heads, ["kind", "h"]).where("id > a").groupBy("a", F.col("id").alias("b")).agg(F.min("kind").alias("clone_type"))
+        return guarded(pairs.withColumn("score", F.expr("CASE clone_type WHEN 1 THEN 1.0D ELSE 0.9D END")), catalog)
     pairs = keyed.alias("x").join(keyed.alias("y"), F.expr("x.kind = y.kind AND x.h = y.h AND x.id < y.id")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min("x.kind").alias("clone_type"))
     return guarded(pairs.withColumn("score", F.expr("CASE clone_type WHEN 1 THEN 1.0D ELSE 0.9D END")), catalog)
 
@@ -235,11 +354,15 @@ def token_clone(catalog: DataFrame) -> DataFrame:
     return clone_pairs(catalog).select("a", "b", "score")
 
 
-def ast_similarity(catalog: DataFrame) -> DataFrame:
-    """1 for equal fingerprints, else .3 J(3) + .3 J(5) + .4 LCS of 0.6 or more where the mean of both J is 0.4 or more."""
+def ast_similarity(catalog: DataFrame, star: bool = False) -> DataFrame:
+    """1 for equal fingerprints, else .3 J(3) + .3 J(5) + .4 LCS of 0.6 or more where the mean of both J is 0.4 or more.
+
+    ``star``: equal fingerprints are paired with their class's least one only.
+    """
     long = catalog.where("size(token_sequence) >= 10")
     print_ = long.where("ast_fingerprint <> ''").select("id", "ast_fingerprint")
-    same = print_.alias("x").join(print_.alias("y"), F.expr("x.ast_fingerprint = y.ast_fingerprint AND x.id < y.id")).selectExpr("x.id AS a", "y.id AS b", "1.0D AS score")
+    others = print_.groupBy("ast_fingerprint").agg(F.min("id").alias("id")) if star else print_
+    same = others.alias("x").join(print_.alias("y"), F.expr("x.ast_fingerprint = y.ast_fingerprint AND x.id < y.id")).selectExpr("x.id AS a", "y.id AS b", "1.0D AS score")
     same = guarded(same, catalog)
     rows = {k: features(long, grams(k)) for k in (3, 5)}
     met = _met(rows[3].where(_prefix(0.4)), rows[3].where(_prefix(0.4))).unionByName(_met(rows[5].where(_prefix(0.4)), rows[5].where(_prefix(0.4)))).distinct()
@@ -254,10 +377,10 @@ def ast_similarity(catalog: DataFrame) -> DataFrame:
 def tfidf_index(catalog: DataFrame) -> DataFrame:
     """Cosine of tf * ln(N / df) of 0.5 or more, of pairs that share idf of 0.5 or more."""
     raw = features(catalog, "token_sequence")
-    n = catalog.count()  # one number; it weighs every feature alike
-    weighed = raw.selectExpr("id", "f", f"x * ln({n}D / df) AS x", "df", "n", "rank").where("x > 0")
-    pairs = by_cosine(catalog, weighed, 0.5)
-    idf = raw.selectExpr("id", "f", f"ln({n}D / df) AS idf")
+    n = catalog.agg(F.sum("copies" if "copies" in catalog.columns else F.lit(1)).cast("double")).scalar()
+    known = raw.withColumn("idf", F.log(n / F.col("df")))
+    pairs = by_cosine(catalog, known.withColumn("x", F.col("x") * F.col("idf")).where("x > 0"), 0.5)
+    idf = known.select("id", "f", "idf")
     x, y = idf.select(F.col("id").alias("a"), "f", "idf"), idf.select(F.col("id").alias("b"), "f")
     shared = pairs.join(x, "a").join(y, ["b", "f"]).groupBy("a", "b").agg(F.sum("idf").alias("shared"), F.first("score").alias("score"))
     return shared.where("round(shared, 12) >= 0.5").select("a", "b", "score")
@@ -271,27 +394,63 @@ def winnowing(catalog: DataFrame) -> DataFrame:
     return guarded(scored, catalog)
 
 
-def lsh_ast(catalog: DataFrame, bands: int = 32, width: int = 4) -> DataFrame:
-    """Token sets of five or more that share a band of minimum hashes, verified by exact Jaccard of 0.75 or more.
-
+#: Bins of a one-permutation sketch; bands of a key, and bins of a band.
+BINS, BANDS = 128, 32
+
+
+def _band_keys(hashes: pa.Array) -> pa.Array:
+    """Band keys of sets of 64-bit hashes: each hash falls into one bin, a bin keeps its least, and an empty bin takes the next full one's
+    value, marked by how far it is."""
+    offsets = np.asarray(hashes.offsets)
+    flat = np.asarray(hashes.flatten()).view(np.uint64)
+    sizes = np.diff(offsets)
+    sketch = np.full((len(sizes), BINS), np.iinfo(np.uint64).max)
+    np.minimum.at(sketch, (np.repeat(np.arange(len(sizes)), sizes), (flat >> np.uint64(57)).astype(np.int64)), flat & np.uint64((1 << 57) - 1))
+    full = np.tile(sketch != np.iinfo(np.uint64).max, (1, 2))
+    at = np.where(full, np.arange(2 * BINS), 2 * BINS)
+    near = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    far = np.where(near < 2 * BINS, near - np.arange(BINS), 0)
+    dense = np.take_along_axis(sketch, near % BINS, axis=1) + far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = np.zeros((len(sizes), BANDS), dtype=np.uint64)
+    keys += np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    for k in range(BINS // BANDS):
+        keys = (keys ^ dense[:, k :: BINS // BANDS]) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(29)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+
+
+def lsh_pairs(catalog: DataFrame) -> DataFrame:
+    """(a, b, score): token sets of five or more that share a band of their sketches, with an exact Jaccard of 0.75 or more.
+
+    A sketch takes one pass over a set.  Bands are joined by key with ids alone, and a pair's sets are fetched once.  Equal sets are
+    one set to the bands: their least id stands for them there, and the others are linked to it.
     A pair at 0.75 misses all bands with probability (1 - 0.75**4)**32 = 5e-6.
     """
-    sets = catalog.select("id", F.array_distinct("token_sequence").alias("s")).where("size(s) >= 5")
-    low = lambda k: f"array_min(transform(s, t -> xxhash64({k}, t)))"
-    keys = ", ".join(f"xxhash64({b}, {', '.join(low(b * width + r) for r in range(width))})" for b in range(bands))
-    keyed = sets.select("id", "s", F.explode(F.expr(f"array({keys})")).alias("k"))
-    met = keyed.alias("x").join(keyed.alias("y"), F.expr("x.k = y.k AND x.id < y.id")).selectExpr("x.id AS a", "y.id AS b", "x.s AS s", "y.s AS t").distinct()
-    scored = met.selectExpr("a", "b", "size(array_intersect(s, t)) / cast(size(array_union(s, t)) AS double) AS score").where("score >= 0.75")
-    return guarded(scored, catalog)
+    sets = catalog.select("id", F.expr("array_sort(array_distinct(token_sequence))").alias("s")).where("size(s) >= 5").withColumn("key", F.expr("sha2(array_join(s, '\\0'), 256)"))
+    least = sets.groupBy("key").agg(F.min("id").alias("id"))
+    own = sets.select("id", "s").join(least.select("id"), "id")
+    keyed = own.select("id", F.explode(F.arrow_udf(_band_keys, "array<bigint>")(F.transform("s", lambda t: F.xxhash64(t)))).alias("k"))
+    met = keyed.alias("x").join(keyed.alias("y"), F.expr("x.k = y.k AND x.id < y.id")).selectExpr("x.id AS a", "y.id AS b").distinct()
+    fetched = met.join(own.withColumnsRenamed({"id": "a", "s": "p"}), "a").join(own.withColumnsRenamed({"id": "b", "s": "q"}), "b")
+    scored = fetched.selectExpr("a", "b", "size(array_intersect(p, q)) AS c", "size(p) + size(q) AS n").selectExpr("a", "b", "c / cast(n - c AS double) AS score").where("score >= 0.75")
+    members = sets.select("id", "key").join(least.select("key", F.col("id").alias("m")), "key").select("id", "m")
+    pairs = scored.unionByName(least.selectExpr("id AS a", "id AS b", "1.0D AS score"))
+    x, y = members.select(F.col("id").alias("i"), F.col("m").alias("a")), members.select(F.col("id").alias("j"), F.col("m").alias("b"))
+    return pairs.join(x, "a").join(y, "b").where("a <> b OR i < j").selectExpr("least(i, j) AS a", "greatest(i, j) AS b", "score")
+
+
+def lsh_ast(catalog: DataFrame) -> DataFrame:
+    """Token sets by banded sketches, between functions that may be compared."""
+    return guarded(lsh_pairs(catalog), catalog)
 
 
 def bag_of_ast(catalog: DataFrame) -> DataFrame:
     return by_cosine(catalog, features(catalog, "token_sequence"), 0.85)
 
 
-def pdg_semantic(catalog: DataFrame) -> DataFrame:
+def pdg_semantic(catalog: DataFrame, blocks: str | None = None) -> DataFrame:
     """Jaccard of statement blocks with their neighbours' first tokens, 0.4 or more."""
-    return by_jaccard(catalog.where("size(token_sequence) > 0"), BLOCKS, 0.4).select("a", "b", "score")
+    return by_jaccard(catalog.where("size(token_sequence) > 0"), blocks or statement_blocks(), 0.4).select("a", "b", "score")
 
 
 def code_embedding(catalog: DataFrame) -> DataFrame:
@@ -314,14 +473,17 @@ STRATEGIES = {
 
 
 # -- fusion -------------------------------------------------------------------------------------------------------
-def signals(catalog: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b, strategy, score, clone_type) of all strategies; scores as their outputs round them."""
-    parts = [s(catalog).withColumn("clone_type", F.lit(None).cast("int")).withColumn("strategy", F.lit(name)) for name, s in STRATEGIES.items() if name != "token_clone"]
-    parts += [clone_pairs(catalog).withColumn("strategy", F.lit("token_clone")), llm_semantic(groups).withColumn("clone_type", F.lit(None).cast("int")).withColumn("strategy", F.lit("llm_semantic"))]
+def signals(catalog: DataFrame, groups: DataFrame, star: bool = False) -> DataFrame:
+    """(a, b, strategy, score, clone_type) of all strategies; scores as their outputs round them; guarded once, after the union."""
+    whole, catalog = catalog, catalog.withColumn("unguarded", F.lit(True))
+    run = dict(STRATEGIES) | ({"ast_similarity": lambda c: ast_similarity(c, star=True)} if star else {})
+    parts = [s(catalog).withColumn("clone_type", F.lit(None).cast("int")).withColumn("strategy", F.lit(name)) for name, s in run.items() if name != "token_clone"]
+    parts += [clone_pairs(catalog, star).withColumn("strategy", F.lit("token_clone"))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumn("score", F.round("score", 4))
+    stated = llm_semantic(groups).withColumn("clone_type", F.lit(None).cast("int")).withColumn("strategy", F.lit("llm_semantic"))
+    return guarded(out, whole).unionByName(stated).withColumn("score", F.round("score", 4))
 
 
 def fuse(found: DataFrame) -> DataFrame:
@@ -389,112 +551,6 @@ def summarise(merged: DataFrame) -> DataFrame:
     return merged.select(F.explode(F.expr(f"concat({parts}, {used})")).alias("p")).where("p.value IS NOT NULL").groupBy("p.what", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-# -- queries ------------------------------------------------------------------------------------------------------
-def _strategy(number: str, name: str, run: Callable[[DataFrame], DataFrame]) -> None:
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        return run(samples.catalog(spark)).select("a", "b", F.round("score", 4).alias("score"))
-
-    REGISTRY.frame(f"sim_{number}_{name}", oracle.strategy(name))(query)
-
-
-for _number, _name in (("01", "fuzzy_name"), ("02", "signature_match"), ("04", "ast_similarity"), ("05", "metric_similarity"), ("06", "tfidf_index"), ("07", "winnowing"), ("08", "lsh_ast"), ("09", "bag_of_ast"), ("10", "pdg_semantic"), ("11", "code_embedding")):
-    _strategy(_number, _name, STRATEGIES[_name])
-
-
-@REGISTRY.frame("sim_03_token_clone", oracle.strategy("token_clone", "a, b, clone_type, round(score, 4) AS score"))
-def _clones(spark: SparkSession, folder: str) -> DataFrame:
-    return clone_pairs(samples.catalog(spark)).select("a", "b", "clone_type", F.round("score", 4).alias("score"))
-
-
-@REGISTRY.frame("sim_12_group_pairs", oracle.strategy("llm_semantic"))
-def _groups(spark: SparkSession, folder: str) -> DataFrame:
-    return llm_semantic(samples.groups(spark)).select("a", "b", F.round("score", 4).alias("score"))
-
-
-def _merged(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    catalog = samples.catalog(spark)
-    return fuse(signals(catalog, samples.groups(spark))), catalog
-
-
-@REGISTRY.frame("sim_14_fusion", oracle.fused("SELECT a, b, composite, n, effective, confidence FROM merged"))
-def _fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return _merged(spark)[0].select("a", "b", "composite", "n", "effective", "confidence")
-
-
-@REGISTRY.frame("sim_15_clone_type", oracle.fused("SELECT a, b, clone_type FROM merged"))
-def _types(spark: SparkSession, folder: str) -> DataFrame:
-    return _merged(spark)[0].select("a", "b", "clone_type")
-
-
-@REGISTRY.frame("sim_16_recommendation", oracle.fused("SELECT a, b, action, urgency FROM merged"))
-def _advice(spark: SparkSession, folder: str) -> DataFrame:
-    return _merged(spark)[0].select("a", "b", "action", "urgency")
-
-
-@REGISTRY.frame("sim_17_summary", oracle.fused(oracle.SUMMARY))
-def _summary(spark: SparkSession, folder: str) -> DataFrame:
-    return summarise(_merged(spark)[0])
-
-
-@REGISTRY.frame("sim_18_evaluate", oracle.fused(oracle.EVALUATE))
-def _evaluate(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate(_merged(spark)[0], samples.truth(spark))
-
-
-@REGISTRY.frame("flt_03_suppression", oracle.fused(oracle.SUPPRESS))
-def _suppression(spark: SparkSession, folder: str) -> DataFrame:
-    merged, catalog = _merged(spark)
-    return suppress(merged, catalog).select("a", "b", "confidence")
-
-
-@REGISTRY.frame("ord_01_ranked_pairs", oracle.fused("SELECT a, b, composite, row_number() OVER (PARTITION BY confidence ORDER BY composite DESC, n DESC, a, b) AS place FROM merged"))
-def _ranked(spark: SparkSession, folder: str) -> DataFrame:
-    return _merged(spark)[0].selectExpr("a", "b", "composite", "cast(row_number() OVER (PARTITION BY confidence ORDER BY composite DESC, n DESC, a, b) AS bigint) AS place")
-
-
-@REGISTRY.frame("jn_09_metadata_lookup", oracle.fused("SELECT a, b, (SELECT end_line FROM cat WHERE id = a) AS end_a, (SELECT end_line FROM cat WHERE id = b) AS end_b FROM merged"))
-def _metadata(spark: SparkSession, folder: str) -> DataFrame:
-    merged, catalog = _merged(spark)
-    ends = [catalog.select(F.col("id").alias(k), F.col("end_line").alias(f"end_{k}")) for k in "ab"]
-    return merged.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", "end_a", "end_b")
-
-
-@REGISTRY.frame("fn_13_sparse_cosine", oracle.COSINES)
-def _cosines(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosine of the word counts of all benchmark items that share a word of at most three items."""
-    items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("id"), F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "").alias("words"))
-    rows = features(items, "words")
-    rare = rows.where("df <= 3")
-    return counted(_met(rare, rare), rows).selectExpr("a", "b", "round(dot / sqrt(p * q), 4) AS score")
-
-
-@REGISTRY.frame("jn_01_theta_rewritten", oracle.strategy("theta"))
-def _theta(spark: SparkSession, folder: str) -> DataFrame:
-    """A score that needs overlap, as a join on the shared elements that could decide."""
-    return by_jaccard(samples.catalog(spark), "token_sequence", 0.4).select("a", "b", F.round("score", 4).alias("score"))
-
-
-def words_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents as functions whose tokens are their words."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")
-    empty = {c.split()[0]: c.split()[1] for c in ("line bigint", "end_line bigint", "body_lines bigint", "params array<string>", "cyclomatic_complexity bigint")}
-    return docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file"), F.col("doc_id").cast("string").alias("name"), F.lit(None).cast("string").alias("qualified_name"), *[F.lit(None).cast(k).alias(c) for c, k in empty.items()], words.alias("token_sequence"))
-
-
-@REGISTRY.frame("jn_05_lsh_bands", oracle.WORD_SETS)
-def _bands(spark: SparkSession, folder: str) -> DataFrame:
-    """The banded join over the word sets of all documents."""
-    return lsh_ast(words_catalog(spark, folder)).select("a", "b", F.round("score", 4).alias("score"))
-
-
-@REGISTRY.frame("flt_01_should_compare", oracle.guard("different"))
-def _different(spark: SparkSession, folder: str) -> DataFrame:
-    known = samples.catalog(spark).selectExpr(*_COLUMNS)
-    return known.alias("x").join(known.alias("y"), F.expr(f"x.arity <=> y.arity AND x.id < y.id AND {DIFFERENT}")).selectExpr("x.id AS a", "y.id AS b")
-
-
-@REGISTRY.frame("flt_02_prefilter", oracle.guard("unlike"))
-def _unlike(spark: SparkSession, folder: str) -> DataFrame:
-    known = samples.catalog(spark).selectExpr(*_COLUMNS)
-    return known.alias("x").join(known.alias("y"), F.expr(f"x.arity <=> y.arity AND x.id < y.id AND NOT ({UNLIKE})")).selectExpr("x.id AS a", "y.id AS b")
+def ranked(merged: DataFrame) -> DataFrame:
+    """The pairs with their ``place`` within their confidence: greater composite, more signals, lesser ids first."""
+    return merged.withColumn("place", F.expr("cast(row_number() OVER (PARTITION BY confidence ORDER BY composite DESC, n DESC, a, b) AS bigint)"))

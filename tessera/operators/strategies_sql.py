@@ -1,13 +1,28 @@
-"""The strategies again, for checking: DuckDB over every pair of the sample catalog, written without the Spark plans.
+"""The strategies again, for checking: DuckDB over every pair of a catalog ``cat``, written without the Spark plans.
 
-Nothing here joins on features or cuts candidates: each CTE compares all guarded pairs.
+Nothing here joins on features or cuts candidates: each CTE compares all guarded pairs.  Over the documents, whose pairs are too
+many for that, pairs are scored from what they share (``documents``).
 """
 
 from __future__ import annotations
 
 from tessera.functions.names import LONG_FORMS, SPELLINGS, SYNONYMS
 from tessera.operators.strategy_values import FACTORIES, KEYWORDS, OPENERS, SEQUENCE, STATEMENTS, SURFACE, WEIGHTS
-from tessera.sources import samples
+
+
+def literal(value) -> str:
+    """A Python value as DuckDB SQL."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    if isinstance(value, tuple) and len(value) == 3 and isinstance(value[2], bool):
+        return f"{{'name': {literal(value[0])}, 'type': {literal(value[1])}, 'optional': {literal(value[2])}}}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(literal, value)) + "]"
+    return str(value)
 
 
 def _in(words) -> str:
@@ -15,7 +30,7 @@ def _in(words) -> str:
 
 
 def _table(name: str, entries: dict) -> str:
-    return f"{name}(k, v) AS (VALUES {', '.join(f'({samples._sql(k)}, {samples._sql(v)})' for k, v in entries.items())})"
+    return f"{name}(k, v) AS (VALUES {', '.join(f'({literal(k)}, {literal(v)})' for k, v in entries.items())})"
 
 
 _APART = "coalesce({0} >= {1} AND {2} >= {1} AND greatest({0}, {2}) / least({0}, {2}) > 3, false)"
@@ -27,9 +42,9 @@ _DIFFERENT = "NOT coalesce(x.file || ':' || x.line = y.file || ':' || y.line, fa
 _PAIRS = f"pairs AS (SELECT x.id AS a, y.id AS b FROM cat x JOIN cat y ON x.id < y.id WHERE {_DIFFERENT} AND NOT ({_UNLIKE}))"
 
 
-def guard(which: str) -> str:
+def guard(which: str, cat: str) -> str:
     test = {"different": _DIFFERENT, "unlike": f"NOT ({_UNLIKE})"}[which]
-    return f"WITH {samples.catalog_sql()} SELECT x.id AS a, y.id AS b FROM cat x JOIN cat y ON x.id < y.id AND len(x.params) IS NOT DISTINCT FROM len(y.params) WHERE {test}"
+    return f"WITH {cat} SELECT x.id AS a, y.id AS b FROM cat x JOIN cat y ON x.id < y.id AND len(x.params) IS NOT DISTINCT FROM len(y.params) WHERE {test}"
 
 
 def _two(columns: str, where: str = "true") -> str:
@@ -116,18 +131,18 @@ llm_semantic AS (SELECT least(functions[i], functions[j]) AS a, greatest(functio
 }
 
 
-def strategy(name: str, columns: str = "a, b, round(score, 4) AS score") -> str:
-    return f"WITH RECURSIVE {samples.catalog_sql()}, {_PAIRS}, {_CTES[name]} SELECT {columns} FROM {name}"
+def strategy(name: str, cat: str, columns: str = "a, b, round(score, 4) AS score") -> str:
+    return f"WITH RECURSIVE {cat}, {_PAIRS}, {_CTES[name]} SELECT {columns} FROM {name}"
 
 
-def fused(query: str) -> str:
-    """A query over merged, cat and truth."""
+def fused(query: str, cat: str) -> str:
+    """A query over merged, cat and truth, from CTEs cat, truth and grps."""
     parts = {k: v for k, v in _CTES.items() if k != "theta"}
     found = " UNION ALL ".join(f"SELECT a, b, '{name}' AS strategy, round(score, 4) AS score FROM {name}" for name in parts)
     weight = _table("weight", WEIGHTS)
     has = lambda name: f"list_contains(names, '{name}')"
     count = lambda names: f"len(list_filter(names, lambda z: z IN {_in(names)}))"
-    return f"""WITH RECURSIVE {samples.catalog_sql()}, {_PAIRS}, {', '.join(parts.values())}, {weight}, sig AS ({found}),
+    return f"""WITH RECURSIVE {cat}, {_PAIRS}, {', '.join(parts.values())}, {weight}, sig AS ({found}),
 best AS (SELECT a, b, strategy, max(score) AS s, coalesce(max(v), 0.5) AS w FROM sig LEFT JOIN weight ON strategy = k GROUP BY a, b, strategy),
 sums AS (SELECT a, b, least(1, sum(w::DOUBLE * s) / sum(w::DOUBLE)) AS mean, count(*) AS n, list(strategy) AS names, max(s) FILTER (WHERE strategy = 'token_clone') AS clone, max(s) FILTER (WHERE strategy = 'ast_similarity') AS ast FROM best GROUP BY a, b),
 pen AS (SELECT *, CASE WHEN n = 1 AND {has('signature_match')} THEN 0.7 * mean WHEN n > 1 AND {count(SURFACE)} = n THEN 0.6 * mean ELSE mean END AS c, n - greatest(0, {count(SEQUENCE)} - 2) AS effective FROM sums),
@@ -155,16 +170,62 @@ SUPPRESS = f"""SELECT a, b, confidence FROM merged JOIN cat x ON x.id = a JOIN c
 AND NOT coalesce(x.file LIKE '%storage-error%' AND y.file LIKE '%storage-error%' AND x.name IN {_in(FACTORIES)} AND y.name IN {_in(FACTORIES)}, false)
 AND NOT coalesce(regexp_matches(x.name, '^(create|get|update|delete)') AND regexp_matches(y.name, '^(create|get|update|delete)') AND x.name <> y.name AND composite < 0.95 AND x.end_line - x.line < 10 AND y.end_line - y.line < 10, false)"""
 
-#: Exact Jaccard of the word sets of all documents, over all pairs that share a word.
-WORD_SETS = """WITH w AS (SELECT DISTINCT doc_id AS id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS w FROM documents) WHERE w <> ''),
-n AS (SELECT id, count(*) AS n FROM w GROUP BY id HAVING count(*) >= 5), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.w = y.w AND x.id < y.id GROUP BY ALL)
-SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 4) AS score FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 4 * c >= 3 * (p.n + q.n - c)"""
-
-#: Cosine of word counts of items that share a word of at most three items, by lists of counts.
-COSINES = """WITH w AS (SELECT item_id AS id, w, count(*) AS x FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY ALL),
-rare AS (SELECT w FROM w GROUP BY w HAVING count(*) IN (2, 3)), met AS (SELECT DISTINCT x.id AS a, y.id AS b FROM w x JOIN w y ON x.w = y.w AND x.id < y.id WHERE x.w IN (FROM rare))
-SELECT a, b, round((SELECT sum(x.x * y.x) FROM w x JOIN w y ON x.w = y.w WHERE x.id = a AND y.id = b) / sqrt((SELECT sum(x * x) FROM w WHERE id = a) * (SELECT sum(x * x) FROM w WHERE id = b)::DOUBLE), 4) AS score FROM met"""
-
+#: Documents as a catalog: words, lines, and the class of equal ones (its least id stands for it).
+_DOCUMENTS = """raw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS ws, len(string_split(text, chr(10))) AS n_lines FROM documents),
+cls AS (SELECT min(doc_id) AS id, ws, n_lines, count(*) AS n FROM raw GROUP BY ws, n_lines)"""
+_LINES = "NOT coalesce(p.n_lines < 3 AND q.n_lines < 3, false) AND NOT coalesce(p.n_lines >= 3 AND q.n_lines >= 3 AND greatest(p.n_lines, q.n_lines) > 3 * least(p.n_lines, q.n_lines), false)"
+
+
+def _runs(k: int) -> str:
+    return f"list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], '|'))"
+
+
+#: What a document is compared by; ``id, f`` and, in f's counts, ``x``.
+_BY = {
+    "words": "SELECT id, unnest(ws) AS f FROM cls", "runs": f"SELECT id, unnest(list_concat({', '.join(_runs(k) for k in (3, 4, 5))})) AS f FROM cls",
+    "prints": "SELECT id, unnest(f) AS f FROM (SELECT id, CASE WHEN len(h) < 4 THEN h ELSE list_transform(range(1, len(h) - 2), lambda i: list_min(h[i:i + 3])) END AS f FROM (SELECT id, list_transform(list_transform(range(1, len(ws) - 3), lambda i: sha256(array_to_string(ws[i:i + 4], chr(0)))), lambda h: translate(h[1], '89abcdef01234567', '0123456789abcdef') || h[2:16]) AS h FROM cls))",
+    "sentences": """SELECT id, body || '#' || coalesce(lag(head) OVER w, '_START') || '#' || coalesce(lead(head) OVER w, '_END') AS f FROM (SELECT id, blk, string_agg(t, '|' ORDER BY i) AS body, first(t ORDER BY i) AS head
+  FROM (SELECT id, i, t, sum(CASE WHEN regexp_matches(t, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS blk FROM (SELECT id, ws[i] AS t, i FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM cls))) GROUP BY id, blk) WINDOW w AS (PARTITION BY id ORDER BY blk)""",
+}
+
+
+def documents(by: str, score: str, where: str, least: int = 1, weigh: str = "x") -> str:
+    """Pairs of document classes that share a feature; ``score`` over c, dot, na, nb, p2, q2 (squared norms) and shared (idf)."""
+    return f"""WITH {_DOCUMENTS}, f0 AS (SELECT id, f, count(*) AS x FROM ({_BY[by]}) GROUP BY ALL), df AS (SELECT f, ln((SELECT count(*) FROM documents) / sum(n)::DOUBLE) AS idf FROM f0 JOIN cls USING (id) GROUP BY f),
+f1 AS (SELECT id, f, {weigh} AS x, idf FROM f0 JOIN df USING (f)), s AS (SELECT id, count(*) AS k, sum(x * x) AS x2 FROM f1 GROUP BY id HAVING count(*) >= {least}),
+met AS (SELECT u.id AS a, v.id AS b, count(*) AS c, sum(u.x * v.x) AS dot, sum(u.idf) AS shared FROM f1 u JOIN f1 v ON u.f = v.f AND u.id < v.id GROUP BY ALL),
+pairs AS (SELECT a, b, p.n AS n_a, q.n AS n_b, shared, CAST({score} AS DOUBLE) AS score FROM (SELECT met.*, g.k AS na, h.k AS nb, g.x2 AS p2, h.x2 AS q2 FROM met JOIN s g ON g.id = a JOIN s h ON h.id = b) JOIN cls p ON p.id = a JOIN cls q ON q.id = b WHERE {_LINES})
+SELECT a, b, n_a, n_b, round(score, 4) AS score FROM pairs WHERE {where}"""
+
+
+JACCARD = "c / (na + nb - c)::DOUBLE"
+COSINE = "dot / sqrt(p2 * q2)"
+#: Each document with the class of equal words and the class of equal words but for those that renaming touches.
+CLONES = f"""WITH {_DOCUMENTS}, k AS (SELECT doc_id, ws, list_transform(ws, lambda t: CASE WHEN t IN {_in(KEYWORDS)} THEN t ELSE '_ID' END) AS r FROM raw WHERE len(ws) >= 10),
+one AS (SELECT ws, min(doc_id) AS m, count(*) AS n FROM k GROUP BY ws), two AS (SELECT r, min(doc_id) AS m, count(*) AS n FROM k GROUP BY r)
+SELECT k.doc_id, one.m AS exact_class, one.n AS exact_members, two.m AS renamed_class, two.n AS renamed_members FROM k JOIN one ON k.ws = one.ws JOIN two ON k.r = two.r"""
+#: Each document with its class and the class's size.
+MEMBERS = f"WITH {_DOCUMENTS} SELECT doc_id, id AS class_id, n AS members FROM raw JOIN cls ON raw.ws IS NOT DISTINCT FROM cls.ws AND raw.n_lines IS NOT DISTINCT FROM cls.n_lines"
+#: Documents by lines, words, opening words and vocabulary; equal ones are one vector.
+METRICS = f"""WITH {_DOCUMENTS}, v AS (SELECT min(id) AS id, [l, t, o, w] AS m, sum(n)::BIGINT AS n FROM (SELECT id, n, n_lines AS l, len(ws) AS t, len(list_filter(ws, lambda t: t IN {_in(OPENERS)})) AS o, len(list_distinct(ws)) AS w FROM cls) WHERE coalesce(l, 3) >= 3 AND t IS NOT NULL GROUP BY l, t, o, w),
+g AS (SELECT p.id AS a, q.id AS b, p.n AS n_a, q.n AS n_b, 1 - list_avg(list_transform(range(1, 5), lambda k: abs(p.m[k] - q.m[k]) / greatest(p.m[k], q.m[k], 1)::DOUBLE)) AS s FROM v p JOIN v q ON p.id < q.id)
+SELECT a, b, n_a, n_b, round(s, 4) AS score FROM g WHERE round(s, 4) >= 0.9"""
+#: Cosine of word counts of benchmark items, all pairs.
+COSINES = """WITH w AS (SELECT item_id AS id, w, count(*) AS x FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY ALL), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM w GROUP BY id),
+met AS (SELECT x.id AS a, y.id AS b, sum(x.x * y.x) AS dot FROM w x JOIN w y ON x.w = y.w AND x.id < y.id GROUP BY ALL)
+SELECT a, b, round(dot / (p.n * q.n), 4) AS score FROM met JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE round(dot / (p.n * q.n), 12) >= 0.3"""
+#: Parts as functions: distinct names, and distinct signatures of parameters and result.
+_PARTS = """part_names AS (SELECT p_type || ' ' || p_name AS name, count(*) AS n FROM part GROUP BY ALL), cat AS (SELECT row_number() OVER (ORDER BY name) AS id, name, n, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS qualified_name, CAST(NULL AS BIGINT) AS line, CAST(NULL AS BIGINT) AS body_lines, CAST(NULL AS VARCHAR[]) AS params, CAST(NULL AS BIGINT) AS cyclomatic_complexity FROM part_names)"""
+NAMES = f"WITH RECURSIVE {_PARTS}, {_PAIRS}, {_CTES['fuzzy_name']} SELECT x.name AS p, y.name AS q, x.n AS n_p, y.n AS n_q, round(score, 4) AS score FROM fuzzy_name JOIN cat x ON x.id = a JOIN cat y ON y.id = b"
+_SIGNED = """sizes AS (SELECT p_name, p_type, p_size % 3 AS k, p_brand FROM part), made AS (SELECT list_transform(range(1, k + 2), lambda i: {'name': string_split(p_name, ' ')[CAST(i % 2 + 1 AS INTEGER)], 'type': CASE WHEN i = 1 THEN p_type ELSE 'string' END, 'optional': i > 2}) AS params, CASE WHEN p_brand < 'Brand#15' THEN 'list' ELSE 'int' END AS return_type FROM sizes),
+signs AS (SELECT params, return_type, count(*) AS n FROM made GROUP BY ALL), cat AS (SELECT row_number() OVER (ORDER BY params, return_type) AS id, params, return_type, n, CAST(NULL AS VARCHAR) AS file, CAST(id AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS qualified_name, CAST(NULL AS BIGINT) AS line, CAST(NULL AS BIGINT) AS body_lines, CAST(NULL AS BIGINT) AS cyclomatic_complexity FROM signs)"""
+_SHOWN = "array_to_string(list_transform({0}.params, lambda v: v.name || ':' || v.type), ',') || '>' || {0}.return_type"
+SIGNATURES = f"WITH RECURSIVE {_SIGNED}, {_PAIRS}, {_CTES['signature_match']} SELECT least({_SHOWN.format('x')}, {_SHOWN.format('y')}) AS p, greatest({_SHOWN.format('x')}, {_SHOWN.format('y')}) AS q, x.n * y.n AS links, round(score, 4) AS score FROM signature_match JOIN cat x ON x.id = a JOIN cat y ON y.id = b"
+
+#: Exact Jaccard of the word sets of all document classes, over all pairs that share a word.
+WORD_SETS = f"""WITH {_DOCUMENTS}, w AS (SELECT DISTINCT id, w FROM (SELECT id, unnest(ws) AS w FROM cls)), s AS (SELECT id, count(*) AS k FROM w GROUP BY id HAVING count(*) >= 5),
+met AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.w = y.w AND x.id < y.id GROUP BY ALL)
+SELECT a, b, p.n AS n_a, q.n AS n_b, round(c / (g.k + h.k - c)::DOUBLE, 4) AS score FROM met JOIN s g ON g.id = a JOIN s h ON h.id = b JOIN cls p ON p.id = a JOIN cls q ON q.id = b WHERE 4 * c >= 3 * (g.k + h.k - c)"""
 #: Longest common subsequence of consecutive turns' words.
 TURNS = f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, regexp_split_to_array(text, '[ \\t\\n\\r]+') AS w FROM conversations),
 met AS (SELECT x.conv_id AS a, x.turn AS b, x.w AS p, y.w AS q FROM turns x JOIN turns y ON x.conv_id = y.conv_id AND x.turn + 1 = y.turn), {_lcs('l', 'met')}

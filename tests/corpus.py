@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources import samples
+from . import samples
 
 _NODES = "FunctionDef arguments arg Assign Name Call Attribute For If Compare Constant Return Expr While BinOp AugAssign Try Raise With Subscript List Dict".split()
 _VERBS, _NOUNS = "load read parse count merge sort check build send render".split(), "user order item file report queue token event batch page".split()

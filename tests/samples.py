@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.strategies_sql import literal
+
 _LOAD = "FunctionDef arguments arg Assign Name Call Attribute Name For Name Call If Compare Name Constant Expr Call Return Name"
 _MERGE = "FunctionDef arguments arg arg Assign Dict For Tuple Call Assign Subscript Name If Compare In Assign Name Return Name"
 _CHECK = "def check ( value ) : if not value : raise Error ( value ) return value"
@@ -72,23 +74,9 @@ def groups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(g, c, list(f)) for g, c, f in GROUPS], "grp bigint, confidence string, functions array<bigint>")
 
 
-def _sql(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, str):
-        return "'" + value.replace("'", "''") + "'"
-    if isinstance(value, tuple) and len(value) == 3 and isinstance(value[2], bool):
-        return f"{{'name': {_sql(value[0])}, 'type': {_sql(value[1])}, 'optional': {_sql(value[2])}}}"
-    if isinstance(value, (list, tuple)):
-        return "[" + ", ".join(map(_sql, value)) + "]"
-    return str(value)
-
-
 def values(table: list[tuple] | tuple, columns: str, name: str) -> str:
     """CTE ``name(columns)`` of literal rows for DuckDB."""
-    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in table)})"
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in table)})"
 
 
 def catalog_sql() -> str:
