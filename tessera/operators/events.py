@@ -61,13 +61,6 @@ def completion_rate(d):
 count(DISTINCT CASE WHEN event_type = 'purchase' AND value > 50 THEN user_id END) AS done FROM {d.table('events')} e GROUP BY user_id % 10) t"""
 
 
-@plan("agg_10_nearest_rank")
-def nearest_rank(d):
-    """p50 and p95 by index floor(n * q) of the sorted values; not interpolated."""
-    return f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM {d.table('events')} e)
-SELECT event_type, max(CASE WHEN i = cast(floor(n / 2.0) AS bigint) THEN value END) AS p50, max(CASE WHEN i = cast(floor(n * 95 / 100.0) AS bigint) THEN value END) AS p95 FROM r GROUP BY event_type"""
-
-
 @plan("agg_11_log_stats")
 def log_stats(d):
     return f"""SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 4) AS mean, max(value) AS most, count(CASE WHEN {d.matches('props', '"k": [0-9]$|"k": [0-9]}')} THEN 1 END) AS n_tagged FROM {d.table('events')} e GROUP BY event_type"""
@@ -84,14 +77,8 @@ def latest_journal(d, n: int = 3):
     return f"SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM {d.table('conversations')} c) t WHERE k <= {n}"
 
 
-@plan("win_02_open_cap")
-def open_cap(d, cap: int = 100):
-    """Findings beyond the cap, least salient first, are archived."""
-    return f"SELECT ws, event_id, value FROM (SELECT user_id % 10 AS ws, event_id, value, row_number() OVER (PARTITION BY user_id % 10 ORDER BY value DESC, event_id) AS k FROM {d.table('events')} e WHERE event_type = 'click') t WHERE k > {cap}"
-
-
 @plan("win_03_failure_breaker")
-def breaker(d, failures: int = 3, seconds: int = 3600 * 24):
+def breaker(d, failures: int = 3, seconds: int = 3600):
     """At least ``failures`` in the trailing window (strict bound); a tripped breaker stays tripped."""
     return f"""WITH {store(d)}, f AS (SELECT bead, event_id, us, count(*) OVER (PARTITION BY bead ORDER BY us RANGE BETWEEN {seconds * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS n FROM ev WHERE kind = 'bead_failed')
 SELECT bead, event_id, n, max(CASE WHEN n >= {failures} THEN 1 ELSE 0 END) OVER (PARTITION BY bead ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tripped FROM f"""
@@ -118,11 +105,6 @@ def event_query(d):
     return f"WITH {store(d)} SELECT ws, event_id, us, k FROM (SELECT ws, event_id, us, cast(row_number() OVER (PARTITION BY ws ORDER BY us DESC, event_id DESC) AS bigint) AS k FROM ev WHERE kind = 'bead_failed') t WHERE k <= 20"
 
 
-@plan("ord_04_open_findings")
-def open_findings(d):
-    return f"SELECT event_id, value AS salience, cast(rank() OVER (PARTITION BY user_id % 10 ORDER BY value DESC) AS bigint) AS place FROM {d.table('events')} e WHERE event_type = 'click'"
-
-
 @plan("ord_05_established_first")
 def established_first(d):
     return f"SELECT s_suppkey, cast(row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal >= 5000 THEN 0 ELSE 1 END, s_suppkey) AS bigint) AS place FROM {d.table('supplier')} s"

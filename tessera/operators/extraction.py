@@ -56,9 +56,3 @@ def neighbours(d):
 @plan("ord_02_composite_order")
 def composite_order(d):
     return f"SELECT s_suppkey, cast(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS bigint) AS place FROM {d.table('supplier')} s"
-
-
-@plan("snk_06_keep_last")
-def keep_last(d):
-    """The last thousand rows of each log."""
-    return f"SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM {d.table('events')} e) t WHERE k <= 1000"

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.terms import terms_in
+
 
 #: Greatest complexity weight, floor of a healthy and of a depleted budget.
 FLOORS = ((0.2, 0.90, 0.60), (0.5, 0.75, 0.50), (0.8, 0.60, 0.35), (999, 0.50, 0.25))
@@ -120,6 +122,11 @@ def map_convergence(passes: DataFrame) -> DataFrame:
     return passes.select("bead").distinct().join(pairs, "bead", "left").selectExpr("bead", "round(1 / (1 + coalesce(d, 0D)), 3) AS convergence")
 
 
+def map_distances(passes: DataFrame) -> DataFrame:
+    """(a, b, d): the distance of all pairs of a bead's passes."""
+    return passes.alias("x").join(passes.alias("y"), F.expr("x.bead = y.bead AND x.id < y.id")).selectExpr("x.id AS a", "y.id AS b", f"round({distance()}, 3) AS d")
+
+
 def anchoring(passes: DataFrame, shift: int = 2) -> DataFrame:
     """(n, drifted, rate): exposed passes that moved by ``shift`` or more toward the anchor on some dimension."""
     moved = " OR ".join(f"(abs(coalesce(e.{d}, 3) - coalesce(e.anchor_{d}, 3)) < abs(coalesce(b.{d}, 3) - coalesce(e.anchor_{d}, 3)) AND abs(coalesce(e.{d}, 3) - coalesce(b.{d}, 3)) >= {shift})" for d in DIMENSIONS[:3])
@@ -161,7 +168,8 @@ def harvest(applied: DataFrame, library: DataFrame) -> DataFrame:
     caught = applied.where("result = 'caught'").join(library.select(F.col("id").alias("stressor")), "stressor", "left_anti").withColumn("key", F.lower(F.trim("target")))
     fresh = caught.join(known, "key", "left_anti").groupBy("key").agg(F.min(F.struct("at", "target")).alias("f")).select("f.at", "f.target").withColumn("cell", F.expr("at div 1000"))
     cells = fresh.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    before = cells.alias("c").join(cells.alias("d"), F.expr("d.cell < c.cell"), "left").groupBy("c.cell").agg(F.coalesce(F.sum("d.n"), F.lit(0)).alias("before"))
+    # one row a thousand new names: the only rows that a single task orders
+    before = cells.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     greatest = library.agg(F.coalesce(F.max(F.expr("cast(nullif(regexp_extract(id, '^STR-([0-9]+)', 1), '') AS int)")), F.lit(0)).alias("top")).scalar()
     within = F.row_number().over(Window.partitionBy("cell").orderBy("at"))
     return fresh.join(before, "cell").select(F.col("target").alias("name"), F.format_string("STR-%03d", greatest + F.col("before") + within).alias("id"))
@@ -241,14 +249,15 @@ def boundary(findings: DataFrame) -> DataFrame:
 def promotion(findings: DataFrame, patterns: DataFrame, workstreams: int, confidence: float = 0.7) -> DataFrame:
     """(id, promoted, why): open, in scope, sure, anchored, within the mission, and known by two words of a pattern.
 
-    Until there are more than ten workstreams no pattern is asked for.  Patterns are a table of rules, so they ride along
-    as one value.
+    Until there are more than ten workstreams no pattern is asked for.  The words of all patterns are looked for in one pass over the
+    evidence, and meet their patterns by word.
     """
-    words = patterns.where("confidence >= 0.5").select(F.filter(F.array_distinct(F.split(F.lower("description"), "\\s+")), lambda w: F.length(w) > 3).alias("w")).agg(F.collect_list("w").alias("w")).scalar()
-    known = "exists(words, p -> size(filter(p, w -> contains(lower(evidence), w))) >= 2)"
+    words = patterns.where("confidence >= 0.5").select("pattern", F.explode(F.array_distinct(F.split(F.lower("description"), "\\s+"))).alias("term")).where("length(term) > 3")
+    met = terms_in(findings.select("id", F.lower("evidence").alias("text")), words).join(words, "term").groupBy("id", "pattern").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    known = findings.join(met.select("id", F.lit(True).alias("known")).distinct(), "id", "left")
     why = f"""CASE WHEN state <> 'open' THEN 'state' WHEN kind <> 'in_scope' THEN 'kind' WHEN confidence < {confidence} THEN 'confidence' WHEN coalesce(size(refs), 0) = 0 THEN 'anchor'
-      WHEN coalesce(scope, '') <> '' AND NOT startswith(scope, mission) THEN 'scope' WHEN NOT coalesce({known}, false) AND {workstreams} > 10 THEN 'pattern' END"""
-    return findings.withColumn("words", words).withColumn("why", F.expr(why)).selectExpr("id", "why IS NULL AS promoted", "why")
+      WHEN coalesce(scope, '') <> '' AND NOT startswith(scope, mission) THEN 'scope' WHEN NOT coalesce(known, false) AND {workstreams} > 10 THEN 'pattern' END"""
+    return known.withColumn("why", F.expr(why)).selectExpr("id", "why IS NULL AS promoted", "why")
 
 
 # -- files --------------------------------------------------------------------------------------------------------

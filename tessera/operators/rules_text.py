@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.terms import terms_in
 from tessera.operators.strategy_values import KEYWORDS, STATEMENTS
 
 #: Operators and punctuation of code.
@@ -52,9 +53,13 @@ def normalised(tokens: DataFrame) -> DataFrame:
     return tokens.selectExpr("id", "transform(tokens, t -> CASE t.type WHEN 'identifier' THEN '_ID' WHEN 'string' THEN '_STR' WHEN 'number' THEN '_NUM' ELSE t.value END) AS names")
 
 
-def blocks(sequences: DataFrame) -> DataFrame:
-    """(id, place, block): statement blocks; what stands before the first boundary is one of its own."""
-    starts = f"filter(transform(token_sequence, (t, i) -> i), i -> i = 0 OR array_contains(array({', '.join(repr(w) for w in STATEMENTS)}), token_sequence[i]))"
+def blocks(sequences: DataFrame, opens: str | None = None) -> DataFrame:
+    """(id, place, block): statement blocks; what stands before the first boundary is one of its own.
+
+    ``opens`` says whether the token at i begins a block; the fixed words of statements do, unless it is given.
+    """
+    opens = opens or f"array_contains(array({', '.join(repr(w) for w in STATEMENTS)}), token_sequence[i])"
+    starts = f"filter(transform(token_sequence, (t, i) -> i), i -> i = 0 OR {opens})"
     cut = "transform(at, (s, k) -> array_join(slice(token_sequence, s + 1, coalesce(get(at, k + 1), size(token_sequence)) - s), ' '))"
     return sequences.withColumn("at", F.expr(starts)).select("id", F.posexplode(F.expr(cut)).alias("place", "block"))
 
@@ -62,10 +67,11 @@ def blocks(sequences: DataFrame) -> DataFrame:
 def longest_directory(files: DataFrame, table: DataFrame) -> DataFrame:
     """(path, convention) of the longest directory that the path contains; of equally long ones the first by name.
 
-    The table of conventions is a small one of rules: it rides along as one value.
+    One automaton of all directories runs over each path, whatever their number; what it finds meets the table by name.
     """
-    rules = table.agg(F.array_sort(F.collect_list(F.struct((-F.length("dir")).alias("n"), "dir", "convention"))).alias("r")).scalar()
-    return files.withColumn("rules", rules).selectExpr("path", "get(filter(rules, r -> contains(path, r.dir)), 0).convention AS convention").where("convention IS NOT NULL")
+    paths = files.select("path").distinct()
+    met = terms_in(paths, table, id="path", text="path", term="dir").withColumnsRenamed({"id": "path", "term": "dir"}).join(table, "dir")
+    return met.groupBy("path").agg(F.min(F.struct((-F.length("dir")).alias("n"), "dir", "convention")).alias("best")).join(files.select("path"), "path").selectExpr("path", "best.convention AS convention")
 
 
 # -- source smells ------------------------------------------------------------------------------------------------
@@ -150,9 +156,13 @@ def observed(outputs: DataFrame, limit: int = 1 << 20) -> DataFrame:
     return out.selectExpr("id", "NOT over AND held AS passed", "CASE WHEN over THEN 'VERIFY_OUTPUT_LIMIT' WHEN NOT held THEN 'VERIFY_OBSERVATION_FAILED' END AS why")
 
 
-def secrets_near_logs(files: DataFrame, reach: int = 10) -> DataFrame:
+#: What assigns a secret, and what logs.
+SECRET = "(?i)(password|secret|token|api_key|apikey|credential|private_key|auth_key|access_key)\\s*="
+LOG = "(?i)(log[.]|logger[.]|console[.]log|console[.]error|console[.]warn|print[(]|printf[(]|logging[.]|System[.]out[.]print|NSLog[(])"
+
+
+def secrets_near_logs(files: DataFrame, reach: int = 10, secret: str = SECRET, log: str = LOG) -> DataFrame:
     """(path, secret, log): lines that assign a secret within ``reach`` lines of a line that logs, by neighbouring cells."""
-    secret, log = "(?i)(password|secret|token|api_key|apikey|credential|private_key|auth_key|access_key)\\s*=", "(?i)(log[.]|logger[.]|console[.]log|console[.]error|console[.]warn|print[(]|printf[(]|logging[.]|System[.]out[.]print|NSLog[(])"
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("k", "text")).withColumn("line", F.col("k") + 1)
     width = reach + 1
     x = lines.where(f"text rlike {_quoted(secret)}").selectExpr("path", "line AS secret", f"explode(array(line div {width} - 1, line div {width}, line div {width} + 1)) AS cell")
@@ -180,13 +190,13 @@ def recover(tasks: DataFrame, agents: DataFrame, now: str, thresholds: dict[str,
 
 
 def work(tasks: DataFrame, costs: DataFrame) -> DataFrame:
-    """(answer): 'work' if a task is due whose bead costs less than the ceiling; 'synthesize' if none is due and all that have a bead are done and synced; else 'none'."""
+    """(mission, answer) of each mission's tasks: 'work' if a task is due whose bead costs less than the ceiling; 'synthesize' if none is due and all that have a bead are done and synced; else 'none'."""
     known = tasks.where("level IS NOT NULL").join(costs, "bead", "left").withColumn("due", F.expr("status IN ('pending', 'needs_review') OR (status = 'completed' AND NOT synced)"))
-    sums = known.agg(
+    sums = known.groupBy("mission").agg(
         F.expr("count_if(due) AS due"), F.expr(f"count_if(due AND NOT coalesce(cost >= {CEILING}, false)) AS open"), F.expr("count(bead) AS beads"),
         F.expr("count_if(bead IS NOT NULL AND status IN ('completed', 'cancelled') AND synced) AS done"),
     )
-    return sums.selectExpr("CASE WHEN open > 0 THEN 'work' WHEN due = 0 AND beads > 0 AND done = beads THEN 'synthesize' ELSE 'none' END AS answer")
+    return sums.selectExpr("mission", "CASE WHEN open > 0 THEN 'work' WHEN due = 0 AND beads > 0 AND done = beads THEN 'synthesize' ELSE 'none' END AS answer")
 
 
 def lifecycle_of_findings(actions: DataFrame) -> DataFrame:

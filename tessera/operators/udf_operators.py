@@ -64,18 +64,6 @@ def extract_functions(files: DataFrame, path: str = "path", content: str = "cont
     return files.select(F.col(path).alias("path"), F.col(content).cast("string").alias("content")).mapInPandas(run, _FUNCTIONS)
 
 
-_SOURCES = [
-    ("a.py", "def f(a, b=1):\n    'doc'\n    return a and b\n\nclass C:\n    def _g(self):\n        for x in self: pass\n"), ("b.py", "def h(x, y=1):\n    'other'\n    return x and y\n"), ("bad.py", "def ("), ("none.py", None), ("empty.py", ""),
-    ("c.py", "async def k(*, n):\n    try:\n        return [i for i in n if i]\n    except ValueError:\n        return None\n"),
-]
-
-
-@REGISTRY.frame("fn_17_function_extraction", "SELECT * FROM (VALUES ('a.py', 'f', 1, 3, 2, 2, 'doc', 'public'), ('a.py', '_g', 6, 7, 1, 2, NULL, 'private'), ('b.py', 'h', 1, 3, 2, 2, 'other', 'public'), ('c.py', 'k', 1, 5, 1, 3, NULL, 'public')) t(file, name, line, end_line, n_params, complexity, docstring, export_type)")
-def function_extraction(spark: SparkSession, folder: str) -> DataFrame:
-    """The functions of a few sources, some of which do not parse."""
-    return extract_functions(spark.createDataFrame(_SOURCES, "path string, content string")).drop("fingerprint")
-
-
 def strict_json(text: str | None, depth: int = 8, length: int = 100_000) -> tuple[bool, str | None, str | None]:
     """(valid, reason, canonical form): duplicate keys, deep nesting, non-finite numbers and long inputs are refused."""
     if text is None or len(text) > length:
@@ -118,25 +106,18 @@ def _strict(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["valid", "reason", "canonical"])
 
 
-_STRICT = [(1, '{"b": 1, "a": [2]}'), (2, '{"a": 1, "a": 2}'), (3, "[[[[[[[[[1]]]]]]]]]"), (4, "[[[[[[[[1]]]]]]]]"), (5, "NaN"), (6, None), (7, "{"), (8, "{\"a\": {\"c\": 1, \"b\": \"x\"}}"), (9, '"' + "x" * 100_000 + '"')]
-
-
-@REGISTRY.frame("fn_29_strict_json", """SELECT * FROM (VALUES (1, true, NULL, '{"a":[2],"b":1}'), (2, false, 'duplicate', NULL), (3, false, 'depth', NULL), (4, true, NULL, '[[[[[[[[1]]]]]]]]'), (5, false, 'number', NULL),
-  (6, false, 'length', NULL), (7, false, 'syntax', NULL), (8, true, NULL, '{"a":{"b":"x","c":1}}'), (9, false, 'length', NULL)) t(id, valid, reason, canonical)""")
-def strict(spark: SparkSession, folder: str) -> DataFrame:
-    checked = spark.createDataFrame(_STRICT, "id int, text string").withColumn("r", F.arrow_udf(_strict, "struct<valid: boolean, reason: string, canonical: string>")("text"))
-    return checked.select("id", "r.valid", "r.reason", "r.canonical")
-
+def strict(texts: DataFrame) -> DataFrame:
+    """(id, valid, reason, canonical) of texts (id, text)."""
+    return texts.select("id", F.arrow_udf(_strict, "struct<valid: boolean, reason: string, canonical: string>")("text").alias("r")).select("id", "r.valid", "r.reason", "r.canonical")
 
-_SUBSETS = [(1, '{"a": {"b": 1}}', '{"a": {"b": 1, "c": 2}, "d": 3}'), (2, '{"a": [1]}', '{"a": [1, 2]}'), (3, '{"a": 1}', '{"a": true}'), (4, "{}", "{}"), (5, '{"a": null}', "{}"), (6, "[1]", "[1]"), (7, '{"a": 1}', "[1]")]
 
+def subset(pairs: DataFrame) -> DataFrame:
+    """(id, held) of pairs of JSON texts (id, want, have): whether all that is wanted is had."""
 
-@REGISTRY.frame("fn_30_json_subset", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, true), (7, false)) t(id, held)")
-def json_subset(spark: SparkSession, folder: str) -> DataFrame:
     def held(want: pa.Array, have: pa.Array) -> pa.Array:
         return pa.array([is_subset(json.loads(x), json.loads(y)) for x, y in zip(want.to_pylist(), have.to_pylist())])
 
-    return spark.createDataFrame(_SUBSETS, "id int, want string, have string").select("id", F.arrow_udf(held, "boolean")("want", "have").alias("held"))
+    return pairs.select("id", F.arrow_udf(held, "boolean")("want", "have").alias("held"))
 
 
 @REGISTRY.frame("fn_12_lcs", oracle.TURNS)

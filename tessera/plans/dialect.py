@@ -69,6 +69,14 @@ class SparkDialect:
     def contains(self, x: str, y: str) -> str:
         return f"contains({x}, {y})"
 
+    def listed(self, x: str, order: str, where: str = "true") -> str:
+        """A group's values in order; those that are null are left out."""
+        return f"transform(array_sort(collect_list(struct({order} AS o, {x} AS x)) FILTER (WHERE {where} AND {x} IS NOT NULL)), s -> s.x)"
+
+    def whole(self, x: str) -> str:
+        """A number rounded down, as an integer."""
+        return f"cast(floor({x}) AS bigint)"
+
     def translate_hex(self, h: str) -> str:
         return f"(translate(substr({h}, 1, 1), '89abcdef01234567', '0123456789abcdef') || substr({h}, 2, 15))"
 
@@ -117,6 +125,9 @@ class DuckDialect(SparkDialect):
     def day(self, x: str) -> str:
         return f"cast(date_diff('day', date '1970-01-01', cast({x} AS date)) AS bigint)"
 
+    def listed(self, x: str, order: str, where: str = "true") -> str:
+        return f"coalesce(list({x} ORDER BY {order}) FILTER (WHERE {where} AND {x} IS NOT NULL), [])"
+
     def joined(self, x: str, order: str) -> str:
         return f"string_agg({x}, ',' ORDER BY {order}, {x})"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import long_words, type_of, words_of_name
 from tessera.operators.rules import advice, anchoring, applicable, boundary, budget_state, complexity_weight, convergence, convergence_summary, convergence_yield, distance, entropy, execution_mode, floors, frequency_coverage, hard_stop, harvest, hazards, justified, lifecycle, low_confidence_flood, map_convergence, noise, open_hazards, promotion, queue_starvation, rising_escalation, rolling_budget, routed, severity_trend, simplicity, swallowed, transitions
 from tessera.operators.rules_text import ARTIFACTS, SECTIONS, archive, artifact_status, blocks, code_tokens, incomplete, lifecycle_of_findings, longest_directory, normalised, observed, recover, report_problems, secrets_near_logs, smells, vocabulary, work
+from tessera.operators import udf_operators as U
 from tessera.operators.strategies import grams, winnowed
 from tessera.operators.rules_store import appended, definitions, deviance, gates, merged_ledger, noise_band, packet, protection, prunable, report, review_problems, swap
 
@@ -188,24 +189,17 @@ cases(
     [(1, "claimed", "L0", "a", 0, 3, None), (2, "claimed", "L0", "b", 3, 3, None), (3, "claimed", "L0", "c", None, 3, '{"cynefin_domain": " Complex "}'), (4, "claimed", "L0", "c", 1, 3, "{}"), (5, "pending", "L0", "a", 0, 3, None), (6, "claimed", None, "a", 0, 3, None), (7, "claimed", "L0", "d", 1, 3, None), (8, "claimed", "L0", "nobody", 0, 3, None)],
     lambda t: recover(t, t.sparkSession.createDataFrame([("a", "2026-01-01T00:00:00Z"), ("b", None), ("c", "2026-01-01T00:51:00Z"), ("d", "soon")], "id string, heartbeat string"), "2026-01-01 01:00:00", {"complex": 600}), "id, status, retries", [(1, "pending", 1), (2, "needs_review", 3), (4, "pending", 2), (7, "pending", 2)],
 )
-_TASKS = "grp int, bead string, level string, status string, synced boolean"
+_TASKS = "mission int, bead string, level string, status string, synced boolean"
 cases(
     "str_09_work_detection", _TASKS,
     [(1, "a", "L0", "pending", False), (2, "dear", "L0", "pending", False), (3, "a", "L0", "completed", True), (3, "b", "L0", "cancelled", True), (4, "a", "L0", "completed", True), (4, "b", "L0", "running", False), (5, "a", None, "pending", False), (6, "a", "L0", "completed", False)],
-    lambda t: _each(t, lambda own: work(own, own.sparkSession.createDataFrame([("dear", 50.0), ("a", 49.9)], "bead string, cost double"))), "grp, answer", [(1, "work"), (2, "none"), (3, "synthesize"), (4, "none"), (5, "none"), (6, "work")],
+    lambda t: work(t, t.sparkSession.createDataFrame([("dear", 50.0), ("a", 49.9)], "bead string, cost double")), "mission, answer", [(1, "work"), (2, "none"), (3, "synthesize"), (4, "none"), (5, "none"), (6, "work")],
 )
 cases(
     "str_06_finding_lifecycle", "finding int, at int, action string, salience double",
     [(1, 1, "open", 0.6), (1, 2, "suppress", None), (1, 3, "resurface", None), (2, 1, "open", 0.7), (2, 2, "resurface", None), (3, 1, "open", 0.5), (3, 2, "defer", None), (4, 1, "open", 0.5), (4, 2, "promote", None), (5, 1, "open", 0.3), (5, 2, "suppress", None)],
     lifecycle_of_findings, "finding, state, salience", [(1, "open", 1.0), (2, "open", 0.7), (3, "deferred", 0.1), (4, "promoted", 0.5), (5, "suppressed", 0.3)], "salience",
 )
-def _each(tasks: DataFrame, rule) -> DataFrame:
-    """A rule over each of the six small groups of the sample."""
-    out = None
-    for k in range(1, 7):
-        part = rule(tasks.where(f"grp = {k}")).select(F.lit(k).alias("grp"), "answer")
-        out = part if out is None else out.unionByName(part)
-    return out
 _RECORDS = [{"file": "a.py", "name": "f", "line": 1}, {"file": "b.py", "name": "g", "line": 2, "params": [{"name": "x", "type": "int"}]}]
 cases(
     "str_13_status_swap", "bead int, level string, status string, expected string",
@@ -277,6 +271,10 @@ cases(
     [(0, 0, "# Duplicate functions"), (1, 0, "| Metric | Value |"), (2, 0, "| Pairs | 3 |"), (2, 1, "| Several signals | 2 |"), (2, 2, "| Three signals or more | 1 |"), (3, 0, "| Clone type | Count |"), (4, 1, "| Type 2 (renamed clone) | 2 |"), (4, 2, "| Type 1 (exact clone) | 1 |"),
      (10, 0, "## HIGH"), (11, 1, "- 3 and 4: 0.95 by 2, consolidate"), (11, 2, "- 1 and 2: 0.9 by 3, consolidate"), (20, 0, "## MEDIUM"), (30, 0, "## LOW"), (31, 1, "- 5 and 6: 0.4 by 1, review")],
 )
+cases("fn_29_strict_json", "id int, text string", [(1, '{"b": 1, "a": [2]}'), (2, '{"a": 1, "a": 2}'), (3, "[[[[[[[[[1]]]]]]]]]"), (4, "[[[[[[[[1]]]]]]]]"), (5, "NaN"), (6, None), (7, "{"), (8, '{"a": {"c": 1, "b": "x"}}'), (9, '"' + "x" * 100_000 + '"')], U.strict, "id, valid, reason, canonical",
+      [(1, True, None, '{"a":[2],"b":1}'), (2, False, "duplicate", None), (3, False, "depth", None), (4, True, None, "[[[[[[[[1]]]]]]]]"), (5, False, "number", None), (6, False, "length", None), (7, False, "syntax", None), (8, True, None, '{"a":{"b":"x","c":1}}'), (9, False, "length", None)])
+cases("fn_30_json_subset", "id int, want string, have string", [(1, '{"a": {"b": 1}}', '{"a": {"b": 1, "c": 2}, "d": 3}'), (2, '{"a": [1]}', '{"a": [1, 2]}'), (3, '{"a": 1}', '{"a": true}'), (4, "{}", "{}"), (5, '{"a": null}', "{}"), (6, "[1]", "[1]"), (7, '{"a": 1}', "[1]")], U.subset, "id, held", [(1, True), (2, False), (3, False), (4, True), (5, False), (6, True), (7, False)])
+
 
 def plain(rows) -> list[str]:
     def one(x):
