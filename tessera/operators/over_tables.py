@@ -465,3 +465,110 @@ over("agg_10_nearest_rank", _quantiles, "SELECT event_type, list_sort(list(value
 over("win_02_open_cap", lambda e: overflow(e.where("event_type = 'click'").select("ws", "event_id", "value")), "SELECT ws, event_id, value FROM src WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY ws ORDER BY value DESC, event_id) > 100", _EVENTS)
 over("snk_06_keep_last", keep_last, "SELECT event_type, event_id FROM src QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 1000", _EVENTS)
 over("ord_04_open_findings", lambda e: by_salience(e.where("event_type = 'click'").select("ws", "event_id", "value")), "SELECT event_id, value AS salience, rank() OVER (PARTITION BY ws ORDER BY value DESC) AS place FROM src WHERE event_type = 'click'", _EVENTS)
+
+
+# -- code and reports that Spark writes from the tables -----------------------------------------------------------
+_NL = "chr(10)"
+
+
+def _modules(d, indent: bool = True):
+    """A Python module for each brand of parts: a function a part, some of them private or, with ``indent``, within a class."""
+    name = "CASE WHEN p_size % 3 = 0 THEN '_' ELSE '' END || replace(p_name, ' ', '_') || '_' || p_partkey"
+    lead = "CASE WHEN p_size % 5 = 0 THEN '    ' ELSE '' END || " if indent else ""
+    one = f"{lead}'def ' || {name} || '(a, b=1):' || {_NL} || {lead}'    return ' || CASE WHEN p_size % 2 = 0 THEN 'a and b' ELSE 'a' END"
+    return f"SELECT p_brand AS path, 'python' AS language, {d.glued(d.listed(one, 'p_partkey'), _NL)} AS content FROM {d.table('part')} p GROUP BY p_brand"
+
+
+_PLACES = "SELECT p_brand, p_size, CASE WHEN p_size % 3 = 0 THEN '_' ELSE '' END || replace(p_name, ' ', '_') || '_' || p_partkey AS name, 2 * row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS line FROM part"
+over("fn_18_definitions", lambda f: RS.definitions(f).select("path", "name", "line", "end_line", "body_lines"), f"SELECT p_brand AS path, name, line, line + 1 AS end_line, 2 AS body_lines FROM ({_PLACES})", _modules)
+over("fn_20_export_type", lambda f: RS.definitions(f).select("path", "name", "export_type"), f"SELECT p_brand AS path, name, CASE WHEN p_size % 5 = 0 THEN 'method' WHEN p_size % 3 = 0 THEN 'internal' ELSE 'module_level' END AS export_type FROM ({_PLACES})", _modules)
+over(
+    "fn_17_function_extraction", lambda f: U.extract_functions(f).select("file", "name", "line", "end_line", "n_params", "complexity", "export_type"),
+    f"SELECT p_brand AS file, name, line, line + 1 AS end_line, 2 AS n_params, 1 + (p_size % 2 = 0)::INTEGER AS complexity, CASE WHEN p_size % 3 = 0 THEN 'private' ELSE 'public' END AS export_type FROM ({_PLACES})", lambda d: _modules(d, indent=False),
+)
+over(
+    "fn_28_source_smells", lambda f, _: RT.smells(f),
+    """+f AS (SELECT path, p_partkey, p_size, stem, path LIKE '%.test.ts' AS test FROM src2)
+    SELECT path, 'type_safety' AS smell, '1' AS detail FROM f WHERE p_size % 2 = 0 UNION ALL SELECT path, 'import_anomaly', 'a' || p_size % 3 FROM f WHERE p_size % 3 <> 1 UNION ALL SELECT path, 'import_anomaly', 'b' FROM f WHERE p_size % 2 = 0
+    UNION ALL SELECT path, 'missing_test', stem FROM f WHERE NOT test AND stem NOT IN (SELECT replace(stem, '.test', '') FROM f WHERE test) UNION ALL SELECT path, 'dead_export', 'q' || p_partkey FROM f""",
+    lambda d: f"SELECT 'src/' || CASE WHEN p_partkey % 4 = 0 THEN cast(p_partkey + 1 AS string) || '.test.ts' ELSE cast(p_partkey AS string) || '.ts' END AS path, 'import {{ a' || p_size % 3 || ', b }} from ./m' || {_NL} || {_NL} || 'export const q' || p_partkey || ' = a1 + ' || CASE WHEN p_size % 2 = 0 THEN 'x as any' ELSE 'b' END AS content FROM {d.table('part')} p".replace("{{", "{").replace("}}", "}"),
+    lambda d: f"SELECT 'src/' || CASE WHEN p_partkey % 4 = 0 THEN cast(p_partkey + 1 AS string) || '.test.ts' ELSE cast(p_partkey AS string) || '.ts' END AS path, CASE WHEN p_partkey % 4 = 0 THEN cast(p_partkey + 1 AS string) || '.test' ELSE cast(p_partkey AS string) END AS stem, p_partkey, p_size FROM {d.table('part')} p",
+)
+_SIDES = "SELECT p_partkey AS id, p_brand AS file, p_name AS name, NULL AS qualified_name, p_partkey % 5 AS line, p_partkey AS end_line, nullif(p_size, 9) AS body_lines, CASE WHEN p_size % 7 > 0 THEN p_size % 7 END AS arity, p_partkey % 11 AS cc FROM {t}"
+_NEAR = lambda d: f"SELECT x.p_partkey AS a, y.p_partkey AS b FROM {d.table('part')} x JOIN {d.table('part')} y ON x.p_brand = y.p_brand AND x.p_name = y.p_name AND x.p_partkey < y.p_partkey"
+
+
+def _parts_catalog(d):
+    return _SIDES.format(t=d.table("part") + " p")
+
+
+def _with_params(catalog: DataFrame) -> DataFrame:
+    return catalog.withColumn("params", F.expr("CASE WHEN arity IS NOT NULL THEN array_repeat('p', cast(arity AS int)) END")).withColumn("cyclomatic_complexity", F.col("cc")).withColumn("qualified_name", F.lit(None).cast("string"))
+
+
+over(
+    "flt_01_should_compare", lambda p, c: S.different(p, _with_params(c)),
+    "SELECT a, b FROM src JOIN src2 x ON x.id = a JOIN src2 y ON y.id = b WHERE NOT (x.file = y.file AND x.line = y.line) AND NOT (x.file = y.file AND x.name = y.name)",
+    lambda d: f"SELECT x.p_partkey AS a, y.p_partkey AS b FROM {d.table('part')} x JOIN {d.table('part')} y ON y.p_partkey IN (x.p_partkey + 1, x.p_partkey + 5, x.p_partkey + 40)" if d.name != "spark" else f"SELECT a, b FROM (SELECT p_partkey AS a, explode(array(p_partkey + 1, p_partkey + 5, p_partkey + 40)) AS b FROM {d.table('part')} x) t",
+    _parts_catalog,
+)
+_TIMES = "coalesce(x.{0} >= {1} AND y.{0} >= {1} AND (x.{0} > 3 * y.{0} OR y.{0} > 3 * x.{0}), false)"
+over(
+    "flt_02_prefilter", lambda p, c: S.alike(p, _with_params(c)),
+    f"SELECT a, b FROM src JOIN src2 x ON x.id = a JOIN src2 y ON y.id = b WHERE NOT (coalesce(x.body_lines < 3 AND y.body_lines < 3, false) OR {_TIMES.format('body_lines', 3)} OR coalesce(x.arity - y.arity NOT BETWEEN -2 AND 2, false) OR {_TIMES.format('cc', 1)})", _NEAR, _parts_catalog,
+)
+over(
+    "sim_12_group_pairs", lambda g: S.llm_semantic(g.groupBy("grp").agg(F.max("confidence").alias("confidence"), F.sort_array(F.collect_list("id")).alias("functions"))),
+    "SELECT x.id AS a, y.id AS b, CASE x.confidence WHEN 'HIGH' THEN 0.95 WHEN 'MEDIUM' THEN 0.7 WHEN 'LOW' THEN 0.4 ELSE 0.5 END::DOUBLE AS score FROM src x JOIN src y ON x.grp = y.grp AND x.id < y.id",
+    lambda d: f"SELECT conv_id AS grp, conv_id * 1000 + turn AS id, CASE conv_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'UNSURE' END AS confidence FROM {d.table('conversations')} c",
+)
+over(
+    "flt_10_required_sections", lambda f, _: RT.incomplete(f), "SELECT 't' || k || '/mode-convergence-summary.yaml' AS path, unnest(list_filter([CASE WHEN k % 3 = 1 THEN 'missing execution_mode' END, CASE WHEN k % 7 = 0 THEN 'missing artifact_status' END, CASE WHEN k % 7 > 0 AND s NOT IN ('partial', 'final') THEN 'status ' || s END], lambda x: x IS NOT NULL)) AS problem FROM src2",
+    lambda d: f"SELECT 't' || o_orderkey || '/mode-convergence-summary.yaml' AS path, 'schema_version: 1' || {_NL} || 'task_id: ' || o_custkey || {_NL} || CASE WHEN o_orderkey % 7 > 0 THEN 'artifact_status: ' || CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'partial' ELSE 'ready' END || {_NL} ELSE '' END || CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE 'execution_mode: x' || {_NL} END || 'summary: ' || o_orderpriority AS content FROM {d.table('orders')} o",
+    lambda d: f"SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'partial' ELSE 'ready' END AS s FROM {d.table('orders')} o",
+)
+over(
+    "flt_12_report_sections", RT.report_problems, f"SELECT path, 'missing ' || {list(RT.SECTIONS)}[path % 10 + 1] AS problem FROM src UNION ALL SELECT path, 'no verdict' FROM src WHERE path % 2 = 1",
+    lambda d: "SELECT o_orderkey AS path, " + " || ".join(f"CASE WHEN o_orderkey % 10 = {k} THEN '' ELSE '## {x}' || {_NL} || o_orderpriority || {_NL} || o_orderstatus || {_NL} END" for k, x in enumerate(RT.SECTIONS)) + f" || CASE WHEN o_orderkey % 2 = 0 THEN 'escalated' ELSE '' END AS content FROM {d.table('orders')} o",
+)
+over(
+    "flt_13_suppressions", R.justified, "SELECT path, 2 AS line, 2 - path % 4 AS score FROM src WHERE path % 4 < 3",
+    lambda d: f"SELECT o_orderkey AS path, 'let x = ' || o_custkey || {_NL} || CASE o_orderkey % 4 WHEN 0 THEN '// eslint-disable-next-line a -- because it must be so; tracked in DEBT-' || o_custkey WHEN 1 THEN '/* eslint-disable b -- long enough reason */' WHEN 2 THEN '// eslint-disable-line c' ELSE '// eslint-enable c' END AS content FROM {d.table('orders')} o",
+)
+_REVIEW = "'## Cross-Model Review: ' || url || chr(10) || '### Findings' || chr(10) || '| # | Severity |' || chr(10) || '### Summary' || chr(10)"
+over(
+    "flt_20_artifact_ladder", lambda f, _: RT.artifact_status(f), "SELECT path, ['MISSING', 'VALID', 'MALFORMED', 'EMPTY', 'OVERSIZED', 'STALE', 'PATH_VIOLATION'][k + 1] AS status FROM src2",
+    lambda d: f"SELECT CASE WHEN page_id % 7 = 6 THEN 'q/' ELSE 'p/' END || page_id AS path, 'p' AS project, CASE page_id % 7 WHEN 0 THEN NULL WHEN 2 THEN html WHEN 3 THEN ' ' || {_NL} || ' ' WHEN 4 THEN repeat('long ', 30000) || html ELSE {_REVIEW} END AS content, CASE WHEN page_id % 7 = 5 THEN '00' END AS checksum FROM {d.table('pages')} p",
+    lambda d: f"SELECT CASE WHEN page_id % 7 = 6 THEN 'q/' ELSE 'p/' END || page_id AS path, page_id % 7 AS k FROM {d.table('pages')} p",
+)
+_TEXT = "'supplier ' || {0} || chr(10) || 'end' || chr(10)"
+over(
+    "flt_22_review_results", RS.review_problems,
+    """+c AS (SELECT review, CASE WHEN src2.line < 1 THEN 'line' WHEN src3.path IS NULL THEN 'untracked' WHEN src2.line > 2 THEN 'outside' WHEN claimed = '00' THEN 'hash' END AS problem FROM src2 LEFT JOIN src3 USING (path))
+    SELECT DISTINCT review, problem FROM (SELECT * FROM c WHERE problem IS NOT NULL UNION ALL SELECT review, 'verdict' FROM src WHERE verdict = 'MAYBE' UNION ALL SELECT src.review, 'unresolved' FROM src JOIN src4 USING (review) WHERE verdict = 'PASS' AND severity <> 'MINOR' AND disposition = 'UNRESOLVED')""",
+    lambda d: f"SELECT o_orderkey AS review, CASE o_orderpriority WHEN '1-URGENT' THEN 'MAYBE' WHEN '2-HIGH' THEN 'FAIL' ELSE 'PASS' END AS verdict FROM {d.table('orders')} o",
+    lambda d: f"SELECT l_orderkey AS review, CASE WHEN l_partkey % 50 = 0 THEN -1 ELSE l_suppkey END AS path, l_linenumber - 1 AS line, CASE WHEN l_tax > 0.06 THEN '00' ELSE {d.sha(_TEXT.format('cast(l_suppkey AS string)'))} END AS claimed FROM {d.table('lineitem')} l WHERE l_linenumber < 5",
+    lambda d: f"SELECT s_suppkey AS path, {_TEXT.format('cast(s_suppkey AS string)')} AS content FROM {d.table('supplier')} s",
+    lambda d: f"SELECT l_orderkey AS review, CASE l_returnflag WHEN 'R' THEN 'CRITICAL' WHEN 'A' THEN 'MATERIAL' ELSE 'MINOR' END AS severity, CASE WHEN l_discount > 0.08 THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS disposition FROM {d.table('lineitem')} l",
+)
+_NAMES = ("a.py", "tests/b.py", "c.test.ts", "d.md", "e.go", "f.tsx")
+over(
+    "src_03_source_tree", lambda f: C.classified(f.withColumn("content", F.col("content").cast("binary"))).select("path", "language", F.length("content").alias("n")), "SELECT path, ['python', 'go', 'typescript'][list_position([0, 4, 5], k)] AS language, length(content) AS n FROM (SELECT *, CAST(regexp_extract(path, '^p([0-9]+)/', 1) AS BIGINT) % 6 AS k FROM src) WHERE k IN (0, 4, 5)",
+    lambda d: f"SELECT 'p' || page_id || '/' || CASE page_id % 6 {' '.join(f'WHEN {k} THEN {literal(n)}' for k, n in enumerate(_NAMES))} END AS path, html AS content FROM {d.table('pages')} p",
+)
+over("src_07_documents", C.keyed_documents, "SELECT id, 'k' AS key, json_extract_string(text, '$.k') AS value FROM src", lambda d: f"SELECT event_id AS id, props AS text FROM {d.table('events')} e")
+
+
+@REGISTRY.frame("src_08_store_tables", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys FROM events GROUP BY event_type")
+def _src_08(spark: SparkSession, folder: str) -> DataFrame:
+    """All events put into the store's table twice, a key once; the store is made first, and again when it holds rows."""
+    path = scratch(spark, "store")
+    C.create_store(spark, path)
+    events = spark.read.parquet(f"{folder}/events.parquet").selectExpr(
+        "cast(event_id AS string) AS event_id", "event_type", "cast(user_id % 10 AS string) AS workstream_id", "cast(user_id AS string) AS bead_id", "cast(NULL AS string) AS agent_id",
+        "cast(ts AS string) AS timestamp", "props AS payload", "cast(NULL AS string) AS processing_level", "sha2(concat_ws(':', event_id, event_type), 256) AS idempotency_key",
+    )
+    for _ in range(2):
+        C.append_once(events, f"{path}/events", "idempotency_key")
+        C.create_store(spark, path)
+    return spark.read.parquet(f"{path}/events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("keys"))

@@ -48,6 +48,21 @@ def guarded(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     return kept.select(*pairs.columns)
 
 
+def _sides(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
+    known = catalog.selectExpr(*_COLUMNS)
+    return pairs.join(known.alias("x"), F.col("a") == F.col("x.id")).join(known.alias("y"), F.col("b") == F.col("y.id"))
+
+
+def different(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The pairs of two different functions."""
+    return _sides(pairs, catalog).where(DIFFERENT).select(*pairs.columns)
+
+
+def alike(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The pairs that are not too unlike to be compared."""
+    return _sides(pairs, catalog).where(f"NOT ({UNLIKE})").select(*pairs.columns)
+
+
 def features(catalog: DataFrame, array: str) -> DataFrame:
     """(id, f, x, n, df, rank): each function's distinct features with their counts, ranked from the rarest.
 

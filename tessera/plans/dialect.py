@@ -73,6 +73,9 @@ class SparkDialect:
         """A group's values in order; those that are null are left out."""
         return f"transform(array_sort(collect_list(struct({order} AS o, {x} AS x)) FILTER (WHERE {where} AND {x} IS NOT NULL)), s -> s.x)"
 
+    def glued(self, array: str, by: str) -> str:
+        return f"array_join({array}, {by})"
+
     def whole(self, x: str) -> str:
         """A number rounded down, as an integer."""
         return f"cast(floor({x}) AS bigint)"
@@ -128,6 +131,9 @@ class DuckDialect(SparkDialect):
     def listed(self, x: str, order: str, where: str = "true") -> str:
         return f"coalesce(list({x} ORDER BY {order}) FILTER (WHERE {where} AND {x} IS NOT NULL), [])"
 
+    def glued(self, array: str, by: str) -> str:
+        return f"array_to_string({array}, {by})"
+
     def joined(self, x: str, order: str) -> str:
         return f"string_agg({x}, ',' ORDER BY {order}, {x})"
 

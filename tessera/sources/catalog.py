@@ -70,6 +70,12 @@ def read_documents(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(str(k), json.dumps(v, sort_keys=True, default=str)) for k, v in value.items()], "key string, value string")
 
 
+def keyed_documents(texts: DataFrame) -> DataFrame:
+    """(id, key, value as JSON) of control documents (id, text), one JSON object each; a text that is none gives nothing."""
+    keys = texts.select("id", "text", F.explode(F.json_object_keys("text")).alias("key"))
+    return keys.select("id", "key", F.expr("get_json_object(text, concat('$.', key))").alias("value"))
+
+
 def write_json_array(frame: DataFrame, path: str) -> None:
     """JSON arrays, a record a line: each task writes its rows as one array, as they come, so that no task holds all of them.
 

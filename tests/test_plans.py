@@ -38,9 +38,16 @@ def plain(rows) -> list:
     return sorted(str([one(x) for x in row]) for row in rows)
 
 
+def checked(got):
+    """No plan pairs all rows with all."""
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    return got
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_duckdb(spark, duck, name):
-    got = QUERIES[name](spark, FOLDER)
+    got = checked(QUERIES[name](spark, FOLDER))
     want = duck.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
@@ -53,17 +60,7 @@ FUSED = {"sim_14_fusion", "sim_15_clone_type", "sim_16_recommendation", "sim_17_
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - FUSED | {"sim_18_evaluate"}))
 def test_others_run(spark, name):
-    assert QUERIES[name](spark, FOLDER).collect() is not None
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_nested_loops(spark, name):
-    """No plan pairs all rows with all."""
-    if name in FUSED - {"sim_14_fusion"}:
-        return
-    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
+    assert checked(QUERIES[name](spark, FOLDER)).collect() is not None
 
 
 def test_names_and_signatures():
