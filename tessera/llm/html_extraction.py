@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags.  First pass: every block is judged by link density, length and stop-word
 density as good, bad, near-good, short or a short heading.  The page's structure is a prior: blocks in regions that are
 boilerplate by tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments) are bad; where
-the page names its article, blocks outside it are no candidates, and inside it neither links nor shortness count against
+the page names its article, and most of its running text stands there, blocks outside it are no candidates, and inside it neither links nor shortness count against
 a block: it is ambiguous at worst.  Few stop words alone make no block bad (code, tables and names have few), and on a
 page whose text is in no language of ``STOP_WORDS`` they say nothing: length decides there, ideographs counting as
 words.  Second pass: ambiguous blocks inherit from their nearest decided neighbours: a short one from the nearest, a
@@ -60,13 +60,22 @@ BAD_WORDS = frozenset(
 BOX_WORDS = frozenset("area bar block body box buttons container content inner items link links list outer posts section thread wrap wrapper".split())
 COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion reader".split())
 GOOD_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that make a box within an article no part of it wherever a class begins or ends with them ("ad-slot", "user-comments").
+ADVERT_ENDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup popup modal share sharing social".split()
+)
+COMMENT_ENDS = frozenset("comment comments commentlist disqus replies".split())
+#: Boxes of other pieces: what they begin with, and what follows it ("related-articles", but not "related-work").
+LEADS, PIECES = frozenset("related recommended more read up also trending popular".split()), frozenset("article articles story stories post posts news reading next also more topics videos".split())
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?![\w:-])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>|<({RAW_TAGS})(?![\w:-])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _NAME_PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 _IDEOGRAPH = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
-_NONE, _GOOD, _BAD, _COMMENT = 0, 1, 2, 3
+_NONE, _GOOD, _BAD, _COMMENT, _LIKELY = 0, 1, 2, 3, 4
+#: Labels of what an element says is the article: by its tag or role, or by a class or id alone.
+_MARKED = (_GOOD, _LIKELY)
 
 
 def _of_one_kind(values: str, kind: frozenset[str]) -> bool:
@@ -78,21 +87,32 @@ def _of_one_kind(values: str, kind: frozenset[str]) -> bool:
     return False
 
 
+def _ends_with(values: str, ends: frozenset[str]) -> bool:
+    """Whether a name begins or ends with one of the words."""
+    return any(parts[0] in ends or parts[-1] in ends for parts in map(_NAME_PART.findall, values.split()) if parts)
+
+
+def _other_pieces(values: str) -> bool:
+    """Whether a name is one of a box that leads to other pieces."""
+    return any(len(parts) > 1 and parts[0] in LEADS and set(parts[1:]) <= PIECES | BOX_WORDS and parts[1] in PIECES for parts in map(_NAME_PART.findall, values.split()))
+
+
 def region(tag: str, attributes: str, above: int = _NONE) -> int:
     """What an element says about the blocks inside it.
 
     Elsewhere any word of a class or id counts; in an article an id is only an anchor ("side-effects"), and a class counts
-    as a whole; of an article itself classes and ids count as wholes.
+    as a whole or by how it begins and ends; of an article itself classes and ids count as wholes.
     """
     names: set[str] = set()
     role = whole = ""
-    strict = above == _GOOD or tag in ("article", "main")
+    strict = above in _MARKED or tag in ("article", "main")
+    boxed = above in _MARKED and tag not in ("article", "main")
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 names.update(_NAME_PART.findall(value))
-                if key == "class" or above != _GOOD:
+                if key == "class" or above not in _MARKED:
                     whole += f" {value}"
             elif key == "role":
                 role = value
@@ -101,18 +121,18 @@ def region(tag: str, attributes: str, above: int = _NONE) -> int:
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                 return _BAD
     named = tag not in ("body", "html")
-    if named and (_of_one_kind(whole, COMMENT_WORDS) if strict else names & COMMENT_WORDS):
+    if named and (_of_one_kind(whole, COMMENT_WORDS) or (boxed and _ends_with(whole, COMMENT_ENDS)) if strict else names & COMMENT_WORDS):
         return _COMMENT
     if tag in BAD_TAGS or role in BAD_ROLES:
         return _BAD
     if tag in ("article", "main") or role in ("main", "article"):
         return _GOOD
-    if named and (_of_one_kind(whole, BAD_WORDS) if strict else names & BAD_WORDS):
+    if named and (_of_one_kind(whole, BAD_WORDS) or (boxed and (_ends_with(whole, ADVERT_ENDS) or _other_pieces(whole))) if strict else names & BAD_WORDS):
         return _BAD
     if tag == "header":
         return _BAD
     if names & GOOD_WORDS and tag in ("div", "section", "td"):
-        return _GOOD
+        return _LIKELY
     return _NONE
 
 
@@ -195,9 +215,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
                 label = _COMMENT
             elif own == _NONE:
                 label = above
-            elif own == _GOOD and above == _BAD and not (tag in ("article", "main")):
+            elif own in _MARKED and above == _BAD and not (tag in ("article", "main")):
                 label = _BAD
-            elif tag == "header" and above == _GOOD:
+            elif (tag == "header" and above in _MARKED) or (own == _LIKELY and above == _GOOD):
                 label = above
             else:
                 label = own
@@ -232,7 +252,7 @@ def recognised(blocks: list[tuple[str, int, int, str]]) -> bool:
     """Whether the unmarked text of a page is in a language of ``STOP_WORDS``."""
     stop = n = 0
     for text, linked, label, _ in blocks:
-        if label in (_NONE, _GOOD) and linked <= MAX_LINK_DENSITY * len(text) and weight(text) >= SHORT_CHARS:
+        if label in (_NONE, *_MARKED) and linked <= MAX_LINK_DENSITY * len(text) and weight(text) >= SHORT_CHARS:
             own = stop_words(text)
             stop, n = stop + own[0], n + own[1]
     return stop >= STOP_HIGH * n
@@ -246,7 +266,7 @@ def first_pass(text: str, linked: int, label: int, tag: str, known: bool = True)
     """
     if label in (_BAD, _COMMENT):
         return "bad"
-    within = label == _GOOD
+    within = label in _MARKED
     linking = linked > MAX_LINK_DENSITY * len(text)
     if not within and (linking or text.startswith("©")):
         return "bad"
@@ -292,13 +312,29 @@ def second_pass(labels: list[str]) -> list[bool]:
     return out
 
 
+def article_of(blocks: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+    """The candidates: a mark counts only if it holds most of the text.
+
+    Running text (long enough, not of links, in no boilerplate region) is weighed inside and outside of marks.  A mark by tag or role is believed
+    first, then marks by class or id with it; where most stands outside of all of them, they say nothing.
+    """
+    held = {_GOOD: 0, _LIKELY: 0, _NONE: 0}
+    for text, linked, label, tag in blocks:
+        if label in held and linked <= MAX_LINK_DENSITY * len(text) and (size := weight(text)) >= SHORT_CHARS and tag not in HEADINGS and not text.startswith("©"):
+            held[label] += size
+    marked = {label for _, _, label, _ in blocks if label in _MARKED}
+    if _GOOD in marked and held[_GOOD] >= held[_LIKELY] + held[_NONE]:
+        return [b for b in blocks if b[2] == _GOOD]
+    if marked and held[_GOOD] + held[_LIKELY] >= held[_NONE]:
+        return [b for b in blocks if b[2] in _MARKED]
+    return [(text, linked, _NONE if label in _MARKED else label, tag) for text, linked, label, tag in blocks]
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    found = blocks_of(page)
-    if any(label == _GOOD for _, _, label, _ in found):  # the page names its article: what is outside it is no candidate
-        found = [b for b in found if b[2] == _GOOD]
+    found = article_of(blocks_of(page))
     known = recognised(found)
     keep = second_pass([first_pass(*b, known) for b in found])
     return "\n".join(b[0] for b, k in zip(found, keep) if k)
