@@ -35,19 +35,6 @@ def disagreement(d):
     return f"WITH {store(d)} SELECT bead, count(*) AS n FROM ev WHERE kind = 'bead_failed' AND k IS NOT NULL AND k <> 0 GROUP BY bead HAVING count(*) >= 3"
 
 
-@plan("agg_07_backpressure")
-def backpressure(d):
-    """The signals of all detectors in one stream."""
-    return f"""WITH {store(d)}, signals AS (
-SELECT 'stuck_task' AS signal, bead AS subject, count(*) AS n FROM ev WHERE kind = 'bead_retried' GROUP BY bead HAVING count(*) >= 3
-UNION ALL SELECT 'oscillating_state', bead, count(*) FROM ev WHERE kind IN ('bead_completed', 'bead_failed') GROUP BY bead HAVING count(*) >= 3
-UNION ALL SELECT 'rising_escalation', ws, count(*) FROM ev GROUP BY ws HAVING count(CASE WHEN kind = 'bead_escalated' THEN 1 END) > 0.5 * count(*)
-UNION ALL SELECT 'queue_starvation', bead, count(*) FROM ev GROUP BY bead HAVING (SELECT us FROM now) - max(us) >= 1800000000
-UNION ALL SELECT 'low_confidence_flood', ws, count(*) FROM ev WHERE kind = 'bead_noted' AND value < 20 GROUP BY ws HAVING count(*) > 10
-UNION ALL SELECT 'review_disagreement', bead, count(*) FROM ev WHERE kind = 'bead_failed' AND k <> 0 GROUP BY bead HAVING count(*) >= 3)
-SELECT signal, subject, n FROM signals"""
-
-
 @plan("agg_08_cost_map")
 def cost_map(d):
     """A session's cost, shared equally by its beads, duplicates counted: an order's price over its lines' parts."""

@@ -274,9 +274,10 @@ over(
 )
 over(
     "str_09_work_detection", RT.work,
-    """+t AS (SELECT mission, bead, status, synced, coalesce(cost, 0) AS cost, status = 'pending' OR status = 'needs_review' OR (status = 'completed' AND NOT synced) AS due FROM src LEFT JOIN src2 USING (bead) WHERE level IS NOT NULL)
-    SELECT mission, CASE WHEN bool_or(due AND cost < 50) THEN 'work' WHEN NOT bool_or(due) AND bool_and(bead IS NULL OR (status IN ('completed', 'cancelled') AND synced)) AND count(bead) > 0 THEN 'synthesize' ELSE 'none' END AS answer FROM t GROUP BY mission""",
-    lambda d: f"SELECT o_custkey AS mission, nullif(o_orderkey % 900, 0) AS bead, nullif(o_orderstatus, 'X') AS level, CASE o_orderpriority WHEN '1-URGENT' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'pending' ELSE 'cancelled' END WHEN '2-HIGH' THEN 'cancelled' ELSE 'completed' END AS status, o_orderkey % 37 <> 0 AS synced FROM {d.table('orders')} o",
+    """+t AS (SELECT mission, bead, status, synced, coalesce(cost, 0) AS cost, status = 'pending' OR status = 'needs_review' OR (status = 'completed' AND NOT synced) AS due FROM src LEFT JOIN src2 USING (bead) WHERE level IS NOT NULL),
+    g AS (SELECT mission, CASE WHEN bool_or(due AND cost < 50) THEN 'work' WHEN NOT bool_or(due) AND bool_and(bead IS NULL OR (status IN ('completed', 'cancelled') AND synced)) AND count(bead) > 0 THEN 'synthesize' ELSE 'none' END AS answer FROM t GROUP BY mission)
+    SELECT mission, coalesce(answer, 'none') AS answer FROM (SELECT DISTINCT mission FROM src) LEFT JOIN g USING (mission)""",
+    lambda d: f"SELECT o_custkey AS mission, nullif(o_orderkey % 900, 0) AS bead, nullif(o_orderpriority, '4-NOT SPECIFIED') AS level, CASE o_orderpriority WHEN '1-URGENT' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'pending' ELSE 'cancelled' END WHEN '2-HIGH' THEN 'cancelled' ELSE 'completed' END AS status, o_orderkey % 37 <> 0 AS synced FROM {d.table('orders')} o",
     lambda d: f"SELECT p_partkey AS bead, cast(p_size + 10 AS double) AS cost FROM {d.table('part')} p",
 )
 over(
@@ -314,8 +315,8 @@ def _vocabulary(d):
 
 over("flt_09_vocabulary", lambda t, v: terms_in(t, v).withColumnRenamed("id", "doc_id"), "SELECT id AS doc_id, term FROM src JOIN src2 ON contains(text, term)", lambda d: f"SELECT doc_id AS id, text FROM {d.table('documents')} t", _vocabulary)
 over(
-    "fn_22_longest_directory", RT.longest_directory, "SELECT path, arg_max(convention, length(dir)) AS convention FROM (SELECT path, dir, convention FROM src JOIN src2 ON contains(path, dir)) GROUP BY path",
-    lambda d: f"SELECT {_path(d)} AS path FROM {d.table('pages')} p",
+    "fn_22_longest_directory", RT.longest_directory, "SELECT path, first(convention ORDER BY length(dir) DESC, dir) AS convention FROM (SELECT path, dir, convention FROM src JOIN src2 ON contains(path, dir)) GROUP BY path",
+    lambda d: f"SELECT DISTINCT {_path(d)} AS path FROM {d.table('pages')} p",
     # a rule for every host, host and language, and some deeper directories
     lambda d: f"SELECT dir, min(kind) AS convention FROM (SELECT {d.extract('url', '^https?://([^/?#]+)')} AS dir, 'kebab' AS kind FROM {d.table('pages')} p UNION ALL SELECT {d.extract('url', '^https?://([^/?#]+/[a-z]+)')}, 'snake' FROM {d.table('pages')} p UNION ALL SELECT {_path(d)}, 'camel' FROM {d.table('pages')} p WHERE page_id % 5 = 0) t WHERE dir <> '' GROUP BY dir",
 )
@@ -572,3 +573,41 @@ def _src_08(spark: SparkSession, folder: str) -> DataFrame:
         C.append_once(events, f"{path}/events", "idempotency_key")
         C.create_store(spark, path)
     return spark.read.parquet(f"{path}/events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("keys"))
+
+
+# -- whole budgets, all detectors ---------------------------------------------------------------------------------
+def _beads(d):
+    status = "CASE l_suppkey % 9 WHEN 0 THEN 'merged' WHEN 1 THEN 'hardened' WHEN 2 THEN 'reliability-proven' WHEN 3 THEN 'verified' WHEN 4 THEN 'proven' WHEN 5 THEN 'running' WHEN 6 THEN 'submitted' WHEN 7 THEN 'stuck' ELSE 'blocked' END"
+    told = lambda x: f"CASE WHEN l_partkey % 6 > 0 THEN {x} END"
+    levels = f"{told('l_linenumber % 3 % 2')} AS l0, {told('l_suppkey % 2')} AS l1, {told('CASE WHEN l_quantity > 30 THEN 2 ELSE 0 END')} AS l2, {told('CASE WHEN l_tax > 0.05 THEN 1 ELSE 0 END')} AS l2_5, {told('CASE WHEN l_discount > 0.08 THEN 3 ELSE 0 END')} AS l2_75"
+    domain = "CASE WHEN l_quantity <= 20 THEN 'clear' WHEN l_quantity <= 35 THEN 'complicated' WHEN l_quantity <= 45 THEN 'complex' WHEN l_quantity <= 49 THEN 'chaotic' ELSE 'confusion' END"
+    return f"SELECT l_orderkey AS task, l_partkey AS bead, {status} AS status, {domain} AS domain, {levels} FROM {d.table('lineitem')} l"
+
+
+over(
+    "agg_13_quality_budget", R.quality_budget,
+    f"""+t AS (SELECT *, list_contains({list(R.COMPLETED)}, status) AS done, list_sum([coalesce(l0, 0), coalesce(l1, 0), coalesce(l2, 0), coalesce(l2_5, 0), coalesce(l2_75, 0)])::BIGINT AS turb FROM src),
+    g AS (SELECT task, count(*) AS total, count(*) FILTER (WHERE done) AS completed, count(*) FILTER (WHERE status IN ('running', 'submitted')) AS wip, count(*) FILTER (WHERE status = 'stuck') AS stuck, count(*) FILTER (WHERE status = 'blocked') AS blocked,
+      {', '.join(f"count(*) FILTER (WHERE domain = '{x}') AS {x}" for x in ('clear', 'complicated', 'complex', 'chaotic'))}, {', '.join(f"CAST(coalesce(sum({x}), 0) AS BIGINT) AS {x}" for x in R.TURBULENT)}, count(*) FILTER (WHERE done AND turb = 0 AND l0 IS NOT NULL) AS zero, CAST(sum(turb) AS BIGINT) AS turbulence, max(turb) AS most FROM t GROUP BY task),
+    w AS (SELECT g.*, (SELECT min(bead) FROM t WHERE t.task = g.task AND t.turb = g.most AND g.most > 0) AS worst_bead, CASE WHEN completed = 0 THEN 0 ELSE (100 * zero // completed) / 100.0 END::DOUBLE AS rate, ((100 * turbulence // nullif(completed, 0)) / 100.0)::DOUBLE AS per_bead,
+      coalesce(((50 * complicated + 100 * complex + 150 * chaotic) // nullif(clear + complicated + complex + chaotic, 0)) / 100.0, 0)::DOUBLE AS weight FROM g),
+    f AS (SELECT *, CASE WHEN weight <= 0.2 THEN 0.9 WHEN weight <= 0.5 THEN 0.75 WHEN weight <= 0.8 THEN 0.6 ELSE 0.5 END::DOUBLE AS hi, CASE WHEN weight <= 0.2 THEN 0.6 WHEN weight <= 0.5 THEN 0.5 WHEN weight <= 0.8 THEN 0.35 ELSE 0.25 END::DOUBLE AS lo FROM w)
+    SELECT * EXCLUDE (zero, most, hi, lo), CASE WHEN rate < lo OR (completed > 0 AND turbulence > 6 * completed) THEN 'depleted' WHEN rate < hi THEN 'warning' ELSE 'healthy' END AS state FROM f""",
+    _beads,
+)
+
+_DETECTORS = (
+    ("stuck_task", "agg_01_stuck_task", "bead", "retries"), ("oscillating_state", "agg_02_oscillating", "bead", "completed + failed"), ("rising_escalation", "agg_03_rising_escalation", "workstream", "n"),
+    ("queue_starvation", "agg_04_queue_starvation", "workstream", "idle"), ("low_confidence_flood", "agg_05_low_confidence_flood", "workstream", "n"), ("review_disagreement", "agg_06_review_disagreement", "bead", "n"),
+)
+
+
+@REGISTRY.frame("agg_07_backpressure", " UNION ALL ".join(f"SELECT '{signal}' AS signal, {subject} AS subject, {n} AS n FROM ({REGISTRY.oracles()[name]})" for signal, name, subject, n in _DETECTORS))
+def _backpressure(spark: SparkSession, folder: str) -> DataFrame:
+    """The signals of all detectors, each by its own rule, in one table."""
+    queries = REGISTRY.queries()
+    out = None
+    for signal, name, subject, n in _DETECTORS:
+        part = queries[name](spark, folder).selectExpr(f"'{signal}' AS signal", f"{subject} AS subject", f"{n} AS n")
+        out = part if out is None else out.unionByName(part)
+    return out

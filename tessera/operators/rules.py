@@ -57,6 +57,30 @@ def hard_stop(tasks: DataFrame) -> DataFrame:
     return tasks.selectExpr("task", f"coalesce(NOT lint, false) OR coalesce(NOT types, false) OR critical > 0 OR stuck > 0 OR (blocked > 0 AND age > {BLOCKED_AGE}) AS stopped")
 
 
+#: Statuses of beads that are completed, and of those at work; levels of a bead's turbulence.
+COMPLETED, AT_WORK = ("merged", "hardened", "reliability-proven", "verified", "proven"), ("running", "submitted")
+TURBULENT = ("l0", "l1", "l2", "l2_5", "l2_75")
+
+
+def quality_budget(beads: DataFrame) -> DataFrame:
+    """One row a task of its beads (task, bead, status, domain and ``TURBULENT``, null where a bead tells none): counts by status and domain,
+    turbulence by level, the first bead of the greatest turbulence above 0, rates cut to two decimals, weight and state."""
+    done, work = (f"status IN ({', '.join(repr(x) for x in names)})" for names in (COMPLETED, AT_WORK))
+    turbulence = " + ".join(f"coalesce({c}, 0)" for c in TURBULENT)
+    known = beads.withColumn("told", F.expr(" OR ".join(f"{c} IS NOT NULL" for c in TURBULENT))).withColumn("turb", F.expr(turbulence))
+    sums = known.groupBy("task").agg(
+        F.count(F.lit(1)).alias("total"), F.expr(f"count_if({done}) AS completed"), F.expr(f"count_if({work}) AS wip"), F.expr("count_if(status = 'stuck') AS stuck"), F.expr("count_if(status = 'blocked') AS blocked"),
+        *[F.expr(f"count_if(domain = '{d}') AS {d}") for d in ("clear", "complicated", "complex", "chaotic")], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TURBULENT],
+        F.expr(f"count_if(told AND turb = 0 AND {done}) AS zero"), F.sum("turb").alias("turbulence"), F.max(F.when(F.col("turb") > 0, F.struct("turb", (-F.col("bead")).alias("b")))).alias("worst"),
+    )
+    rates = sums.withColumn("rate", F.expr(f"CASE WHEN completed > 0 THEN {truncated('zero / cast(completed AS double)')} ELSE 0D END")).withColumn("per_bead", F.expr(f"CASE WHEN completed > 0 THEN {truncated('turbulence / cast(completed AS double)')} END"))
+    weighed = rates.join(complexity_weight(sums), "task")
+    stated = weighed.join(floors(weighed.select("task", "weight")), "task").withColumn("escapes", F.lit(0))
+    return stated.join(budget_state(stated), "task").selectExpr(
+        "task", "total", "completed", "wip", "stuck", "blocked", "clear", "complicated", "complex", "chaotic", *TURBULENT, "turbulence", "-worst.b AS worst_bead", "rate", "per_bead", "weight", "state"
+    )
+
+
 # -- modes and convergence ----------------------------------------------------------------------------------------
 def execution_mode(tasks: DataFrame) -> DataFrame:
     """(task, mode, confidence): four signals vote; four alike are sure, three fairly, and otherwise it is by rule."""

@@ -191,10 +191,10 @@ def recover(tasks: DataFrame, agents: DataFrame, now: str, thresholds: dict[str,
 
 def work(tasks: DataFrame, costs: DataFrame) -> DataFrame:
     """(mission, answer) of each mission's tasks: 'work' if a task is due whose bead costs less than the ceiling; 'synthesize' if none is due and all that have a bead are done and synced; else 'none'."""
-    known = tasks.where("level IS NOT NULL").join(costs, "bead", "left").withColumn("due", F.expr("status IN ('pending', 'needs_review') OR (status = 'completed' AND NOT synced)"))
+    known = tasks.join(costs, "bead", "left").withColumn("due", F.expr("level IS NOT NULL AND (status IN ('pending', 'needs_review') OR (status = 'completed' AND NOT synced))"))
     sums = known.groupBy("mission").agg(
-        F.expr("count_if(due) AS due"), F.expr(f"count_if(due AND NOT coalesce(cost >= {CEILING}, false)) AS open"), F.expr("count(bead) AS beads"),
-        F.expr("count_if(bead IS NOT NULL AND status IN ('completed', 'cancelled') AND synced) AS done"),
+        F.expr("count_if(due) AS due"), F.expr(f"count_if(due AND NOT coalesce(cost >= {CEILING}, false)) AS open"), F.expr("count_if(level IS NOT NULL AND bead IS NOT NULL) AS beads"),
+        F.expr("count_if(level IS NOT NULL AND bead IS NOT NULL AND status IN ('completed', 'cancelled') AND synced) AS done"),
     )
     return sums.selectExpr("mission", "CASE WHEN open > 0 THEN 'work' WHEN due = 0 AND beads > 0 AND done = beads THEN 'synthesize' ELSE 'none' END AS answer")
 

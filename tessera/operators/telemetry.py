@@ -25,12 +25,6 @@ per AS (SELECT task, count(*) AS total, count(CASE WHEN status = 'completed' THE
   cast(sum(l0) AS bigint) AS s0, cast(sum(l1) AS bigint) AS s1, cast(sum(l2) AS bigint) AS s2, cast(sum(turbulence) AS bigint) AS turbulence, count(CASE WHEN status = 'completed' AND has_field = 1 AND turbulence = 0 THEN 1 END) AS quiet FROM bead GROUP BY task)"""
 
 
-@plan("agg_13_quality_budget")
-def budget(d):
-    return f"""WITH {beads(d)}, worst AS (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY turbulence DESC, id) AS k FROM bead)
-SELECT p.task, total, completed, wip, stuck, n_clear, n_complicated, n_complex, n_chaotic, s0, s1, s2, turbulence, id AS worst_bead, {trunc2('quiet / cast(nullif(completed, 0) AS double)')} AS quiet_rate FROM per p JOIN worst w ON p.task = w.task AND k = 1"""
-
-
 @plan("src_06_turbulence_map")
 def turbulence_map(d):
     """A positional map field and its reading back."""
