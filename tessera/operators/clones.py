@@ -18,13 +18,14 @@ from tessera.operators import strategies_sql as oracle
 from tessera.plans.dialect import REGISTRY
 from tessera.sources.scratch import written
 
-#: What a class has in common: all that strategies and the guard of sizes look at, but not the place.
-_ALIKE = ("token_sequence", "name", "params", "return_type", "body_lines", "end_line - line AS span", "cyclomatic_complexity", "ast_fingerprint")
+#: What a class has in common beside its tokens: all that strategies and the guard of sizes look at, but not the place.
+_ALIKE = ("name", "params", "return_type", "body_lines", "end_line - line AS span", "cyclomatic_complexity", "ast_fingerprint")
 
 
 def members(catalog: DataFrame) -> DataFrame:
     """(id, class, twin, members) of every row: its class's least and greatest id and size; partial sums before one shuffle."""
-    keyed = catalog.select("id", F.expr(f"sha2(to_json(struct({', '.join(_ALIKE)})), 256)").alias("key"))
+    tokens = "concat_ws(':', size(token_sequence), sha2(array_join(token_sequence, '\\0'), 256))"
+    keyed = catalog.select("id", F.expr(f"concat_ws('|', {tokens}, to_json(struct({', '.join(_ALIKE)})))").alias("key"))
     sums = keyed.groupBy("key").agg(F.min("id").alias("class"), F.max("id").alias("twin"), F.count(F.lit(1)).alias("members"))
     return keyed.join(sums, "key").select("id", "class", "twin", "members")
 
@@ -62,12 +63,18 @@ def token_classes(catalog: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(*wide)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer splits than there are cores, dealt out to all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # -- the given tables as catalogs ---------------------------------------------------------------------------------
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a function without a name: its words are the tokens and its lines the body."""
     words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")
     none = {"name": "string", "qualified_name": "string", "line": "bigint", "end_line": "bigint", "params": "array<struct<name:string,type:string,optional:boolean>>", "return_type": "string", "cyclomatic_complexity": "bigint", "ast_fingerprint": "string"}
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text"))
     return docs.select(
         F.col("doc_id").alias("id"), F.concat_ws("/", "source", "doc_id").alias("file"), F.size(F.split("text", "\n")).cast("bigint").alias("body_lines"),
         words.alias("token_sequence"), *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()],
@@ -100,7 +107,7 @@ def _sized(pairs: DataFrame, reps: DataFrame, score: str = "round(score, 4)") ->
 
 def _over_documents(name: str, strategy: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        reps = representatives(documents(spark, folder), twins=False)
+        reps = written(representatives(documents(spark, folder), twins=False), "classes")
         return _sized(strategy(reps), reps)
 
     REGISTRY.frame(name, sql)(query)
@@ -147,6 +154,7 @@ def _clones(spark: SparkSession, folder: str) -> DataFrame:
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct metric vectors of all documents, with how many documents have each."""
     vectors, _ = S.vectors_of(documents(spark, folder))
+    vectors = written(vectors, "vectors")
     return _sized(S.metric_pairs(vectors), vectors.withColumn("copies", F.col("n")))
 
 
@@ -209,5 +217,5 @@ def _cosines(spark: SparkSession, folder: str) -> DataFrame:
 @REGISTRY.frame("jn_05_lsh_bands", oracle.WORD_SETS)
 def _bands(spark: SparkSession, folder: str) -> DataFrame:
     """The banded join over the word sets of all documents; equal texts are one class."""
-    reps = representatives(documents(spark, folder), twins=False)
+    reps = written(representatives(documents(spark, folder), twins=False), "classes")
     return _sized(S.lsh_pairs(reps), reps)

@@ -442,6 +442,7 @@ def lsh_pairs(catalog: DataFrame) -> DataFrame:
     A pair at 0.75 misses all bands with probability (1 - 0.75**4)**32 = 5e-6.
     """
     sets = catalog.select("id", F.expr("array_sort(array_distinct(token_sequence))").alias("s")).where("size(s) >= 5").withColumn("key", F.expr("sha2(array_join(s, '\\0'), 256)"))
+    sets = written(sets, "sets")
     least = sets.groupBy("key").agg(F.min("id").alias("id"))
     own = sets.select("id", "s").join(least.select("id"), "id")
     keyed = own.select("id", F.explode(F.arrow_udf(_band_keys, "array<bigint>")(F.transform("s", lambda t: F.xxhash64(t)))).alias("k"))
