@@ -8,6 +8,7 @@ from tessera.operators import rules as R
 from tessera.operators import rules_text as RT
 from tessera.operators import strategies as S
 from tessera.operators import udf_operators as U
+from tessera.plans.queries import QUERIES
 
 
 def test_sources_are_parsed_in_pieces(monkeypatch):
@@ -41,3 +42,25 @@ def test_ranks_of_pairs_need_no_window_over_a_confidence(spark):
 def test_partitions_grow_with_the_records(spark, monkeypatch):
     monkeypatch.setattr(R, "ROWS", 10)
     assert R.by_key(spark.range(1000), "id").rdd.getNumPartitions() == 101
+
+
+def test_screen_equals_all_pairs_and_copies_are_screened_once(spark, tmp_path):
+    rng = random.Random(8)
+    base = [[rng.choice("ABCDEFGH") for _ in range(rng.randint(3, 30))] for _ in range(15)]
+    texts = [[w if rng.random() < 0.93 else rng.choice("XYZ") for w in own] for own in base for _ in range(3)] + base[:3] * 4
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def share(p, q, k):
+        p, q = ({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (p, q))
+        return len(p & q) / len(p | q) if p | q else 0.0
+
+    want = {}
+    for b, q in enumerate(texts):
+        for a, p in enumerate(texts[:b]):
+            j3, j5 = share(p, q, 3), share(p, q, 5)
+            if j5 > 0 and j3 + j5 >= 0.8:
+                want[a, b] = (round(j3, 4), round(j5, 4))
+    got = QUERIES["jn_04_screen"](spark, str(tmp_path))
+    assert {(r["a"], r["b"]): (r["j3"], r["j5"]) for r in got.collect()} == want and len(want) > 40
+    catalog = spark.createDataFrame(list(enumerate(base)), "id bigint, token_sequence array<string>")
+    assert {r["n"] for r in S.rarest_first(S.hashed(catalog, S.grams(3)), 0.4).collect()} <= set(range(1, 29))
