@@ -165,3 +165,9 @@ def test_python_functions():
     assert list(U.functions_of("bad.py", "def (")) == []
     same = next(U.functions_of("n.py", "def f(x, y=1):\n    'd'\n    return x and y\n"))
     assert same[8] == found["f"][8]
+
+
+def test_report_is_whole(spark):
+    """The registered report has its head, its totals and its clone types, not only the lists of pairs."""
+    got = {r["section"] for r in QUERIES["snk_04_report"](spark, FOLDER).select("section").distinct().collect()}
+    assert {0, 1, 2, 3, 4, 10, 11, 20, 30} <= got
